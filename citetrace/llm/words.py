@@ -46,10 +46,10 @@ def _power(kind: str, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         base = _BASE if kind == "up" else _BASE_INV
         have = np.ones(1, dtype=U)
-        step = base
+        step = int(base)
         while len(have) < n:
-            have = np.concatenate([have, have * step])
-            step = step * step
+            have = np.concatenate([have, have * U(step)])
+            step = step * step % (1 << 64)
         _powers[kind] = have
     return have[:n]
 
