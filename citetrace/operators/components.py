@@ -18,11 +18,11 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = materialise(e, "cc")
+    e, last = materialise(e, "cc"), None
     for _ in range(max_rounds):
         # larger star: every neighbour above me, and I myself, point to my least neighbour
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         up = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = up.where("u <> v").distinct()
         # smaller star: my neighbours below me, and I myself, point to the least of them
@@ -35,10 +35,11 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
             .distinct()
         )
         nxt = materialise(small, "cc")
-        changed = nxt.exceptAll(e).limit(1).count() + e.exceptAll(nxt).limit(1).count()
+        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         e = nxt
-        if not changed:
+        if now == last:
             break
+        last = now
     else:
         raise RuntimeError("connected_components did not settle")
     roots = e.select(F.col("v").alias("node")).distinct()
