@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citetrace.llm import ngram_join, packing, quality, sharding
+from citetrace.llm import ngram_join, packing, quality, sharding, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -30,5 +34,5 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op4_best_fit_packing, op6_histogram_sharding, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_substring_dedup, op4_best_fit_packing, op6_histogram_sharding, op8_quality_rules)}
 SQL: dict[str, str] = {}
