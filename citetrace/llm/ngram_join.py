@@ -167,7 +167,7 @@ def jaccard_join(
     reps = some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     cells = reps.select("doc_id", "n_shingles", F.explode("sketch").alias("col"))
     counts = cells.groupBy("col").agg(F.count("*").alias("df")).where("df > 1")
-    repeated = cells.join(counts, "col").select("doc_id", "n_shingles", "col", "df")
+    repeated = cells.join(counts.hint("merge"), "col").select("doc_id", "n_shingles", "col", "df")
     # what an overlap needs at least: of whole small sets by their size, of sketches ``need``
     least = F.least(F.lit(need), F.ceil(F.col("n_shingles") * percent / 100)).cast("int")
     mine = Window.partitionBy("doc_id")
@@ -188,7 +188,7 @@ def jaccard_join(
     # tiles by a hash; a group of up to one tile is whole
     tiles = F.ceil(F.col("size") / tile).cast("int")
     placed = placed.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
-    with_text = placed.join(_texts(docs), "doc_id")
+    with_text = _texts(docs).join(placed.hint("merge"), "doc_id")
     spread = with_text.select(
         "doc_id", "text", "tile", F.col("component").alias("grp"), "size", "tiles", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     ).select("*", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"))
