@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citetrace.llm import ngram_join, packing, quality, sharding, substrings
+from citetrace.llm import ngram_join, packing, quality, sharding, substrings, warc
+from citetrace.plans.storage import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,5 +37,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_substring_dedup, op4_best_fit_packing, op6_histogram_sharding, op8_quality_rules)}
+def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}").drop("capture", "url")
+
+
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_substring_dedup, op4_best_fit_packing, op6_histogram_sharding, op8_quality_rules, op10_warc_transactions)}
 SQL: dict[str, str] = {}
