@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citetrace.llm import ngram_join, packing, quality, sharding, substrings, warc
+from citetrace.llm import html_extract, ngram_join, packing, quality, sharding, substrings, warc
 from citetrace.plans.storage import shared_dir
 
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -41,5 +45,5 @@ def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}").drop("capture", "url")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_substring_dedup, op4_best_fit_packing, op6_histogram_sharding, op8_quality_rules, op10_warc_transactions)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_ngram_jaccard_join, op3_substring_dedup, op4_best_fit_packing, op6_histogram_sharding, op8_quality_rules, op10_warc_transactions)}
 SQL: dict[str, str] = {}
