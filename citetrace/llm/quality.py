@@ -101,5 +101,6 @@ def keep_good(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     """The rows of ``docs`` that the rules keep, in the same scan; columns as they were."""
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").cast("string").alias("_text"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    kept = counts(row, "_text").where(~base & (F.size(compiled(thresholds)) == 0))
-    return kept.select("_row.*")
+    # a generator, not a filter: a filter would be pushed below the counts and repeat them in each of its terms
+    verdict = ~base & (F.size(compiled(thresholds)) == 0)
+    return counts(row, "_text").select(F.explode(F.when(verdict, F.array("_row"))).alias("_row")).select("_row.*")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citetrace.llm import html_extract, licences, ngram_join, packing, quality, sharding, substrings, toxicity, warc
+from citetrace.llm import decontaminate, html_extract, licences, ngram_join, packing, quality, sharding, substrings, toxicity, warc
 from citetrace.plans.storage import shared_dir
 
 
@@ -50,6 +50,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}").drop("capture", "url")
 
@@ -65,6 +69,7 @@ QUERIES = {
         op6_histogram_sharding,
         op7_toxicity_neighbours,
         op8_quality_rules,
+        op9_benchmark_leaks,
         op10_warc_transactions,
     )
 }

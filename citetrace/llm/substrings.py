@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -253,6 +254,19 @@ def _streamed(window: int):
     return of
 
 
+def kept_words(text: str | None, spans: list[tuple[int, int]], window: int) -> tuple[int, bytes, int]:
+    """Number of words, those outside the spans joined by one space, and their number."""
+    words = (text or "").encode("utf-8", "surrogatepass").split()
+    n = len(words)
+    if spans:
+        gone = np.zeros(n + 1, dtype=np.int32)
+        for start, windows in spans:
+            gone[min(start, n)] += 1
+            gone[min(start + windows + window - 1, n)] -= 1
+        words = [words[i] for i in np.flatnonzero(np.cumsum(gone[:n]) <= 0).tolist()]
+    return n, b" ".join(words), len(words)
+
+
 def _kept(window: int):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.large_string())]
@@ -260,24 +274,14 @@ def _kept(window: int):
 
     def of(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], []]
             texts = []
             for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
                 raw = text.as_py()
-                words = (raw or "").encode("utf-8", "surrogatepass").split()
-                n, spans = len(words), spans.as_py()
-                if spans:
-                    gone = np.zeros(n + 1, dtype=np.int32)
-                    for s in spans:
-                        gone[min(s["start"], n)] += 1
-                        gone[min(s["start"] + s["windows"] + window - 1, n)] -= 1
-                    stay = np.flatnonzero(np.cumsum(gone[:n]) <= 0)
-                    words = [words[i] for i in stay.tolist()]
-                joined = b" ".join(words)
-                out[0].append(n)
-                out[1].append(n - len(words))
-                out[2].append(hashlib.sha256(joined).hexdigest())
-                texts.append(joined.decode("utf-8", "surrogatepass") if len(words) < n else raw)
+                n, joined, left = kept_words(raw, [(x["start"], x["windows"]) for x in spans.as_py() or ()], window)
+                for col, x in zip(out, (n, n - left, hashlib.sha256(joined).hexdigest()), strict=True):
+                    col.append(x)
+                texts.append(joined.decode("utf-8", "surrogatepass") if left < n else raw)
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(texts, pa.large_string())],
                 schema=schema,
@@ -286,13 +290,13 @@ def _kept(window: int):
     return of
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept) for every row of ``docs`` (doc_id, text).
+def _own(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    kept is the text itself where nothing goes, else the kept words joined by one space; null stays null. A row of a null id
-    is returned whole and is no one's earlier copy. Rows of one id are one document and never remove from each other.
-    """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(doc_id, spans): runs of windows (first word, number) of each document that start in a smaller one; others have no row."""
+    own = _own(docs)
     runs = own.where("doc_id is not null").mapInArrow(_anchors(window, gram), "doc_id long, anchor long, key long, start int, windows int")
     found = materialise(
         runs.repartition("anchor").sortWithinPartitions("anchor", "key", "doc_id").mapInArrow(_shared, "doc_id long, anchor long, start int, windows int, covered boolean"),
@@ -306,9 +310,30 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
         .sortWithinPartitions("anchor", "doc_id", "start")
         .mapInArrow(_streamed(window), "doc_id long, start int, windows int")
     )
-    spans = (
-        found.where("covered").select("doc_id", "start", "windows").unionByName(judged).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
-    )
-    return own.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
+    rows = found.where("covered").select("doc_id", "start", "windows").unionByName(judged)
+    return rows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+
+
+def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, kept) for every row of ``docs`` (doc_id, text).
+
+    kept is the text itself where nothing goes, else the kept words joined by one space; null stays null. A row of a null id
+    is returned whole and is no one's earlier copy. Rows of one id are one document and never remove from each other.
+    """
+    spans = repeated_spans(docs, window, gram)
+    return _own(docs).join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
         _kept(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
     )
+
+
+def cut(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``docs`` with repeated spans cut out of ``text``; rows and other columns as they were."""
+    spans = repeated_spans(docs, window, gram).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
+    both = docs.join(spans, docs["doc_id"].cast("long") == spans["_id"], "left")
+
+    @F.pandas_udf("string")
+    def without(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else kept_words(t, [(x["start"], x["windows"]) for x in s], window)[1].decode() for t, s in zip(text, spans, strict=True)], dtype="object")
+
+    text = F.when(F.col("_spans").isNull(), docs["text"].cast("string")).otherwise(without(docs["text"].cast("string"), F.col("_spans")))
+    return both.select(*[text.alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns])
