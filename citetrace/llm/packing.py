@@ -12,6 +12,7 @@ from __future__ import annotations
 import bisect
 import os
 import random
+import re
 import zlib
 
 import pandas as pd
@@ -32,7 +33,7 @@ LEVELS = 4
 #: Bins filled less than this are opened for the next level.
 WELL = 0.97
 #: Words whose ids a task remembers at once.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 
 
 def default_tokenizer() -> str:
@@ -41,8 +42,16 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A word of Latin-1 letters with ASCII marks after it: the tokenizer takes the letters and the marks as one unit each.
+PLAIN = re.compile(r"([a-z\xb5\xdf-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)\Z")
+
+
 class WordIds:
-    """UTF-8 text to little-endian 32-bit ids. The tokenizer never joins across white space, so words are remembered."""
+    """UTF-8 text to little-endian 32-bit ids.
+
+    The tokenizer never joins across white space, so the ids of words are remembered, and those of their letters and
+    marks. Only a plain word goes to the merges alone; any other one goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,33 +59,52 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known = {}
-        order = list(words)
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for i in range(0, len(order), 5000):
-            part = order[i : i + 5000]
-            for w, e in zip(part, encode([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = b"".join(x.to_bytes(4, "little") for x in e.ids)
+        self.units: dict[str, bytes] = {}
+        # the model writes a byte as a character of its own; its vocabulary tells which
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        self.characters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+    def unit(self, text: str) -> bytes:
+        ids = self.units.get(text)
+        if ids is None:
+            if len(self.units) >= REMEMBERED:
+                self.units = {}
+            spelled = text if text.isascii() else text.encode().decode("latin-1").translate(self.characters)
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(spelled)])
+            self.units[text] = ids
+        return ids
+
+    def word(self, word: bytes) -> bytes:
+        text = word.decode()
+        m = PLAIN.match(text.lower()) if len(text) < 200 else None
+        if m and max(text) < "\u0100":
+            return self.unit(m[1]) + self.unit(m[2]) if m[2] else self.unit(m[1])
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return b"".join([x.to_bytes(4, "little") for x in ids])
 
     def __call__(self, text: str | None) -> bytes:
         words = (text or "").encode("utf-8", "surrogatepass").split()
+        known = self.known
         try:
-            return b"".join([self.known[w] for w in words])
+            return b"".join([known[w] for w in words])
         except KeyError:
-            out = []
-            for i in range(0, len(words), 100_000):
-                part = words[i : i + 100_000]
-                new = {w for w in part if w not in self.known}
-                if new:
-                    before = len(self.known)
-                    self.learn(new)
-                    if len(self.known) < before + len(new):  # begun anew
-                        self.learn({w for w in part if w not in self.known})
-                out += [self.known[w] for w in part]
-            return b"".join(out)
+            if len(known) >= REMEMBERED:
+                known = self.known = {}
+            for w in words:
+                if w not in known:
+                    known[w] = self.word(w)
+            return b"".join([known[w] for w in words])
+
+
+_ids_of: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One for each Python process, so that tasks share what it remembers."""
+    if path not in _ids_of:
+        _ids_of[path] = WordIds(path)
+    return _ids_of[path]
 
 
 PIECE = pa.schema(
@@ -89,7 +117,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
     end = END.to_bytes(4, "little")
 
     def of(batches):
-        ids_of = WordIds(path)
+        ids_of = word_ids(path)
         for batch in batches:
             rows: list[list] = [[] for _ in PIECE]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
