@@ -311,7 +311,7 @@ def resolved_seeds_with_doi(x):
 @query
 def merge_last_wins(x):
     rows = x.raw_citations.select(F.col("source_id").alias("node_id"), F.when(F.col("seq") % 7 != 0, F.col("source_api")).alias("source_api"), "citation_date", "seq")
-    return seeds.last_wins(rows, ["node_id"])
+    return seeds.last_wins(rows, ["node_id"], ("seq", "citation_date"))
 
 
 @query
@@ -335,7 +335,7 @@ def observed(x: Fixture) -> DataFrame:
     r = x.raw_citations
     a = r.withColumn("depth", (F.col("seq") % 3 + 1).cast("int"))
     other = F.when(F.col("source_api") == "openalex", "opencitations").otherwise("openalex")
-    b = r.withColumn("depth", (F.col("seq") % 2 + 1).cast("int")).withColumn("source_api", other).withColumn("seq", F.col("seq") + 1_000_000_000)
+    b = r.withColumn("depth", (F.col("seq") % 2 + 1).cast("int")).withColumn("source_api", other).withColumn("seq", F.col("seq") + 10_000_000_000_000_000)
     return a.unionByName(b)
 
 

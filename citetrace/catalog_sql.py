@@ -20,14 +20,14 @@ TABLES = {
                o_orderstatus AS work_type, o_orderpriority AS topic_domain, c_mktsegment AS topic_name, o_orderkey % 200 = 0 AS is_retracted
         FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
     "lagged": """
-        SELECT l_orderkey AS k, l_linenumber AS n, l_returnflag AS f, CAST(l_shipdate AS DATE) AS d,
+        SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_returnflag AS f, CAST(l_shipdate AS DATE) AS d,
                lag(l_orderkey, 1) OVER item AS one, lag(l_orderkey, 2) OVER item AS two
-        FROM lineitem WINDOW item AS (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber)""",
+        FROM lineitem WINDOW item AS (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice)""",
     "raw": """
-        SELECT 'W' || k AS source_id, 'W' || one AS target_id, CASE WHEN f = 'R' THEN 'opencitations' ELSE 'openalex' END AS source_api, d AS citation_date, k * 1000 + n * 10 AS seq
+        SELECT 'W' || k AS source_id, 'W' || one AS target_id, CASE WHEN f = 'R' THEN 'opencitations' ELSE 'openalex' END AS source_api, d AS citation_date, (k * 1000 + n * 10) * 1000000 + p AS seq
         FROM lagged WHERE one <> k
         UNION ALL
-        SELECT 'W' || k, 'W' || two, CASE WHEN f = 'R' THEN 'opencitations' ELSE 'openalex' END, d, k * 1000 + n * 10 + 1 FROM lagged WHERE two <> k""",
+        SELECT 'W' || k, 'W' || two, CASE WHEN f = 'R' THEN 'opencitations' ELSE 'openalex' END, d, (k * 1000 + n * 10 + 1) * 1000000 + p FROM lagged WHERE two <> k""",
     "seed_rows": """
         SELECT *, CASE WHEN row_number() OVER (PARTITION BY node_id ORDER BY notice_date NULLS LAST, record_id) = 1 THEN 'resolved' ELSE 'duplicate_node' END AS resolved_status
         FROM seed_records""",
@@ -50,7 +50,7 @@ TABLES = {
     "observed": """
         SELECT source_id, target_id, CAST(seq % 3 + 1 AS INTEGER) AS depth, source_api, citation_date, seq FROM raw
         UNION ALL
-        SELECT source_id, target_id, CAST(seq % 2 + 1 AS INTEGER), CASE WHEN source_api = 'openalex' THEN 'opencitations' ELSE 'openalex' END, citation_date, seq + 1000000000 FROM raw""",
+        SELECT source_id, target_id, CAST(seq % 2 + 1 AS INTEGER), CASE WHEN source_api = 'openalex' THEN 'opencitations' ELSE 'openalex' END, citation_date, seq + 10000000000000000 FROM raw""",
     "merged": """
         SELECT source_id, target_id, min(depth) AS depth, arg_min(source_api, (depth, seq)) AS source_api, arg_min(citation_date, (depth, seq)) AS citation_date
         FROM observed GROUP BY source_id, target_id""",
@@ -102,7 +102,7 @@ TABLES = {
                count(*) FILTER (w.publication_date > m.notice_date) / count(*) AS control_share,
                m.seed_share - count(*) FILTER (w.publication_date > m.notice_date) / count(*) AS share_diff
         FROM matched m JOIN edges e ON e.target_id = m.control_id AND e.depth = 2 JOIN works w ON w.node_id = e.source_id AND w.publication_date IS NOT NULL
-        GROUP BY ALL""",
+        GROUP BY m.node_id, m.notice_date, m.control_id, m.seed_share""",
     "notices": """
         SELECT 'R' || o_orderkey AS record_id, 'Order ' || o_orderkey AS title,
                CASE o_orderkey % 200 WHEN 0 THEN 'Retraction' WHEN 50 THEN 'Expression of Concern' WHEN 100 THEN 'Correction; Retraction' ELSE 'Correction' END AS notice_type,
@@ -129,7 +129,7 @@ BODIES = {
     "parse_date": """SELECT o_orderkey AS id, CAST(CASE o_orderkey % 5 WHEN 3 THEN date_trunc('month', o_orderdate) WHEN 4 THEN date_trunc('year', o_orderdate) ELSE o_orderdate END AS DATE) AS day FROM orders""",
     "parse_year": "SELECT o_orderkey AS id, CAST(year(o_orderdate) AS BIGINT) AS year FROM orders",
     "compact_id": "SELECT o_orderkey AS id, 'W' || o_orderkey AS compact, 'https://openalex.org/W' || o_orderkey AS full_id FROM orders",
-    "node_ids": "SELECT id, 'doi:' || doi AS doi_node, 'pmid:' || id AS pmid_node, doi AS doi_back FROM doi_texts",
+    "node_ids": "SELECT id, 'doi:' || doi AS doi_node, 'pmid:' || nullif(id, 0) AS pmid_node, doi AS doi_back FROM doi_texts",
     "extract_pid": "SELECT o_orderkey AS id, '10.1000/W' || o_orderkey AS doi, CAST(o_orderkey + 5000 AS VARCHAR) AS pmid, CAST(NULL AS VARCHAR) AS pmcid FROM orders",
     "author_last_name": "SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 THEN list_extract(string_split(c_name, ' '), -1) END AS last_name FROM customer",
     "notice_filter": "SELECT record_id, notice_type <> 'Correction' AS is_seed FROM notices",
@@ -150,7 +150,7 @@ BODIES = {
         SELECT node_id, doi, title, publication_date, publication_year, work_type, topic_name, topic_domain, coalesce(n, 0) AS n_refs
         FROM works LEFT JOIN (SELECT source_id, count(DISTINCT target_id) AS n FROM raw GROUP BY 1) ON source_id = node_id""",
     "parse_citations": """
-        SELECT '10.1000/' || lower(source_id) AS citing_doi, substr(source_id, 2) AS citing_pmid, '10.1000/' || lower(target_id) AS cited_doi,
+        SELECT '10.1000/' || lower(source_id) AS citing_doi, nullif(substr(source_id, 2), '0') AS citing_pmid, '10.1000/' || lower(target_id) AS cited_doi,
                CAST(date_trunc('month', citation_date) AS DATE) AS creation_date, count(*) AS n FROM raw GROUP BY ALL""",
     "row_to_json": "SELECT '{\"node_id\":\"' || node_id || '\",\"depth\":' || depth || '}' AS json FROM frontier",
     "bulk_id_mapping": """
@@ -189,7 +189,7 @@ BODIES = {
     "resolved_seeds_with_doi": "SELECT record_id, node_id, original_doi FROM seed_rows WHERE resolved_status = 'resolved'",
     "merge_last_wins": """
         SELECT node_id, source_api, citation_date, seq FROM (
-            SELECT source_id AS node_id, CASE WHEN seq % 7 <> 0 THEN source_api END AS source_api, citation_date, seq, row_number() OVER (PARTITION BY source_id ORDER BY seq DESC) AS i FROM raw) WHERE i = 1""",
+            SELECT source_id AS node_id, CASE WHEN seq % 7 <> 0 THEN source_api END AS source_api, citation_date, seq, row_number() OVER (PARTITION BY source_id ORDER BY seq DESC, citation_date DESC) AS i FROM raw) WHERE i = 1""",
     "metadata_kv": """
         SELECT key, coalesce(value, 'default') AS value FROM (SELECT DISTINCT 'user.' || user_id AS key FROM events)
         LEFT JOIN (SELECT 'user.' || user_id AS key, arg_max(event_type, event_id) AS value FROM events WHERE event_id % 10 < 8 AND ('user.' || user_id) NOT LIKE '%0' GROUP BY 1) USING (key)""",

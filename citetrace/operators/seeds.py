@@ -126,8 +126,8 @@ def propagate_retracted(works: DataFrame, seeds: DataFrame) -> DataFrame:
     return works.join(flagged, works.node_id == flagged["_seed"], "left").withColumn("is_retracted", F.col("_seed").isNotNull()).drop("_seed")
 
 
-def last_wins(rows: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
+def last_wins(rows: DataFrame, keys: list[str], order: tuple[str, ...] = ("seq",)) -> DataFrame:
     """The last row of each key, nulls included: what repeated upserts leave. Aggregated map-side."""
     rest = [c for c in rows.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.col(seq)).alias("_row")
+    newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
     return rows.groupBy(*keys).agg(newest).select(*keys, "_row.*")

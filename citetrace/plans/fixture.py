@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citetrace.operators import graph, seeds
+from citetrace.plans.storage import materialise
 
 
 @dataclass(frozen=True)
 class Fixture:
-    """Tables of the derived graph, each declared once; nothing runs until a query does."""
+    """Tables of the derived graph, each declared once. The frontier and its edges are written once for a query and read back."""
 
     spark: SparkSession
     sf_dir: str
@@ -42,9 +43,9 @@ class Fixture:
 
     @cached_property
     def raw_citations(self) -> DataFrame:
-        item = Window.partitionBy("l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
+        item = Window.partitionBy("l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
         lines = self.table("lineitem").select(
-            "l_orderkey", "l_linenumber", "l_returnflag", F.col("l_shipdate").cast("date").alias("citation_date"),
+            "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", F.col("l_shipdate").cast("date").alias("citation_date"),
             F.lag("l_orderkey", 1).over(item).alias("one"), F.lag("l_orderkey", 2).over(item).alias("two"),
         )
         cited = lines.select("*", F.posexplode(F.array("one", "two")).alias("k", "cited")).where("cited is not null and cited <> l_orderkey")
@@ -53,7 +54,7 @@ class Fixture:
             F.concat(F.lit("W"), "cited").alias("target_id"),
             F.when(F.col("l_returnflag") == "R", "opencitations").otherwise("openalex").alias("source_api"),
             "citation_date",
-            (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 10 + F.col("k")).alias("seq"),
+            ((F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 10 + F.col("k")) * 1_000_000 + F.col("l_partkey")).alias("seq"),
         )
 
     @cached_property
@@ -79,11 +80,11 @@ class Fixture:
     @cached_property
     def frontier(self) -> DataFrame:
         nodes = graph.bfs(self.raw_citations, self.seed_records.select("node_id"), 2)
-        return nodes.withColumn("processed", F.col("depth") < 2)
+        return materialise(nodes.withColumn("processed", F.col("depth") < 2), "frontier")
 
     @cached_property
     def edges(self) -> DataFrame:
-        return graph.level_edges(self.raw_citations, self.frontier, 2)
+        return materialise(graph.level_edges(self.raw_citations, self.frontier, 2), "edges")
 
     @cached_property
     def scoped_edges(self) -> DataFrame:
