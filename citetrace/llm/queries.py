@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citetrace.llm import decontaminate, html_extract, licences, ngram_join, packing, quality, sharding, substrings, toxicity, warc
+from citetrace.llm.sql import SQL
 from citetrace.plans.storage import shared_dir
 
+__all__ = ["QUERIES", "SQL"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -73,4 +76,3 @@ QUERIES = {
         op10_warc_transactions,
     )
 }
-SQL: dict[str, str] = {}
