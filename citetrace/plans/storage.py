@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders of applications that name none.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -15,8 +19,10 @@ def shared_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = current.get() if current.isDefined() else None
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="citetrace-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        key = spark.sparkContext.applicationId
+        if key not in _own:
+            _own[key] = "file://" + tempfile.mkdtemp(prefix="citetrace-")
+        base = _own[key]
     return base.rstrip("/")
 
 
