@@ -667,7 +667,7 @@ def run_metadata(x: Fixture) -> DataFrame:
     """Keys and values as a run would have them, from the regions and orders; two of the required keys are missing."""
     r = x.table("orders").agg(F.min("o_orderdate").cast("date").cast("string").alias("a"), F.count("*").cast("string").alias("b"))
     rows = F.array(
-        *[F.struct(F.lit(k).alias("key"), F.col(v).alias("value")) for k, v in (("rw_csv", "a"), ("rw_snapshot", "a"), ("max_depth", "b"), ("complete_depth", "b"), ("opencitations_failed_parent:W1", "b"))]
+        *[F.struct(F.lit(k).alias("key"), F.col(v).alias("value")) for k, v in (("rw_snapshot_date", "a"), ("oc_access_date", "a"), ("pipeline_mode", "b"), ("opencitations_seed_stats", "b"), ("opencitations_failed_parent:W1", "b"))]
     )
     return r.select(F.explode(rows).alias("x")).select("x.*")
 

@@ -312,18 +312,18 @@ BODIES = {
             SELECT w.publication_year - CAST(year(p.notice_date) AS INTEGER), 'controls' FROM paired p JOIN edges e ON e.target_id = p.control_id AND e.depth = 2 JOIN works w ON w.node_id = e.source_id),
         c AS (SELECT offset_year, "group", count(*) AS n FROM b WHERE offset_year BETWEEN -15 AND 15 GROUP BY 1, 2)
         SELECT *, round(n / sum(n) OVER (PARTITION BY "group"), 6) AS share FROM c""",
-    "metadata_check": "SELECT unnest(['opencitations_base_url', 'run_finished']) AS key",
+    "metadata_check": "SELECT unnest(['last_crawl_summary', 'depth3_truncated']) AS key",
     "quality_report": """
         WITH s AS (SELECT count(*) AS a, count(*) FILTER (source_id IN (SELECT node_id FROM frontier)) AS b FROM scoped),
         g AS (SELECT (SELECT count(*) FROM nodes) || '/' || (SELECT count(*) FROM inside) AS m)
-        SELECT 'required_metadata' AS check_name, 'error' AS severity, 'fail' AS status, 'opencitations_base_url, run_finished' AS observed, '' AS expected
-        UNION ALL SELECT 'duplicate_canonical_seed_records', 'error', 'pass', '0', '0'
-        UNION ALL SELECT 'stored_vs_exported_edges', 'warning', CASE WHEN a = b THEN 'pass' ELSE 'fail' END, CAST(b AS VARCHAR), CAST(a AS VARCHAR) FROM s
-        UNION ALL SELECT 'frontier_processed_below_depth_2', 'error', 'pass', '0', '0'
-        UNION ALL SELECT 'opencitations_failed_parents', 'warning', 'fail', '1', '0'
-        UNION ALL SELECT 'topic_labels_present', 'warning', 'pass', 'true', 'true' FROM (SELECT count(topic_name) AS n FROM nodes) WHERE n > 0
-        UNION ALL SELECT 'bridge_titles_present', 'warning', 'pass', 'true', 'true' FROM (SELECT count(title) AS n FROM bridge) WHERE n > 0
-        UNION ALL SELECT 'full_graph_export', 'error', 'pass', m, m FROM g""",
+        SELECT 'required_metadata' AS check_name, 'major' AS severity, 'fail' AS status, 'depth3_truncated, last_crawl_summary' AS observed, '' AS expected
+        UNION ALL SELECT 'duplicate_canonical_seed_records', 'major', 'pass', '0', '0'
+        UNION ALL SELECT 'stored_vs_exported_edges', 'major', CASE WHEN a = b THEN 'pass' ELSE 'fail' END, CAST(b AS VARCHAR), CAST(a AS VARCHAR) FROM s
+        UNION ALL SELECT 'frontier_processed_for_depth2_claim', 'major', 'pass', '0', '0'
+        UNION ALL SELECT 'opencitations_failed_parents', 'moderate', 'fail', '1', '0'
+        UNION ALL SELECT 'topic_labels_present', 'moderate', 'pass', 'true', 'true' FROM (SELECT count(topic_name) AS n FROM nodes) WHERE n > 0
+        UNION ALL SELECT 'bridge_titles_present', 'moderate', 'pass', 'true', 'true' FROM (SELECT count(title) AS n FROM bridge) WHERE n > 0
+        UNION ALL SELECT 'full_graph_export', 'major', 'pass', m, m FROM g""",
     "streaming_edge_merge": "SELECT * FROM merged",
 }
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from citetrace.operators import graph
 
 # Metadata that a run must have.
-REQUIRED = ("rw_csv", "rw_snapshot", "opencitations_base_url", "max_depth", "complete_depth", "run_finished")
+REQUIRED = ("rw_snapshot_date", "oc_access_date", "pipeline_mode", "opencitations_seed_stats", "last_crawl_summary", "depth3_truncated")
 FAILED_PREFIX = "opencitations_failed_parent:"
 
 
@@ -30,7 +30,7 @@ def missing_metadata(spark: SparkSession, metadata: DataFrame, required=REQUIRED
 
 def required_metadata(spark: SparkSession, metadata: DataFrame, required=REQUIRED) -> DataFrame:
     gone = missing_metadata(spark, metadata, required).agg(F.array_join(F.sort_array(F.collect_list("key")), ", ").alias("gone"))
-    return check(gone, "required_metadata", "error", F.col("gone"), "", F.col("gone") == "")
+    return check(gone, "required_metadata", "major", F.col("gone"), "", F.col("gone") == "")
 
 
 def duplicate_groups(seed_rows: DataFrame) -> DataFrame:
@@ -39,33 +39,33 @@ def duplicate_groups(seed_rows: DataFrame) -> DataFrame:
 
 def duplicate_canonical(canonical: DataFrame) -> DataFrame:
     n = duplicate_groups(canonical).agg(F.count("*").alias("n"))
-    return check(n, "duplicate_canonical_seed_records", "error", F.col("n"), "0", F.col("n") == 0)
+    return check(n, "duplicate_canonical_seed_records", "major", F.col("n"), "0", F.col("n") == 0)
 
 
 def stored_vs_exported(edges: DataFrame, frontier: DataFrame, k: int) -> DataFrame:
     s = graph.edge_scope(edges, frontier, k)
-    return check(s, "stored_vs_exported_edges", "warning", F.col("exported_edges"), F.col("stored_edges"), F.col("exported_edges") == F.col("stored_edges"))
+    return check(s, "stored_vs_exported_edges", "major", F.col("exported_edges"), F.col("stored_edges"), F.col("exported_edges") == F.col("stored_edges"))
 
 
 def frontier_processed(frontier: DataFrame, k: int) -> DataFrame:
     n = frontier.where(F.col("depth") < k).agg(F.count_if(~F.col("processed")).alias("n"))
-    return check(n, f"frontier_processed_below_depth_{k}", "error", F.col("n"), "0", F.col("n") == 0)
+    return check(n, f"frontier_processed_for_depth{k}_claim", "major", F.col("n"), "0", F.col("n") == 0)
 
 
 def failed_parents(metadata: DataFrame) -> DataFrame:
     n = metadata.where(F.col("key").startswith(FAILED_PREFIX)).agg(F.count("*").alias("n"))
-    return check(n, "opencitations_failed_parents", "warning", F.col("n"), "0", F.col("n") == 0)
+    return check(n, "opencitations_failed_parents", "moderate", F.col("n"), "0", F.col("n") == 0)
 
 
 def any_label(rows: DataFrame, column: str, name: str) -> DataFrame:
     one = rows.agg(F.count_if(F.col(column).isNotNull() & (F.col(column) != "")).alias("n"))
-    return check(one, name, "warning", F.col("n") > 0, "true", F.col("n") > 0)
+    return check(one, name, "moderate", F.col("n") > 0, "true", F.col("n") > 0)
 
 
 def manifest_matches(manifest: DataFrame) -> DataFrame:
     ok = (F.col("expected_nodes") == F.col("written_nodes")) & (F.col("expected_edges") == F.col("written_edges"))
     seen = F.concat_ws("/", "written_nodes", "written_edges")
-    return check(manifest, "full_graph_export", "error", seen, F.concat_ws("/", "expected_nodes", "expected_edges"), ok)
+    return check(manifest, "full_graph_export", "major", seen, F.concat_ws("/", "expected_nodes", "expected_edges"), ok)
 
 
 def outputs_exist(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -78,7 +78,7 @@ def outputs_exist(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     out = spark.createDataFrame(rows, "name string, there boolean")
     named = out.select(F.concat(F.lit("output_exists:"), "name").alias("name"), "there")
     return named.select(
-        F.col("name").alias("check_name"), F.lit("error").alias("severity"), F.when(F.col("there"), "pass").otherwise("fail").alias("status"),
+        F.col("name").alias("check_name"), F.lit("major").alias("severity"), F.when(F.col("there"), "pass").otherwise("fail").alias("status"),
         F.col("there").cast("string").alias("observed"), F.lit("true").alias("expected"),
     )
 
