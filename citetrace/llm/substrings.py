@@ -9,6 +9,7 @@ run, and equal windows have equal anchors wherever they are. Each anchor is a re
 2. Where an anchor has several such runs, they are streamed in document order through the anchor's suffix
    automaton: matching statistics of 13 words or more mark windows that start in a smaller document. Then the
    document's own runs are added to the automaton.
+   An anchor of many differing runs is first split by the content of each window, so that no automaton grows with the documents.
 3. Maximal covered spans go back to their documents, which are cut in one pass over the texts.
 """
 
@@ -27,6 +28,8 @@ from citetrace.plans.storage import materialise
 
 WINDOW = 13
 GRAM = 5
+#: An anchor of more differing runs is split into shards of one window text each.
+RUNS_A_SHARD = 1000
 
 
 def _sliding_min(x: np.ndarray, k: int) -> np.ndarray:
@@ -92,48 +95,89 @@ def _anchors(window: int, gram: int):
 FOUND = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("covered", pa.bool_())])
 
 
-def _compare(doc, anchor, key, start, windows):
-    """Rows of whole anchors, sorted by (anchor, key, doc): covered runs, and runs that an automaton must judge."""
+class _Anchor:
+    """One anchor's runs, sorted by (key, doc), as they come; what it holds back is of one document."""
+
+    def __init__(self, limit: int):
+        self.limit, self.key, self.first, self.docs, self.keys, self.held = limit, None, None, None, 0, []
+
+    def feed(self, doc, anchor, key, start, windows):
+        """Columns of FOUND: covered runs, runs that an automaton must judge, and a row without id once the anchor is to be split."""
+        new = np.concatenate([[self.key is None or key[0] != self.key], key[1:] != key[:-1]])
+        first = np.concatenate([[self.first if self.keys else 0], doc[new]])[np.cumsum(new)]
+        covered = doc > first
+        least, most = int(doc.min()), int(doc.max())
+        self.docs = (least, most) if self.docs is None else (min(least, self.docs[0]), max(most, self.docs[1]))
+        self.key, self.first = key[-1], first[-1]
+        before, self.keys = self.keys, self.keys + int(new.sum())
+        known = np.ones(len(doc), dtype=bool)
+        if self.docs[0] < self.docs[1] and self.keys > 1:
+            yield from self.held
+            self.held = []
+            yield doc, anchor, start, windows, covered, known
+        else:
+            yield tuple(c[covered] for c in (doc, anchor, start, windows, covered, known))
+            self.held.append(tuple(c[~covered] for c in (doc, anchor, start, windows, covered, known)))
+        if before <= self.limit < self.keys:
+            yield _marks(anchor[:1])
+
+
+def _marks(anchors):
+    n = len(anchors)
+    return np.zeros(n, dtype=np.int64), anchors, np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32), np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+
+
+def _compare(limit, doc, anchor, key, start, windows):
+    """From rows of whole anchors, sorted by (anchor, key, doc), what ``_Anchor.feed`` gives of each."""
     a_new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
     k_new = a_new | np.concatenate([[True], key[1:] != key[:-1]])
     a_at, k_at = np.cumsum(a_new) - 1, np.cumsum(k_new) - 1
     first_doc = doc[np.flatnonzero(k_new)][k_at]
     covered = doc > first_doc
     begin = np.flatnonzero(a_new)
-    several = (np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin)) & (np.add.reduceat(k_new.astype(np.int64), begin) > 1)
+    keys = np.add.reduceat(k_new.astype(np.int64), begin)
+    several = (np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin)) & (keys > 1)
     keep = covered | several[a_at]
-    return pa.record_batch(
-        [pa.array(doc[keep]), pa.array(anchor[keep]), pa.array(start[keep]), pa.array(windows[keep]), pa.array(covered[keep])], schema=FOUND
-    )
+    yield doc[keep], anchor[keep], start[keep], windows[keep], covered[keep], np.ones(int(keep.sum()), dtype=bool)
+    yield _marks(anchor[begin[keys > limit]])
 
 
-def _shared(batches):
-    """From runs sorted by (anchor, key, doc): those of anchors that several documents have."""
+def _shared(limit: int):
+    """From runs sorted by (anchor, key, doc): those of anchors that several documents have; no anchor is held as a whole."""
     names = ("doc_id", "anchor", "key", "start", "windows")
-    rest = None
-    for batch in batches:
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-        if rest is not None:
-            cols = [np.concatenate([a, b]) for a, b in zip(rest, cols, strict=True)]
-        anchor = cols[1]
-        if not len(anchor):
-            continue
-        cut = len(anchor) - int(np.argmax(anchor[::-1] != anchor[-1])) if anchor[0] != anchor[-1] else 0
-        rest = [c[cut:] for c in cols]
-        if cut:
-            yield _several([c[:cut] for c in cols])
-    if rest is not None and len(rest[0]):
-        yield _several(rest)
-
-
-def _several(cols):
+
+    def of(batches):
+        now = state = None
+        for batch in batches:
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            anchor = cols[1]
+            n = len(anchor)
+            if not n:
+                continue
+            new = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1])
+            head = 0
+            parts: list[tuple] = []
+            if state is not None and anchor[0] == now:
+                head = int(new[1]) if len(new) > 1 else n
+                parts += state.feed(*(c[:head] for c in cols))
+            tail = int(new[-1])
+            if head < n:
+                if head < tail:
+                    parts += _several(limit, [c[head:tail] for c in cols])
+                now, state = anchor[-1], _Anchor(limit)
+                parts += state.feed(*(c[tail:] for c in cols))
+            *out, known = (np.concatenate(c) for c in zip(*parts, strict=True))
+            yield pa.record_batch([pa.array(out[0], pa.int64(), mask=~known), *(pa.array(c) for c in out[1:])], schema=FOUND)
+
+    return of
+
+
+def _several(limit, cols):
     anchor = cols[1]
     same = anchor[1:] == anchor[:-1]
     twice = np.concatenate([same, [False]]) | np.concatenate([[False], same])
     cols = [c[twice] for c in cols]
-    if not len(cols[0]):
-        return pa.RecordBatch.from_pylist([], schema=FOUND)
-    return _compare(*cols)
+    return _compare(limit, *cols) if len(cols[0]) else ()
 
 
 class Automaton:
@@ -202,37 +246,43 @@ class Automaton:
 
 
 def _cut_runs(window: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("part", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
 
     def of(batches):
         for batch in batches:
             ids, runs = batch.column("doc_id").to_pylist(), batch.column("runs")
             for row, words in passes(batch.column("text")):
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[], [], [], [], []]
+                content = None
                 for i in range(len(words.count)):
                     b = int(words.bound[i])
                     for r in runs[row + i].as_py():
-                        at = b + r["start"]
-                        part = words.hash[at : at + r["windows"] + window - 1]
-                        for col, x in zip(out, (ids[row + i], r["anchor"], r["start"], part.tobytes()), strict=True):
-                            col.append(x)
+                        at, many = b + r["start"], r["windows"]
+                        if not r["split"]:
+                            rows = [(ids[row + i], r["anchor"], 0, r["start"], words.hash[at : at + many + window - 1].tobytes())]
+                        else:  # equal windows have equal parts, wherever they are
+                            content = words.windows(window).view(np.int64) if content is None else content
+                            rows = [(ids[row + i], r["anchor"], int(content[at + j]), r["start"] + j, words.hash[at + j : at + j + window].tobytes()) for j in range(many)]
+                        for x in rows:
+                            for col, y in zip(out, x, strict=True):
+                                col.append(y)
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     return of
 
 
 def _streamed(window: int):
-    """Spans of covered windows, from runs sorted by (anchor, doc_id)."""
+    """Spans of covered windows, from runs sorted by (anchor, part, doc_id)."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
 
     def of(batches):
-        anchor_now = doc_now = automaton = None
+        shard_now = doc_now = automaton = None
         waiting: list[list[int]] = []
         for batch in batches:
             out: list[list] = [[], [], []]
-            for doc_id, anchor, start, words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "anchor", "start", "words")), strict=True):
-                if anchor != anchor_now:
-                    anchor_now, doc_now, automaton, waiting = anchor, doc_id, Automaton(), []
+            for doc_id, anchor, part, start, words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "anchor", "part", "start", "words")), strict=True):
+                if (anchor, part) != shard_now:
+                    shard_now, doc_now, automaton, waiting = (anchor, part), doc_id, Automaton(), []
                 if doc_id != doc_now:
                     for w in waiting:
                         automaton.add(w)
@@ -294,20 +344,23 @@ def _own(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, runs_a_shard: int = RUNS_A_SHARD) -> DataFrame:
     """(doc_id, spans): runs of windows (first word, number) of each document that start in a smaller one; others have no row."""
     own = _own(docs)
     runs = own.where("doc_id is not null").mapInArrow(_anchors(window, gram), "doc_id long, anchor long, key long, start int, windows int")
     found = materialise(
-        runs.repartition("anchor").sortWithinPartitions("anchor", "key", "doc_id").mapInArrow(_shared, "doc_id long, anchor long, start int, windows int, covered boolean"),
+        runs.repartition("anchor").sortWithinPartitions("anchor", "key", "doc_id").mapInArrow(_shared(runs_a_shard), "doc_id long, anchor long, start int, windows int, covered boolean"),
         "substring-runs",
     )
-    open_runs = found.where("not covered").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("runs"))
+    # at most one anchor for each runs_a_shard open runs
+    split = found.where("doc_id is null").select("anchor", F.lit(True).alias("split"))
+    open_runs = found.where("not covered and doc_id is not null").join(F.broadcast(split), "anchor", "left").withColumn("split", F.coalesce("split", F.lit(False)))
+    open_runs = open_runs.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows", "split")).alias("runs"))
     judged = (
         own.join(open_runs, "doc_id")
-        .mapInArrow(_cut_runs(window), "doc_id long, anchor long, start int, words binary")
-        .repartition("anchor")
-        .sortWithinPartitions("anchor", "doc_id", "start")
+        .mapInArrow(_cut_runs(window), "doc_id long, anchor long, part long, start int, words binary")
+        .repartition("anchor", "part")
+        .sortWithinPartitions("anchor", "part", "doc_id", "start")
         .mapInArrow(_streamed(window), "doc_id long, start int, windows int")
     )
     rows = found.where("covered").select("doc_id", "start", "windows").unionByName(judged)

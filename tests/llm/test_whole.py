@@ -1,8 +1,11 @@
 """Cases in which the numbered operators once did less than the whole job."""
 
+import functools
 import random
 
-from citetrace.llm import decontaminate
+from test_numbered import brute_dedup, corpus
+
+from citetrace.llm import decontaminate, substrings
 
 SCHEMA = "doc_id long, text string"
 
@@ -40,3 +43,77 @@ def test_leaks_in_five_documents(spark):
     docs, want = with_items(rng, 5, items, 4)
     got = decontaminate.leaks(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert want and {(r.doc_id, r.item_id) for r in got} == want
+
+
+def passage_everywhere(n, few=4):
+    """n documents that all hold one passage, each between words of its own or of a few documents."""
+    rng = random.Random(12)
+    passage = prose(rng, 25)
+    return [(i, f"{prose(rng, 3, 1000000)} {prose(rng, 14, few if i % 3 else 1000000)} {passage} {prose(rng, 14, few if i % 3 else 1000000)}") for i in range(n)]
+
+
+def removed(got):
+    return {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got}
+
+
+def test_no_automaton_grows_with_the_documents(spark, monkeypatch):
+    rows = passage_everywhere(1500)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert removed(substrings.deduplicate(df).collect()) == brute_dedup(rows)
+
+    def sizes(window):
+        def of(batches):
+            import pyarrow as pa
+
+            made, plain = [], substrings.Automaton
+
+            class Seen(plain):
+                def __init__(self):
+                    super().__init__()
+                    made.append(self)
+
+            substrings.Automaton = Seen
+            for _ in substrings._streamed(window)(batches):  # in the workers nothing is replaced
+                pass
+            substrings.Automaton = plain
+            most = max((len(a.next) for a in made), default=0)
+            yield pa.record_batch([pa.array([most], pa.int64()), pa.array([0], pa.int32()), pa.array([0], pa.int32())], names=["doc_id", "start", "windows"])
+
+        return of
+
+    own = spark.createDataFrame([(-1 - i, t) for i, t in passage_everywhere(1500, few=1000000)], SCHEMA)
+    monkeypatch.setattr(substrings, "_streamed", sizes)
+    assert 0 < max(r.doc_id for r in substrings.repeated_spans(own).collect()) < 500
+
+
+def test_split_shards_give_the_same_rows(spark, monkeypatch):
+    rows = corpus(0) + [(1000 + i, t) for i, t in passage_everywhere(150)]
+    monkeypatch.setattr(substrings, "repeated_spans", functools.partial(substrings.repeated_spans, runs_a_shard=2))
+    assert removed(substrings.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()) == brute_dedup(rows)
+
+
+def test_an_anchor_that_comes_in_pieces():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = sorted((rng.choice([1, 2, 2, 2, 3, 4]), rng.randrange(3), rng.randrange(4), j, 1) for j in range(60))
+    rows += [(7, 5, 1, 60, 1), (7, 5, 1, 61, 1), (7, 6, 1, 62, 1), (8, 1, 1, 63, 1), (8, 1, 2, 64, 1), (9, 1, 5, 65, 1)]
+    rows = [(d, a, k, s, w) for a, k, d, s, w in rows]
+    names = ["doc_id", "anchor", "key", "start", "windows"]
+
+    def found(size):
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [pa.record_batch([pa.array(c, pa.int32() if n in ("start", "windows") else pa.int64()) for n, c in zip(names, zip(*p, strict=True), strict=True)], names=names) for p in parts]
+        return sorted((x for b in substrings._shared(2)(batches) for x in map(tuple, (r.values() for r in b.to_pylist()))), key=str)
+
+    want = []
+    for a in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == a]
+        first = {}
+        for d, _, k, _, _ in own:
+            first[k] = min(d, first.get(k, d))
+        several = len({r[0] for r in own}) > 1 and len(first) > 1
+        want += [(d, a, s, w, d > first[k]) for d, _, k, s, w in own if d > first[k] or several]
+        want += [(None, a, 0, 0, False)] * (len(first) > 2)
+    for size in (1, 2, 7, 1000):
+        assert found(size) == sorted(want, key=str)
