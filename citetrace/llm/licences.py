@@ -76,7 +76,7 @@ RULES = (
 
 #: Each known sentence holds one of these (lower case).
 MARKS = ("licen", "permission", "warrant", "redistribut", "copyright", "public domain")
-#: A sentence ends at a line end, or at one of .!?;: before white space or at the end.
+#: A piece ends at a line end, or at one of .!?;: before white space or at the end.
 ENDS = "\\n+|(?<=[.!?;:])\\s+"
 
 
@@ -88,21 +88,20 @@ def normal(sentence: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, sentence_ids in text order, licences sorted) of every row of ``docs``; empty arrays where nothing is known.
 
-    A sentence is compared alone and together with the next one or two pieces, since a known sentence may
-    itself hold an end mark. A null or empty text has none. Of rules of one licence any one that matches counts; a rule
+    From the start of each piece the longest known sentence of whole pieces counts, of however many, since a known sentence
+    may itself hold end marks and be wrapped at any width. A null or empty text has none. Of rules of one licence any one that matches counts; a rule
     matches if its identifiers are found in its order. Repeated rows give repeated rows.
     """
     pairs = [(" ".join(_plain(t).split()), i) for i, t in SENTENCES]
     table = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = F.lower(text).rlike("|".join(MARKS))
-    own = docs.select(F.col("doc_id"), F.when(marked, F.filter(F.transform(F.split(text, ENDS), normal), lambda s: s != "")).otherwise(F.array().cast("array<string>")).alias("_s"))
-    s = F.col("_s")
-    alone = F.transform(
-        s,
-        lambda x, i: F.coalesce(*[F.try_element_at(table, F.concat_ws(" ", F.slice(s, i + 1, F.lit(n)))) for n in (3, 2, 1)]),
-    )
-    found = own.select("doc_id", F.filter(alone, lambda x: x.isNotNull()).alias("sentence_ids"))
+    marked = F.lower(text).rlike("|".join(m.replace(" ", "[^a-z0-9]+") for m in MARKS))
+    # pieces on a line each; a known sentence may go over lines, and what it holds is looked at as well
+    known = "|".join(plain.replace(" ", "[ \n]") for plain, _ in sorted(pairs, key=lambda p: -len(p[0].split())))
+    pieces = F.array_join(F.filter(F.transform(F.split(text, ENDS), normal), lambda s: s != ""), "\n")
+    lines = F.when(marked, F.concat(F.lit("\n"), pieces, F.lit("\n")))
+    own = docs.select(F.col("doc_id"), F.coalesce(F.regexp_extract_all(lines, F.lit(f"\n(?=({known})\n)"), F.lit(1)), F.array().cast("array<string>")).alias("_s"))
+    found = own.select("doc_id", F.transform("_s", lambda x: F.element_at(table, F.translate(x, "\n", " "))).alias("sentence_ids"))
     ids = F.concat(F.lit(" "), F.array_join("sentence_ids", " "), F.lit(" "))
     hits = [F.when(ids.rlike(" " + " (?:.* )?".join(rule) + " "), F.lit(name)) for name, rule in RULES]
     return found.select("doc_id", "sentence_ids", F.sort_array(F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull()))).alias("licences"))

@@ -2,10 +2,11 @@
 
 import functools
 import random
+import textwrap
 
 from test_numbered import brute_dedup, corpus
 
-from citetrace.llm import decontaminate, substrings
+from citetrace.llm import decontaminate, licences, substrings
 
 SCHEMA = "doc_id long, text string"
 
@@ -117,3 +118,16 @@ def test_an_anchor_that_comes_in_pieces():
         want += [(None, a, 0, 0, False)] * (len(first) > 2)
     for size in (1, 2, 7, 1000):
         assert found(size) == sorted(want, key=str)
+
+
+def test_licence_sentences_wrapped_at_any_width(spark):
+    asked = [(i, width, mark) for i, _ in licences.SENTENCES for width in (1, 20, 40, 60, 72, 76, 80) for mark in ("", "# ", " * ")]
+    text = dict(licences.SENTENCES)
+    rows = [(n, "Some words before\n" + textwrap.fill(text[i] + ".", width + len(mark), initial_indent=mark, subsequent_indent=mark, break_on_hyphens=False, break_long_words=False) + "\nand after") for n, (i, width, mark) in enumerate(asked)]
+    rows += [(-1, "MIT License\nCopyright (c) 2020 A\n\n" + textwrap.fill(text["mit-grant"] + ":", 76) + "\n\n" + textwrap.fill(text["mit-condition"] + ".", 76) + "\r\n\r\n" + textwrap.fill(text["as-is"], 76))]
+    rows += [(-2, textwrap.fill("he said that " + text["gpl-free"], 76)), (-3, textwrap.fill(text["gpl-free"] + " or so", 76))]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[-1].sentence_ids == ["mit-title", "mit-grant", "mit-condition", "as-is"] and got[-1].licences == ["MIT"]
+    assert got[-2].sentence_ids == got[-3].sentence_ids == []
+    for n, (i, width, mark) in enumerate(asked):
+        assert i in got[n].sentence_ids, (i, width, mark)
