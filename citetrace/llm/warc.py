@@ -11,7 +11,7 @@ import gzip
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citetrace.plans.storage import materialise
@@ -60,7 +60,10 @@ def write(pages: DataFrame, path: str) -> None:
     """Write three records for each row of ``pages`` (page_id, url, html) as gzip archives below ``path``."""
     c = captures(pages)
     page, url = F.col("page_id"), F.col("url")
-    response = _urn(page, url, F.col("payload_digest"), F.lit("response"))
+    # rows that repeat are captures of their own
+    nth = F.row_number().over(Window.partitionBy("page_id", "url", "payload_digest").orderBy("page_id"))
+    c = c.withColumn("nth", nth)
+    response = _urn(page, url, F.col("payload_digest"), F.col("nth"), F.lit("response"))
     c = c.select("*", response.alias("rid"), F.col("revisits").isNotNull().alias("again"))
     date, target = ("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", url)
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest")))
@@ -184,7 +187,7 @@ def assemble(records: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, path: str, with_payload: bool = False) -> DataFrame:
     """Write ``pages`` below ``path``, read the archives and assemble them.
 
-    A null html is an empty payload; a null url has no target; rows that repeat page_id, url and html are one capture. A row
+    A null html is an empty payload; a null url has no target; rows that repeat page_id, url and html are a capture each. A row
     of a null page_id is stored as a response and never referred to.
     """
     write(pages, path)

@@ -1,12 +1,13 @@
 """Cases in which the numbered operators once did less than the whole job."""
 
+import collections
 import functools
 import random
 import textwrap
 
 from test_numbered import brute_dedup, corpus
 
-from citetrace.llm import decontaminate, licences, substrings
+from citetrace.llm import decontaminate, licences, substrings, warc
 
 SCHEMA = "doc_id long, text string"
 
@@ -131,3 +132,14 @@ def test_licence_sentences_wrapped_at_any_width(spark):
     assert got[-2].sentence_ids == got[-3].sentence_ids == []
     for n, (i, width, mark) in enumerate(asked):
         assert i in got[n].sentence_ids, (i, width, mark)
+
+
+def test_repeated_pages_stay_rows(spark, tmp_path):
+    big = "<p>" + "a page " * 30 + "</p>"
+    rows = [(1, "http://a.example/", big)] * 3 + [(2, "http://b.example/", big)] * 2 + [(3, None, "small")] * 2 + [(None, "http://c.example/", big)] * 2
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w").collect()
+    assert collections.Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got) == {
+        (1, "response", None, len(big)): 3, (2, "revisit", 1, len(big)): 2, (3, "response", None, 5): 2, (None, "response", None, len(big)): 2
+    }
+    assert all(r.capture.request.record_id and r.capture.metadata.page_id == r.page_id for r in got)
+    assert len({r.capture.response.record_id for r in got}) == len(rows)
