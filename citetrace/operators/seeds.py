@@ -100,8 +100,8 @@ def resolve(seeds: DataFrame, works: DataFrame) -> DataFrame:
 
 
 def title_key(c: Column) -> Column:
-    """Compared form of a title: at most 200 characters of lower-case words."""
-    return F.nullif(F.trim(F.regexp_replace(F.lower(F.substring(c, 1, 200)), "[^a-z0-9]+", " ")), F.lit(""))
+    """Compared form of a title: its lower-case words, of letters, marks and digits of all scripts."""
+    return F.nullif(F.trim(F.regexp_replace(F.lower(c), "[^\\p{L}\\p{M}\\p{N}]+", " ")), F.lit(""))
 
 
 def resolve_title_author(seeds: DataFrame, works: DataFrame) -> DataFrame:
