@@ -1,10 +1,12 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, distance-weighted votes.
 
 1. A bounded sample of labelled documents, at most ``examples`` of either label, by a hash of the id.
-   Examples of equal texts count once.
-2. Terms whose rates differ between the labels, at most ``terms`` of them; their document frequencies over all documents.
+   Examples of equal texts are one, with the mean of their labels.
+2. Every term of every example is indexed; document frequencies are counted over all documents. A term's weight in
+   the cosine is its inverse document frequency times ``FLOOR`` plus what the example labels prove about it, so
+   no term is without weight.
 3. An inverted index of the examples, its postings cut into blocks with the largest weight of each. It is bounded by
-   examples and terms, and broadcast. Every document is scored against it: blocks are opened in the order of
+   the examples, and broadcast. Every document is scored against it: blocks are opened in the order of
    their upper bounds until none can enter the k nearest, so the neighbours are exact.
 4. The votes, weighted by cosine, become a probability by a table fitted on the examples, each left out of its own vote.
 """
@@ -16,7 +18,6 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,17 +25,17 @@ from pyspark.sql import functions as F
 from citetrace.plans.storage import materialise
 
 EXAMPLES = 3000
-TERMS = 2000
 NEAREST = 15
 BLOCK = 64
-#: A term is taken if its chi-square is above and its rates differ by this factor or more.
-CHI_SQUARE = 20.0
-LIFT = 3.0
-STEPS = 10
-#: Letters of a stem.
-STEM = 5
-#: Examples that a term has at least.
-SUPPORT = 6
+#: Weight, before idf, of a term that says nothing about the label.
+FLOOR = 0.2
+#: A term's log odds ratio counts as far as it is beyond so many standard errors.
+ERRORS = 3.0
+STEPS = 20
+#: Blocks opened at first.
+FIRST_BLOCKS = 8
+#: Rounding that a sum of bounds may have.
+SLACK = 1e-9
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -44,213 +45,265 @@ def held_out(doc_id: Column) -> Column:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case words, and the stems of long ones, so that inflected forms meet."""
-    if not text:
-        return []
-    words = WORD.findall(text.lower())
-    return words + [w[:STEM] + "-" for w in words if len(w) > STEM]
+    """Lower-case words of letters and digits."""
+    return WORD.findall(text.lower()) if text else []
 
 
 def _term_rows(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("term", pa.string()), ("n", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.float64()), ("terms", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))])
     for batch in batches:
-        out: list[list] = [[], [], [], []]
-        for doc_id, toxic, text in zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), batch.column("text"), strict=True):
-            for term, n in Counter(words_of(text.as_py())).items():
-                for col, x in zip(out, (doc_id, toxic, term, n), strict=True):
-                    col.append(x)
-            out[0].append(doc_id)  # the document itself, also where it has no words
-            out[1].append(toxic)
-            out[2].append(None)
-            out[3].append(0)
-        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+        counts = [Counter(words_of(text.as_py())) for text in batch.column("text")]
+        yield pa.record_batch(
+            [batch.column("doc_id"), batch.column("toxic"), pa.array([list(c) for c in counts], schema.field(2).type), pa.array([list(c.values()) for c in counts], schema.field(3).type)], schema=schema
+        )
 
 
 def _frequencies(place: dict[str, int]):
     def of(batches):
         count = np.zeros(len(place) + 1, dtype=np.int64)
+        get = place.get
         for batch in batches:
+            found: list[int] = []
             for text in batch.column("text"):
-                for t in place.keys() & set(words_of(text.as_py())):
-                    count[place[t]] += 1
+                found += [p for p in map(get, set(words_of(text.as_py()))) if p is not None]
                 count[-1] += 1
-        yield pa.record_batch([pa.array(np.arange(len(count)), pa.int64()), pa.array(count)], names=["term", "df"])
+            count[:-1] += np.bincount(np.array(found, dtype=np.int64), minlength=len(place))
+        held = np.flatnonzero(count)
+        yield pa.record_batch([pa.array(held), pa.array(count[held])], names=["term", "df"])
 
     return of
 
 
-class Index:
-    """Block-max inverted index of unit TF-IDF vectors of labelled examples."""
+def term_weights(df: np.ndarray, docs: int, term: np.ndarray, label: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """idf of each term times FLOOR plus its log odds ratio beyond ERRORS standard errors; term, label: one row for each posting."""
+    n = len(df)
+    a, of_all = np.bincount(term, label, minlength=n), np.bincount(term, minlength=n)
+    b = of_all - a
+    n1 = labels.sum()
+    c, d = n1 - a, len(labels) - n1 - b
+    a, b, c, d = (np.maximum(x, 0) + 0.5 for x in (a, b, c, d))
+    proven = np.maximum(0.0, np.abs(np.log(a * d / (b * c))) - ERRORS * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d))
+    return (np.log((1 + docs) / (1 + np.minimum(df, docs))) + 0.01) * (FLOOR + proven)
 
-    def __init__(self, place: dict[str, int], idf: np.ndarray, vectors: list[dict[int, int]], labels: np.ndarray, block: int = BLOCK):
-        self.place, self.idf, self.labels, self.block = place, idf, labels, block
-        rows, terms, values = [], [], []
-        for i, v in enumerate(vectors):
-            w = {t: (1 + math.log(n)) * idf[t] for t, n in v.items()}
-            norm = math.sqrt(sum(x * x for x in w.values())) or 1.0
-            for t, x in w.items():
-                rows.append(i)
-                terms.append(t)
-                values.append(x / norm)
-        order = np.lexsort((rows, terms)) if rows else []
-        self.rows, self.values = np.array(rows, dtype=np.int64)[order], np.array(values)[order]
-        terms = np.array(terms, dtype=np.int64)[order]
-        self.begin = np.searchsorted(terms, np.arange(len(place) + 1))
-        self.blocks = -(-max(1, len(vectors)) // block)
-        # per term: which blocks, where their postings begin, and the largest weight
-        self.of_term = []
-        for t in range(len(place)):
-            lo, hi = self.begin[t], self.begin[t + 1]
-            b = self.rows[lo:hi] // block
-            first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if hi > lo else np.empty(0, dtype=np.int64)
-            top = np.maximum.reduceat(self.values[lo:hi], first) if hi > lo else np.empty(0)
-            self.of_term.append((b[first] if hi > lo else first, np.append(lo + first, hi), top))
-
-    def vector(self, words: list[str]) -> list[tuple[int, float]]:
-        get = self.place.get
-        n = Counter(t for t in map(get, words) if t is not None)
-        w = [(t, (1 + math.log(c)) * self.idf[t]) for t, c in sorted(n.items())]
-        norm = math.sqrt(sum(x * x for _, x in w)) or 1.0
-        return [(t, x / norm) for t, x in w if x]
-
-    def nearest(self, query: list[tuple[int, float]], k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosine above 0 and those cosines; ties to the smaller place."""
-        bound = np.zeros(self.blocks)
-        for t, q in query:
-            b, _, top = self.of_term[t]
-            bound[b] += q * top
+
+def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[i], begin[i] + 1, … size[i] of them, for each i in turn."""
+    return np.arange(int(size.sum())) + np.repeat(begin - np.cumsum(size) + size, size)
+
+
+class Index:
+    """Block-max inverted index of unit TF-IDF vectors; postings of a term are in the order of examples."""
+
+    def __init__(self, place: dict[str, int], weight: np.ndarray, row: np.ndarray, term: np.ndarray, count: np.ndarray, labels: np.ndarray, block: int = BLOCK):
+        self.place, self.weight, self.labels, self.block = place, weight, labels, block
+        value = (1 + np.log(count)) * weight[term]
+        norm = np.sqrt(np.bincount(row, value * value, minlength=len(labels)))
+        value = value / np.maximum(norm, 1e-300)[row]
+        #: similar examples stand together, so that blocks have low bounds for queries unlike them; rank: the place as given
+        self.rank = _similar_first(row, term, value, len(labels), len(place))
+        slot = np.empty(len(labels), dtype=np.int64)
+        slot[self.rank] = np.arange(len(labels))
+        self.labels = labels[self.rank]
+        order = np.lexsort((slot[row], term))
+        self.rows, self.values = slot[row[order]].astype(np.int32), value[order].astype(np.float64)
+        term = term[order]
+        self.blocks = -(-max(1, len(labels)) // block)
+        key = term * self.blocks + self.rows // block
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, dtype=np.int64)
+        # entries: a term's postings in one block; of term t: begin[t] to begin[t + 1]
+        self.entry_block = (key[first] % self.blocks).astype(np.int32)
+        self.entry_top = np.maximum.reduceat(self.values, first) if len(first) else np.empty(0)
+        self.entry_from = np.append(first, len(key))
+        self.begin = np.searchsorted(term[first], np.arange(len(place) + 1))
+
+    def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms in order and their weights, of unit length over the known terms."""
+        get, n = self.place.get, Counter(words)
+        t, n = np.array([get(w, -1) for w in n], dtype=np.int64), np.array(list(n.values()), dtype=np.float64)
+        order = np.argsort(t)
+        order = order[np.searchsorted(t[order], 0) :]
+        t, q = t[order], (1 + np.log(n[order])) * self.weight[t[order]]
+        return t, q / max(1e-300, math.sqrt(float(q @ q)))
+
+    def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples, by the place they were given in, of the largest cosine above 0, and those cosines; ties to the smaller place."""
+        t, q = query
+        size = self.begin[t + 1] - self.begin[t]
+        entry, weight = _ragged(self.begin[t], size), np.repeat(q, size)
+        of_block = self.entry_block[entry]
+        bound = np.bincount(of_block, weight * self.entry_top[entry], minlength=self.blocks) + SLACK
         order = np.argsort(-bound, kind="stable")
-        order = order[: int(np.count_nonzero(bound))]
-        ids, scores, least = np.empty(0, dtype=np.int64), np.empty(0), 0.0
-        at, step = 0, 4
-        while at < len(order) and (len(ids) < k or bound[order[at]] >= least):
+        order = order[: int(np.count_nonzero(bound > SLACK))]
+        ids, scores, at, step = np.empty(0, dtype=np.int64), np.empty(0), 0, FIRST_BLOCKS
+        while at < len(order):
             chosen = order[at : at + step]
-            at, step = at + step, step * 2
-            score = np.zeros((len(chosen), self.block))
-            slot = np.full(self.blocks, -1)
-            slot[chosen] = np.arange(len(chosen))
-            for t, q in query:
-                b, begin, _ = self.of_term[t]
-                for j in np.flatnonzero(slot[b] >= 0):
-                    lo, hi = begin[j], begin[j + 1]
-                    score[slot[b[j]], self.rows[lo:hi] % self.block] += q * self.values[lo:hi]
-            r, c = np.nonzero(score > 0)
-            new = chosen[r] * self.block + c
-            keep = new != leave_out
-            ids, scores = np.concatenate([ids, new[keep]]), np.concatenate([scores, score[r, c][keep]])
-            if len(ids) > k:
-                best = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[best], scores[best]
-                least = scores[-1]
-        best = np.lexsort((ids, -scores))[:k]
-        return ids[best], scores[best]
-
-    def vote(self, query: list[tuple[int, float]], k: int, leave_out: int = -1) -> tuple[float | None, np.ndarray]:
-        """Share of the cosines that toxic neighbours have; None without neighbours."""
-        ids, scores = self.nearest(query, k, leave_out)
-        if not len(ids):
-            return None, ids
-        return float(scores @ self.labels[ids] / scores.sum()), ids
+            if len(ids) >= k:
+                chosen = chosen[bound[chosen] >= scores[-1]]
+                if not len(chosen):
+                    break
+            at, step = at + step, step * 4
+            opened = np.zeros(self.blocks, dtype=bool)
+            opened[chosen] = True
+            pick = opened[of_block]
+            e = entry[pick]
+            many = self.entry_from[e + 1] - self.entry_from[e]
+            posting = _ragged(self.entry_from[e], many)
+            score = np.bincount(self.rows[posting], np.repeat(weight[pick], many) * self.values[posting], minlength=len(self.labels))
+            new = np.flatnonzero(score > 0)
+            s = score[new]
+            if len(new) > 4 * k:
+                pick = s >= np.partition(s, len(s) - k)[len(s) - k]
+                if leave_out >= 0:
+                    pick = s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
+                new, s = new[pick], s[pick]
+            new = self.rank[new]
+            if leave_out >= 0:
+                s, new = s[new != leave_out], new[new != leave_out]
+            ids, scores = np.concatenate([ids, new]), np.concatenate([scores, s])
+            best = np.lexsort((ids, -scores))[:k]
+            ids, scores = ids[best], scores[best]
+        return ids, scores
+
+
+def _similar_first(row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, terms: int, pivots: int = 24) -> np.ndarray:
+    """The examples in an order that keeps similar ones together: by the nearest of a few evenly spaced examples."""
+    if not len(row):
+        return np.arange(n)
+    near = np.zeros((pivots, n))
+    for i, p in enumerate(np.linspace(0, n - 1, pivots).astype(int)):
+        dense = np.zeros(terms)
+        own = row == p
+        dense[term[own]] = value[own]
+        near[i] = np.bincount(row, value * dense[term], minlength=n)
+    return np.lexsort((-near.max(axis=0), near.argmax(axis=0)))
 
 
 class Scorer:
     """An index with the table that turns votes into probabilities."""
 
-    def __init__(self, index: Index, vectors: list[list[tuple[int, float]]], k: int, weight: tuple[float, float]):
-        self.index, self.k = index, k
-        self.known: dict[tuple, tuple[float, list[int]]] = {}
-        # positives and all, by the vote; labels weigh what they stand for; None (no neighbour) is the last
+    def __init__(self, index: Index, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, weight: tuple[float, float]):
+        self.index, self.labels, self.k = index, labels, k
+        self.known: dict[int, tuple[str, tuple[float, list[int]]]] = {}
+        # positives and all, by the vote; labels weigh what they stand for; texts without a neighbour are the last row
         seen = np.zeros((STEPS + 2, 2))
         for i, v in enumerate(vectors):
-            vote, _ = index.vote(v, k, leave_out=i)
-            y = int(index.labels[i])
-            seen[STEPS + 1 if vote is None else round(vote * STEPS), y] += weight[y]
+            vote, _ = self.vote(v, leave_out=i)
+            at = STEPS + 1 if vote is None else round(vote * STEPS)
+            seen[at] += (1 - labels[i]) * weight[0], labels[i] * weight[1]
         total = seen.sum(axis=0)
         prior = total[1] / max(1e-9, total.sum())
         rate = (seen[:, 1] + 2 * prior) / (seen.sum(axis=1) + 2)
-        for i in range(1, STEPS + 1):  # more votes never give a lower score
-            rate[i] = max(rate[i], rate[i - 1])
-        rate[0] = min(rate[0], prior) if seen[0].sum() else prior
-        self.rate = rate
-
-    def __call__(self, words: list[str]) -> tuple[float, list[int]]:
-        query = self.index.vector(words)
-        key = tuple(query)
-        if key not in self.known:
-            vote, ids = self.index.vote(query, self.k)
-            if vote is None:
-                score = self.rate[STEPS + 1]
-            else:
-                x = vote * STEPS
-                lo = min(int(x), STEPS - 1)
-                score = self.rate[lo] + (x - lo) * (self.rate[lo + 1] - self.rate[lo])
-            if len(self.known) > 50_000:
+        self.rate = np.append(_rising(rate[:-1], seen[:-1].sum(axis=1) + 2), rate[-1])
+
+    def vote(self, query: tuple[np.ndarray, np.ndarray], leave_out: int = -1) -> tuple[float | None, np.ndarray]:
+        """Share of the cosines that toxic neighbours have; None without neighbours."""
+        ids, scores = self.index.nearest(query, self.k, leave_out)
+        return (float(scores @ self.labels[ids] / scores.sum()), ids) if len(ids) else (None, ids)
+
+    def __call__(self, text: str | None) -> tuple[float, list[int]]:
+        """(score, places of the nearest examples); what equal texts had is remembered for some of them."""
+        text = text or ""
+        key = hash(text)
+        have = self.known.get(key)
+        if have and have[0] == text:
+            return have[1]
+        vote, ids = self.vote(self.index.vector(words_of(text)))
+        if vote is None:
+            score = self.rate[STEPS + 1]
+        else:
+            x = vote * STEPS
+            lo = min(int(x), STEPS - 1)
+            score = self.rate[lo] + (x - lo) * (self.rate[lo + 1] - self.rate[lo])
+        out = float(min(1.0, max(0.0, score))), ids[:3].tolist()
+        if len(text) < 4000:
+            if len(self.known) >= 2000:
                 self.known = {}
-            self.known[key] = (float(min(1.0, max(0.0, score))), ids[:3].tolist())
-        return self.known[key]
+            self.known[key] = text, out
+        return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS, k: int = NEAREST) -> tuple[Scorer, list[int]]:
-    """The scorer and the ids of its examples. Labels of held-out rows, null labels and null ids are not used."""
-    spark = docs.sparkSession
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    usable = usable.where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
-    by_label = {r[0]: r[1] for r in usable.groupBy("toxic").count().collect()}
+def _rising(rate: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The nearest series in which no value is below the one before (pooled neighbours)."""
+    pools: list[list[float]] = []
+    for r, w in zip(rate, weight, strict=True):
+        pools.append([r * w, w, 1])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            s, w2, n = pools.pop()
+            pools[-1] = [pools[-1][0] + s, pools[-1][1] + w2, pools[-1][2] + n]
+    return np.concatenate([np.full(int(n), s / w) for s, w, n in pools])
+
+
+def examples_of(docs: DataFrame, labels: DataFrame, examples: int) -> tuple[DataFrame, tuple[float, float]]:
+    """(doc_id, toxic, terms, counts) of the labelled examples, and how many usable rows of either label an example stands for.
+
+    Labels of held-out rows, null labels and null ids are not used. Several labels of one id, and of equal texts, are their mean;
+    the least id of equal texts stands for them.
+    """
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+    usable = usable.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("toxic").alias("toxic"))
+    found = usable.groupBy((F.col("toxic") >= 0.5).alias("y")).count().collect()
     chosen = None
-    for y in (0, 1):  # a top-k by hash, not a sort of all
-        part = usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
+    for y in (False, True):  # a top-k by hash, not a sort of all
+        part = usable.where((F.col("toxic") >= 0.5) == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
         chosen = part if chosen is None else chosen.unionByName(part)
-    own = _own(docs)
-    rows = materialise(own.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).dropDuplicates(["text"]).mapInArrow(_term_rows, "doc_id long, toxic int, term string, n int"), "toxic-terms")
-    totals = {r[0]: r[1] for r in rows.where("term is null").groupBy("toxic").count().collect()}
-    n0, n1 = totals.get(0, 0), totals.get(1, 0)
-    counts = rows.where("term is not null").groupBy("term").agg(F.sum(1 - F.col("toxic")).alias("a0"), F.sum("toxic").alias("a1"))
-    n = n0 + n1
-    p0, p1 = (F.col("a0") + 0.5) / (n0 + 1), (F.col("a1") + 0.5) / (n1 + 1)
-    a, b, c, d = F.col("a1"), F.col("a0"), F.lit(n1) - F.col("a1"), F.lit(n0) - F.col("a0")
-    below = (a + b).cast("double") * (c + d) * (a + c) * (b + d)
-    chi = F.when(below > 0, n * (a * d - b * c).cast("double") * (a * d - b * c) / below).otherwise(0.0)
-    picked = counts.where((F.greatest(p0, p1) >= LIFT * F.least(p0, p1)) & (chi >= CHI_SQUARE) & (a + b >= SUPPORT)).orderBy(chi.desc(), "term").limit(terms)
-    vocabulary = sorted(r[0] for r in picked.select("term").collect())
-    place = {t: i for i, t in enumerate(vocabulary)}
+    rows = _own(docs).join(F.broadcast(chosen), "doc_id")  # at most twice ``examples`` ids
+    rows = rows.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("d")).agg(F.min("doc_id").alias("doc_id"), F.avg("toxic").alias("toxic"), F.first("text").alias("text"))
+    by_label = {r[0]: r[1] for r in found}
+    return rows.select("doc_id", "toxic", "text").mapInArrow(_term_rows, "doc_id long, toxic double, terms array<string>, counts array<int>"), (by_label.get(False, 0), by_label.get(True, 0))
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = NEAREST) -> tuple[Scorer, list[int]]:
+    """The scorer and the ids of its examples."""
+    rows, usable = examples_of(docs, labels, examples)
+    rows = materialise(rows, "toxic-terms").toArrow().combine_chunks().sort_by("doc_id")  # bounded by the examples
+    ids, labels_of = rows["doc_id"].to_pylist(), rows["toxic"].to_numpy()
+    terms, counts = _whole(rows["terms"]), _whole(rows["counts"])
+    row = np.repeat(np.arange(len(ids)), terms.value_lengths().to_numpy(zero_copy_only=False))
+    words = _whole(terms.flatten()).dictionary_encode()
+    term, count = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts.flatten().to_numpy(zero_copy_only=False)
+    place = {w: i for i, w in enumerate(words.dictionary.to_pylist())}
     df = np.zeros(len(place) + 1)
-    for t, count in own.select("text").mapInArrow(_frequencies(place), "term long, df long").groupBy("term").agg(F.sum("df")).collect():
-        df[t] = count or 0
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    of_example: dict[int, tuple[int, dict[int, int]]] = {}
-    wanted = spark.createDataFrame(pd.DataFrame({"term": pd.Series(vocabulary, dtype="object")}), "term string")
-    kept = rows.join(F.broadcast(wanted), "term", "left_semi").unionByName(rows.where("term is null"))
-    for doc_id, toxic, term, count in kept.select("doc_id", "toxic", "term", "n").collect():  # at most examples times terms, in fact some dozens each
-        v = of_example.setdefault(doc_id, (toxic, {}))[1]
-        if term is not None:
-            v[place[term]] = count
-    ids = sorted(of_example)
-    labels_of = np.array([of_example[i][0] for i in ids], dtype=float)
-    index = Index(place, idf, [of_example[i][1] for i in ids], labels_of)
-    vectors = [index.vector([t for j, c in of_example[i][1].items() for t in [vocabulary[j]] * c]) for i in ids]
-    weight = tuple(by_label.get(y, 0) / max(1, totals.get(y, 0)) for y in (0, 1))
-    return Scorer(index, vectors, k, weight), ids
+    shared = docs.sparkSession.sparkContext.broadcast(place)
+    run = lambda batches: _frequencies(shared.value)(batches)
+    counted = _own(docs).select("text").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # one row a term
+    df[counted["term"].to_numpy()] = counted["df"].to_numpy()
+    weight = term_weights(df[:-1], int(df[-1]), term, labels_of[row], labels_of)
+    index = Index(place, weight, row, term, count.astype(np.float64), labels_of)
+    begin = np.searchsorted(row, np.arange(len(ids) + 1))
+    vectors = []
+    for i in range(len(ids)):
+        own = slice(begin[i], begin[i + 1])
+        by_term = np.argsort(term[own])
+        q = ((1 + np.log(count[own])) * weight[term[own]])[by_term]
+        vectors.append((term[own][by_term], q / max(1e-300, math.sqrt(float(q @ q)))))
+    sampled = (1 - labels_of).sum(), labels_of.sum()
+    return Scorer(index, labels_of, vectors, k, tuple(u / max(1.0, s) for u, s in zip(usable, sampled, strict=True))), ids
+
+
+def _whole(column) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
 def _own(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS, k: int = NEAREST) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = NEAREST) -> DataFrame:
     """(doc_id, score, predicted, evidence) of every row of ``docs``; evidence is up to three nearest examples' ids.
 
-    A null or empty text has no neighbour and the score of such examples, as has a text without any of the terms. Without usable labels
-    every score is 0. Equal texts have equal scores.
+    A null or empty text has no neighbour and the score of such examples, as has a text without any word of an example. Without usable labels
+    every score is 0. Equal texts have equal scores, whatever labels their copies have; of equally near examples the smaller id counts.
+    Repeated rows give repeated rows; other columns are not read. A long text is one vector.
     """
-    scorer, ids = fit(docs, labels, examples, terms, k)
+    scorer, ids = fit(docs, labels, examples, k)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((scorer, ids))  # bounded by examples and terms
+    shared = spark.sparkContext.broadcast((scorer, ids))  # bounded by the examples
 
     def of(batches):
         scorer, ids = shared.value
         schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", pa.list_(pa.int64()))])
         for batch in batches:
-            found = [scorer(words_of(text.as_py())) for text in batch.column("text")]
+            found = [scorer(text.as_py()) for text in batch.column("text")]
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array([x[0] for x in found], pa.float64()), pa.array([[ids[i] for i in x[1]] for x in found], pa.list_(pa.int64()))], schema=schema
             )

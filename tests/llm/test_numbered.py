@@ -239,26 +239,6 @@ def test_toxicity(spark):
     assert toxicity.score(docs, labels.limit(0)).where("score <> 0").count() == 0
 
 
-def test_neighbours_are_exact():
-    rng = random.Random(9)
-    place = {f"t{i}": i for i in range(40)}
-    idf = np.array([1 + rng.random() for _ in range(40)])
-    vectors = [{rng.randrange(40): rng.randrange(1, 4) for _ in range(rng.randrange(0, 6))} for _ in range(300)]
-    index = toxicity.Index(place, idf, vectors, np.zeros(300), block=16)
-    dense = np.zeros((300, 40))
-    dense[index.rows, np.repeat(np.arange(40), np.diff(index.begin))] = index.values
-    for _ in range(60):
-        q = index.vector([f"t{rng.randrange(40)}" for _ in range(5)])
-        full = np.zeros(40)
-        for t, x in q:
-            full[t] = x
-        cosine = dense @ full
-        ids, scores = index.nearest(q, 7)
-        want = np.lexsort((np.arange(300), -np.round(cosine, 12)))[:7]
-        assert np.allclose(scores, np.sort(cosine)[::-1][: len(scores)]) and len(ids) == min(7, (cosine > 0).sum())
-        assert set(np.round(cosine[ids], 9)) == set(np.round(cosine[want][: len(ids)], 9))
-
-
 def test_quality_rules(spark):
     rng = random.Random(3)
     junk = [" ".join("$$$ ### |".split() * 40), "again and again\n" * 60, " ".join(["the of and"] * 100), None, "", "\n\n"]
