@@ -35,7 +35,8 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(table(spark, sf_dir, "documents"))
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licences", " ").alias("licences"))
 
 
 def op6_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

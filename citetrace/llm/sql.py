@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citetrace.llm import quality
+from citetrace.llm import licences, quality
 
 WORDS = r"SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents"
 LOWER = r"""SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents"""
@@ -20,6 +20,18 @@ def verdict(thresholds=quality.THRESHOLDS) -> str:
     return " AND ".join(parts)
 
 
+
+
+def values(rows) -> str:
+    quoted = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return "VALUES " + ", ".join("(" + ", ".join(map(quoted, row)) + ")" for row in rows)
+
+
+KNOWN = values((i, licences.plain(t), len(licences.plain(t).split())) for i, t in licences.ALL_SENTENCES)
+RULES = values((n, name, licences.pattern(rule)) for n, (name, rule) in enumerate(licences.ALL_RULES))
+BEATEN = values((n, m) for n in range(len(licences.ALL_RULES)) for m in licences.beaten_by(n))
+HEADS = ", ".join(f"'{x}'" for x in licences.HEADS)
+
 STOPS = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
 
 SQL = {
@@ -42,6 +54,21 @@ SQL = {
         x AS (SELECT doc_id, i, w[i] AS word FROM b, unnest(range(1, len(w) + 1)) r(i)),
         y AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY i) FILTER (g.j IS NULL) AS kept, count(g.j) AS gone FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.j = x.i GROUP BY 1)
         SELECT b.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM b LEFT JOIN y ON y.doc_id = b.doc_id""",
+    "op5_license_scan": rf"""
+        WITH known(id, s, n) AS ({KNOWN}), rules(rule, name, pattern) AS ({RULES}), beaten(rule, longer) AS ({BEATEN}),
+        t AS (SELECT doc_id, row_number() OVER () AS r, regexp_replace(coalesce(text, ''), '([.!?;:])[ \t\n\x0B\f\r]+', '\1' || chr(10), 'g') AS t FROM documents),
+        p AS (SELECT doc_id, r, list_filter(list_transform(string_split(t, chr(10)),
+                     lambda x: trim(regexp_replace(translate(x, '{licences.CAPITALS}', '{licences.CAPITALS.lower()}'), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS p FROM t),
+        c AS (SELECT r, p, id, s, n FROM (SELECT r, p, ' ' || array_to_string(p, ' ') || ' ' AS whole FROM p) JOIN known ON contains(whole, ' ' || s || ' ')),
+        f AS (SELECT r, i, arg_max(id, n) AS id FROM c, unnest(range(1, len(p) + 1)) q(i)
+              WHERE list_contains(list_transform(range(i, least(len(p), i + n) + 1), lambda j: array_to_string(p[i:j], ' ')), s) GROUP BY 1, 2),
+        l AS (SELECT r, list(id ORDER BY i) AS ids FROM f GROUP BY 1),
+        g AS (SELECT r, unnest(string_split(' ' || array_to_string(list_transform(ids, lambda x: CASE WHEN x IN ({HEADS}) THEN '| ' || x ELSE x END), ' ') || ' ', '|')) AS stretch FROM l),
+        m AS (SELECT r, k, rule, name FROM (SELECT r, stretch, row_number() OVER () AS k FROM g) JOIN rules ON regexp_matches(stretch, pattern)),
+        h AS (SELECT r, string_agg(DISTINCT name, ' ' ORDER BY name) AS licences FROM m
+              WHERE NOT EXISTS (SELECT 1 FROM beaten b JOIN m o ON o.rule = b.longer WHERE b.rule = m.rule AND o.k = m.k) GROUP BY 1)
+        SELECT p.doc_id, coalesce(array_to_string(ids, ' '), '') AS sentence_ids, coalesce(licences, '') AS licences
+        FROM p LEFT JOIN l ON l.r = p.r LEFT JOIN h ON h.r = p.r""",
     "op8_quality_rules": rf"""
         WITH b AS ({WORDS}),
         g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM b, unnest(range(1, len(w) - 1)) r(i) WHERE len(w) >= 3),

@@ -185,8 +185,6 @@ def test_genetic_steps_never_lose_items():
 
 def test_licences(spark):
     s = dict(licences.SENTENCES)
-    for text in s.values():
-        assert any(m in text.lower() for m in licences.MARKS)
     rows = [
         (1, f"foo. {s['ccbync-licensed']}. bar"),
         (2, ". ".join([s["mit-grant"] + ":", s["mit-condition"], s["as-is"]])),
