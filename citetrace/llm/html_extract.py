@@ -7,7 +7,6 @@ probability of being article. Both are trained from labelled pages.
 
 from __future__ import annotations
 
-import html as entities
 import math
 import re
 
@@ -17,194 +16,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citetrace.llm.html_pages import labelled_pages
+from citetrace.llm.html_tree import GROUPS, Tree, parse
 
 #: Copies of each layout that the model is fitted on: the bound of the labelled sample.
 COPIES = 8
 THRESHOLD = 0.5
 
-# Fixed values of HTML: element kinds.
-UNSHOWN = frozenset("script style head title noscript template svg iframe object canvas math audio video textarea select datalist".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
+# What stands at the head of reader comments and of lists of other pages, and in a note of rights.
+TALK = re.compile(
+    r"\W*(?:\d+\s+)?(?:reader |user |all |view )?(?:comments?|responses?|replies|discussion|leave a (?:reply|comment)|post a comment|join the (?:conversation|discussion)|kommentare?|commentaires?|comentarios?)\b[\W\d]*(?:\w+\W*){0,3}$",
+    re.I,
 )
-ENDS_P = frozenset(
-    "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()
+MORE = re.compile(
+    r"\W*(?:related|recommended|you may also like|you might also like|read next|more (?:from|stories|articles|posts|on|like)|popular|trending|most read|share this|follow us|subscribe|newsletter|sponsored|advertisement|latest (?:news|posts|stories))\b\W*(?:\w+\W*){0,5}$",
+    re.I,
 )
-CLOSES_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-HOLDERS = frozenset("ul ol dl table body div article section main".split())
-
-# Parts of names that authors give to page regions.
-GROUPS = (
-    ("good", "article post story entry content main body text"),
-    ("nav", "nav menu navbar navigation breadcrumb breadcrumbs pagination pager tabs toc sitemap skip"),
-    ("head", "header masthead logo top topbar brand"),
-    ("foot", "footer bottom copyright legal colophon"),
-    ("side", "sidebar aside side widget rail complementary secondary"),
-    ("ad", "ad ads advert advertisement adverts banner promo promotion sponsor sponsored sponsorship adsense dfp"),
-    ("talk", "comment comments reply replies disqus discussion respond reaction reactions feedback"),
-    ("note", "cookie cookies consent gdpr notice notices alert alerts popup modal overlay dialog disclaimer warning notification toast paywall"),
-    ("more", "related recommended share sharing social tags tag byline meta author bio more popular trending newsletter subscribe signup login search"),
-)
-NAME_OF = {word: g for g, (_, words) in enumerate(GROUPS) for word in words.split()}
+RIGHTS = re.compile(r"\s*(?:copyright\W*(?:©|\(c\)|\d{4}|by\b)|©|\(c\)\s*\d{4})", re.I)
+HEADINGS = {f"h{n}": n for n in range(1, 7)}
+
 TAGS = "article main section div p li ul ol h1 h2 h3 td th table blockquote pre nav header footer aside form button figure dialog body #text".split()
 TAG_OF = {t: i for i, t in enumerate(TAGS)}
-NUMBERS = 5
+NUMBERS = 8
 REGIONS = frozenset("header footer nav aside form button dialog menu search fieldset".split())
 PLAIN = frozenset("body div td table tbody tr center".split())
-EDGE_KINDS = 7
+EDGE_KINDS = 8
 WIDTH = len(TAGS) + 1 + len(GROUPS) + NUMBERS + 1
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-SPLIT_NAME = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
-SPACE = re.compile(r"[ \t\n\r\f\v\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-
-
-class Tree:
-    """Nodes in page order: parent, kind, groups of names, and for runs their text and share of links."""
-
-    __slots__ = ("groups", "kind", "linked", "parent", "text")
-
-    def __init__(self):
-        self.parent: list[int] = []
-        self.kind: list[str] = []
-        self.groups: list[tuple[int, ...]] = []
-        self.text: list[str | None] = []
-        self.linked: list[float] = []
-
-    def node(self, parent: int, kind: str, groups: tuple[int, ...] = (), text: str | None = None, linked: float = 0.0) -> int:
-        self.parent.append(parent)
-        self.kind.append(kind)
-        self.groups.append(groups)
-        self.text.append(text)
-        self.linked.append(linked)
-        return len(self.parent) - 1
-
-
-def names_of(attributes: str) -> tuple[tuple[int, ...], bool]:
-    """Groups of the words in class, id and role; whether the element is hidden."""
-    groups, hidden = set(), False
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), a or b or c
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-            hidden = True
-        elif name in ("class", "id", "role"):
-            for word in SPLIT_NAME.split(value):
-                g = NAME_OF.get(word.lower())
-                if g is not None:
-                    groups.add(g)
-    return tuple(groups), hidden
-
-
-def parse(page: str) -> Tree:
-    """The block tree of a page. Unclosed and stray tags are taken as browsers take them, in the main."""
-    tree = Tree()
-    root = tree.node(-1, "body")
-    # open elements: (tag, block node, is a link)
-    stack: list[tuple[str, int, bool]] = [("#root", root, False)]
-    parts: list[str] = []
-    size = linked = links = 0
-    at, end = 0, len(page)
-
-    def flush():
-        nonlocal parts, size, linked
-        if parts:
-            raw = "".join(parts)
-            if "&" in raw:
-                raw = entities.unescape(raw)
-            text = SPACE.sub(" ", raw).strip()
-            if text:
-                tree.node(stack[-1][1], "#text", (), text, linked / max(1, size))
-        parts, size, linked = [], 0, 0
-
-    while at < end:
-        m = TOKEN.search(page, at)
-        cut = m.start() if m else end
-        if cut > at:
-            part = page[at:cut]
-            parts.append(part)
-            size += len(part)
-            if links:
-                linked += len(part)
-        if not m:
-            break
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                continue
-            continue
-        tag = tag.lower()
-        if m[1]:
-            if tag in ("br", "hr"):
-                parts.append("\n")
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if any(x[0] not in INLINE for x in stack[k:]):
-                        flush()
-                    links -= sum(x[2] for x in stack[k:])
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break  # an inline end tag does not close blocks
-            continue
-        if tag in UNSHOWN:
-            if not m[3].rstrip().endswith("/"):
-                if tag == "head":
-                    continue
-                close = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close else end
-            continue
-        if tag in ("html",):
-            continue
-        if tag in VOID:
-            if tag in ("br", "hr"):
-                parts.append("\n")
-            if tag == "hr":
-                flush()
-            continue
-        if tag in INLINE:
-            link = tag == "a"
-            if link and links:  # links do not nest
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][2]:
-                        stack[k] = (stack[k][0], stack[k][1], False)
-                        links -= 1
-                        break
-            links += link
-            groups, hidden = names_of(m[3]) if m[3] else ((), False)
-            stack.append((tag, stack[-1][1], link))
-            continue
-        flush()
-        closes = ("p",) if tag in ENDS_P else CLOSES_SAME.get(tag, ())
-        if closes:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in closes:
-                    links -= sum(x[2] for x in stack[k:])
-                    del stack[k:]
-                    if tag != "tr":
-                        break
-                elif stack[k][0] in HOLDERS:
-                    break
-        groups, hidden = names_of(m[3]) if m[3] else ((), False)
-        if hidden:
-            depth, scan = 1, re.compile(rf"<(/?){re.escape(tag)}\b[^>]*>", re.I)
-            for x in scan.finditer(page, at):
-                depth += -1 if x[1] else 1
-                if not depth:
-                    break
-            if not depth:
-                at = x.end()
-                continue
-        stack.append((tag, tree.node(stack[-1][1], tag, groups), False))
-    flush()
-    return tree
 
 
-def features(tree: Tree) -> np.ndarray:
-    """A row for each node: kind, names, and numbers of its text and of the text below it."""
+def after_heads(tree: Tree) -> tuple[list[bool], list[bool]]:
+    """Of each node: whether it is, stands after or is in what stands after a heading of comments, and of other pages.
+
+    A heading reaches to the next one of its level or above among its siblings.
+    """
+    n = len(tree.parent)
+    first: list[str | None] = [None] * n  # the text of headings
+    for i, text in enumerate(tree.text):
+        if text is not None:
+            p = tree.parent[i]
+            if first[p] is None:
+                first[p] = text
+    out = []
+    for words in (TALK, MORE):
+        flag, level = [False] * n, [0] * n
+        for i in range(1, n):
+            p = tree.parent[i]
+            rank = HEADINGS.get(tree.kind[i])
+            if rank:
+                hit = bool(first[i]) and len(first[i]) < 60 and words.match(first[i]) is not None
+                if hit and not level[p]:
+                    level[p] = rank
+                elif not hit and rank <= level[p]:
+                    level[p] = 0
+            flag[i] = flag[p] or level[p] > 0
+        out.append(flag)
+    return out[0], out[1]
+
+
+def features(tree: Tree, flags: tuple[list[bool], list[bool]]) -> np.ndarray:
+    """A row for each node: kind, names, what it stands after, and numbers of its text and of the text below it."""
     n = len(tree.parent)
     x = np.zeros((n, WIDTH), dtype=np.float32)
     chars, link, ends, runs = [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * n
@@ -233,15 +103,19 @@ def features(tree: Tree) -> np.ndarray:
     x[:, numbers + 2] = ~run * (e > 0)
     x[:, numbers + 3] = run * (c < 25)
     x[:, numbers + 4] = ~run * (c / np.maximum(r, 1) < 25)
+    x[:, numbers + 5], x[:, numbers + 6] = flags
+    x[:, numbers + 7] = [t is not None and len(t) < 400 and RIGHTS.match(t) is not None for t in tree.text]
     x[:, -1] = 1
     return x
 
 
-def kinds_of(tree: Tree) -> list[int]:
-    """The kind of the edge to each node's parent: to a run (6), else what the child is and whether the parent is a plain box."""
+def kinds_of(tree: Tree, flags: tuple[list[bool], list[bool]]) -> list[int]:
+    """The kind of the edge to each node's parent: into what stands after a heading (7), to a run (6), else what the child is and whether the parent is a plain box."""
     out = []
-    for kind, groups, p in zip(tree.kind, tree.groups, tree.parent, strict=True):
-        if kind == "#text":
+    for kind, groups, p, talk, more in zip(tree.kind, tree.groups, tree.parent, *flags, strict=True):
+        if p >= 0 and (talk and not flags[0][p] or more and not flags[1][p]):
+            out.append(7)
+        elif kind == "#text":
             out.append(6)
         else:
             child = 1 if kind in REGIONS or any(groups) else 2 if groups or kind in ("article", "main") else 0
@@ -281,7 +155,8 @@ class Model:
 
     def marginals(self, tree: Tree) -> list[float]:
         """P(article) of each node by one upward and one downward pass of sum-product messages."""
-        return sum_product(tree.parent, kinds_of(tree), (features(tree) @ self.weights).tolist(), np.exp(self.edges).tolist())[0]
+        flags = after_heads(tree)
+        return sum_product(tree.parent, kinds_of(tree, flags), (features(tree, flags) @ self.weights).tolist(), np.exp(self.edges).tolist())[0]
 
     def extract(self, page: str | None, threshold: float = THRESHOLD) -> str:
         if not page:
@@ -323,7 +198,8 @@ def train(pages: list[str] | None = None, steps: int = 25, climbs: int = 120, ri
         for i, d in enumerate(drop):
             if d:
                 tree.text[i] = ""
-        x, kinds = features(tree), kinds_of(tree)
+        flags = after_heads(tree)
+        x, kinds = features(tree, flags), kinds_of(tree, flags)
         whole.append((tree.parent, kinds, x.astype(np.float64), np.array(y, dtype=np.float64), np.array(drop)))
         beside = np.zeros((len(y), EDGE_KINDS))
         for i in range(1, len(y)):
@@ -370,7 +246,11 @@ def _extracting(model: Model, threshold: float):
 
 
 def extract_text(pages: DataFrame, model: Model | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row of ``pages``. A null or empty html, or one without an article, gives ''."""
+    """(page_id, url, text, n_chars) of every row of ``pages``. A null or empty html, or one without an article, gives ''.
+
+    A page is read whole, in time linear in its length, however its tags nest. Repeated rows give repeated rows, null ids and urls stay null;
+    other columns are not read. An empty table gives no rows.
+    """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     out = own.mapInArrow(_extracting(model or train(), threshold), "page_id long, url string, text string")
     return out.select("*", F.length("text").cast("long").alias("n_chars"))

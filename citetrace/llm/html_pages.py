@@ -23,6 +23,11 @@ LAYOUTS = (
     "<body><p><a>W</a> <a>W</a> <a>W</a></p><h1>[[S]]</h1>[[<p>P</p><p>P</p><p>P</p>]]<p><a>S</a></p></body>",
     "<body><div><div><a>W</a><a>W</a></div><div>[[<p>P</p><p>P</p><p>L</p>]]</div><div><a>S</a><a>S</a><a>S</a></div></div></body>",
     "<body><nav>W W</nav><div class='popup modal'><h2>S</h2><p>L</p><form><input><button>W</button></form></div><main><article>[[<h1>S</h1><p>P <a>W</a> P</p><ol><li>L</li><li>L</li></ol><p>P</p>]]<div class='tags'><a>W</a><a>W</a></div><div class='author-bio'><p>L</p></div></article></main><div class='sponsored'><p>P</p></div></body>",
+    "<body><article>[[<h1>S</h1><p>P</p><h2>S</h2><p>P</p><p>L</p>]]<h2>Comments</h2><ul><li><p>P</p></li><li>L</li><li><p>P</p></li></ul></article><div>Copyright 2021 W. All rights reserved.</div></body>",
+    "<body><div>[[<h1>S</h1><p>P</p><p>P</p><p>P</p>]]<h3>4 Responses</h3><div><b>W</b><p>P</p></div><div><b>W</b><p>P</p></div><h3>Related stories</h3><ul><li><a>S</a></li><li>S</li></ul></div><p>&copy; 2019 W W</p></body>",
+    "<body><main>[[<h1>S</h1><p>L</p><h2>S</h2><p>P</p><ul><li>L</li><li>L</li></ul>]]<div class='thread'><div><p>P</p></div><div><p>P</p><p>L</p></div></div></main><div role='contentinfo'><p>P</p><p>L</p></div></body>",
+    "<body><div class='entry'>[[<h2>S</h2><p>P</p>]]<h4>You may also like</h4><p>S</p><p>L</p><h4>Reader comments</h4><p>P</p><p>P</p><p>L</p></div><div>&copy; W W. All rights reserved.</div></body>",
+    "<body><section>[[<h1>S</h1><h2>S</h2><p>P</p><h2>S</h2><p>P</p><h3>S</h3><p>L</p><p>P</p>]]<h2>Discussion</h2><p>P</p><ol><li>P</li><li>P</li></ol></section><section><h2>More from W</h2><p>L</p><p>L</p></section></body>",
 )
 
 
@@ -33,7 +38,7 @@ def filled(layout: str, rng: random.Random) -> str:
     out = []
     inside = False
     for i, c in enumerate(layout):
-        alone = c in "WSLPQ" and not (layout[i - 1].isalpha() or layout[i - 1] in "</&'")
+        alone = c in "WSLPQ" and not (layout[i - 1].isalpha() or layout[i - 1] in "</&'" or layout[i + 1 : i + 2].isalpha())
         if c in "<":
             inside = True
         if alone and not inside:
