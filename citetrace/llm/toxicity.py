@@ -7,7 +7,8 @@
    no term is without weight.
 3. An inverted index of the examples, its postings cut into blocks with the largest weight of each. It is bounded by
    the examples, and broadcast. Every document is scored against it: blocks are opened in the order of
-   their upper bounds until none can enter the k nearest, so the neighbours are exact.
+   their upper bounds until none can enter the k nearest, so the neighbours are exact. What the longest lists give is a
+   matrix product for many documents at once, and part of the bounds.
 4. The votes, weighted by cosine, become a probability by a table fitted on the examples, each left out of its own vote.
 """
 
@@ -26,7 +27,11 @@ from citetrace.plans.storage import materialise
 
 EXAMPLES = 3000
 NEAREST = 15
-BLOCK = 64
+BLOCK = 256
+#: The terms of the longest posting lists, which are held as rows of a matrix; their part of a cosine is a matrix product.
+HEAVY = 256
+#: Queries in one such product.
+TOGETHER = 128
 #: Weight, before idf, of a term that says nothing about the label.
 FLOOR = 0.2
 #: A term's log odds ratio counts as far as it is beyond so many standard errors.
@@ -88,7 +93,9 @@ def term_weights(df: np.ndarray, docs: int, term: np.ndarray, label: np.ndarray,
 
 def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """begin[i], begin[i] + 1, … size[i] of them, for each i in turn."""
-    return np.arange(int(size.sum())) + np.repeat(begin - np.cumsum(size) + size, size)
+    out = np.repeat(begin - np.cumsum(size) + size, size)
+    out += np.arange(len(out))
+    return out
 
 
 class Index:
@@ -105,13 +112,24 @@ class Index:
         slot[self.rank] = np.arange(len(labels))
         self.labels = labels[self.rank]
         order = np.lexsort((slot[row], term))
-        self.rows, self.values = slot[row[order]].astype(np.int32), value[order].astype(np.float64)
+        self.rows, self.values = slot[row[order]], value[order]
         term = term[order]
         self.blocks = -(-max(1, len(labels)) // block)
+        self.first = np.arange(0, max(1, len(labels)), block)
+        # the longest lists: their rows in the matrix, -1 for a term of the others
+        size = np.bincount(term, minlength=len(place))
+        longest = np.sort(np.argsort(-size, kind="stable")[:HEAVY])
+        self.heavy = np.full(len(place), -1)
+        self.heavy[longest] = np.arange(len(longest))
+        self.matrix = np.zeros((len(longest), len(labels)))
+        of_heavy = self.heavy[term]
+        is_heavy = of_heavy >= 0
+        self.matrix[of_heavy[is_heavy], self.rows[is_heavy]] = self.values[is_heavy]
+        self.rows, self.values, term = self.rows[~is_heavy], self.values[~is_heavy], term[~is_heavy]
         key = term * self.blocks + self.rows // block
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, dtype=np.int64)
         # entries: a term's postings in one block; of term t: begin[t] to begin[t + 1]
-        self.entry_block = (key[first] % self.blocks).astype(np.int32)
+        self.entry_block = key[first] % self.blocks
         self.entry_top = np.maximum.reduceat(self.values, first) if len(first) else np.empty(0)
         self.entry_from = np.append(first, len(key))
         self.begin = np.searchsorted(term[first], np.arange(len(place) + 1))
@@ -127,11 +145,28 @@ class Index:
 
     def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples, by the place they were given in, of the largest cosine above 0, and those cosines; ties to the smaller place."""
-        t, q = query
+        return next(self.nearest_of([query], k, [leave_out]))
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, leave_out: list[int] | None = None):
+        """``nearest`` of each query."""
+        for lo in range(0, len(queries), TOGETHER):
+            part = queries[lo : lo + TOGETHER]
+            heavy = np.zeros((len(part), len(self.matrix)))
+            for i, (t, q) in enumerate(part):
+                h = self.heavy[t]
+                heavy[i, h[h >= 0]] = q[h >= 0]
+            known = heavy @ self.matrix
+            best = np.maximum.reduceat(known, self.first, axis=1) if known.shape[1] else np.zeros((len(part), 1))
+            for i, (t, q) in enumerate(part):
+                rest = self.heavy[t] < 0
+                yield self._open(t[rest], q[rest], known[i], best[i], k, leave_out[lo + i] if leave_out else -1)
+
+    def _open(self, t, q, known, best, k, leave_out):
+        """From the part of the cosines that the longest lists give, and its largest of each block, the nearest."""
         size = self.begin[t + 1] - self.begin[t]
         entry, weight = _ragged(self.begin[t], size), np.repeat(q, size)
         of_block = self.entry_block[entry]
-        bound = np.bincount(of_block, weight * self.entry_top[entry], minlength=self.blocks) + SLACK
+        bound = best + np.bincount(of_block, weight * self.entry_top[entry], minlength=self.blocks) + SLACK  # no cosine of a block is above
         order = np.argsort(-bound, kind="stable")
         order = order[: int(np.count_nonzero(bound > SLACK))]
         ids, scores, at, step = np.empty(0, dtype=np.int64), np.empty(0), 0, FIRST_BLOCKS
@@ -148,20 +183,20 @@ class Index:
             e = entry[pick]
             many = self.entry_from[e + 1] - self.entry_from[e]
             posting = _ragged(self.entry_from[e], many)
-            score = np.bincount(self.rows[posting], np.repeat(weight[pick], many) * self.values[posting], minlength=len(self.labels))
-            new = np.flatnonzero(score > 0)
+            share = np.repeat(weight[pick], many)
+            share *= self.values[posting]
+            score = known + np.bincount(self.rows[posting], share, minlength=len(known))
+            new = np.flatnonzero(np.repeat(opened, self.block)[: len(known)] & (score > 0))
             s = score[new]
-            if len(new) > 4 * k:
-                pick = s >= np.partition(s, len(s) - k)[len(s) - k]
-                if leave_out >= 0:
-                    pick = s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
+            if len(new) > 2 * k:
+                pick = s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]  # one more, as one may be left out
                 new, s = new[pick], s[pick]
             new = self.rank[new]
             if leave_out >= 0:
                 s, new = s[new != leave_out], new[new != leave_out]
             ids, scores = np.concatenate([ids, new]), np.concatenate([scores, s])
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
+            top = np.lexsort((ids, -scores))[:k]
+            ids, scores = ids[top], scores[top]
         return ids, scores
 
 
@@ -183,11 +218,10 @@ class Scorer:
 
     def __init__(self, index: Index, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, weight: tuple[float, float]):
         self.index, self.labels, self.k = index, labels, k
-        self.known: dict[int, tuple[str, tuple[float, list[int]]]] = {}
         # positives and all, by the vote; labels weigh what they stand for; texts without a neighbour are the last row
         seen = np.zeros((STEPS + 2, 2))
-        for i, v in enumerate(vectors):
-            vote, _ = self.vote(v, leave_out=i)
+        for i, near in enumerate(index.nearest_of(vectors, k, list(range(len(vectors))))):
+            vote = self.vote(*near)
             at = STEPS + 1 if vote is None else round(vote * STEPS)
             seen[at] += (1 - labels[i]) * weight[0], labels[i] * weight[1]
         total = seen.sum(axis=0)
@@ -195,31 +229,24 @@ class Scorer:
         rate = (seen[:, 1] + 2 * prior) / (seen.sum(axis=1) + 2)
         self.rate = np.append(_rising(rate[:-1], seen[:-1].sum(axis=1) + 2), rate[-1])
 
-    def vote(self, query: tuple[np.ndarray, np.ndarray], leave_out: int = -1) -> tuple[float | None, np.ndarray]:
+    def vote(self, ids: np.ndarray, cosines: np.ndarray) -> float | None:
         """Share of the cosines that toxic neighbours have; None without neighbours."""
-        ids, scores = self.index.nearest(query, self.k, leave_out)
-        return (float(scores @ self.labels[ids] / scores.sum()), ids) if len(ids) else (None, ids)
-
-    def __call__(self, text: str | None) -> tuple[float, list[int]]:
-        """(score, places of the nearest examples); what equal texts had is remembered for some of them."""
-        text = text or ""
-        key = hash(text)
-        have = self.known.get(key)
-        if have and have[0] == text:
-            return have[1]
-        vote, ids = self.vote(self.index.vector(words_of(text)))
+        return float(cosines @ self.labels[ids] / cosines.sum()) if len(ids) else None
+
+    def probability(self, vote: float | None) -> float:
         if vote is None:
-            score = self.rate[STEPS + 1]
-        else:
-            x = vote * STEPS
-            lo = min(int(x), STEPS - 1)
-            score = self.rate[lo] + (x - lo) * (self.rate[lo + 1] - self.rate[lo])
-        out = float(min(1.0, max(0.0, score))), ids[:3].tolist()
-        if len(text) < 4000:
-            if len(self.known) >= 2000:
-                self.known = {}
-            self.known[key] = text, out
-        return out
+            return float(self.rate[STEPS + 1])
+        x = vote * STEPS
+        lo = min(int(x), STEPS - 1)
+        return float(min(1.0, max(0.0, self.rate[lo] + (x - lo) * (self.rate[lo + 1] - self.rate[lo]))))
+
+    def __call__(self, texts: list[str]) -> list[tuple[float, list[int]]]:
+        """(score, places of the nearest examples) of each text; equal ones are looked up once."""
+        places: dict[str, int] = {}
+        at = [places.setdefault(t, len(places)) for t in texts]
+        near = self.index.nearest_of([self.index.vector(words_of(t)) for t in places], self.k)
+        found = [(self.probability(self.vote(ids, cosines)), ids[:3].tolist()) for ids, cosines in near]
+        return [found[i] for i in at]
 
 
 def _rising(rate: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -303,7 +330,7 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int =
         scorer, ids = shared.value
         schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", pa.list_(pa.int64()))])
         for batch in batches:
-            found = [scorer(text.as_py()) for text in batch.column("text")]
+            found = scorer([text.as_py() or "" for text in batch.column("text")])
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array([x[0] for x in found], pa.float64()), pa.array([[ids[i] for i in x[1]] for x in found], pa.list_(pa.int64()))], schema=schema
             )
