@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citetrace import catalog_sql
 from citetrace.functions import identifiers as ids
-from citetrace.operators import control, graph, metrics, quality, seeds, stats
-from citetrace.plans.fixture import Fixture
+from citetrace.operators import control, graph, metadata, metrics, quality, seeds, stats
+from citetrace.plans.fixture import Fixture, fixture
 from citetrace.plans.storage import shared_dir
 from citetrace.sources import readers, sinks
 from citetrace.streaming import merge
@@ -21,7 +22,7 @@ SQL = catalog_sql.SQL
 
 
 def query(f: Callable[[Fixture], DataFrame]) -> Callable[[Fixture], DataFrame]:
-    QUERIES[f.__name__] = lambda spark, sf_dir: f(Fixture(spark, sf_dir))
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(fixture(spark, sf_dir))
     return f
 
 
@@ -64,7 +65,7 @@ def pid_texts(x: Fixture) -> DataFrame:
 
 def notice_rows(x: Fixture) -> DataFrame:
     """Notice rows as a file would hold them: all text, from orders and customers."""
-    o, c = x.table("orders").where("o_orderkey % 50 = 0"), x.table("customer")
+    o, c = x.table("orders"), x.table("customer")
     key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
     kind = F.when(key % 200 == 0, "Retraction").when(key % 200 == 50, "Expression of Concern").when(key % 200 == 100, "Correction; Retraction").otherwise("Correction")
     return o.join(c, o.o_custkey == c.c_custkey, "left").select(
@@ -221,13 +222,39 @@ def bulk_id_mapping(x):
 @query
 def graphml_lines(x):
     nodes = graph.induced_nodes(x.frontier, x.works, 2)
-    return sinks.graphml(nodes, graph.induced_edges(x.edges, x.frontier, 2)).where("section between 2 and 3").select("section", "line")
+    return sinks.graphml(nodes, graph.induced_edges(x.edges, x.frontier, 2)).select("section", "line")
 
 
 @query
 def graph_manifest(x):
     nodes, edges = graph.induced_nodes(x.frontier, x.works, 2), graph.induced_edges(x.edges, x.frontier, 2)
-    return sinks.manifest(nodes, edges, sinks.graphml(nodes, edges))
+    return sinks.manifest(nodes, edges, written_graph(x, nodes, edges))
+
+
+def written_graph(x: Fixture, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The manifest of the graph once it is written."""
+    path = f"{shared_dir(x.spark)}/graph-{uuid.uuid4().hex}"
+    sinks.write_graphml(nodes, edges, path)
+    return sinks.read_manifest(x.spark, path)
+
+
+@query
+def io_export_tables(x):
+    """Tables exported and read again, as counts of rows and columns."""
+    folder = f"{shared_dir(x.spark)}/export-{uuid.uuid4().hex}"
+    tables = {"seeds": x.seed_rows, "works": x.works, "frontier_nodes": x.frontier, "citation_edges": x.edges, "run_metadata": run_metadata(x)}
+    sinks.export(tables, folder)
+    counts = [x.spark.read.parquet(f"{folder}/{name}").agg(F.lit(name).alias("table_name"), F.count("*").alias("n")) for name in tables]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query
+def io_result_csv(x):
+    """A result table written as CSV and read with its schema; one that does not exist has no rows."""
+    path = f"{shared_dir(x.spark)}/result-{uuid.uuid4().hex}"
+    schema = "depth int, topic_domain string, topic_name string, node_count long"
+    metrics.topic_distribution(graph.induced_nodes(x.frontier, x.works, 2)).write.option("header", True).csv(path)
+    return readers.result_csv(x.spark, path, schema).unionByName(readers.result_csv(x.spark, f"{path}-none", schema))
 
 
 # --- seeds ------------------------------------------------------------------------------------------------
@@ -271,11 +298,11 @@ def seed_duplicate_counts(x):
 
 
 def cascade(x: Fixture) -> tuple[DataFrame, DataFrame]:
-    w = x.table("orders").where("o_orderkey % 2 = 0").select(
+    w = x.table("orders").select(
         F.concat(F.lit("W"), "o_orderkey").alias("node_id"),
         F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("10.1000/w"), (F.col("o_orderkey") % 1000).cast("string"))).alias("doi"),
         F.when(F.col("o_orderkey") % 6 == 0, F.col("o_orderkey").cast("string")).alias("pmid"),
-        F.concat(F.lit("ORDER "), "o_orderkey").alias("title"),
+        F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("ORDER "), "o_orderkey")).alias("title"),
         F.array(F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))).alias("authors"),
         F.lit(None).cast("int").alias("rank"),
     )
@@ -287,6 +314,16 @@ def resolve_cascade(x):
     return seeds.resolve(*cascade(x)).select("record_id", "resolved_node", "resolved_by", "status")
 
 
+@query
+def resolve_exact_only(x):
+    return seeds.resolve(*cascade(x), title_fallback=False).select("record_id", "resolved_node", "resolved_by", "status")
+
+
+@query
+def resolve_stats(x):
+    return seeds.resolve_stats(seeds.resolve(*cascade(x)))
+
+
 @query
 def resolve_title_author(x):
     return seeds.resolve_title_author(*cascade(x))
@@ -295,7 +332,7 @@ def resolve_title_author(x):
 @query
 def unresolved_seeds(x):
     rows = seeds.from_notices(notice_rows(x)).withColumn("node_id", F.when(F.col("original_doi").isNotNull(), ids.doi_node(F.col("original_doi"))))
-    return seeds.unresolved(rows.withColumn("resolved_status", F.lit(None).cast("string")), 100).select("record_id")
+    return seeds.unresolved(rows.withColumn("resolved_status", F.lit(None).cast("string"))).select("record_id")
 
 
 @query
@@ -316,10 +353,18 @@ def merge_last_wins(x):
 
 @query
 def metadata_kv(x):
-    rows = x.table("events").where("event_id % 10 < 8").select(F.concat(F.lit("user."), "user_id").alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("seq"))
-    kept = seeds.last_wins(rows, ["key"]).where("key not like '%0'")
-    asked = x.table("events").select(F.concat(F.lit("user."), "user_id").alias("key")).distinct()
-    return asked.join(kept, "key", "left").select("key", F.coalesce("value", F.lit("default")).alias("value"))
+    """The first half of the events is put, the second half replaces it, keys that end in 0 are deleted, all are asked."""
+    rows = x.table("events").select(F.concat(F.lit("user."), "user_id").alias("key"), F.when(F.col("event_id") % 11 != 0, F.col("event_type")).alias("value"), F.col("event_id").alias("seq"))
+    first = metadata.put(rows.select("key", "value").limit(0), rows.where("seq % 2 = 0"))
+    both = metadata.delete(metadata.put(first, rows.where("seq % 2 = 1")), rows.where("key like '%0'"))
+    return metadata.get(both, rows, "default")
+
+
+@query
+def source_provenance(x):
+    run = x.table("orders").agg(F.max("o_orderdate").alias("last"))
+    path = F.concat(F.lit("/in/rw_"), F.date_format("last", "yyyyMMdd'T'HHmmss'Z'"), F.lit(".csv"))
+    return metadata.provenance(run, path, "opencitations", F.col("last").cast("date"))
 
 
 @query
@@ -362,7 +407,8 @@ def bfs_edges(x):
 
 @query
 def bfs_level_stats(x):
-    return graph.level_stats(x.raw_citations, x.frontier, 1, 200)
+    number = "cast(substring(node_id, 2, 20) as long)"
+    return graph.level_stats(x.raw_citations, x.frontier, 1, failed=x.frontier.where(f"{number} % 13 = 0"), expandable=f"{number} % 11 <> 0")
 
 
 @query
@@ -370,13 +416,22 @@ def bfs_capped(x):
     return graph.capped_level(x.raw_citations, x.frontier, 1, 500)
 
 
-@query
-def citation_edges_build(x):
-    parsed = x.raw_citations.select(
+def parsed_citations(x: Fixture) -> DataFrame:
+    return x.raw_citations.select(
         F.concat(F.lit("10.1000/"), "source_id").alias("citing_doi"), F.lit(None).cast("string").alias("citing_pmid"), F.concat(F.lit("10.1000/"), "target_id").alias("cited_doi"),
         F.when(F.col("seq") % 5 == 0, F.lit("doi:10.1000/parent")).otherwise(F.concat(F.lit("doi:10.1000/"), F.lower("target_id"))).alias("parent_id"), F.col("citation_date").alias("creation_date"),
     )
-    return graph.citation_edges(parsed, 1)
+
+
+@query
+def citation_edges_build(x):
+    return graph.citation_edges(parsed_citations(x), 1)
+
+
+@query
+def citation_nodes_build(x):
+    seed = x.canonical.select(F.concat(F.lit("doi:10.1000/"), F.lower("node_id")).alias("node_id"))
+    return graph.citation_nodes(parsed_citations(x), seed, 1)
 
 
 @query
@@ -395,6 +450,41 @@ def hybrid_graph(x):
     return graph.hybrid(*two_sources(x)).select("source_id", "target_id", "depth", "source_api")
 
 
+def referring_works(x: Fixture) -> DataFrame:
+    """Works of the second source with the works that they refer to."""
+    rows = x.raw_citations.where("source_api = 'openalex'")
+    return rows.groupBy(F.col("source_id").alias("node_id")).agg(F.collect_set("target_id").alias("referenced_works"))
+
+
+@query
+def hybrid_crawl(x):
+    """Both sources level by level: nodes with their depth, and edges with theirs."""
+    first = x.raw_citations.where("source_api = 'opencitations'")
+    nodes, edges = graph.hybrid_crawl(first, referring_works(x), x.canonical, 2)
+    return nodes.select(F.col("node_id").alias("source_id"), F.lit(None).cast("string").alias("target_id"), "depth", F.lit("node").alias("source_api")).unionByName(
+        edges.select("source_id", "target_id", "depth", "source_api")
+    )
+
+
+@query
+def page_store(x):
+    nodes, edges = graph.page_store(referring_works(x), x.frontier.where("depth = 0"), 1)
+    hits = edges.groupBy(F.col("source_id").alias("node_id")).agg(F.count("*").alias("n_edges"))
+    return nodes.join(hits, "node_id", "left").na.fill(0, ["n_edges"])
+
+
+@query
+def pending_frontier(x):
+    """The first level once those that anything cites are processed."""
+    waiting = x.frontier.withColumn("processed", F.lit(False))
+    return graph.pending(graph.mark_processed(waiting, x.raw_citations.select(F.col("target_id").alias("node_id"))), 1)
+
+
+@query
+def graph_build(x):
+    return graph.build(graph.induced_nodes(x.frontier, x.works, 2), graph.induced_edges(x.edges, x.frontier, 2))
+
+
 @query
 def resolve_citers(x):
     c = x.raw_citations.select(
@@ -441,6 +531,10 @@ def reconcile_counts(x):
     return graph.reconcile(x.edges, expected)
 
 
+def expected_counts(x: Fixture) -> DataFrame:
+    return x.frontier.where("depth = 1").select("node_id", (F.substring("node_id", 2, 20).cast("long") % 20).alias("expected"))
+
+
 @query
 def terminal_parents(x):
     return graph.terminal(x.frontier, x.raw_citations, 2)
@@ -460,7 +554,7 @@ def ego_sample(x):
 
 
 def measured(x: Fixture) -> DataFrame:
-    return metrics.seed_metrics(x.canonical, x.edges, x.frontier, x.works)
+    return x.measured
 
 
 @query
@@ -490,7 +584,8 @@ def event_study(x):
 
 @query
 def headline_stats(x):
-    return metrics.headline(x.canonical, x.edges, x.frontier, x.works, measured(x))
+    prepared = seeds.prepare(seeds.from_notices(notice_rows(x)))
+    return rounded(metrics.headline(x.seed_rows, prepared, run_metadata(x), x.edges, x.frontier, x.works, x.dated, measured(x), x.raw_citations, expected_counts(x)))
 
 
 @query
@@ -525,12 +620,12 @@ def pubdate_coverage(x):
 
 @query
 def unique_post_direct(x):
-    return metrics.unique_post(x.canonical, x.edges, x.frontier, x.works, 1)
+    return metrics.unique_of_pairs(x.dated, 1)
 
 
 @query
 def unique_post_depth2(x):
-    return metrics.unique_post(x.canonical, x.edges, x.frontier, x.works, 2)
+    return metrics.unique_of_pairs(x.dated, 2)
 
 
 @query
@@ -555,9 +650,7 @@ def top_bridges(x):
 
 @query
 def top_labels(x):
-    ten = metrics.top(measured(x), 10, "total_depth2_reach")
-    rank = F.row_number().over(Window.orderBy(F.col("total_depth2_reach").desc(), "node_id"))
-    return ten.select(F.concat(F.format_string("%02d ", rank), F.substring("title", 1, 8)).alias("label"), "total_depth2_reach")
+    return metrics.labels(measured(x), 10, "total_depth2_reach").select("label", "total_depth2_reach")
 
 
 @query
@@ -622,7 +715,7 @@ def matched(x: Fixture) -> DataFrame:
 
 
 def paired(x: Fixture) -> DataFrame:
-    return control.pairs(matched(x), x.edges, x.works)
+    return x.paired
 
 
 @query
@@ -650,6 +743,13 @@ def control_summary(x):
     return rounded(control.summary(paired(x)))
 
 
+@query
+def control_match_jitter(x):
+    """As ``control_match`` with every seed's log in-degree raised by a tenth."""
+    found = control.match(control.seed_frame(x.seed_rows, x.edges, x.works), control.pool(x.edges, x.frontier, x.works), jitter=0.1)
+    return rounded(found.select("node_id", "year", "indeg", "control_id", "distance"))
+
+
 @query
 def wilcoxon_signed_rank(x):
     return rounded(stats.wilcoxon(paired(x).withColumn("share_diff", F.round("share_diff", 9)), "share_diff").select("v", "n", "z", "p"))
@@ -679,16 +779,22 @@ def metadata_check(x):
 
 @query
 def quality_report(x):
+    """The checks over what a run has written: result tables, the graph and its manifest."""
+    folder = f"{shared_dir(x.spark)}/outputs-{uuid.uuid4().hex}"
+    tables = {"topic_distribution": metrics.topic_distribution(graph.induced_nodes(x.frontier, x.works, 2)), "bridge_papers": metrics.bridges(x.edges, x.frontier, x.works)}
+    sinks.export(tables, folder)
+    outputs = {name: f"{folder}/{name}" for name in tables}
     nodes, edges = graph.induced_nodes(x.frontier, x.works, 2), graph.induced_edges(x.edges, x.frontier, 2)
     return quality.report(
         quality.required_metadata(x.spark, run_metadata(x)),
-        quality.duplicate_canonical(x.canonical),
+        quality.duplicate_canonical(x.canonical, x.seed_rows),
         quality.stored_vs_exported(x.scoped_edges, x.frontier, 2),
         quality.frontier_processed(x.frontier, 2),
         quality.failed_parents(run_metadata(x)),
-        quality.any_label(nodes, "topic_name", "topic_labels_present"),
-        quality.any_label(metrics.bridges(x.edges, x.frontier, x.works), "title", "bridge_titles_present"),
-        quality.manifest_matches(sinks.manifest(nodes, edges, sinks.graphml(nodes, edges))),
+        quality.any_label(x.spark.read.parquet(outputs["topic_distribution"]), ["topic_name", "topic_domain"], "topic_labels_present"),
+        quality.any_label(x.spark.read.parquet(outputs["bridge_papers"]), ["title"], "bridge_titles_present"),
+        quality.manifest_matches(sinks.manifest(nodes, edges, written_graph(x, nodes, edges))),
+        quality.outputs_exist(x.spark, outputs | {"missing_table": f"{folder}/missing_table"}),
     )
 
 

@@ -30,9 +30,11 @@ def pool(edges: DataFrame, frontier: DataFrame, works: DataFrame) -> DataFrame:
     return e.groupBy(F.col("target_id").alias("node_id"), "year").agg(F.count("*").alias("indeg")).withColumn("logdeg", F.log1p("indeg"))
 
 
-def match(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
+def match(seeds: DataFrame, candidates: DataFrame, jitter: float = 0.0) -> DataFrame:
     """``seeds`` with control_id and distance: the nearest log in-degree of the same year, with replacement; no seeds of a year without candidates.
 
+    ``jitter`` is added to each seed's log in-degree.
+
     Below and above are found by one window over the distinct in-degrees of a year together with the seeds. Of equal
     in-degrees the last id is taken from below and the first from above; equal distance goes below. At or beyond the largest, the
     last id but one of the sorted candidates is the lower one; before the least the first.
@@ -42,21 +44,25 @@ def match(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
     ends = candidates.groupBy("year").agg(F.max(by_id).alias("top"), F.min(by_id).alias("low"), F.count("*").alias("size"))
     # the last but one in (in-degree, id) order: the largest once the top row is left out
     second = candidates.join(ends.select("year", "top"), "year").where(by_id < F.col("top")).groupBy("year").agg(F.max(by_id).alias("second"))
-    points = level.select("year", "indeg", F.lit(None).cast("string").alias("seed"), "first_id", "last_id").unionByName(
-        seeds.select("year", "indeg", F.col("node_id").alias("seed"), F.lit(None).cast("string").alias("first_id"), F.lit(None).cast("string").alias("last_id"))
+    # what is looked for, once for each year and in-degree: the window holds a year's distinct in-degrees, not its seeds
+    want = F.col("indeg").cast("double") if not jitter else F.expm1(F.log1p("indeg") + jitter)
+    asked = seeds.select("year", want.alias("at")).distinct()
+    blank = F.lit(None).cast("string")
+    points = level.select("year", F.col("indeg").cast("double").alias("at"), "indeg", "first_id", "last_id", F.lit(False).alias("asks")).unionByName(
+        asked.select("year", "at", F.lit(None).cast("long").alias("indeg"), blank.alias("first_id"), blank.alias("last_id"), F.lit(True).alias("asks"))
     )
-    order = Window.partitionBy("year").orderBy("indeg", F.col("seed").isNotNull(), "seed")
-    point = F.when(F.col("seed").isNull(), F.struct("indeg", "first_id", "last_id"))
+    order = Window.partitionBy("year").orderBy("at", "asks")
+    point = F.when(~F.col("asks"), F.struct("indeg", "first_id", "last_id"))
     below = F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     above = F.first(point, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    found = points.select("year", "seed", below.alias("b"), above.alias("a")).where("seed is not null")
-    out = seeds.join(found.withColumnRenamed("seed", "node_id"), ["year", "node_id"]).join(ends, "year").join(second, "year", "left")
-    far = F.col("indeg") >= F.col("top.indeg")
+    found = points.select("year", "at", "asks", below.alias("b"), above.alias("a")).where("asks").drop("asks")
+    out = seeds.withColumn("at", want).join(found, ["year", "at"]).join(ends, "year").join(second, "year", "left")
+    far = F.col("at") >= F.col("top.indeg")
     lower_deg = F.when(far, F.coalesce("second.indeg", "top.indeg")).otherwise(F.coalesce("b.indeg", "low.indeg"))
     lower_id = F.when(far, F.coalesce("second.node_id", "top.node_id")).otherwise(F.coalesce("b.last_id", "low.node_id"))
     upper_deg = F.when(far, F.col("top.indeg")).otherwise(F.col("a.indeg"))
     upper_id = F.when(far, F.col("top.node_id")).otherwise(F.col("a.first_id"))
-    dist = lambda d: F.abs(F.log1p(d) - F.log1p("indeg"))
+    dist = lambda d: F.abs(F.log1p(d) - F.log1p("at"))
     choose_low = upper_deg.isNull() | (dist(lower_deg) <= dist(upper_deg))
     return out.select(
         *seeds.columns, F.when(choose_low, lower_id).otherwise(upper_id).alias("control_id"), F.when(choose_low, dist(lower_deg)).otherwise(dist(upper_deg)).alias("distance")
@@ -75,8 +81,8 @@ def pairs(matched: DataFrame, edges: DataFrame, works: DataFrame) -> DataFrame:
 
 
 def summary(paired: DataFrame) -> DataFrame:
-    """One row: sizes, medians, means, and how often the seed's share is the higher."""
-    return paired.agg(
+    """(metric, value) rows: sizes, medians, means, how often the seed's share is the higher, and the p of the signed-rank test."""
+    one = paired.agg(
         F.count("*").alias("matched_pairs"),
         F.count_distinct("control_id").alias("unique_controls"),
         F.median("seed_share").alias("seed_share_median"),
@@ -87,6 +93,10 @@ def summary(paired: DataFrame) -> DataFrame:
         F.avg("seed_share").alias("seed_share_mean"),
         F.avg("control_share").alias("control_share_mean"),
     )
+    test = stats.wilcoxon(paired.withColumn("_d", F.round("share_diff", 9)), "_d").select(F.col("p").alias("wilcoxon_p"))
+    one = one.crossJoin(test)
+    cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in one.columns])
+    return one.select(F.explode(cells).alias("_x")).select("_x.*")
 
 
 def event_overlay(paired: DataFrame, edges: DataFrame, works: DataFrame, clip: int = 15) -> DataFrame:

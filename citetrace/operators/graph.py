@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citetrace.functions import identifiers as ids
+from citetrace.operators.ordered import running
 from citetrace.plans.storage import materialise
 
 
@@ -45,48 +46,52 @@ def level_edges(citations: DataFrame, frontier: DataFrame, max_depth: int) -> Da
     return merge_edges(citations.where("source_id <> target_id").join(parents, "target_id"))
 
 
-def level_stats(citations: DataFrame, frontier: DataFrame, depth: int, parent_limit: int | None = None) -> DataFrame:
-    """One row for a level: parents taken in id order, their citations, and new nodes."""
+def level_stats(citations: DataFrame, frontier: DataFrame, depth: int, parent_limit: int | None = None, failed: DataFrame | None = None, expandable: str | None = None) -> DataFrame:
+    """One row for a level: parents, those asked, failed and not expandable, their citations, and new nodes.
+
+    failed: (node_id) of parents whose citations could not be had; expandable: a condition on node_id. ``parent_limit`` takes the first by id.
+    """
     parents = frontier.where(F.col("depth") == depth).select("node_id")
     if parent_limit is not None:
         parents = parents.orderBy("node_id").limit(parent_limit)
-    hit = citations.where("source_id <> target_id").join(parents.select(F.col("node_id").alias("target_id")), "target_id", "left_semi")
+    gone = parents.limit(0) if failed is None else failed.select("node_id").distinct()
+    parents = parents.withColumn("grows", F.coalesce(F.expr(expandable), F.lit(False)) if expandable else F.lit(True))
+    parents = parents.join(gone.withColumn("_f", F.lit(True)), "node_id", "left").withColumn("failed", F.col("grows") & F.col("_f").isNotNull())
+    asked = parents.where("grows and not failed").select(F.col("node_id").alias("target_id"))
+    hit = citations.where("source_id <> target_id").join(asked, "target_id", "left_semi")
     fresh = hit.select(F.col("source_id").alias("node_id")).distinct().join(frontier.where(F.col("depth") <= depth).select("node_id"), "node_id", "left_anti")
-    return (
-        parents.agg(F.count("*").alias("parents"))
-        .crossJoin(hit.agg(F.count("*").alias("citations"), F.count_distinct("source_id", "target_id").alias("edges")))
-        .crossJoin(fresh.agg(F.count("*").alias("new_nodes")))
-    )
+    counts = parents.agg(
+        F.count("*").alias("parents"), F.count_if(F.col("grows") & ~F.col("failed")).alias("parents_queried"), F.count_if("failed").alias("parents_failed"), F.count_if(~F.col("grows")).alias("parents_without_doi")
+    )
+    return counts.crossJoin(hit.agg(F.count("*").alias("citations"), F.count_distinct("source_id", "target_id").alias("edges"))).crossJoin(fresh.agg(F.count("*").alias("new_nodes")))
 
 
 def capped_level(citations: DataFrame, frontier: DataFrame, depth: int, cap: int) -> DataFrame:
     """New nodes of a level under a soft cap: parents expand in id order while the nodes found before them are fewer than ``cap``.
 
     A node belongs to its least parent. The running count is over parents (one row each), not over nodes, in ranges of
-    parents first, so no task holds all of them.
+    parents.
     """
     parents = frontier.where(F.col("depth") == depth).select(F.col("node_id").alias("target_id"))
     hit = citations.where("source_id <> target_id").join(parents, "target_id", "left_semi")
     fresh = hit.join(frontier.where(F.col("depth") <= depth).select(F.col("node_id").alias("source_id")), "source_id", "left_anti")
     owner = fresh.groupBy("source_id").agg(F.min("target_id").alias("parent_id"))
     per_parent = owner.groupBy("parent_id").agg(F.count("*").alias("n"))
-    running = running_sum(per_parent, "parent_id", "n", "before")
-    allowed = running.where(F.col("before") < cap).select("parent_id")
+    allowed = running(per_parent, [F.col("parent_id")], F.col("n"), "before").where(F.col("before") < cap).select("parent_id")
     return owner.join(allowed, "parent_id", "left_semi").select(F.col("source_id").alias("node_id"), "parent_id")
 
 
-def running_sum(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """``rows`` with the sum of ``value`` over all rows before, in the order of ``order`` (unique).
+def pending(frontier: DataFrame, depth: int, limit: int | None = None) -> DataFrame:
+    """Nodes of a depth that are not processed, by id."""
+    out = frontier.where((F.col("depth") == depth) & ~F.col("processed")).select("node_id").orderBy("node_id")
+    return out.limit(limit) if limit is not None else out
 
-    Ranges (the first letters of ``order``) are summed first and the few range sums are accumulated, so the ordered pass is one task for each range.
-    """
-    part = F.substring(F.col(order), 1, 4)
-    inner = Window.partitionBy("_r").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    ranged = rows.withColumn("_r", part)
-    totals = ranged.groupBy("_r").agg(F.sum(value).alias("_t"))
-    outer = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select("_r", F.coalesce(F.sum("_t").over(outer), F.lit(0)).alias("_b"))
-    return ranged.join(before, "_r").withColumn(name, (F.col("_b") + F.coalesce(F.sum(value).over(inner), F.lit(0))).cast("long")).drop("_r", "_b")
+
+def mark_processed(frontier: DataFrame, done: DataFrame) -> DataFrame:
+    """``frontier`` with the nodes of ``done`` (node_id) processed; others as they were."""
+    marked = done.select("node_id").distinct().withColumn("_done", F.lit(True))
+    rest = [c for c in frontier.columns if c != "processed"]
+    return frontier.join(marked, "node_id", "left").select(*rest, (F.col("processed") | F.col("_done").isNotNull()).alias("processed"))
 
 
 def citation_edges(citations: DataFrame, target_depth: int) -> DataFrame:
@@ -97,6 +102,54 @@ def citation_edges(citations: DataFrame, target_depth: int) -> DataFrame:
     return out.where("source_id is not null and source_id <> target_id").distinct()
 
 
+def citation_nodes(citations: DataFrame, seeds: DataFrame, target_depth: int) -> DataFrame:
+    """(node_id, depth, doi, publication_date, is_retracted) of the citing ends of parsed citations, one row a node; a node that is a seed is retracted."""
+    citing = F.coalesce(ids.doi_node(F.col("citing_doi")), ids.pmid_node(F.col("citing_pmid")))
+    rows = citations.select(citing.alias("node_id"), "citing_doi", "creation_date").where("node_id is not null")
+    nodes = rows.groupBy("node_id").agg(F.min("citing_doi").alias("doi"), F.min("creation_date").alias("publication_date"))
+    flagged = seeds.where("node_id is not null").select("node_id").distinct().withColumn("_s", F.lit(True))
+    return nodes.join(flagged, "node_id", "left").select("node_id", F.lit(target_depth).alias("depth"), "doi", "publication_date", F.col("_s").isNotNull().alias("is_retracted"))
+
+
+def page_store(works: DataFrame, parents: DataFrame, target_depth: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of pages of works: every work becomes a node of the depth, also one without a reference to a parent."""
+    nodes = works.where("node_id is not null").select("node_id").distinct().withColumn("depth", F.lit(target_depth))
+    return nodes, reference_edges(works, parents).withColumn("depth", F.lit(target_depth))
+
+
+def hybrid_crawl(citations: DataFrame, works: DataFrame, roots: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:
+    """(frontier, edges) of a crawl over two sources, at each level ``citations`` (source_id, target_id, citation_date, seq) first, then the references of ``works``.
+
+    Edges that both have keep what the first says; depth is that of the expanded node plus one.
+    """
+    frontier = least_depth(roots.where("node_id is not null").select("node_id", F.lit(0).alias("depth")))
+    edges = None
+    refs = works.select(F.col("node_id").alias("source_id"), F.explode(F.array_distinct("referenced_works")).alias("target_id")).where("source_id <> target_id")
+    blank = lambda kind: F.lit(None).cast(kind)
+    second = refs.select("source_id", "target_id", F.lit("openalex").alias("source_api"), blank("date").alias("citation_date"), blank("long").alias("seq"), F.lit(1).alias("source_rank"))
+    first = citations.where("source_id <> target_id").select("source_id", "target_id", F.lit("opencitations").alias("source_api"), "citation_date", "seq", F.lit(0).alias("source_rank"))
+    both = first.unionByName(second)
+    for depth in range(1, max_depth + 1):
+        parents = frontier.where(F.col("depth") == depth - 1).select(F.col("node_id").alias("target_id"))
+        level = materialise(both.join(parents, "target_id", "left_semi").withColumn("depth", F.lit(depth)), "hybrid-level")
+        edges = level if edges is None else edges.unionByName(level)
+        found = level.select(F.col("source_id").alias("node_id"), "depth").distinct()
+        frontier = materialise(least_depth(frontier.unionByName(found)), "hybrid-frontier")
+    return frontier, merge_edges(edges, ("depth", "source_rank", "seq"))
+
+
+def build(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: vertices, edges, vertices without an edge, and edge ends that are no vertex (a graph needs none of them)."""
+    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("node_id"))
+    own = nodes.select("node_id").distinct()
+    return (
+        own.agg(F.count("*").alias("vertices"))
+        .crossJoin(edges.agg(F.count("*").alias("edges")))
+        .crossJoin(own.join(ends, "node_id", "left_anti").agg(F.count("*").alias("isolated")))
+        .crossJoin(ends.join(own, "node_id", "left_anti").agg(F.count("*").alias("dangling_ends")))
+    )
+
+
 def reference_edges(works: DataFrame, parents: DataFrame) -> DataFrame:
     """Edges of works to those of their references that are parents."""
     refs = works.select(F.col("node_id").alias("source_id"), F.explode(F.array_distinct("referenced_works")).alias("target_id"))
@@ -149,9 +202,9 @@ def edge_scope(edges: DataFrame, frontier: DataFrame, k: int) -> DataFrame:
 
 
 def reconcile(edges: DataFrame, expected: DataFrame) -> DataFrame:
-    """Edges found against edges reported for each parent: exact, under, over, and the net difference."""
+    """Edges found against edges reported for each parent: exact, under, over, and the net difference; a parent that only one side has counts as 0 there."""
     found = edges.groupBy(F.col("target_id").alias("node_id")).agg(F.count("*").alias("found"))
-    both = expected.join(found, "node_id", "left").withColumn("d", F.coalesce("found", F.lit(0)) - F.col("expected"))
+    both = expected.join(found, "node_id", "full").withColumn("d", F.coalesce("found", F.lit(0)) - F.coalesce("expected", F.lit(0)))
     d = F.col("d")
     return both.agg(
         F.count("*").alias("parents"), F.count_if(d == 0).alias("exact"), F.count_if(d < 0).alias("under"), F.count_if(d > 0).alias("over"), F.coalesce(F.sum("d"), F.lit(0)).alias("net_delta")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citetrace.operators import graph as g
 from citetrace.operators import seeds as s
+from citetrace.operators import stats
 from citetrace.operators.components import connected_components
 
 
@@ -71,11 +72,12 @@ def dated_pairs(pairs: DataFrame, canonical: DataFrame, works: DataFrame) -> Dat
 
 
 def seed_metrics(canonical: DataFrame, edges: DataFrame, frontier: DataFrame, works: DataFrame) -> DataFrame:
-    """Per seed: direct citers, second-hop descendants, union reach, and those after the notice.
+    """Per seed: direct citers, second-hop descendants, union reach, and those after the notice."""
+    return of_pairs(canonical, dated_pairs(seed_pairs(canonical, edges, frontier), canonical, works))
 
-    Pairs are distinct for each hop, so plain counts do; the union is one more pre-aggregation by (seed, source).
-    """
-    pairs = dated_pairs(seed_pairs(canonical, edges, frontier), canonical, works)
+
+def of_pairs(canonical: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``seed_metrics`` from dated pairs. They are distinct for each hop, so plain counts do; the union is one more pre-aggregation by (seed, source)."""
     per_source = pairs.groupBy("seed", "source_id").agg(F.max((F.col("hop") == 1).cast("int")).alias("h1"), F.max((F.col("hop") == 2).cast("int")).alias("h2"), F.max(F.col("post").cast("int")).alias("post"))
     counted = per_source.groupBy(F.col("seed").alias("node_id")).agg(
         F.sum("h1").alias("direct_citers"),
@@ -97,8 +99,11 @@ def post_notice_totals(metrics: DataFrame) -> DataFrame:
 
 def unique_post(canonical: DataFrame, edges: DataFrame, frontier: DataFrame, works: DataFrame, hop: int) -> DataFrame:
     """How many papers cite some seed, at that hop, after its notice."""
-    pairs = seed_pairs(canonical, edges, frontier).where(F.col("hop") == hop)
-    return dated_pairs(pairs, canonical, works).where("post").agg(F.count_distinct("source_id").alias("n"))
+    return unique_of_pairs(dated_pairs(seed_pairs(canonical, edges, frontier), canonical, works), hop)
+
+
+def unique_of_pairs(dated: DataFrame, hop: int) -> DataFrame:
+    return dated.where((F.col("hop") == hop) & F.col("post")).agg(F.count_distinct("source_id").alias("n"))
 
 
 def bridges(edges: DataFrame, frontier: DataFrame, works: DataFrame) -> DataFrame:
@@ -169,13 +174,45 @@ def weak_component_count(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return c.agg(F.count_distinct("component").alias("a")).crossJoin(alone.agg(F.count("*").alias("b"))).select((F.col("a") + F.col("b")).alias("weak_components"))
 
 
-def headline(canonical: DataFrame, edges: DataFrame, frontier: DataFrame, works: DataFrame, metrics: DataFrame) -> DataFrame:
-    """One row of headline numbers."""
-    e = edges.agg(F.count("*").alias("edges"), F.count_if(F.col("depth") == 1).alias("edges_depth1"), F.count_if(F.col("depth") == 2).alias("edges_depth2"))
-    n = frontier.agg(F.count("*").alias("nodes"))
-    one = unique_post(canonical, edges, frontier, works, 1).withColumnRenamed("n", "unique_post_direct")
-    two = unique_post(canonical, edges, frontier, works, 2).withColumnRenamed("n", "unique_post_depth2")
-    return side_by_side(n, e, one, two, post_notice_totals(metrics))
+def headline(
+    seed_rows: DataFrame, prepared: DataFrame, metadata: DataFrame, edges: DataFrame, frontier: DataFrame, works: DataFrame, dated: DataFrame, metrics: DataFrame, citations: DataFrame, expected: DataFrame
+) -> DataFrame:
+    """One row of all headline numbers of a run.
+
+    prepared: seeds with their statuses; dated, metrics: ``dated_pairs`` and ``of_pairs``; citations: all known ones; expected: (node_id, expected) counts to reconcile.
+    """
+    value = lambda key: F.coalesce(F.max(F.when(F.col("key") == key, F.col("value"))), F.lit("unknown")).alias(key)
+    run = metadata.agg(*[value(k) for k in ("rw_snapshot_date", "oc_access_date", "pipeline_mode")])
+    status, depth, reach = F.col("resolved_status"), F.col("depth"), F.col("total_depth2_reach")
+    records = seed_rows.agg(F.count("*").alias("seed_records"), F.count_if(F.col("node_id").isNotNull()).alias("linked_seed_records"), F.count_if(status == "resolved").alias("resolved_seed_records"))
+    no_doi = prepared.agg(F.count_if(status == "no_doi").alias("no_doi_seeds"))
+    nodes = frontier.agg(*[F.count_if(depth == d).alias(f"depth{d}_nodes") for d in (0, 1, 2)], F.count("*").alias("total_nodes"))
+    at = lambda d, c: F.when(depth == d, F.col(c))
+    links = edges.agg(
+        F.count("*").alias("total_edges"), *[F.count_if(depth == d).alias(f"depth{d}_edges") for d in (1, 2)],
+        *[F.count_distinct(at(d, f"{end}_id")).alias(f"depth{d}_distinct_{end}s") for d in (1, 2) for end in ("source", "target")],
+    )
+    spread = stats.quantiles(metrics, "total_depth2_reach").select(
+        F.col("mean").alias("reach_mean"), F.col("p50").alias("reach_median"), *[F.col(p).alias(f"reach_{p}") for p in ("p90", "p95", "p99")], F.col("max").alias("reach_max"), (100 * F.col("zero_share")).alias("zero_reach_pct")
+    )
+    seeds = metrics.agg(F.count("*").alias("seed_papers"), F.count_if(reach == 0).alias("zero_reach_n"))
+    gini = stats.gini(metrics, "total_depth2_reach").withColumnRenamed("gini", "reach_gini")
+    post = post_notice_totals(metrics).select(*[F.col(a).alias(b) for a, b in (("direct_sum", "direct_relationship_sum"), ("depth2_sum", "depth2_relationship_sum"), ("seeds_direct", "seeds_with_post_direct"), ("seeds_depth2", "seeds_with_post_depth2"))])
+    one, two = unique_of_pairs(dated, 1).withColumnRenamed("n", "direct_unique_nodes"), unique_of_pairs(dated, 2).withColumnRenamed("n", "depth2_unique_nodes")
+    day = works.select("node_id", "publication_date")
+    cover = frontier.join(day, "node_id", "left").agg(*[F.count_if((depth == d) & F.col("publication_date").isNull()).alias(f"depth{d}_pubdate_null") for d in (1, 2)])
+    counts = g.reconcile(edges.where("depth = 2"), expected).select(
+        F.col("parents").alias("reconciled_parents"), F.col("exact").alias("exact_parents"), F.col("under").alias("undercount_parents"), F.col("over").alias("overcount_parents"), F.col("net_delta").alias("net_delta_citations")
+    )
+    zero = g.terminal(frontier, citations, 1).agg(F.count("*").alias("zero_count_pruned"))
+    gone = g.stale(citations, frontier).select(F.col("stale_edges").alias("stale_edges_deleted"), F.col("stale_targets").alias("stale_missing_targets"))
+    return side_by_side(run, records, s.duplicate_counts(seed_rows), no_doi, nodes, links, seeds, spread, gini, post, one, two, cover, counts, zero, gone)
+
+
+def labels(rows: DataFrame, n: int, order: str, title: str = "title", width: int = 55) -> DataFrame:
+    """The first ``n`` rows by falling ``order`` with a label: rank in two digits and the title, cut at ``width``."""
+    rank = F.row_number().over(Window.orderBy(F.col(order).desc(), "node_id"))
+    return top(rows, n, order).withColumn("label", F.concat(F.format_string("%02d ", rank), F.substring(title, 1, width)))
 
 
 def ego_sample(metrics: DataFrame, edges: DataFrame, direct: int = 120, second: int = 350) -> DataFrame:

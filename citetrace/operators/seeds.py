@@ -13,8 +13,8 @@ FAR = "9999-12-31"
 def from_notices(rows: DataFrame) -> DataFrame:
     """Seed records of notice rows: those that are notices and have a record id, under either of its names."""
     have = set(rows.columns)
-    col = lambda *names: next((F.col(f"`{n}`") for n in names if n in have), F.lit(None).cast("string"))
-    record = ids.as_text(col("Record ID", "RecordID"))
+    col = lambda name: F.col(f"`{name}`") if name in have else F.lit(None).cast("string")
+    record = F.coalesce(ids.as_text(col("Record ID")), ids.as_text(col("RecordID")))  # row by row
     out = rows.select(
         record.alias("record_id"),
         ids.as_text(col("Title")).alias("title"),
@@ -56,7 +56,7 @@ def mark_duplicates(seeds: DataFrame) -> DataFrame:
 
 
 def canonical(seeds: DataFrame) -> DataFrame:
-    """One row for each linked paper: earliest record and date, all record ids, all notice types."""
+    """One row for each linked paper: earliest record and date, all distinct record ids, all notice types. A paper's records, which its row lists, are held together."""
     key = F.struct(F.coalesce("notice_date", F.lit(FAR).cast("date")).alias("d"), F.col("record_id").alias("r"))
     listed = F.sort_array(F.collect_list(F.struct(key.alias("k"), F.col("record_id"), F.col("notice_type"))))
     grouped = seeds.where("node_id is not null").groupBy("node_id").agg(
@@ -70,7 +70,7 @@ def canonical(seeds: DataFrame) -> DataFrame:
         "node_id",
         F.col("rows")[0]["record_id"].alias("record_id"),
         F.col("seed_record_count").cast("long").alias("seed_record_count"),
-        F.array_join(F.transform("rows", lambda x: x["record_id"]), ";").alias("seed_record_ids"),
+        F.array_join(F.array_distinct(F.transform("rows", lambda x: x["record_id"])), ";").alias("seed_record_ids"),
         F.array_join(types, "; ").alias("notice_type"),
         "notice_date",
         "title",
@@ -87,16 +87,35 @@ def duplicate_counts(seeds: DataFrame) -> DataFrame:
     )
 
 
-def resolve(seeds: DataFrame, works: DataFrame) -> DataFrame:
-    """Seeds linked to works by DOI, else PMID, else title and author, with how (works: node_id, doi, pmid, title, authors)."""
+def resolve(seeds: DataFrame, works: DataFrame, title_fallback: bool = True, limit: int | None = None) -> DataFrame:
+    """Seeds linked to works by DOI, else PMID, else title and author, with how (works: node_id, doi, pmid, title, authors).
+
+    Without ``title_fallback`` the unlinked ones wait for it, with it they are not found. ``limit`` takes the first seeds by record id.
+    """
+    if limit is not None:
+        seeds = seeds.orderBy("record_id").limit(limit)
     by = lambda key, name: works.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"_{name}")).agg(F.min("node_id").alias(name))
     by_doi, by_pmid = by("doi", "by_doi"), by("pmid", "by_pmid")
     rows = seeds.join(by_doi, F.col("original_doi") == F.col("_by_doi"), "left").join(by_pmid, F.col("original_pmid") == F.col("_by_pmid"), "left")
     titled = resolve_title_author(seeds, works).select(F.col("record_id").alias("_r"), F.col("node_id").alias("by_title"))
-    rows = rows.join(titled, F.col("record_id") == F.col("_r"), "left")
+    rows = rows.join(titled, F.col("record_id") == F.col("_r"), "left") if title_fallback else rows.withColumn("by_title", F.lit(None).cast("string"))
     how = F.when(F.col("by_doi").isNotNull(), "doi").when(F.col("by_pmid").isNotNull(), "pmid").when(F.col("by_title").isNotNull(), "title_author")
     node = F.coalesce("by_doi", "by_pmid", "by_title")
-    return rows.select(*seeds.columns, node.alias("resolved_node"), how.alias("resolved_by"), F.when(node.isNotNull(), "resolved").otherwise("unresolved").alias("status"))
+    left = "not_found" if title_fallback else "pending_title_fallback"
+    return rows.select(
+        *seeds.columns, node.alias("resolved_node"), F.coalesce(how, F.lit("all" if title_fallback else "exact")).alias("resolved_by"), F.when(node.isNotNull(), "resolved").otherwise(left).alias("status")
+    )
+
+
+def resolve_stats(resolved: DataFrame) -> DataFrame:
+    """One row of what ``resolve`` did: seeds resolved, not found, waiting for their title, and look-ups made (one for each identifier or title tried)."""
+    by, status = F.col("resolved_by"), F.col("status")
+    doi, pmid, title = F.col("original_doi").isNotNull(), F.col("original_pmid").isNotNull(), F.col("title").isNotNull()
+    tried = doi.cast("long") + (pmid & (by != "doi")).cast("long") + (title & by.isin("title_author", "all")).cast("long")
+    return resolved.agg(
+        F.count_if(status == "resolved").alias("resolved"), F.count_if(status == "not_found").alias("not_found"),
+        F.count_if(status == "pending_title_fallback").alias("pending_title_fallback"), F.coalesce(F.sum(tried), F.lit(0)).alias("checked"),
+    )
 
 
 def title_key(c: Column) -> Column:
@@ -126,7 +145,7 @@ def propagate_retracted(works: DataFrame, seeds: DataFrame) -> DataFrame:
     return works.join(flagged, works.node_id == flagged["_seed"], "left").withColumn("is_retracted", F.col("_seed").isNotNull()).drop("_seed")
 
 
-def last_wins(rows: DataFrame, keys: list[str], order: tuple[str, ...] = ("seq",)) -> DataFrame:
+def last_wins(rows: DataFrame, keys: list[str], order: tuple[str | Column, ...] = ("seq",)) -> DataFrame:
     """The last row of each key, nulls included: what repeated upserts leave. Aggregated map-side."""
     rest = [c for c in rows.columns if c not in keys]
     newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")

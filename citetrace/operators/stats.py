@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citetrace.operators.ordered import running
+
 
 def counted(rows: DataFrame, c: str) -> DataFrame:
     """(v, c): each distinct value with its count. Ordered passes run over these few rows, not over all."""
@@ -23,8 +25,7 @@ def quantiles(rows: DataFrame, c: str) -> DataFrame:
 
 def gini(rows: DataFrame, c: str) -> DataFrame:
     """Gini coefficient: null without rows, 0 for a sum of 0."""
-    before = F.coalesce(F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counted(rows, c).withColumn("r", before)
+    ranked = running(counted(rows, c), [F.col("v")], F.col("c"), "r")
     weight = F.col("c") * F.col("r") + F.col("c") * (F.col("c") + 1) / 2
     sums = ranked.agg(F.sum(F.col("v") * weight).alias("s"), F.sum("c").alias("n"), F.sum(F.col("v") * F.col("c")).alias("t"))
     value = F.when(F.col("t") == 0, F.lit(0.0)).otherwise(2 * F.col("s") / (F.col("n") * F.col("t")) - (F.col("n") + 1) / F.col("n"))
@@ -34,15 +35,15 @@ def gini(rows: DataFrame, c: str) -> DataFrame:
 def ccdf(rows: DataFrame, c: str) -> DataFrame:
     """(value, share): share of all rows at or above each positive value."""
     v = counted(rows, c)
-    above = F.sum("c").over(Window.orderBy(F.col("v").desc()))
     total = v.agg(F.sum("c").alias("n"))
-    return v.select("v", above.alias("a")).crossJoin(total).where("v > 0").select(F.col("v").alias("value"), (F.col("a") / F.col("n")).alias("share"))
+    above = running(v, [F.col("v").desc()], F.col("c"), "a").select("v", (F.col("a") + F.col("c")).alias("a"))
+    return above.crossJoin(total).where("v > 0").select(F.col("v").alias("value"), (F.col("a") / F.col("n")).alias("share"))
 
 
 def lorenz(rows: DataFrame, c: str, points: int = 2000) -> DataFrame:
     """(p, l): share of rows against share of the sum, at the end of each distinct value; thinned to about ``points``."""
-    up = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    v = counted(rows, c).select("v", F.sum("c").over(up).alias("n"), F.sum(F.col("v") * F.col("c")).over(up).alias("s"), F.row_number().over(Window.orderBy("v")).alias("i"))
+    before = running(running(running(counted(rows, c), [F.col("v")], F.col("c"), "n"), [F.col("v")], F.col("v") * F.col("c"), "s"), [F.col("v")], F.lit(1), "i")
+    v = before.select("v", (F.col("n") + F.col("c")).alias("n"), (F.col("s") + F.col("v") * F.col("c")).alias("s"), (F.col("i") + 1).alias("i"))
     total = v.agg(F.max("n").alias("nn"), F.max("s").alias("ss"), F.max("i").alias("k"))
     step = F.greatest(F.ceil(F.col("k") / points), F.lit(1))
     kept = v.crossJoin(total).where((F.col("i") % step == 0) | (F.col("i") == F.col("k")))
@@ -69,8 +70,7 @@ def wilcoxon(rows: DataFrame, difference: str) -> DataFrame:
     """
     d = rows.select(F.col(difference).alias("d")).where("d <> 0")
     by = d.groupBy(F.abs("d").alias("v")).agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("pos"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by.withColumn("rank", before + (F.col("c") + 1) / 2)
+    ranked = running(by, [F.col("v")], F.col("c"), "before").withColumn("rank", F.col("before") + (F.col("c") + 1) / 2)
     c = F.col("c").cast("double")
     one = ranked.agg(F.sum(F.col("rank") * F.col("pos")).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.sum(c * c * c - c).alias("ties"))
     n = F.col("n").cast("double")
@@ -95,7 +95,13 @@ def density_bins(edges: DataFrame, nodes: DataFrame, bins: int = 256) -> DataFra
     """Nodes of each depth in ``bins`` by falling degree, and how many edges run between bins."""
     ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("node_id"))
     degree = nodes.select("node_id", "depth").join(ends.groupBy("node_id").agg(F.count("*").alias("degree")), "node_id", "left").na.fill(0, ["degree"])
-    placed = degree.select("node_id", "depth", F.ntile(bins).over(Window.partitionBy("depth").orderBy(F.col("degree").desc(), "node_id")).alias("bin"))
+    # ntile by the place in the order of all: the first n % bins bins are one larger
+    placed = running(degree, [F.col("depth"), F.col("degree").desc(), F.col("node_id")], F.lit(1), "_i")
+    size = degree.groupBy("depth").agg(F.count("*").alias("_n"))
+    first = size.select("depth", "_n", F.coalesce(F.sum("_n").over(Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_f"))  # one row a depth
+    i, wide, more = F.col("_i") - F.col("_f"), F.floor(F.col("_n") / bins) + 1, F.col("_n") % bins
+    tile = F.when(i < more * wide, F.floor(i / wide)).otherwise(more + F.floor((i - more * wide) / F.greatest(wide - 1, F.lit(1)))) + 1
+    placed = placed.join(F.broadcast(first), "depth").select("node_id", "depth", tile.cast("int").alias("bin"))
     side = lambda end, a: placed.select(F.col("node_id").alias(f"{end}_id"), F.col("depth").alias(f"{a}_depth"), F.col("bin").alias(f"{a}_bin"))
     both = edges.join(side("source", "source"), "source_id").join(side("target", "target"), "target_id")
     return both.groupBy("source_depth", "source_bin", "target_depth", "target_bin").agg(F.count("*").alias("n"))

@@ -8,13 +8,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citetrace.operators import graph, seeds
+from citetrace.operators import control, graph, metrics, seeds
 from citetrace.plans.storage import materialise
 
 
 @dataclass(frozen=True)
 class Fixture:
-    """Tables of the derived graph, each declared once. The frontier and its edges are written once for a query and read back."""
+    """Tables of the derived graph, each declared once. Those that many queries share are written once and read back."""
 
     spark: SparkSession
     sf_dir: str
@@ -35,6 +35,7 @@ class Fixture:
             F.col("o_orderstatus").alias("work_type"),
             F.col("o_orderpriority").alias("topic_domain"),
             F.col("c_mktsegment").alias("topic_name"),
+            F.col("c_name").alias("source_name"),
         )
 
     @cached_property
@@ -49,13 +50,14 @@ class Fixture:
             F.lag("l_orderkey", 1).over(item).alias("one"), F.lag("l_orderkey", 2).over(item).alias("two"),
         )
         cited = lines.select("*", F.posexplode(F.array("one", "two")).alias("k", "cited")).where("cited is not null and cited <> l_orderkey")
-        return cited.select(
+        rows = cited.select(
             F.concat(F.lit("W"), "l_orderkey").alias("source_id"),
             F.concat(F.lit("W"), "cited").alias("target_id"),
             F.when(F.col("l_returnflag") == "R", "opencitations").otherwise("openalex").alias("source_api"),
             "citation_date",
             ((F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 10 + F.col("k")) * 1_000_000 + F.col("l_partkey")).alias("seq"),
         )
+        return materialise(rows, "citations")
 
     @cached_property
     def seed_records(self) -> DataFrame:
@@ -89,4 +91,30 @@ class Fixture:
     @cached_property
     def scoped_edges(self) -> DataFrame:
         """All citations with a depth, also those whose source is outside the frontier, and some of a stale target."""
-        return graph.level_edges(self.raw_citations, self.frontier, 3)
+        return materialise(graph.level_edges(self.raw_citations, self.frontier, 3), "scoped-edges")
+
+    @cached_property
+    def dated(self) -> DataFrame:
+        """(seed, citing node) pairs of both hops with whether they come after the notice."""
+        return materialise(metrics.dated_pairs(metrics.seed_pairs(self.canonical, self.edges, self.frontier), self.canonical, self.works), "dated-pairs")
+
+    @cached_property
+    def measured(self) -> DataFrame:
+        return materialise(metrics.of_pairs(self.canonical, self.dated), "seed-metrics")
+
+    @cached_property
+    def paired(self) -> DataFrame:
+        """Seeds with their matched controls and both shares."""
+        found = control.match(control.seed_frame(self.seed_rows, self.edges, self.works), control.pool(self.edges, self.frontier, self.works))
+        return materialise(control.pairs(found, self.edges, self.works), "matched-pairs")
+
+
+_fixtures: dict[tuple[str, str], Fixture] = {}
+
+
+def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
+    """The derived tables of a folder, one for each application, so that its queries share them."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _fixtures:
+        _fixtures[key] = Fixture(spark, sf_dir)
+    return _fixtures[key]

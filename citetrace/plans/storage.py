@@ -7,18 +7,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-#: Temporary folders of applications that name none.
+#: Temporary folders of applications that name none, and the folders that each application has written and not released.
 _own: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset on one machine (tests) a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = current.get() if current.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors and the driver share")
         key = spark.sparkContext.applicationId
         if key not in _own:
             _own[key] = "file://" + tempfile.mkdtemp(prefix="citetrace-")
@@ -31,4 +33,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written(spark: SparkSession) -> list[str]:
+    """The folders that this application has written and not released, oldest first."""
+    return list(_made.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, keep: list[str] = ()) -> None:
+    """Delete the folders that this application has written, but for those to keep. What reads them must have been written out before."""
+    stay = []
+    for path in written(spark):
+        if path in keep:
+            stay.append(path)
+        else:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _made[spark.sparkContext.applicationId] = stay

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citetrace.functions.identifiers import xml_text
+from citetrace.operators.ordered import running
 from citetrace.plans.storage import shared_dir
 
 
@@ -31,29 +32,36 @@ def _data(key: str, c: Column) -> Column:
     return F.when(F.coalesce(value, F.lit("")) == "", "").otherwise(F.concat(F.lit(f'<data key="{key}">'), xml_text(value), F.lit("</data>")))
 
 
-def node_lines(nodes: DataFrame, keys: tuple[str, ...] = ("title", "depth", "publication_year", "topic_name")) -> DataFrame:
-    """(ord, line): a GraphML element for each node; empty values have no data element."""
-    line = F.concat(F.lit('<node id="'), xml_text(F.col("node_id")), F.lit('">'), *[_data(k, F.col(k)) for k in keys], F.lit("</node>"))
+# Attributes of the graph file, with their types.
+NODE_KEYS = (("depth", "int"), ("doi", "string"), ("title", "string"), ("publication_year", "int"), ("work_type", "string"), ("source_name", "string"), ("topic_domain", "string"), ("topic_name", "string"))
+EDGE_KEYS = (("depth", "int"), ("source_api", "string"), ("citation_date", "string"))
+HEAD = (
+    '<?xml version="1.0" encoding="UTF-8"?>',
+    '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">',
+    *(f'<key id="n_{k}" for="node" attr.name="{k}" attr.type="{t}"/>' for k, t in NODE_KEYS),
+    *(f'<key id="e_{k}" for="edge" attr.name="{k}" attr.type="{t}"/>' for k, t in EDGE_KEYS),
+    '<graph id="G" edgedefault="directed">',
+)
+TAIL = ("</graph>", "</graphml>")
+
+
+def node_lines(nodes: DataFrame) -> DataFrame:
+    """(ord, line): a GraphML element for each node; null and empty values have no data element."""
+    line = F.concat(F.lit('<node id="'), xml_text(F.col("node_id")), F.lit('">'), *[_data(f"n_{k}", F.col(k)) for k, _ in NODE_KEYS], F.lit("</node>"))
     return nodes.select(F.col("node_id").alias("ord"), line.alias("line"))
 
 
 def numbered(edges: DataFrame) -> DataFrame:
-    """``edges`` with n from 1 in (source_id, target_id) order: ordered stretches count apart, offsets come from their sizes."""
-    from pyspark.sql import Window
-
-    e = edges.withColumn("_r", F.substring("source_id", 1, 3))
-    size = e.groupBy("_r").agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offset = size.select("_r", before.alias("_b"))
-    own = F.row_number().over(Window.partitionBy("_r").orderBy("source_id", "target_id"))
-    return e.join(offset, "_r").withColumn("n", (F.col("_b") + own).cast("long")).drop("_r", "_b")
+    """``edges`` with n from 1 in (source_id, target_id) order."""
+    placed = running(edges, [F.col("source_id"), F.col("target_id")], F.lit(1), "_n")
+    return placed.withColumn("n", (F.col("_n") + 1).cast("long")).drop("_n")
 
 
 def edge_lines(edges: DataFrame) -> DataFrame:
     """(ord, line): a GraphML element for each edge, ids e1, e2, … in (source, target) order."""
     line = F.concat(
         F.lit('<edge id="e'), F.col("n").cast("string"), F.lit('" source="'), xml_text(F.col("source_id")), F.lit('" target="'), xml_text(F.col("target_id")), F.lit('">'),
-        _data("depth", F.col("depth")), _data("source_api", F.col("source_api")), F.lit("</edge>"),
+        *[_data(f"e_{k}", F.col(k)) for k, _ in EDGE_KEYS], F.lit("</edge>"),
     )
     return numbered(edges).select(F.concat(F.lit("e"), F.lpad(F.col("n").cast("string"), 19, "0")).alias("ord"), line.alias("line"))
 
@@ -61,21 +69,30 @@ def edge_lines(edges: DataFrame) -> DataFrame:
 def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(section, ord, line) of a whole GraphML file; sections 1 and 4 are its head and tail."""
     spark = nodes.sparkSession
-    head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '<graph id="G" edgedefault="directed">']
-    rows = [(1, str(i), x) for i, x in enumerate(head)] + [(4, "0", "</graph>"), (4, "1", "</graphml>")]
+    rows = [(section, f"{i:02d}", x) for section, lines in ((1, HEAD), (4, TAIL)) for i, x in enumerate(lines)]
     frame = spark.createDataFrame(rows, "section int, ord string, line string")
     return frame.unionByName(node_lines(nodes).withColumn("section", F.lit(2))).unionByName(edge_lines(edges).withColumn("section", F.lit(3)))
 
 
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Gzip text parts whose concatenation, in part order, is the GraphML file."""
-    graphml(nodes, edges).repartitionByRange("section", "ord").sortWithinPartitions("section", "ord").select("line").write.option("compression", "gzip").text(path)
+    """Gzip text parts whose concatenation, in part order, is the GraphML file, and ``<path>.manifest`` with what the parts hold."""
+    lines = graphml(nodes, edges)
+    lines.repartitionByRange("section", "ord").sortWithinPartitions("section", "ord").select("line").write.option("compression", "gzip").text(path)
+    spark = nodes.sparkSession
+    kind = F.ltrim("value")
+    back = spark.read.text(path).agg(F.count_if(kind.startswith("<node ")).alias("node_count"), F.count_if(kind.startswith("<edge ")).alias("edge_count"))
+    back.write.json(f"{path}.manifest")
 
 
-def manifest(nodes: DataFrame, edges: DataFrame, lines: DataFrame) -> DataFrame:
-    """One row: nodes and edges expected, and written as lines."""
-    written = lines.agg(F.count_if(F.col("section") == 2).alias("written_nodes"), F.count_if(F.col("section") == 3).alias("written_edges"))
-    return nodes.agg(F.count("*").alias("expected_nodes")).crossJoin(edges.agg(F.count("*").alias("expected_edges"))).crossJoin(written)
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """One row: node_count and edge_count of a written graph."""
+    return spark.read.schema("node_count long, edge_count long").json(f"{path}.manifest")
+
+
+def manifest(nodes: DataFrame, edges: DataFrame, written: DataFrame) -> DataFrame:
+    """One row: nodes and edges expected, and those of a written manifest."""
+    expected = nodes.agg(F.count("*").alias("expected_nodes")).crossJoin(edges.agg(F.count("*").alias("expected_edges")))
+    return expected.crossJoin(written.select(F.col("node_count").alias("written_nodes"), F.col("edge_count").alias("written_edges")))
 
 
 def row_json(rows: DataFrame) -> DataFrame:
@@ -83,14 +100,15 @@ def row_json(rows: DataFrame) -> DataFrame:
 
 
 def group_fingerprint(rows: DataFrame, group: str, member: str) -> DataFrame:
-    """Order-independent hash of each group's distinct members."""
-    return rows.groupBy(group).agg(F.sha2(F.array_join(F.array_sort(F.collect_set(member)), "\n"), 256).alias("fingerprint"))
+    """Order-independent hash of each group's distinct members: their number and the sum of their hashes, so no group is held whole."""
+    each = rows.select(group, F.col(member).alias("_m")).distinct()
+    part = F.conv(F.substring(F.sha2(F.col("_m"), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    summed = each.groupBy(group).agg(F.count("*").alias("n"), F.sum(part).alias("s"))
+    return summed.select(group, F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("s").cast("string")), 256).alias("fingerprint"))
 
 
 def id_batches(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """(batch, ids): ids in order, ``size`` to a batch, batches within ranges of first letters so no task holds all."""
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy(F.substring(key, 1, 4)).orderBy(key)) - 1
-    tagged = rows.select(F.substring(key, 1, 4).alias("range"), F.floor(place / size).alias("batch"), F.col(key).alias("id"))
-    return tagged.groupBy("range", "batch").agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"))
+    """(batch, ids): distinct batches of ``size`` ids in their order, the last one of the rest."""
+    placed = running(rows.select(F.col(key).alias("id")), [F.col("id")], F.lit(1), "_n")
+    tagged = placed.select(F.floor(F.col("_n") / size).cast("long").alias("batch"), "id")
+    return tagged.groupBy("batch").agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"))  # ``size`` ids a group

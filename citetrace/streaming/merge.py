@@ -11,13 +11,25 @@ from pyspark.sql import functions as F
 from citetrace.operators.graph import merge_edges
 
 
+#: Parts of the edges, by a hash of the target: a batch rewrites those that it touches.
+BUCKETS = 16
+
+
 def ingest(spark: SparkSession, inbox: str, folder: str, schema: str, max_files: int = 2) -> DataFrame:
-    """Take all waiting files of ``inbox`` and return the edges so far. Snapshots and the checkpoint are below ``folder``."""
+    """Take all waiting files of ``inbox`` and return the edges so far. The edges and the checkpoint are below ``folder``.
+
+    A batch writes new versions of the parts that it touches; older ones go once a later batch needs them no more, so a retry finds what it began with.
+    """
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        before = latest(spark, folder, epoch)
-        rows = batch if before is None else before.unionByName(batch)
-        merge_edges(rows).write.mode("overwrite").parquet(f"{folder}/edges/{epoch:012d}")  # a retry writes the same
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64("target_id"), F.lit(BUCKETS)).cast("int"))
+        touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS
+        have = {b: e for b, e in _newest(spark, folder, epoch).items() if b in touched}
+        if have:
+            before = spark.read.parquet(*[_path(folder, e, b) for b, e in have.items()])
+            rows = rows.unionByName(before.withColumn("bucket", F.pmod(F.xxhash64("target_id"), F.lit(BUCKETS)).cast("int")))
+        merge_edges(rows).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/edges/{epoch:012d}")  # a retry writes the same
+        _drop_older(spark, folder, epoch)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(inbox)
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
@@ -26,15 +38,37 @@ def ingest(spark: SparkSession, inbox: str, folder: str, schema: str, max_files:
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def latest(spark: SparkSession, folder: str, below: int | None = None) -> DataFrame | None:
-    """The newest snapshot, or the newest before batch ``below``."""
+def _path(folder: str, epoch: int, bucket: int) -> str:
+    return f"{folder}/edges/{epoch:012d}/bucket={bucket}"
+
+
+def _versions(spark: SparkSession, folder: str) -> list[tuple[int, int]]:
+    """(bucket, batch) of all written parts."""
     root = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/edges")
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(root):
-        return None
-    names = sorted(str(s.getPath().getName()) for s in fs.listStatus(root))
-    names = [n for n in names if n.isdigit() and (below is None or int(n) < below)]
-    return spark.read.parquet(f"{folder}/edges/{names[-1]}") if names else None
+        return []
+    parts = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/edges/*/bucket=*")) or []
+    return sorted((int(s.getPath().getName().split("=")[1]), int(s.getPath().getParent().getName())) for s in parts)
+
+
+def _newest(spark: SparkSession, folder: str, below: int | None = None) -> dict[int, int]:
+    """The newest batch of each part, or the newest before batch ``below``."""
+    return {bucket: epoch for bucket, epoch in _versions(spark, folder) if below is None or epoch < below}
+
+
+def _drop_older(spark: SparkSession, folder: str, epoch: int) -> None:
+    needed = _newest(spark, folder, epoch)
+    for bucket, at in _versions(spark, folder):
+        if at < epoch and at != needed[bucket]:
+            p = spark._jvm.org.apache.hadoop.fs.Path(_path(folder, at, bucket))
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def latest(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The edges of the newest version of each part."""
+    newest = _newest(spark, folder)
+    return spark.read.parquet(*[_path(folder, e, b) for b, e in newest.items()]) if newest else None
 
 
 def clear_failures(metadata: DataFrame, succeeded: DataFrame, prefix: str) -> DataFrame:

@@ -3,8 +3,9 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from citetrace.operators import control, graph, metrics, quality, seeds, stats
+from citetrace.operators import control, graph, metadata, metrics, quality, seeds, stats
 from citetrace.operators.components import connected_components
+from citetrace.operators.ordered import running
 from citetrace.sources import readers, sinks
 from citetrace.streaming import merge
 
@@ -37,8 +38,16 @@ def test_toy_metrics(spark):
     assert [m["S2"][c] for c in metrics.COUNTS] == [1, 1, 2, 1, 1]
     b = by_node(metrics.bridges(edges, frontier, works))
     assert {k: (r.cited_seeds, r.depth2_citers) for k, r in b.items()} == {"D1A": (1, 1), "D1B": (1, 0), "D1C": (1, 1)}
-    h = metrics.headline(seeds.canonical(records), edges, frontier, works, metrics.seed_metrics(seeds.canonical(records), edges, frontier, works)).first()
-    assert (h.edges, h.edges_depth1, h.edges_depth2, h.unique_post_direct, h.unique_post_depth2) == (5, 3, 2, 2, 2)
+    canonical = seeds.canonical(records)
+    dated = metrics.dated_pairs(metrics.seed_pairs(canonical, edges, frontier), canonical, works)
+    meta = spark.createDataFrame([("pipeline_mode", "toy")], "key string, value string")
+    expected = spark.createDataFrame([("D1A", 1), ("D1B", 3)], "node_id string, expected long")
+    h = metrics.headline(records, records.limit(0), meta, edges, frontier, works, dated, metrics.of_pairs(canonical, dated), edges, expected).first()
+    assert (h.total_edges, h.depth1_edges, h.depth2_edges, h.direct_unique_nodes, h.depth2_unique_nodes) == (5, 3, 2, 2, 2)
+    assert (h.depth1_distinct_sources, h.depth1_distinct_targets, h.depth2_distinct_sources, h.depth2_distinct_targets) == (3, 2, 2, 2)
+    assert (h.seed_papers, h.reach_median, h.reach_max, h.zero_reach_n, h.pipeline_mode, h.oc_access_date) == (2, 2.5, 3, 0, "toy", "unknown")
+    assert (h.exact_parents, h.undercount_parents, h.overcount_parents, h.net_delta_citations) == (1, 1, 1, -2)  # D1C is found, not expected
+    assert (h.zero_count_pruned, h.stale_edges_deleted) == (1, 0)
 
 
 def test_rules_that_separate(spark):
@@ -102,31 +111,103 @@ def test_components(spark):
 
 
 def test_dual_edges_and_caps(spark):
-    c = spark.createDataFrame([("10.citer/x", None, "10.other/y", "doi:10.seed/a", None)], "citing_doi string, citing_pmid string, cited_doi string, parent_id string, creation_date date")
-    assert {r.target_id for r in graph.citation_edges(c, 1).collect()} == {"doi:10.other/y", "doi:10.seed/a"}
-    cites = spark.createDataFrame([(f"c{i}", p) for p in ("p1", "p2", "p3") for i in range({"p1": 3, "p2": 5, "p3": 2}[p])], "source_id string, target_id string")
-    frontier = spark.createDataFrame([(p, 1) for p in ("p1", "p2", "p3")], "node_id string, depth int")
-    assert {r.parent_id for r in graph.capped_level(cites, frontier, 1, 4).collect()} == {"p1", "p2"}
-    assert {r.parent_id for r in graph.capped_level(cites, frontier, 1, 3).collect()} == {"p1"}
+    c = spark.createDataFrame([("10.5555/one", None, "10.5555/cited", "doi:10.5555/asked", None), (None, "77", None, "doi:10.5555/asked", D(2020, 5, 1)), (None, None, "10.5555/cited", "doi:10.5555/asked", None)], "citing_doi string, citing_pmid string, cited_doi string, parent_id string, creation_date date")
+    assert {(r.source_id, r.target_id) for r in graph.citation_edges(c, 1).collect()} == {("doi:10.5555/one", "doi:10.5555/cited"), ("doi:10.5555/one", "doi:10.5555/asked"), ("pmid:77", "doi:10.5555/asked")}
+    nodes = by_node(graph.citation_nodes(c, spark.createDataFrame([("pmid:77",)], "node_id string"), 2))
+    assert {k: (r.depth, r.is_retracted) for k, r in nodes.items()} == {"doi:10.5555/one": (2, False), "pmid:77": (2, True)}
+    many = {"doi:10.1/a": 4, "doi:10.1/b": 6, "doi:10.1/c": 1}
+    cites = spark.createDataFrame([(f"n{p}{i}", p) for p, n in many.items() for i in range(n)], "source_id string, target_id string")
+    frontier = spark.createDataFrame([(p, 1) for p in many], "node_id string, depth int")
+    for cap, want in ((4, {"doi:10.1/a"}), (5, {"doi:10.1/a", "doi:10.1/b"}), (10, {"doi:10.1/a", "doi:10.1/b"}), (11, set(many))):
+        assert {r.parent_id for r in graph.capped_level(cites, frontier, 1, cap).collect()} == want
+
+
+def test_ranges_of_ids_with_a_common_prefix(spark):
+    ids = [f"doi:10.{1000 + i % 7}/x{i:04d}" for i in range(1000)]
+    rng = random.Random(5)
+    rng.shuffle(ids)
+    rows = spark.createDataFrame([(i, rng.randrange(5)) for i in ids], "id string, v long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = running(rows, [F.col("id")], F.col("v"), "before").withColumn("task", F.spark_partition_id()).orderBy("id").collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    total = 0
+    for r in got:
+        assert r.before == total
+        total += r.v
+    assert len({r.task for r in got}) > 1
+    batches = sinks.id_batches(rows, "id", 64).orderBy("batch").collect()
+    assert [r.batch for r in batches] == list(range(16)) and [x for r in batches for x in r.ids.split(",")] == sorted(ids)
+    edges = spark.createDataFrame([(a, b) for a, b in zip(ids, ids[1:], strict=False)], "source_id string, target_id string")
+    assert [r.n for r in sinks.numbered(edges).orderBy("source_id", "target_id").collect()] == list(range(1, 1000))
+    assert running(rows.limit(0), [F.col("id")], F.col("v"), "before").count() == 0
 
 
 def test_matching(spark):
     import math
 
-    pool = [("c1", 2020, 1), ("c2", 2020, 10), ("c3", 2020, 100), ("c4", 2020, 1000), ("c5", 2020, 10000), ("a", 2019, 5), ("b", 2019, 50)]
-    want = [("s1", 2020, 90), ("s2", 2020, 5), ("s3", 2019, 6), ("s4", 2021, 6)]
-    p = spark.createDataFrame(pool, "node_id string, year int, indeg long")
-    s = spark.createDataFrame(want, "node_id string, year int, indeg long")
-    got = {r.node_id: r.control_id for r in control.match(s, p).collect()}
-    assert got == {"s1": "c3", "s2": "c2", "s3": "a"}
+    schema = "node_id string, year int, indeg long"
+    pool = [("k1", 2015, 2), ("k2", 2015, 2), ("k3", 2015, 20), ("k4", 2015, 300), ("k5", 2015, 300), ("k6", 2015, 300), ("only", 2012, 9)]
+    want = [("at_top", 2015, 300), ("above", 2015, 9000), ("below", 2015, 1), ("tie_low", 2015, 2), ("near", 2015, 25), ("one", 2012, 500), ("none", 2013, 5)]
+    found = by_node(control.match(spark.createDataFrame(want, schema), spark.createDataFrame(pool, schema)))
+    # at or beyond the largest the last but one of the sorted pool, below the least the first; of equal in-degrees below the last id
+    assert {k: r.control_id for k, r in found.items()} == {"at_top": "k5", "above": "k5", "below": "k1", "tie_low": "k2", "near": "k3", "one": "only"}
+    moved = by_node(control.match(spark.createDataFrame([("up", 2015, 25)], schema), spark.createDataFrame(pool, schema), jitter=2.0))
+    assert moved["up"].control_id == "k4" and abs(moved["up"].distance - abs(math.log1p(25) + 2 - math.log1p(300))) < 1e-9
     rng = random.Random(8)
     pool = [(f"p{i:03}", 2000 + i % 3, rng.randrange(1, 12)) for i in range(90)]
     want = [(f"s{i:03}", 2000 + i % 3, rng.randrange(0, 15)) for i in range(60)]
-    got = {r.node_id: r.distance for r in control.match(spark.createDataFrame(want, "node_id string, year int, indeg long"), spark.createDataFrame(pool, "node_id string, year int, indeg long")).collect()}
+    got = {r.node_id: r.distance for r in control.match(spark.createDataFrame(want, schema), spark.createDataFrame(pool, schema)).collect()}
     for n, y, d in want:
         assert abs(got[n] - min(abs(math.log1p(q) - math.log1p(d)) for _, yy, q in pool if yy == y)) < 1e-9
 
 
+def test_levels_of_two_sources(spark):
+    first = spark.createDataFrame([("b", "a", D(2020, 1, 1), 1), ("c", "b", D(2021, 1, 1), 2), ("a", "a", None, 3)], "source_id string, target_id string, citation_date date, seq long")
+    works = spark.createDataFrame([("b", ["a", "z"]), ("d", ["a"]), ("e", ["d", "b"]), ("f", ["z"])], "node_id string, referenced_works array<string>")
+    roots = spark.createDataFrame([("a",), (None,)], "node_id string")
+    nodes, edges = graph.hybrid_crawl(first, works, roots, 2)
+    assert {r.node_id: r.depth for r in nodes.collect()} == {"a": 0, "b": 1, "d": 1, "c": 2, "e": 2}
+    assert {(r.source_id, r.target_id, r.depth, r.source_api) for r in edges.collect()} == {
+        ("b", "a", 1, "opencitations"), ("d", "a", 1, "openalex"), ("c", "b", 2, "opencitations"), ("e", "d", 2, "openalex"), ("e", "b", 2, "openalex")
+    }
+    stored, hits = graph.page_store(works, roots, 1)
+    assert {r.node_id for r in stored.collect()} == {"b", "d", "e", "f"} and hits.count() == 2
+    frontier = nodes.withColumn("processed", F.lit(False))
+    done = graph.mark_processed(frontier, spark.createDataFrame([("b",), ("nowhere",)], "node_id string"))
+    assert [r.node_id for r in graph.pending(done, 1).collect()] == ["d"] and graph.pending(frontier, 1, 1).count() == 1
+    failed = spark.createDataFrame([("d",)], "node_id string")
+    pairs = edges.select("source_id", "target_id")
+    assert tuple(graph.level_stats(pairs, nodes, 1, failed=failed).first()) == (2, 1, 1, 0, 2, 2, 2)
+    assert tuple(graph.level_stats(pairs, nodes, 1, expandable="node_id <> 'b'").first()) == (2, 1, 0, 1, 1, 1, 1)
+    assert tuple(graph.build(nodes, edges.select("source_id", F.when(F.col("target_id") == "d", "gone").otherwise(F.col("target_id")).alias("target_id"))).first()) == (5, 5, 0, 1)
+
+
+def test_metadata(spark):
+    kv = "key string, value string, seq long"
+    old = spark.createDataFrame([("a", "1"), ("b", "2")], "key string, value string")
+    new = metadata.put(old, spark.createDataFrame([("b", "3", 2), ("b", "4", 1), ("c", None, 1)], kv))
+    assert {r.key: r.value for r in new.collect()} == {"a": "1", "b": "3", "c": None}
+    asked = spark.createDataFrame([("a",), ("c",), ("x",), ("x",)], "key string")
+    assert {r.key: r.value for r in metadata.get(metadata.delete(new, asked.where("key = 'a'")), asked, "-").collect()} == {"a": "-", "c": "-", "x": "-"}
+    failures = spark.createDataFrame([("failed:a", "x"), ("failed:b", "x"), ("mode", "x")], "key string, value string")
+    assert {r.key for r in merge.clear_failures(failures, spark.createDataFrame([("a",)], "node_id string"), "failed:").collect()} == {"failed:b", "mode"}
+    one = spark.createDataFrame([("/in/rw_20240102T030405Z.csv", D(2024, 3, 1))], "path string, today date")
+    assert {r.key: r.value for r in metadata.provenance(one, F.col("path"), "m", F.col("today")).collect()} == {
+        "pipeline_mode": "m", "rw_snapshot_date": "20240102T030405Z", "oc_access_date": "2024-03-01", "openalex_access_date": "not used"
+    }
+
+
+def test_resolution(spark):
+    s = [("r1", "10.1/a", None, "One", "A B"), ("r2", None, "9", "Two", "A B"), ("r3", None, None, "Three", "A Smith"), ("r4", None, None, "Nowhere", None), ("r5", "10.1/none", None, None, None)]
+    rows = spark.createDataFrame(s, "record_id string, original_doi string, original_pmid string, title string, author string")
+    works = spark.createDataFrame([("W1", "10.1/a", None, "x", ["q"], 1), ("W2", None, "9", "y", ["q"], 1), ("W3", None, None, "three!", ["J Jones"], 1), ("W4", None, None, "Three", ["K Smith"], 2)], "node_id string, doi string, pmid string, title string, authors array<string>, rank int")
+    got = {r.record_id: (r.resolved_node, r.resolved_by, r.status) for r in seeds.resolve(rows, works).collect()}
+    assert got == {"r1": ("W1", "doi", "resolved"), "r2": ("W2", "pmid", "resolved"), "r3": ("W4", "title_author", "resolved"), "r4": (None, "all", "not_found"), "r5": (None, "all", "not_found")}
+    assert tuple(seeds.resolve_stats(seeds.resolve(rows, works)).first()) == (3, 2, 0, 5)
+    exact = seeds.resolve(rows, works, title_fallback=False)
+    assert {r.status for r in exact.collect() if r.record_id > "r2"} == {"pending_title_fallback"} and seeds.resolve(rows, works, limit=2).count() == 2
+
+
 def test_statistics(spark):
     rng = random.Random(1)
     x = [rng.randrange(0, 40) for _ in range(200)]
@@ -149,16 +230,31 @@ def test_checks(spark):
     assert quality.required_metadata(spark, meta.limit(0)).first().status == "fail"
     assert quality.frontier_processed(pending, 2).first().status == "fail"
     records, *_ = toy(spark)
-    assert quality.duplicate_canonical(seeds.canonical(records)).first().status == "pass"
+    assert quality.duplicate_canonical(seeds.canonical(records), records).first().status == "pass"
+    part = quality.required_metadata(spark, meta.where("key in ('pipeline_mode', 'oc_access_date')")).first()
+    assert part.observed == "oc_access_date;pipeline_mode" and part.expected == ";".join(quality.REQUIRED) and part.details.startswith("Missing: rw_snapshot_date;opencitations_seed_stats")
+    counted = spark.createDataFrame([(3, 2, 3, 1)], "expected_nodes long, expected_edges long, written_nodes long, written_edges long")
+    assert quality.manifest_matches(counted).first().status == "fail"
+
+
+def test_outputs_exist(spark, tmp_path):
+    spark.range(2).write.parquet(f"file://{tmp_path}/full")
+    spark.range(0).write.parquet(f"file://{tmp_path}/empty")
+    got = quality.outputs_exist(spark, {n: f"file://{tmp_path}/{n}" for n in ("full", "empty", "none")}).collect()
+    assert {r.check_name: r.status for r in got} == {"output_exists:full": "pass", "output_exists:empty": "fail", "output_exists:none": "fail"}
 
 
 def test_notice_rows(spark):
-    names = ["Record ID", "Title", "RetractionNature", "RetractionDate", "OriginalPaperDOI", "OriginalPaperPubMedID"]
-    rows = [("R1", "t", "Retraction", "1/21/2026 0:00", "https://doi.org/10.1000/ABC123", "12345"), ("R2", "t", "Correction", "2/14/2025 0:00", "Unavailable", "0"), ("R3", "t", "Expression of concern", "3/7/2026 0:00", "10.2000/xyz-789", "67890"), (" ", "t", "Retraction", None, None, None)]
-    got = {r.record_id: (str(r.notice_date), r.original_doi, r.original_pmid) for r in seeds.from_notices(spark.createDataFrame(rows, names)).collect()}
-    assert got == {"R1": ("2026-01-21", "10.1000/abc123", "12345"), "R3": ("2026-03-07", "10.2000/xyz-789", "67890")}
-    other = spark.createDataFrame([("R7", "Retraction")], ["RecordID", "RetractionNature"])
-    assert seeds.from_notices(other).first().record_id == "R7"
+    names = ["Record ID", "RecordID", "Title", "RetractionNature", "RetractionDate", "OriginalPaperDOI", "OriginalPaperPubMedID"]
+    rows = [
+        (" 501 ", None, "t", "Retraction", "11/30/2018 0:00", "HTTPS://DX.DOI.ORG/10.4321/QrS.5", "PMID 8080"),
+        (None, "502", "t", "Reinstatement; Expression of Concern", "2019/2/3", "unavailable", "0"),
+        ("", "503", "t", "Retraction", "", None, None),
+        ("504", None, "t", "Correction", "12/1/2018", None, None),
+        (" ", " ", "t", "Retraction", None, None, None),
+    ]
+    got = {r.record_id: (str(r.notice_date), r.original_doi, r.original_pmid) for r in seeds.from_notices(spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))).collect()}
+    assert got == {"501": ("2018-11-30", "10.4321/qrs.5", "8080"), "502": ("2019-02-03", None, None), "503": ("None", None, None)}
 
 
 def test_nested_works(spark):
@@ -175,11 +271,21 @@ def test_graphml_file(spark, tmp_path):
     import gzip
 
     records, edges, works, frontier = toy(spark)
-    nodes = graph.induced_nodes(frontier, works.withColumn("topic_name", F.lit(None).cast("string")), 2)
+    rest = {k: F.lit("a & b" if k == "doi" else None).cast("string") for k, _ in sinks.NODE_KEYS if k not in ("depth", "title", "publication_year")}
+    nodes = graph.induced_nodes(frontier, works.withColumns(rest), 2)
+    edges = edges.withColumn("citation_date", F.lit(date(2020, 2, 3)))
     sinks.write_graphml(nodes, edges, f"file://{tmp_path}/g")
     text = "".join(gzip.open(p, "rt").read() for p in sorted((tmp_path / "g").glob("*.gz")))
     lines = text.splitlines()
     assert lines[0].startswith("<?xml") and lines[-1] == "</graphml>" and sum("<node" in x for x in lines) == 7 and sum("<edge" in x for x in lines) == 5
+    import xml.etree.ElementTree as xml
+
+    ns = {"g": "http://graphml.graphdrawing.org/xmlns"}
+    root = xml.fromstring(text)
+    keys = {k.get("id") for k in root.findall("g:key", ns)}
+    used = {d.get("key") for d in root.iter(f"{{{ns['g']}}}data")}
+    assert used == {"n_depth", "n_doi", "n_title", "n_publication_year", "e_depth", "e_source_api", "e_citation_date"} < keys and len(keys) == 11
+    assert tuple(sinks.read_manifest(spark, f"file://{tmp_path}/g").first()) == (7, 5)
 
 
 def test_streamed_edges_do_not_depend_on_batches(spark, tmp_path):
@@ -193,6 +299,8 @@ def test_streamed_edges_do_not_depend_on_batches(spark, tmp_path):
         df.repartition(parts, "seq").write.parquet(f"{base}/inbox")
         assert {tuple(r) for r in merge.ingest(spark, f"{base}/inbox", base, schema, files).collect()} == want
         assert {tuple(r) for r in merge.ingest(spark, f"{base}/inbox", base, schema, files).collect()} == want
+        kept = list((tmp_path / str(parts) / "edges").glob("*/bucket=*"))
+        assert len(kept) <= 2 * merge.BUCKETS  # what a retry needs, not every batch
 
 
 def test_result_csv_may_be_missing(spark, tmp_path):
