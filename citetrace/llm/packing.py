@@ -3,7 +3,7 @@
 Pieces of documents are dealt to blocks by a hash, a few thousand each, so a block is small at any input size.
 Each block is evolved on several islands (Spark rows of their own); between two epochs every island gets the
 best packing of its neighbour. Crossover injects whole well-filled bins of one parent into the other, removes
-the bins that hold the same pieces, and best-fits what was displaced. Badly filled bins of all blocks are
+the bins that hold the same pieces, swaps displaced pieces for smaller ones of bins that they fill better, and best-fits the rest. Badly filled bins of all blocks are
 opened again and packed together in the next level, until too few are left to matter.
 """
 
@@ -157,6 +157,26 @@ def best_fit(items: list[int], size: list[int], bins: list[list[int]], left: lis
                 bisect.insort(order, (g - s, b))
 
 
+def exchange(size: list[int], bins: list[list[int]], left: list[int], displaced: list[int]) -> list[int]:
+    """Swap items of ``bins`` for larger displaced ones that still fit; what is displaced then, smaller and so easier to place."""
+    pool = sorted((size[i], i) for i in displaced)
+    for k in sorted(range(len(bins)), key=lambda k: left[k]):
+        while left[k] and pool:
+            best = None  # the swap that leaves the least free
+            for at, x in enumerate(bins[k]):
+                j = bisect.bisect_right(pool, (size[x] + left[k], 1 << 60)) - 1
+                if j >= 0 and pool[j][0] > size[x] and (best is None or pool[j][0] - size[x] > best[0]):
+                    best = pool[j][0] - size[x], at, j
+            if best is None:
+                break
+            gain, at, j = best
+            (_, i), x = pool.pop(j), bins[k][at]
+            bins[k][at] = i
+            left[k] -= gain
+            bisect.insort(pool, (size[x], x))
+    return [i for _, i in pool]
+
+
 def _score(bins: list[list[int]], left: list[int], capacity: int) -> tuple[int, float]:
     return -len(bins), sum(((capacity - g) / capacity) ** 2 for g in left)
 
@@ -176,7 +196,7 @@ def evolve(size: list[int], capacity: int, seed: int, elites: list[list[int]], g
             bins[b].append(i)
         add(bins, [capacity - sum(size[i] for i in b) for b in bins])
     while len(people) < population:
-        noise = 0.0 if not people else 0.02 * len(people)
+        noise = 0.0 if not people else 0.1 * len(people)
         key = [s * (1 + noise * rng.random()) for s in size]
         bins, left = [], []
         best_fit(sorted(range(n), key=lambda i: (-key[i], i)), size, bins, left, capacity)
@@ -188,7 +208,7 @@ def evolve(size: list[int], capacity: int, seed: int, elites: list[list[int]], g
         if len(people[0][1]) <= fewest or len(people) < 2:
             break
         (_, a, a_left), (_, b, b_left) = people[0], people[rng.randrange(1, len(people))]
-        full = sorted(range(len(b)), key=lambda k: b_left[k])[: max(1, len(b) // 3)]
+        full = sorted(range(len(b)), key=lambda k: b_left[k])[: max(1, len(b) // 2)]
         inject = rng.sample(full, max(1, len(full) // 2))
         placed = {i for k in inject for i in b[k]}
         bins, left = [list(b[k]) for k in inject], [b_left[k] for k in inject]
@@ -200,9 +220,10 @@ def evolve(size: list[int], capacity: int, seed: int, elites: list[list[int]], g
             else:
                 displaced += [i for i in items if i not in placed]
         # open the worst bins as well, so that a change is possible
-        for k in sorted(sorted(range(len(bins)), key=lambda k: -left[k])[: max(1, len(bins) // 50)], reverse=True):
+        for k in sorted(sorted(range(len(bins)), key=lambda k: -left[k])[: max(1, len(bins) // 10)], reverse=True):
             displaced += bins.pop(k)
             left.pop(k)
+        displaced = exchange(size, bins, left, displaced)
         best_fit(sorted(displaced, key=lambda i: -size[i]), size, bins, left, capacity)
         add(bins, left)
         people.sort(key=lambda p: p[0], reverse=True)

@@ -12,34 +12,39 @@ from pyspark.sql import functions as F
 from citetrace.plans.storage import materialise
 
 SHARDS = 8
-#: Ordered stretches of each shard that are sorted as tasks of their own.
-PARTS = 8
+#: Rows of an ordered stretch, each sorted as a task of its own; a shard has from 1 to MOST_PARTS of them.
+ROWS_A_PART = 200_000
+MOST_PARTS = 64
 PROBES = 256
-#: A boundary may miss its share of the bytes by this part of a stretch.
-TOLERANCE = 0.002
-MAX_ROUNDS = 24
+#: A boundary of a shard may miss its share of the bytes by this part of a shard, and by EDGE of it to stand at the edge of a group of equal texts.
+TOLERANCE = 0.0002
+EDGE = 0.01
+#: A boundary inside a shard may miss its share by this part of a stretch.
+INNER = 0.25
 
 
-def _bounds(rows: DataFrame, parts: int, tolerance: float) -> list[tuple[int, int]]:
-    """The ``parts - 1`` keys below which lie equal shares of the bytes."""
+def _bounds(rows: DataFrame, shards: int, parts: int, tolerance: float, edge: float) -> list[tuple[int, int]]:
+    """The ``shards * parts - 1`` keys below which lie equal shares of the bytes; each ``parts``-th one is a shard's."""
+    stretches = shards * parts
     total, h0, h1 = rows.agg(F.sum("size"), F.min("h"), F.max("h")).first()
     if not total:
         return []
-    want = {i: total * i // parts for i in range(1, parts)}
+    want = {i: total * i // stretches for i in range(1, stretches)}
     found: dict[int, tuple[int, int]] = {}
     # an open interval of keys: (on hash, low, high) or (on id, hash, low, high), with the bytes below it
     at = {i: (("h", 0, h0, h1), 0) for i in want}
-    near = tolerance * total / parts
-    for _ in range(MAX_ROUNDS):
-        if not at:
-            break
+    outer = lambda i: i % parts == 0
+    near = {i: tolerance * total / shards if outer(i) else INNER * total / stretches for i in want}
+    at_group = {i: max(near[i], edge * total / shards) if outer(i) else near[i] for i in want}
+    probes = max(PROBES, 8 * stretches)  # one span at first, then a few
+    while at:  # each round cuts an interval of keys by the number of probes, so it ends
         spans = sorted({s for s, _ in at.values()})
         bucket = None
         for n, (kind, h, lo, hi) in enumerate(spans):
-            step = max(1, -(-(hi - lo + 1) // PROBES))
+            step = max(1, -(-(hi - lo + 1) // probes))
             col = F.col("h") if kind == "h" else F.col("half")
             inside = col.between(lo, hi) if kind == "h" else (F.col("h") == h) & col.between(lo, hi)
-            probe = F.expr(f"{n * PROBES} + cast(({'h' if kind == 'h' else 'half'} - {lo}L) div {step}L as int)")
+            probe = F.expr(f"{n * probes} + cast(({'h' if kind == 'h' else 'half'} - {lo}L) div {step}L as int)")
             bucket = F.when(inside, probe) if bucket is None else bucket.when(inside, probe)
         seen = (
             rows.select("h", "half", "size", bucket.alias("b"))
@@ -48,36 +53,37 @@ def _bounds(rows: DataFrame, parts: int, tolerance: float) -> list[tuple[int, in
             .agg(F.sum("size"), F.min("h"), F.max("h"), F.min("half"), F.max("half"))
             .orderBy("b")
             .collect()
-        )  # at most PROBES rows for each boundary
+        )  # at most ``probes`` rows for each span
         nxt = {}
         for i, (span, below) in at.items():
             n, sum_ = spans.index(span), below
             for b, size, ha, hb, da, db in seen:
-                if b // PROBES != n:
+                if b // probes != n:
                     continue
-                if sum_ + size <= want[i] and abs(sum_ + size - want[i]) > near:
+                slack = at_group[i] if ha == hb and da != db and span[0] == "h" else near[i]  # a bucket of one text's copies
+                if sum_ + size <= want[i] and abs(sum_ + size - want[i]) > slack:
                     sum_ += size
                     continue
-                if abs(sum_ - want[i]) <= near or (ha == hb and da == db):
+                if abs(sum_ - want[i]) <= slack or (ha == hb and da == db):
                     found[i] = (ha, da)  # this bucket's first key starts the next stretch
-                elif sum_ + size <= want[i] + near:
+                elif sum_ + size <= want[i] + slack:
                     found[i] = (hb, db + 1)  # it ends the stretch
                 else:
                     nxt[i] = (("h", 0, ha, hb) if ha != hb else ("d", ha, da, db), sum_)
                 break
             else:
                 found[i] = (h1 + 1, 0)
-        at = nxt
-    for i, ((kind, h, lo, _), _) in at.items():
-        found[i] = (lo, -(1 << 62)) if kind == "h" else (h, lo)
+        at, probes = nxt, PROBES
     return [found[i] for i in sorted(found)]
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, parts: int = PARTS, tolerance: float = TOLERANCE) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, rows_a_part: int = ROWS_A_PART, tolerance: float = TOLERANCE, edge: float = EDGE) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row; law ``bytes``.
 
     size is the UTF-8 length of the text plus 1; a null text counts as an empty one, a null id as 0.
-    slot runs without gaps from 0 in each shard, in key order. Repeated rows have slots of their own.
+    slot runs without gaps from 0 in each shard, in key order. Repeated rows have slots of their own; an empty table gives no rows; very long texts count
+    whole and other columns are not read. Equal texts share a shard, but for a group that a boundary falls into further from both its ends than
+    ``edge`` of a shard: such a group is cut between two ids, by at most each of the ``shards - 1`` boundaries.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = docs.select(
@@ -88,7 +94,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, parts: int = PARTS, tolerance:
         F.shiftright(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), 2).alias("half"),
     )
     slim = materialise(slim, "shard-keys")
-    bounds = _bounds(slim, shards * parts, tolerance)
+    parts = max(1, min(MOST_PARTS, -(-slim.count() // (rows_a_part * shards))))
+    bounds = _bounds(slim, shards, parts, tolerance, edge)
     limits = F.array(*[F.struct(F.lit(h).cast("long").alias("h"), F.lit(d).cast("long").alias("d")) for h, d in bounds]) if bounds else None
     key = F.struct(F.col("h").alias("h"), F.col("half").alias("d"))
     part = F.size(F.filter(limits, lambda x: x <= key)) if bounds else F.lit(0)

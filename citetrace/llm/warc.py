@@ -2,13 +2,14 @@
 
 A capture is a request, a response (or a revisit of an equal payload) and a metadata record. Archives are gzip
 files that Spark's text writer makes, with the record separator as line separator, so any store that Spark
-writes to will do; they are read through Spark's binary reader, some megabytes a file.
+writes to will do; how many there are follows from their bytes. They are read through Spark's binary reader, unpacked and
+parsed piece by piece, so a task holds a packed archive and one record.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,8 +20,11 @@ from citetrace.plans.storage import materialise
 CRLF = "\r\n"
 #: Smaller payloads are always stored.
 LEAST_REVISIT = 100
-#: Records in an archive.
-RECORDS_A_FILE = 3000
+#: Bytes of payload in an archive, on average.
+BYTES_A_FILE = 32 << 20
+#: Bytes that are unpacked at once, and bytes of payload in a batch of records.
+UNPACKED = 1 << 20
+BATCH_BYTES = 8 << 20
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -41,17 +45,17 @@ def _record(kind: Column, fields: list[tuple[str, Column]], block: Column) -> Co
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """``pages`` with payload, its bytes and digest, and the capture it revisits (null: it is stored)."""
+    """``pages`` with payload, its bytes and digest, and the page and URL of the capture it revisits (null: it is stored)."""
     own = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.regexp_replace(F.col("url").cast("string"), "[\\x00-\\x20\\x7F]", "").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"),
     )
-    slim = own.select("page_id", F.octet_length("payload").alias("n"), F.sha2(F.col("payload").cast("binary"), 256).alias("digest"))
+    slim = own.select("page_id", "url", F.octet_length("payload").alias("n"), F.sha2(F.col("payload").cast("binary"), 256).alias("digest"))
     slim = slim.where(F.col("n") >= LEAST_REVISIT)
-    first = slim.groupBy("digest", "n").agg(F.min("page_id").alias("first"))
-    again = slim.join(first.hint("merge"), ["digest", "n"]).where("page_id > first").select("page_id", F.col("first").alias("revisits")).distinct()
-    return own.join(again.hint("merge"), "page_id", "left").select(
+    first = slim.where("page_id is not null").groupBy("digest", "n").agg(F.min(F.struct("page_id", "url")).alias("first"))
+    again = slim.join(first, ["digest", "n"]).where("page_id > first.page_id").select("page_id", F.col("first").alias("revisits")).distinct()
+    return own.join(again, "page_id", "left").select(  # sizes decide whether the slim side is broadcast
         "*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2(F.col("payload").cast("binary"), 256).alias("payload_digest")
     )
 
@@ -63,8 +67,11 @@ def write(pages: DataFrame, path: str) -> None:
     # rows that repeat are captures of their own
     nth = F.row_number().over(Window.partitionBy("page_id", "url", "payload_digest").orderBy("page_id"))
     c = c.withColumn("nth", nth)
-    response = _urn(page, url, F.col("payload_digest"), F.col("nth"), F.lit("response"))
-    c = c.select("*", response.alias("rid"), F.col("revisits").isNotNull().alias("again"))
+    response = lambda page, url, n: _urn(page, url, F.col("payload_digest"), n, F.lit("response"))
+    c = c.select(
+        "*", response(page, url, F.col("nth")).alias("rid"), F.col("revisits").isNotNull().alias("again"),
+        F.when(F.col("revisits").isNotNull(), response(F.col("revisits.page_id"), F.col("revisits.url"), F.lit(1))).alias("to"),
+    )
     date, target = ("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", url)
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest")))
     http = F.concat(
@@ -77,7 +84,9 @@ def write(pages: DataFrame, path: str) -> None:
             date,
             target,
             digest,
-            ("WARC-Refers-To-Capture", F.col("revisits").cast("string")),
+            ("WARC-Refers-To", F.col("to")),
+            ("WARC-Refers-To-Target-URI", F.col("revisits.url")),
+            ("WARC-Refers-To-Date", F.when(F.col("again"), F.lit(DATE))),
             ("WARC-Profile", F.when(F.col("again"), F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
             ("Content-Type", F.lit("application/http;msgtype=response")),
         ],
@@ -95,31 +104,55 @@ def write(pages: DataFrame, path: str) -> None:
         [("WARC-Record-ID", _urn(F.col("rid"), F.lit("metadata"))), date, target, ("WARC-Concurrent-To", F.col("rid")), ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(F.coalesce(F.concat(F.lit("page-id: "), page.cast("string"), F.lit(CRLF)), F.lit("")), F.lit("payload-bytes: "), F.col("payload_bytes").cast("string"), F.lit(CRLF)),
     )
-    c.select(F.explode(F.array(request, stored, metadata)).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option(
-        "maxRecordsPerFile", RECORDS_A_FILE
-    ).text(path)
+    total = pages.agg(F.sum(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
+    records = c.select(F.explode(F.array(request, stored, metadata)).alias("value"))
+    records = records.repartition(max(1, -(-total // BYTES_A_FILE)))
+    records.write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
 
 
 RECORD = pa.schema(
     [
-        (n, pa.int64() if n in ("page_id", "payload_bytes", "refers_to", "block_bytes") else pa.string())
-        for n in ("record_id", "record_type", "concurrent_to", "url", "digest", "refers_to", "page_id", "block_bytes", "payload_bytes", "payload_digest", "payload")
+        (n, pa.int64() if n in ("page_id", "payload_bytes", "block_bytes") else pa.string())
+        for n in ("record_id", "record_type", "concurrent_to", "url", "digest", "refers_to_id", "page_id", "block_bytes", "payload_bytes", "payload_digest", "payload")
     ]
 )
 
 
-def parse(archive: bytes):
-    """The records of one unpacked archive, as (headers, block)."""
-    at = 0
-    while at < len(archive):
-        head = archive.index(b"\r\n\r\n", at)
-        headers = {}
-        for line in archive[at:head].decode("utf-8", "replace").split(CRLF)[1:]:
-            name, _, value = line.partition(":")
-            headers[name.lower()] = value.strip()
-        n = int(headers["content-length"])
-        yield headers, archive[head + 4 : head + 4 + n]
-        at = head + 4 + n + 4
+def unpack(archive: bytes):
+    """The bytes of all gzip members, piece by piece."""
+    at, unpacker = 0, zlib.decompressobj(31)
+    rest = b""
+    while rest or at < len(archive):
+        if not rest:
+            rest, at = archive[at : at + UNPACKED], at + UNPACKED
+        yield unpacker.decompress(rest, UNPACKED)
+        rest = unpacker.unconsumed_tail
+        if unpacker.eof:
+            rest, unpacker = unpacker.unused_data, zlib.decompressobj(31)
+
+
+def parse(pieces):
+    """The records of an archive that comes in pieces, as (headers, block)."""
+    held, at, need = bytearray(), 0, None
+    for piece in pieces:
+        if at > UNPACKED:
+            del held[:at]
+            at = 0
+        held += piece
+        while True:
+            if need is None:
+                head = held.find(b"\r\n\r\n", at)
+                if head < 0:
+                    break
+                headers = {}
+                for line in held[at:head].decode("utf-8", "replace").split(CRLF)[1:]:
+                    name, _, value = line.partition(":")
+                    headers[name.lower()] = value.strip()
+                at, need = head + 4, int(headers["content-length"])
+            if len(held) < at + need + 4:
+                break
+            yield headers, bytes(held[at : at + need])
+            at, need = at + need + 4, None
 
 
 def _read(with_payload: bool):
@@ -127,21 +160,26 @@ def _read(with_payload: bool):
         for batch in batches:
             for content in batch.column("content"):
                 rows: list[dict] = []
-                for h, block in parse(gzip.decompress(content.as_py())):
+                size = 0
+                for h, block in parse(unpack(content.as_py())):
                     kind = h.get("warc-type")
                     row = {"record_id": h.get("warc-record-id"), "record_type": kind, "concurrent_to": h.get("warc-concurrent-to"), "url": h.get("warc-target-uri"), "block_bytes": len(block)}
                     if kind in ("response", "revisit"):
                         row["digest"] = h.get("warc-payload-digest", "").removeprefix("sha256:")
-                        row["refers_to"] = int(h["warc-refers-to-capture"]) if "warc-refers-to-capture" in h else None
+                        row["refers_to_id"] = h.get("warc-refers-to")
                     if kind == "response":
                         payload = block[block.index(b"\r\n\r\n") + 4 :]
                         row["payload_bytes"], row["payload_digest"] = len(payload), hashlib.sha256(payload).hexdigest()
                         if with_payload:
                             row["payload"] = payload.decode("utf-8", "replace")
+                            size += len(payload)
                     if kind == "metadata":
                         fields = dict(x.split(": ", 1) for x in block.decode().split(CRLF) if ": " in x)
                         row["page_id"] = int(fields["page-id"]) if "page-id" in fields else None
                     rows.append(row)
+                    if size >= BATCH_BYTES or len(rows) >= 10_000:
+                        yield pa.RecordBatch.from_pylist(rows, schema=RECORD)
+                        rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=RECORD)
 
     return of
@@ -157,7 +195,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row for each capture: its response or revisit with the request and metadata that are concurrent to it.
 
-    A revisit has the payload length of the response that it refers to. Records that repeat an id count once; a request or
+    A revisit has the page and payload length of the response whose record id it refers to. Records that repeat an id count once; a request or
     metadata record that is concurrent to nothing is left out; a capture without one has null there.
     """
     main = records.where("record_type in ('response', 'revisit')").dropDuplicates(["record_id"])
@@ -168,11 +206,10 @@ def assemble(records: DataFrame) -> DataFrame:
     )
     c = main.drop("page_id", "concurrent_to").join(beside("request"), "record_id", "left").join(beside("metadata"), "record_id", "left")
     c = c.withColumn("page_id", F.col("metadata.page_id"))
-    # the length is in the stored response alone
-    stored = c.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("digest"), F.col("payload_bytes").alias("stored_bytes"))
-    known = c.where("record_type = 'revisit'").select("refers_to", "digest").distinct().join(stored, ["refers_to", "digest"])
-    known = known.dropDuplicates(["refers_to", "digest"])
-    c = c.join(known, ["refers_to", "digest"], "left")
+    # page and length are with the stored response alone
+    stored = c.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("stored_bytes"))
+    asked = c.where("record_type = 'revisit'").select("refers_to_id").distinct()
+    c = c.join(stored.join(asked, "refers_to_id", "left_semi"), "refers_to_id", "left")
     return c.select(
         "page_id",
         "url",
@@ -188,7 +225,8 @@ def round_trip(pages: DataFrame, path: str, with_payload: bool = False) -> DataF
     """Write ``pages`` below ``path``, read the archives and assemble them.
 
     A null html is an empty payload; a null url has no target; rows that repeat page_id, url and html are a capture each. A row
-    of a null page_id is stored as a response and never referred to.
+    of a null page_id is stored as a response and never referred to. A very long page makes an archive that is as long, of at most 2 GB packed; other columns are not read and an empty table
+    gives no rows.
     """
     write(pages, path)
     return assemble(materialise(read(pages.sparkSession, path, with_payload), "warc-records"))

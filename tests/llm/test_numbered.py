@@ -296,7 +296,7 @@ def test_warc(spark, tmp_path):
         assert r.capture.metadata.page_id == i and r.capture.request.record_id
     assert len(got) == 9 and got[8].url == "badurl"
     for p in (tmp_path / "w").glob("*.gz"):
-        assert all(h["warc-type"] in ("request", "response", "revisit", "metadata") for h, _ in warc.parse(gzip.open(p).read()))
+        assert all(h["warc-type"] in ("request", "response", "revisit", "metadata") for h, _ in warc.parse([gzip.open(p).read()]))
     assert warc.round_trip(df.limit(0), f"file://{tmp_path}/e").count() == 0
 
 
