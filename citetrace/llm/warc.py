@@ -20,8 +20,8 @@ from citetrace.plans.storage import materialise
 CRLF = "\r\n"
 #: Smaller payloads are always stored.
 LEAST_REVISIT = 100
-#: Bytes of payload in an archive, on average.
-BYTES_A_FILE = 32 << 20
+#: Bytes of payload in an archive, at most on average.
+BYTES_A_FILE = 16 << 20
 #: Bytes that are unpacked at once, and bytes of payload in a batch of records.
 UNPACKED = 1 << 20
 BATCH_BYTES = 8 << 20
@@ -45,7 +45,12 @@ def _record(kind: Column, fields: list[tuple[str, Column]], block: Column) -> Co
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """``pages`` with payload, its bytes and digest, and the page and URL of the capture it revisits (null: it is stored)."""
+    """``pages`` with payload, its bytes and digest, and the page and URL of the capture it revisits (null: it is stored).
+
+    The html is exchanged once, by page, into as many parts as there are to be archives; all that follows keeps that partitioning.
+    """
+    total = pages.agg(F.sum(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
+    parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BYTES_A_FILE))
     own = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.regexp_replace(F.col("url").cast("string"), "[\\x00-\\x20\\x7F]", "").alias("url"),
@@ -55,7 +60,7 @@ def captures(pages: DataFrame) -> DataFrame:
     slim = slim.where(F.col("n") >= LEAST_REVISIT)
     first = slim.where("page_id is not null").groupBy("digest", "n").agg(F.min(F.struct("page_id", "url")).alias("first"))
     again = slim.join(first, ["digest", "n"]).where("page_id > first.page_id").select("page_id", F.col("first").alias("revisits")).distinct()
-    return own.join(again, "page_id", "left").select(  # sizes decide whether the slim side is broadcast
+    return own.repartition(parts, "page_id").join(again, "page_id", "left").select(  # sizes decide whether the slim side is broadcast
         "*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2(F.col("payload").cast("binary"), 256).alias("payload_digest")
     )
 
@@ -104,9 +109,7 @@ def write(pages: DataFrame, path: str) -> None:
         [("WARC-Record-ID", _urn(F.col("rid"), F.lit("metadata"))), date, target, ("WARC-Concurrent-To", F.col("rid")), ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(F.coalesce(F.concat(F.lit("page-id: "), page.cast("string"), F.lit(CRLF)), F.lit("")), F.lit("payload-bytes: "), F.col("payload_bytes").cast("string"), F.lit(CRLF)),
     )
-    total = pages.agg(F.sum(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
     records = c.select(F.explode(F.array(request, stored, metadata)).alias("value"))
-    records = records.repartition(max(1, -(-total // BYTES_A_FILE)))
     records.write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
 
 
