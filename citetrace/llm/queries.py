@@ -27,7 +27,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+    return substrings.deduplicate(table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,10 @@ The whole corpus is its own reference, so automata of all of it cannot be broadc
 content instead: the windows of 13 words that have the same smallest 5-word hash (their anchor) form a
 run, and equal windows have equal anchors wherever they are. Each anchor is a reference shard:
 
-1. All runs are exchanged once by anchor. An anchor of one document is dropped. A run that equals a run of a smaller
-   document is covered whole; the first run of each text of an anchor stays.
-2. Where an anchor has several such runs, they are streamed in document order through the anchor's suffix
-   automaton: matching statistics of 13 words or more mark windows that start in a smaller document. Then the
-   document's own runs are added to the automaton.
+1. All runs are exchanged once by anchor, as hashes and places. An anchor of one document is dropped: what it holds starts nowhere else.
+2. The runs of the others are streamed in document order through the anchor's suffix automaton: matching statistics of 13 words or more mark the
+   windows that start in a smaller document. Then what is new in the document's own runs is added to the automaton. Statistics of a run are
+   kept for equal runs that follow, as long as the automaton stays as it is.
    An anchor of many differing runs is first split by the content of each window, so that no automaton grows with the documents.
 3. Maximal covered spans go back to their documents, which are cut in one pass over the texts.
 """
@@ -92,59 +91,51 @@ def _anchors(window: int, gram: int):
     return of
 
 
-FOUND = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("covered", pa.bool_())])
+FOUND = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
 
 
 class _Anchor:
     """One anchor's runs, sorted by (key, doc), as they come; what it holds back is of one document."""
 
     def __init__(self, limit: int):
-        self.limit, self.key, self.first, self.docs, self.keys, self.held = limit, None, None, None, 0, []
+        self.limit, self.key, self.docs, self.keys, self.held = limit, None, None, 0, []
 
     def feed(self, doc, anchor, key, start, windows):
-        """Columns of FOUND: covered runs, runs that an automaton must judge, and a row without id once the anchor is to be split."""
+        """Columns of FOUND with whether a row is a run: the runs, once a second document has the anchor, and a mark once the anchor is to be split."""
         new = np.concatenate([[self.key is None or key[0] != self.key], key[1:] != key[:-1]])
-        first = np.concatenate([[self.first if self.keys else 0], doc[new]])[np.cumsum(new)]
-        covered = doc > first
         least, most = int(doc.min()), int(doc.max())
         self.docs = (least, most) if self.docs is None else (min(least, self.docs[0]), max(most, self.docs[1]))
-        self.key, self.first = key[-1], first[-1]
+        self.key = key[-1]
         before, self.keys = self.keys, self.keys + int(new.sum())
-        known = np.ones(len(doc), dtype=bool)
-        if self.docs[0] < self.docs[1] and self.keys > 1:
+        self.held.append((doc, anchor, start, windows, np.ones(len(doc), dtype=bool)))
+        if self.docs[0] < self.docs[1]:
             yield from self.held
             self.held = []
-            yield doc, anchor, start, windows, covered, known
-        else:
-            yield tuple(c[covered] for c in (doc, anchor, start, windows, covered, known))
-            self.held.append(tuple(c[~covered] for c in (doc, anchor, start, windows, covered, known)))
         if before <= self.limit < self.keys:
             yield _marks(anchor[:1])
 
 
 def _marks(anchors):
     n = len(anchors)
-    return np.zeros(n, dtype=np.int64), anchors, np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32), np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    return np.zeros(n, dtype=np.int64), anchors, np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32), np.zeros(n, dtype=bool)
 
 
 def _compare(limit, doc, anchor, key, start, windows):
     """From rows of whole anchors, sorted by (anchor, key, doc), what ``_Anchor.feed`` gives of each."""
     a_new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
     k_new = a_new | np.concatenate([[True], key[1:] != key[:-1]])
-    a_at, k_at = np.cumsum(a_new) - 1, np.cumsum(k_new) - 1
-    first_doc = doc[np.flatnonzero(k_new)][k_at]
-    covered = doc > first_doc
     begin = np.flatnonzero(a_new)
     keys = np.add.reduceat(k_new.astype(np.int64), begin)
-    several = (np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin)) & (keys > 1)
-    keep = covered | several[a_at]
-    yield doc[keep], anchor[keep], start[keep], windows[keep], covered[keep], np.ones(int(keep.sum()), dtype=bool)
+    several = np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin)
+    keep = several[np.cumsum(a_new) - 1]
+    yield doc[keep], anchor[keep], start[keep], windows[keep], np.ones(int(keep.sum()), dtype=bool)
     yield _marks(anchor[begin[keys > limit]])
 
 
 def _shared(limit: int):
     """From runs sorted by (anchor, key, doc): those of anchors that several documents have; no anchor is held as a whole."""
     names = ("doc_id", "anchor", "key", "start", "windows")
+    nothing = tuple(np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int32, np.int32, bool))
 
     def of(batches):
         now = state = None
@@ -156,7 +147,7 @@ def _shared(limit: int):
                 continue
             new = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1])
             head = 0
-            parts: list[tuple] = []
+            parts: list[tuple] = [nothing]
             if state is not None and anchor[0] == now:
                 head = int(new[1]) if len(new) > 1 else n
                 parts += state.feed(*(c[:head] for c in cols))
@@ -278,17 +269,24 @@ def _streamed(window: int):
     def of(batches):
         shard_now = doc_now = automaton = None
         waiting: list[list[int]] = []
+        known: dict[bytes, list[bool]] = {}  # what runs gave since the automaton last grew
         for batch in batches:
             out: list[list] = [[], [], []]
             for doc_id, anchor, part, start, words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "anchor", "part", "start", "words")), strict=True):
                 if (anchor, part) != shard_now:
-                    shard_now, doc_now, automaton, waiting = (anchor, part), doc_id, Automaton(), []
+                    shard_now, doc_now, automaton, waiting, known = (anchor, part), doc_id, Automaton(), [], {}
                 if doc_id != doc_now:
                     for w in waiting:
                         automaton.add(w)
+                    if waiting:
+                        known = {}
                     doc_now, waiting = doc_id, []
-                sequence = np.frombuffer(words, dtype=np.uint64).tolist()
-                found = [n >= window for n in automaton.matches(sequence)[window - 1 :]]
+                found = known.get(words)
+                if found is None:
+                    sequence = np.frombuffer(words, dtype=np.uint64).tolist()
+                    found = [n >= window for n in automaton.matches(sequence)[window - 1 :]]
+                    if len(known) < 1000:
+                        known[words] = found
                 begin = None
                 for i, hit in enumerate([*found, False]):
                     if hit and begin is None:
@@ -298,7 +296,7 @@ def _streamed(window: int):
                             col.append(x)
                         begin = None
                 if not all(found):
-                    waiting.append(sequence)
+                    waiting.append(np.frombuffer(words, dtype=np.uint64).tolist())
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     return of
@@ -317,9 +315,9 @@ def kept_words(text: str | None, spans: list[tuple[int, int]], window: int) -> t
     return n, b" ".join(words), len(words)
 
 
-def _kept(window: int):
+def _kept(window: int, with_text: bool):
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.large_string())]
+        [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.large_string())] * with_text
     )
 
     def of(batches):
@@ -331,11 +329,10 @@ def _kept(window: int):
                 n, joined, left = kept_words(raw, [(x["start"], x["windows"]) for x in spans.as_py() or ()], window)
                 for col, x in zip(out, (n, n - left, hashlib.sha256(joined).hexdigest()), strict=True):
                     col.append(x)
-                texts.append(joined.decode("utf-8", "surrogatepass") if left < n else raw)
-            yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(texts, pa.large_string())],
-                schema=schema,
-            )
+                if with_text:
+                    texts.append(joined.decode("utf-8", "surrogatepass") if left < n else raw)
+            cols = [batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
+            yield pa.record_batch(cols + [pa.array(texts, pa.large_string())] * with_text, schema=schema)
 
     return of
 
@@ -349,33 +346,32 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, runs
     own = _own(docs)
     runs = own.where("doc_id is not null").mapInArrow(_anchors(window, gram), "doc_id long, anchor long, key long, start int, windows int")
     found = materialise(
-        runs.repartition("anchor").sortWithinPartitions("anchor", "key", "doc_id").mapInArrow(_shared(runs_a_shard), "doc_id long, anchor long, start int, windows int, covered boolean"),
+        runs.repartition("anchor").sortWithinPartitions("anchor", "key", "doc_id").mapInArrow(_shared(runs_a_shard), "doc_id long, anchor long, start int, windows int"),
         "substring-runs",
     )
-    # at most one anchor for each runs_a_shard open runs
+    # at most one anchor for each runs_a_shard runs
     split = found.where("doc_id is null").select("anchor", F.lit(True).alias("split"))
-    open_runs = found.where("not covered and doc_id is not null").join(F.broadcast(split), "anchor", "left").withColumn("split", F.coalesce("split", F.lit(False)))
-    open_runs = open_runs.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows", "split")).alias("runs"))
+    shared = found.where("doc_id is not null").join(F.broadcast(split), "anchor", "left").withColumn("split", F.coalesce("split", F.lit(False)))
+    runs_of = shared.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows", "split")).alias("runs"))
     judged = (
-        own.join(open_runs, "doc_id")
+        own.join(runs_of, "doc_id")
         .mapInArrow(_cut_runs(window), "doc_id long, anchor long, part long, start int, words binary")
         .repartition("anchor", "part")
         .sortWithinPartitions("anchor", "part", "doc_id", "start")
         .mapInArrow(_streamed(window), "doc_id long, start int, windows int")
     )
-    rows = found.where("covered").select("doc_id", "start", "windows").unionByName(judged)
-    return rows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    return judged.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept) for every row of ``docs`` (doc_id, text).
+def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = True) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256[, kept]) for every row of ``docs`` (doc_id, text).
 
-    kept is the text itself where nothing goes, else the kept words joined by one space; null stays null. A row of a null id
+    kept (left out where not asked for) is the text itself where nothing goes, else the kept words joined by one space; null stays null. A row of a null id
     is returned whole and is no one's earlier copy. Rows of one id are one document and never remove from each other.
     """
     spans = repeated_spans(docs, window, gram)
     return _own(docs).join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
-        _kept(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+        _kept(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     )
 
 

@@ -111,12 +111,9 @@ def test_an_anchor_that_comes_in_pieces():
     want = []
     for a in {r[1] for r in rows}:
         own = [r for r in rows if r[1] == a]
-        first = {}
-        for d, _, k, _, _ in own:
-            first[k] = min(d, first.get(k, d))
-        several = len({r[0] for r in own}) > 1 and len(first) > 1
-        want += [(d, a, s, w, d > first[k]) for d, _, k, s, w in own if d > first[k] or several]
-        want += [(None, a, 0, 0, False)] * (len(first) > 2)
+        if len({r[0] for r in own}) > 1:
+            want += [(d, a, s, w) for d, _, _, s, w in own]
+        want += [(None, a, 0, 0)] * (len({r[2] for r in own}) > 2)
     for size in (1, 2, 7, 1000):
         assert found(size) == sorted(want, key=str)
 
