@@ -91,7 +91,7 @@ def _anchors(window: int, gram: int):
     return of
 
 
-FOUND = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
+FOUND = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("first", pa.bool_())])
 
 
 class _Anchor:
@@ -101,13 +101,16 @@ class _Anchor:
         self.limit, self.key, self.docs, self.keys, self.held = limit, None, None, 0, []
 
     def feed(self, doc, anchor, key, start, windows):
-        """Columns of FOUND with whether a row is a run: the runs, once a second document has the anchor, and a mark once the anchor is to be split."""
+        """Columns of FOUND with whether a row is a run: the runs, once a second document has the anchor, and a mark once the anchor is to be split.
+
+        first: whether a run is the first of its words, the one whose words are sent.
+        """
         new = np.concatenate([[self.key is None or key[0] != self.key], key[1:] != key[:-1]])
         least, most = int(doc.min()), int(doc.max())
         self.docs = (least, most) if self.docs is None else (min(least, self.docs[0]), max(most, self.docs[1]))
         self.key = key[-1]
         before, self.keys = self.keys, self.keys + int(new.sum())
-        self.held.append((doc, anchor, start, windows, np.ones(len(doc), dtype=bool)))
+        self.held.append((doc, anchor, key, start, windows, new, np.ones(len(doc), dtype=bool)))
         if self.docs[0] < self.docs[1]:
             yield from self.held
             self.held = []
@@ -117,7 +120,7 @@ class _Anchor:
 
 def _marks(anchors):
     n = len(anchors)
-    return np.zeros(n, dtype=np.int64), anchors, np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32), np.zeros(n, dtype=bool)
+    return np.zeros(n, dtype=np.int64), anchors, np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32), np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
 
 
 def _compare(limit, doc, anchor, key, start, windows):
@@ -128,14 +131,14 @@ def _compare(limit, doc, anchor, key, start, windows):
     keys = np.add.reduceat(k_new.astype(np.int64), begin)
     several = np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin)
     keep = several[np.cumsum(a_new) - 1]
-    yield doc[keep], anchor[keep], start[keep], windows[keep], np.ones(int(keep.sum()), dtype=bool)
+    yield doc[keep], anchor[keep], key[keep], start[keep], windows[keep], k_new[keep], np.ones(int(keep.sum()), dtype=bool)
     yield _marks(anchor[begin[keys > limit]])
 
 
 def _shared(limit: int):
     """From runs sorted by (anchor, key, doc): those of anchors that several documents have; no anchor is held as a whole."""
     names = ("doc_id", "anchor", "key", "start", "windows")
-    nothing = tuple(np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int32, np.int32, bool))
+    nothing = tuple(np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32, bool, bool))
 
     def of(batches):
         now = state = None
@@ -237,23 +240,23 @@ class Automaton:
 
 
 def _cut_runs(window: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("part", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("part", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
 
     def of(batches):
         for batch in batches:
             ids, runs = batch.column("doc_id").to_pylist(), batch.column("runs")
             for row, words in passes(batch.column("text")):
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[] for _ in schema]
                 content = None
                 for i in range(len(words.count)):
                     b = int(words.bound[i])
                     for r in runs[row + i].as_py():
                         at, many = b + r["start"], r["windows"]
                         if not r["split"]:
-                            rows = [(ids[row + i], r["anchor"], 0, r["start"], words.hash[at : at + many + window - 1].tobytes())]
+                            rows = [(ids[row + i], r["anchor"], 0, r["key"], r["start"], words.hash[at : at + many + window - 1].tobytes())]
                         else:  # equal windows have equal parts, wherever they are
                             content = words.windows(window).view(np.int64) if content is None else content
-                            rows = [(ids[row + i], r["anchor"], int(content[at + j]), r["start"] + j, words.hash[at + j : at + j + window].tobytes()) for j in range(many)]
+                            rows = [(ids[row + i], r["anchor"], int(content[at + j]), 0, r["start"] + j, words.hash[at + j : at + j + window].tobytes()) for j in range(many)]
                         for x in rows:
                             for col, y in zip(out, x, strict=True):
                                 col.append(y)
@@ -270,17 +273,22 @@ def _streamed(window: int):
         shard_now = doc_now = automaton = None
         waiting: list[list[int]] = []
         known: dict[bytes, list[bool]] = {}  # what runs gave since the automaton last grew
+        sent: dict[int, bytes] = {}  # the words of a shard's runs: at most as many as a shard may have
         for batch in batches:
             out: list[list] = [[], [], []]
-            for doc_id, anchor, part, start, words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "anchor", "part", "start", "words")), strict=True):
+            for doc_id, anchor, part, key, start, words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "anchor", "part", "key", "start", "words")), strict=True):
                 if (anchor, part) != shard_now:
-                    shard_now, doc_now, automaton, waiting, known = (anchor, part), doc_id, Automaton(), [], {}
+                    shard_now, doc_now, automaton, waiting, known, sent = (anchor, part), doc_id, Automaton(), [], {}, {}
                 if doc_id != doc_now:
                     for w in waiting:
                         automaton.add(w)
                     if waiting:
                         known = {}
                     doc_now, waiting = doc_id, []
+                if words is None:
+                    words = sent[key]
+                elif not part:
+                    sent[key] = words
                 found = known.get(words)
                 if found is None:
                     sequence = np.frombuffer(words, dtype=np.uint64).tolist()
@@ -346,16 +354,19 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, runs
     own = _own(docs)
     runs = own.where("doc_id is not null").mapInArrow(_anchors(window, gram), "doc_id long, anchor long, key long, start int, windows int")
     found = materialise(
-        runs.repartition("anchor").sortWithinPartitions("anchor", "key", "doc_id").mapInArrow(_shared(runs_a_shard), "doc_id long, anchor long, start int, windows int"),
+        runs.repartition("anchor").sortWithinPartitions("anchor", "key", "doc_id", "start").mapInArrow(_shared(runs_a_shard), "doc_id long, anchor long, key long, start int, windows int, first boolean"),
         "substring-runs",
     )
     # at most one anchor for each runs_a_shard runs
     split = found.where("doc_id is null").select("anchor", F.lit(True).alias("split"))
     shared = found.where("doc_id is not null").join(F.broadcast(split), "anchor", "left").withColumn("split", F.coalesce("split", F.lit(False)))
-    runs_of = shared.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows", "split")).alias("runs"))
+    runs_of = shared.where("first or split").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "key", "start", "windows", "split")).alias("runs"))
+    # words travel once for all equal runs of a shard; the others ask with the hash of theirs
+    asking = shared.where("not first and not split").select("doc_id", "anchor", F.lit(0).cast("long").alias("part"), "key", "start", F.lit(None).cast("binary").alias("words"))
     judged = (
         own.join(runs_of, "doc_id")
-        .mapInArrow(_cut_runs(window), "doc_id long, anchor long, part long, start int, words binary")
+        .mapInArrow(_cut_runs(window), "doc_id long, anchor long, part long, key long, start int, words binary")
+        .unionByName(asking)
         .repartition("anchor", "part")
         .sortWithinPartitions("anchor", "part", "doc_id", "start")
         .mapInArrow(_streamed(window), "doc_id long, start int, windows int")

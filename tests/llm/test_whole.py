@@ -112,8 +112,11 @@ def test_an_anchor_that_comes_in_pieces():
     for a in {r[1] for r in rows}:
         own = [r for r in rows if r[1] == a]
         if len({r[0] for r in own}) > 1:
-            want += [(d, a, s, w) for d, _, _, s, w in own]
-        want += [(None, a, 0, 0)] * (len({r[2] for r in own}) > 2)
+            least = {}
+            for d, _, k, s, _ in own:
+                least[k] = min((d, s), least.get(k, (d, s)))
+            want += [(d, a, k, s, w, (d, s) == least[k]) for d, _, k, s, w in own]
+        want += [(None, a, 0, 0, 0, False)] * (len({r[2] for r in own}) > 2)
     for size in (1, 2, 7, 1000):
         assert found(size) == sorted(want, key=str)
 
