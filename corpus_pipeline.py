@@ -1,6 +1,7 @@
 """Corpus pipeline: quality rules, near duplicates, repeated passages, benchmark leaks, packing.
 
-Each stage takes the documents that the one before kept and returns their columns; the last returns packed pieces.
+Each stage takes the documents that the one before kept and returns their columns; the last returns packed pieces. Of all stages: an empty
+table gives no rows, other columns pass through whatever their names, repeated rows are rows of their own, texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -9,21 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citetrace.llm import decontaminate, ngram_join, packing, quality, substrings
-from citetrace.plans.storage import materialise
+from citetrace.plans.storage import materialise, release, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. A null, empty or blank text goes; a row of a null id is judged by its text."""
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group of near duplicates."""
+    """One document, the smallest id, of each group of near duplicates. Rows of a null id and texts without words stay; all rows of the id that stays do."""
     return ngram_join.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that a smaller id has; n_chars follows the text."""
+    """Documents without the passages that a smaller id has; n_chars follows the text. Every row stays: a null text null, a row of a null id whole."""
     cut = substrings.cut(docs)
     if "n_chars" not in docs.columns:
         return cut
@@ -31,12 +32,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts and rows of a null id stay; so does all without a benchmark."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, with their sequences and places."""
+    """The pieces of all documents, with their sequences and places. A null or empty text is one piece; rows of a null id are packed."""
     return packing.pack(docs)
 
 
@@ -52,8 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for ``documents``; what each stage returns is written and read again."""
+    """The last stage's rows for ``documents``; what each stage returns is written and read again, and what it made on the way is then deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    own = written(spark)
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, keep=[*own, written(spark)[-1]])
     return STAGES[-1][1](spark, docs, sf_dir)
