@@ -28,8 +28,8 @@ def test_stages_on_odd_rows(spark):
     from pyspark.sql import functions as F
 
     sf = "/root/testdata/sf0.001"
-    good = " ".join(f"the word{i} of and" for i in range(40))
-    rows = [(1, good), (1, good), (2, good), (None, good + " more"), (3, None), (4, ""), (5, " \n\t"), (6, " ".join(f"the long{i} of and" for i in range(60_000)))]
+    good = " ".join(f"the word{i} of item{i} and thing{i}" for i in range(40))
+    rows = [(1, good), (1, good), (2, good), (None, good + " more"), (3, None), (4, ""), (5, " \n\t"), (6, " ".join(f"the long{i} of text{i} and words{i}" for i in range(40_000)))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for c in ("_id", "id", "words", "component_id", "spans", "_row", "_w", "length", "piece", "n_words", "kept"):
         df = df.withColumn(c, F.lit("clash"))
