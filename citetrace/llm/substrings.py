@@ -244,6 +244,7 @@ def _cut_runs(window: int):
 
     def of(batches):
         for batch in batches:
+            batch = batch.filter(batch.column("runs").is_valid())
             ids, runs = batch.column("doc_id").to_pylist(), batch.column("runs")
             for row, words in passes(batch.column("text")):
                 out: list[list] = [[] for _ in schema]
@@ -364,7 +365,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, runs
     # words travel once for all equal runs of a shard; the others ask with the hash of theirs
     asking = shared.where("not first and not split").select("doc_id", "anchor", F.lit(0).cast("long").alias("part"), "key", "start", F.lit(None).cast("binary").alias("words"))
     judged = (
-        own.join(runs_of, "doc_id")
+        own.join(runs_of.hint("merge"), "doc_id", "left")  # documents without runs pass unread, so that the exchange of the texts is the one that carries spans home
         .mapInArrow(_cut_runs(window), "doc_id long, anchor long, part long, key long, start int, words binary")
         .unionByName(asking)
         .repartition("anchor", "part")
@@ -381,7 +382,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_te
     is returned whole and is no one's earlier copy. Rows of one id are one document and never remove from each other.
     """
     spans = repeated_spans(docs, window, gram)
-    return _own(docs).join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
+    return _own(docs).join(spans.hint("merge"), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
         _kept(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     )
 
