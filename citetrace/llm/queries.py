@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citetrace.llm import decontaminate, html_extract, licences, ngram_join, packing, quality, sharding, substrings, toxicity, warc
+from citetrace.llm import decontaminate, exact_search, fill_middle, html_extract, lexical_search, licences, ngram_join, packing, quality, sharding, substrings, toxicity, warc
 from citetrace.llm.sql import SQL
 from citetrace.plans.storage import shared_dir
 
@@ -62,6 +62,22 @@ def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}").drop("capture", "url")
 
 
+def op11_shared_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.transform(table(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text, 256)
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fill_middle.restore(F.col("output"), F.col("form"))).alias("restored_sha256")
+    )
+
+
+def op13_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,5 +91,8 @@ QUERIES = {
         op8_quality_rules,
         op9_benchmark_leaks,
         op10_warc_transactions,
+        op11_shared_lexical_search,
+        op12_fill_in_middle,
+        op13_block_search,
     )
 }
