@@ -1,9 +1,9 @@
 """Ranked lexical search of many queries at once: what queries share is scored once and combined along a graph of shared parts.
 
 A first pass over the texts writes, for each document, its number of terms and its counts of the terms that some item holds; N, L and df are sums over that
-table. The items' terms are then mined for what they share: terms that the same items hold are one set, each item is a sequence of sets, and the adjacent pair
-that most items hold becomes a node of its own until no pair is held twice. So the graph has a leaf for each set and an inner node for each shared pair of
-nodes. A second pass scores documents in blocks: each count of a term is weighed once and added to the accumulator of its set, each node's accumulator is the
+table. The items' terms are then mined for what they share: terms that the same items hold are one set, each item is some sets, and the pair that most items
+hold becomes a node of its own, in its parts' place, until no pair is held twice. So the graph has a leaf for each set and an inner node for each shared pair
+of nodes. A second pass scores documents in blocks: each count of a term is weighed once and added to the accumulator of its set, each node's accumulator is the
 sum of its two parts', made once however many items use it, and an item's scores are the sum of its nodes' accumulators. Each task keeps the best of each
 item; two rounds of ranking merge them.
 """
@@ -11,8 +11,10 @@ item; two rounds of ranking merge them.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ from citetrace.plans.storage import materialise
 PASS_BYTES, CELLS = 1 << 22, 1 << 22
 #: Items that are searched together: so many, or fewer whose texts reach so many bytes (a longer one alone). Each block of items is two passes over the documents.
 ITEMS, ITEM_BYTES = 2000, 1 << 22
+#: Sets of an item, those that most items hold first, among which shared pairs are mined; its further sets are added one by one, with the same scores.
+MINED = 128
 #: Groups in which the tasks' best are ranked before all of them are.
 GROUPS = 64
 #: Stands for a null id, after all others.
@@ -87,7 +91,7 @@ class Sharing:
         sets = defaultdict(list)
         for w, held in holders.items():
             sets[tuple(held)].append(w)
-        # leaves by falling number of items, so that what many share comes first and next to each other
+        # leaves by falling number of items, so that what many share comes first
         order = sorted(sets.items(), key=lambda x: (-len(x[0]), x[0]))
         self.leaf = {w: n for n, (_, words) in enumerate(order) for w in words}
         self.leaves, self.pairs = len(order), []
@@ -95,31 +99,39 @@ class Sharing:
         for n, (held, _) in enumerate(order):
             for i in held:
                 self.items[i].append(n)
-        while self._merge():
-            pass
-
-    def _merge(self) -> bool:
-        """Replace adjacent pairs that two items or more hold, the most frequent first; whether there were any."""
-        found = Counter(pair for nodes in self.items for pair in zip(nodes, nodes[1:]))
-        shared = {pair: n for pair, n in found.items() if n > 1}
-        if not shared:
-            return False
-        rank = {pair: place for place, pair in enumerate(sorted(shared, key=lambda p: (-shared[p], p)))}
-        made = {}
-        for i, nodes in enumerate(self.items):
-            out, at = [], 0
-            while at < len(nodes):
-                here, after = tuple(nodes[at : at + 2]), tuple(nodes[at + 1 : at + 3])
-                if here in rank and not (after in rank and rank[after] < rank[here]):
-                    out.append(made.setdefault(here, self.leaves + len(self.pairs)))
-                    if out[-1] == self.leaves + len(self.pairs):
-                        self.pairs.append(here)
-                    at += 2
-                else:
-                    out.append(nodes[at])
-                    at += 1
-            self.items[i] = out
-        return True
+        self._mine()
+
+    def _mine(self) -> None:
+        """Make a node of the pair that most items hold, and put it in its parts' place in all of them, until no pair is held twice."""
+        held = [set(nodes[:MINED]) for nodes in self.items]
+        rest = [nodes[MINED:] for nodes in self.items]
+        where = defaultdict(set)
+        for i, nodes in enumerate(held):
+            for pair in combinations(sorted(nodes), 2):
+                where[pair].add(i)
+        heap = [(-len(found), pair) for pair, found in where.items() if len(found) > 1]
+        heapify(heap)
+        while heap:
+            n, pair = heappop(heap)
+            found = where.get(pair, ())
+            if len(found) != -n:  # fewer by now
+                if len(found) > 1:
+                    heappush(heap, (-len(found), pair))
+                continue
+            node, fresh = self.leaves + len(self.pairs), set()
+            self.pairs.append(pair)
+            for i in sorted(where.pop(pair)):
+                held[i] -= set(pair)
+                for x in held[i]:
+                    for gone in pair:
+                        where[min(x, gone), max(x, gone)].discard(i)
+                    where[x, node].add(i)
+                    fresh.add((x, node))
+                held[i].add(node)
+            for x in fresh:
+                if len(where[x]) > 1:
+                    heappush(heap, (-len(where[x]), x))
+        self.items = [sorted(nodes) + more for nodes, more in zip(held, rest)]
 
     def additions(self) -> int:
         """Sums of two accumulators that scoring a block of documents takes."""
