@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,9 +10,9 @@ from pyspark.sql import functions as F
 
 from citetrace import catalog_sql
 from citetrace.functions import identifiers as ids
-from citetrace.operators import control, graph, metadata, metrics, quality, seeds, stats
+from citetrace.operators import control, crawl, graph, metadata, metrics, quality, reach, seeds, stats
 from citetrace.plans.fixture import Fixture, fixture
-from citetrace.plans.storage import shared_dir
+from citetrace.plans.storage import folder
 from citetrace.sources import readers, sinks
 from citetrace.streaming import merge
 
@@ -168,7 +167,7 @@ def batch_ids(x):
 @query
 def io_notice_csv(x):
     rows = notice_rows(x)
-    path = f"{shared_dir(x.spark)}/notices-{uuid.uuid4().hex}"
+    path = folder(x.spark, "notices")
     rows.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     back = readers.notice_csv(x.spark, path)
     return back.select(F.col("`Record ID`").alias("record_id"), F.col("Title").alias("title"), "RetractionNature", "RetractionDate", "OriginalPaperDOI", "Author")
@@ -233,7 +232,7 @@ def graph_manifest(x):
 
 def written_graph(x: Fixture, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The manifest of the graph once it is written."""
-    path = f"{shared_dir(x.spark)}/graph-{uuid.uuid4().hex}"
+    path = folder(x.spark, "graph")
     sinks.write_graphml(nodes, edges, path)
     return sinks.read_manifest(x.spark, path)
 
@@ -241,17 +240,17 @@ def written_graph(x: Fixture, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 @query
 def io_export_tables(x):
     """Tables exported and read again, as counts of rows and columns."""
-    folder = f"{shared_dir(x.spark)}/export-{uuid.uuid4().hex}"
+    base = folder(x.spark, "export")
     tables = {"seeds": x.seed_rows, "works": x.works, "frontier_nodes": x.frontier, "citation_edges": x.edges, "run_metadata": run_metadata(x)}
-    sinks.export(tables, folder)
-    counts = [x.spark.read.parquet(f"{folder}/{name}").agg(F.lit(name).alias("table_name"), F.count("*").alias("n")) for name in tables]
+    sinks.export(tables, base)
+    counts = [x.spark.read.parquet(f"{base}/{name}").agg(F.lit(name).alias("table_name"), F.count("*").alias("n")) for name in tables]
     return reduce(DataFrame.unionByName, counts)
 
 
 @query
 def io_result_csv(x):
     """A result table written as CSV and read with its schema; one that does not exist has no rows."""
-    path = f"{shared_dir(x.spark)}/result-{uuid.uuid4().hex}"
+    path = folder(x.spark, "result")
     schema = "depth int, topic_domain string, topic_name string, node_count long"
     metrics.topic_distribution(graph.induced_nodes(x.frontier, x.works, 2)).write.option("header", True).csv(path)
     return readers.result_csv(x.spark, path, schema).unionByName(readers.result_csv(x.spark, f"{path}-none", schema))
@@ -585,7 +584,7 @@ def event_study(x):
 @query
 def headline_stats(x):
     prepared = seeds.prepare(seeds.from_notices(notice_rows(x)))
-    return rounded(metrics.headline(x.seed_rows, prepared, run_metadata(x), x.edges, x.frontier, x.works, x.dated, measured(x), x.raw_citations, expected_counts(x)))
+    return rounded(metrics.headline(x.seed_rows, prepared, run_metadata(x), x.edges, x.frontier, x.works, (x.numbered_nodes, x.numbered_edges), measured(x), x.raw_citations, expected_counts(x)))
 
 
 @query
@@ -595,7 +594,8 @@ def depth_counts(x):
 
 @query
 def edge_depths(x):
-    return metrics.edge_depths(x.edges, 2).unionByName(metrics.edge_depths_all(x.edges, 2))
+    every = x.numbered_edges.withColumn("source_api", F.lit("all"))
+    return reach.edge_depths(x.numbered_edges, 2).unionByName(reach.edge_depths(every, 2))
 
 
 @query
@@ -620,12 +620,12 @@ def pubdate_coverage(x):
 
 @query
 def unique_post_direct(x):
-    return metrics.unique_of_pairs(x.dated, 1)
+    return reach.unique_post(x.canonical, x.numbered_nodes, x.numbered_edges).where("hop = 1").select("n")
 
 
 @query
 def unique_post_depth2(x):
-    return metrics.unique_of_pairs(x.dated, 2)
+    return reach.unique_post(x.canonical, x.numbered_nodes, x.numbered_edges).where("hop = 2").select("n")
 
 
 @query
@@ -780,10 +780,10 @@ def metadata_check(x):
 @query
 def quality_report(x):
     """The checks over what a run has written: result tables, the graph and its manifest."""
-    folder = f"{shared_dir(x.spark)}/outputs-{uuid.uuid4().hex}"
+    base = folder(x.spark, "outputs")
     tables = {"topic_distribution": metrics.topic_distribution(graph.induced_nodes(x.frontier, x.works, 2)), "bridge_papers": metrics.bridges(x.edges, x.frontier, x.works)}
-    sinks.export(tables, folder)
-    outputs = {name: f"{folder}/{name}" for name in tables}
+    sinks.export(tables, base)
+    outputs = {name: f"{base}/{name}" for name in tables}
     nodes, edges = graph.induced_nodes(x.frontier, x.works, 2), graph.induced_edges(x.edges, x.frontier, 2)
     return quality.report(
         quality.required_metadata(x.spark, run_metadata(x)),
@@ -794,18 +794,64 @@ def quality_report(x):
         quality.any_label(x.spark.read.parquet(outputs["topic_distribution"]), ["topic_name", "topic_domain"], "topic_labels_present"),
         quality.any_label(x.spark.read.parquet(outputs["bridge_papers"]), ["title"], "bridge_titles_present"),
         quality.manifest_matches(sinks.manifest(nodes, edges, written_graph(x, nodes, edges))),
-        quality.outputs_exist(x.spark, outputs | {"missing_table": f"{folder}/missing_table"}),
+        quality.outputs_exist(x.spark, outputs | {"missing_table": f"{base}/missing_table"}),
     )
 
 
 # --- streaming --------------------------------------------------------------------------------------------
 
 
+STREAMED = "source_id string, target_id string, depth int, source_api string, citation_date date, seq long, error string"
+
+
+def failed_observations(x: Fixture) -> DataFrame:
+    """Of every seventh parent a failure: before all else that is known of it, or (every other one) after."""
+    parents = x.raw_citations.select("target_id").distinct().withColumn("k", F.substring("target_id", 2, 20).cast("long")).where("k % 7 = 0")
+    blank = lambda kind: F.lit(None).cast(kind)
+    seq = F.when(F.col("k") % 2 == 0, F.lit(0)).otherwise(F.lit(9_000_000_000_000_000_000)).cast("long")
+    return parents.select(blank("string").alias("source_id"), "target_id", blank("int").alias("depth"), blank("string").alias("source_api"), blank("date").alias("citation_date"), seq.alias("seq"), F.concat(F.lit("no answer for "), "target_id").alias("error"))
+
+
 @query
 def streaming_edge_merge(x):
     """Observations written as files and taken in by a stream; the same edges as one merge."""
-    base = f"{shared_dir(x.spark)}/stream-{uuid.uuid4().hex}"
-    rows = observed(x).select("source_id", "target_id", "depth", "source_api", "citation_date", "seq")
-    rows.repartition(4, "seq").write.parquet(f"{base}/inbox")
-    out = merge.ingest(x.spark, f"{base}/inbox", base, "source_id string, target_id string, depth int, source_api string, citation_date date, seq long")
-    return out.select("source_id", "target_id", "depth", "source_api", "citation_date")
+    return merge.store(x.spark, x.streamed(observed, failed_observations), STREAMED).read("edges").select("source_id", "target_id", "depth", "source_api", "citation_date")
+
+
+@query
+def streaming_failures(x):
+    """Parents whose last known answer in that stream is a failure."""
+    return merge.failures(x.spark, x.streamed(observed, failed_observations), STREAMED)
+
+
+# --- stored state -----------------------------------------------------------------------------------------
+
+
+@query
+def crawl_resumed(x):
+    """The nodes of a crawl over three batches of citations, stopped between two levels and taken up again."""
+    return crawled(x).nodes().select("node_id", "depth", "processed")
+
+
+@query
+def crawl_edges(x):
+    return crawled(x).edges().select("source_id", "target_id", "depth", "source_api", "citation_date")
+
+
+@query
+def crawl_expansions(x):
+    """How many parents the crawl expanded after each batch: all up to the second, and then only those that the last batch made new or nearer."""
+    log = crawled(x).log()
+    taken = log.where("kind = 'citations'").agg(F.max("step").alias("_last"))
+    phase = F.when(F.col("step") > F.col("_last"), "last batch").otherwise("before")
+    return log.crossJoin(taken).where("kind = 'level'").groupBy(phase.alias("phase")).agg(F.sum("parents").alias("parents"))  # one row
+
+
+def crawled(x: Fixture) -> crawl.Crawl:
+    return x.crawled()
+
+
+@query
+def stored_upserts(x):
+    """A stored table of the last observation of each node, after three batches of upserts and one of deletions."""
+    return x.upserted.read().select("node_id", "source_api", "citation_date", "seq")

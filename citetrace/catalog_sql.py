@@ -419,6 +419,19 @@ BODIES = {
         UNION ALL SELECT 'output_exists:' || name, 'major', CASE WHEN there THEN 'pass' ELSE 'fail' END, CAST(there AS VARCHAR), 'true', 'the table is there and has rows'
             FROM (VALUES ('bridge_papers', TRUE), ('topic_distribution', TRUE), ('missing_table', FALSE)) x(name, there)""",
     "streaming_edge_merge": "SELECT * FROM merged",
+    "streaming_failures": """
+        SELECT DISTINCT target_id AS node_id, 'no answer for ' || target_id AS error FROM raw
+        WHERE CAST(target_id[2:] AS BIGINT) % 7 = 0 AND CAST(target_id[2:] AS BIGINT) % 2 = 1""",
+    "crawl_resumed": "SELECT node_id, depth, depth < 2 AS processed FROM frontier",
+    "crawl_edges": "SELECT * FROM edges",
+    "crawl_expansions": """
+        WITH early AS (SELECT DISTINCT source_id FROM raw WHERE (seq // 1000000) % 3 < 2 AND target_id IN (SELECT node_id FROM d0) AND source_id NOT IN (SELECT node_id FROM d0))
+        SELECT 'before' AS phase, (SELECT count(*) FROM d0) + (SELECT count(*) FROM early) AS parents
+        UNION ALL SELECT 'last batch', (SELECT count(*) FROM d1) - (SELECT count(*) FROM early)""",
+    "stored_upserts": """
+        SELECT node_id, source_api, citation_date, seq FROM (
+            SELECT source_id AS node_id, CASE WHEN seq % 7 <> 0 THEN source_api END AS source_api, citation_date, seq, row_number() OVER (PARTITION BY source_id ORDER BY seq DESC) AS r FROM raw)
+        WHERE r = 1 AND node_id NOT LIKE '%9'""",
 }
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from citetrace.operators import graph as g
 from citetrace.operators import seeds as s
-from citetrace.operators import stats
+from citetrace.operators import reach, stats
 from citetrace.operators.components import connected_components
 
 
@@ -175,30 +175,38 @@ def weak_component_count(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def headline(
-    seed_rows: DataFrame, prepared: DataFrame, metadata: DataFrame, edges: DataFrame, frontier: DataFrame, works: DataFrame, dated: DataFrame, metrics: DataFrame, citations: DataFrame, expected: DataFrame
+    seed_rows: DataFrame,
+    prepared: DataFrame,
+    metadata: DataFrame,
+    edges: DataFrame,
+    frontier: DataFrame,
+    works: DataFrame,
+    numbered: tuple[DataFrame, DataFrame],
+    metrics: DataFrame,
+    citations: DataFrame,
+    expected: DataFrame,
 ) -> DataFrame:
     """One row of all headline numbers of a run.
 
-    prepared: seeds with their statuses; dated, metrics: ``dated_pairs`` and ``of_pairs``; citations: all known ones; expected: (node_id, expected) counts to reconcile.
+    prepared: seeds with their statuses; numbered: ``reach.number_nodes`` and ``reach.number_edges``; metrics: ``reach.seed_metrics``; citations: all known ones;
+    expected: (node_id, expected) counts to reconcile.
     """
     value = lambda key: F.coalesce(F.max(F.when(F.col("key") == key, F.col("value"))), F.lit("unknown")).alias(key)
     run = metadata.agg(*[value(k) for k in ("rw_snapshot_date", "oc_access_date", "pipeline_mode")])
-    status, depth, reach = F.col("resolved_status"), F.col("depth"), F.col("total_depth2_reach")
+    status, depth, total = F.col("resolved_status"), F.col("depth"), F.col("total_depth2_reach")
     records = seed_rows.agg(F.count("*").alias("seed_records"), F.count_if(F.col("node_id").isNotNull()).alias("linked_seed_records"), F.count_if(status == "resolved").alias("resolved_seed_records"))
     no_doi = prepared.agg(F.count_if(status == "no_doi").alias("no_doi_seeds"))
     nodes = frontier.agg(*[F.count_if(depth == d).alias(f"depth{d}_nodes") for d in (0, 1, 2)], F.count("*").alias("total_nodes"))
-    at = lambda d, c: F.when(depth == d, F.col(c))
-    links = edges.agg(
-        F.count("*").alias("total_edges"), *[F.count_if(depth == d).alias(f"depth{d}_edges") for d in (1, 2)],
-        *[F.count_distinct(at(d, f"{end}_id")).alias(f"depth{d}_distinct_{end}s") for d in (1, 2) for end in ("source", "target")],
-    )
+    links = edges.agg(F.count("*").alias("total_edges"), *[F.count_if(depth == d).alias(f"depth{d}_edges") for d in (1, 2)])
+    at = lambda d, c: F.coalesce(F.sum(F.when(depth == d, F.col("_n"))), F.lit(0)).alias(c)
+    ends = [reach.distinct(numbered[1], ["depth"], f"{end}_n", "_n").agg(*[at(d, f"depth{d}_distinct_{end}s") for d in (1, 2)]) for end in ("source", "target")]
     spread = stats.quantiles(metrics, "total_depth2_reach").select(
         F.col("mean").alias("reach_mean"), F.col("p50").alias("reach_median"), *[F.col(p).alias(f"reach_{p}") for p in ("p90", "p95", "p99")], F.col("max").alias("reach_max"), (100 * F.col("zero_share")).alias("zero_reach_pct")
     )
-    seeds = metrics.agg(F.count("*").alias("seed_papers"), F.count_if(reach == 0).alias("zero_reach_n"))
+    seeds = metrics.agg(F.count("*").alias("seed_papers"), F.count_if(total == 0).alias("zero_reach_n"))
     gini = stats.gini(metrics, "total_depth2_reach").withColumnRenamed("gini", "reach_gini")
     post = post_notice_totals(metrics).select(*[F.col(a).alias(b) for a, b in (("direct_sum", "direct_relationship_sum"), ("depth2_sum", "depth2_relationship_sum"), ("seeds_direct", "seeds_with_post_direct"), ("seeds_depth2", "seeds_with_post_depth2"))])
-    one, two = unique_of_pairs(dated, 1).withColumnRenamed("n", "direct_unique_nodes"), unique_of_pairs(dated, 2).withColumnRenamed("n", "depth2_unique_nodes")
+    unique = reach.unique_post(s.canonical(seed_rows), *numbered).agg(*[F.max(F.when(F.col("hop") == h, F.col("n"))).alias(c) for h, c in ((1, "direct_unique_nodes"), (2, "depth2_unique_nodes"))])
     day = works.select("node_id", "publication_date")
     cover = frontier.join(day, "node_id", "left").agg(*[F.count_if((depth == d) & F.col("publication_date").isNull()).alias(f"depth{d}_pubdate_null") for d in (1, 2)])
     counts = g.reconcile(edges.where("depth = 2"), expected).select(
@@ -206,7 +214,7 @@ def headline(
     )
     zero = g.terminal(frontier, citations, 1).agg(F.count("*").alias("zero_count_pruned"))
     gone = g.stale(citations, frontier).select(F.col("stale_edges").alias("stale_edges_deleted"), F.col("stale_targets").alias("stale_missing_targets"))
-    return side_by_side(run, records, s.duplicate_counts(seed_rows), no_doi, nodes, links, seeds, spread, gini, post, one, two, cover, counts, zero, gone)
+    return side_by_side(run, records, s.duplicate_counts(seed_rows), no_doi, nodes, links, *ends, seeds, spread, gini, post, unique, cover, counts, zero, gone)
 
 
 def labels(rows: DataFrame, n: int, order: str, title: str = "title", width: int = 55) -> DataFrame:

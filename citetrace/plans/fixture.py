@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citetrace.operators import control, graph, metrics, seeds
-from citetrace.plans.storage import materialise
+from citetrace.operators import control, crawl, graph, reach, seeds
+from citetrace.plans.keyed_table import KeyedTable
+from citetrace.plans.storage import folder, materialise, shared_dir, written
+from citetrace.streaming import merge
 
 
 @dataclass(frozen=True)
@@ -18,6 +22,7 @@ class Fixture:
 
     spark: SparkSession
     sf_dir: str
+    stores: dict[str, str] = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -94,13 +99,16 @@ class Fixture:
         return materialise(graph.level_edges(self.raw_citations, self.frontier, 3), "scoped-edges")
 
     @cached_property
-    def dated(self) -> DataFrame:
-        """(seed, citing node) pairs of both hops with whether they come after the notice."""
-        return materialise(metrics.dated_pairs(metrics.seed_pairs(self.canonical, self.edges, self.frontier), self.canonical, self.works), "dated-pairs")
+    def measured(self) -> DataFrame:
+        return materialise(reach.seed_metrics(self.canonical, self.numbered_nodes, self.numbered_edges), "seed-metrics")
 
     @cached_property
-    def measured(self) -> DataFrame:
-        return materialise(metrics.of_pairs(self.canonical, self.dated), "seed-metrics")
+    def numbered_nodes(self) -> DataFrame:
+        return reach.number_nodes(self.frontier, self.works, self.canonical)
+
+    @cached_property
+    def numbered_edges(self) -> DataFrame:
+        return reach.number_edges(self.edges, self.numbered_nodes)
 
     @cached_property
     def paired(self) -> DataFrame:
@@ -108,13 +116,77 @@ class Fixture:
         found = control.match(control.seed_frame(self.seed_rows, self.edges, self.works), control.pool(self.edges, self.frontier, self.works))
         return materialise(control.pairs(found, self.edges, self.works), "matched-pairs")
 
+    def streamed(self, observations: Callable[[Fixture], DataFrame], failed: Callable[[Fixture], DataFrame]) -> str:
+        """The folder of a store that a stream of both has filled."""
+        if "streamed" not in self.stores:
+            base = folder(self.spark, "stream")
+            rows = observations(self).select("source_id", "target_id", "depth", "source_api", "citation_date", "seq", F.lit(None).cast("string").alias("error"))
+            both = rows.unionByName(failed(self))
+            both.repartition(4, "seq", "target_id").write.parquet(f"{base}/inbox")
+            merge.ingest(self.spark, f"{base}/inbox", base, ", ".join(f"{n} {t}" for n, t in both.dtypes))
+            self.stores["streamed"] = base
+        return self.stores["streamed"]
+
+    def crawled(self) -> crawl.Crawl:
+        """A crawl of the derived citations in three batches, with a stop between two levels."""
+        if "crawl" not in self.stores:
+            base = folder(self.spark, "crawl")
+            part = lambda k: self.raw_citations.where(f"seq div 1000000 % 3 = {k}")
+            first = crawl.Crawl(self.spark, base)
+            first.add_roots(self.seed_records)
+            first.add_citations(part(0), number=0)
+            first.step()
+            first.add_citations(part(1), number=1)
+            again = crawl.Crawl(self.spark, base)  # takes up where the first stopped
+            again.run()
+            again.add_citations(part(2), number=2)
+            again.run()
+            self.stores["crawl"] = base
+        return crawl.Crawl(self.spark, self.stores["crawl"])
+
+    @cached_property
+    def upserted(self) -> KeyedTable:
+        """Each node's last citation by seq, put in three batches that touch the same nodes; nodes whose number ends in 9 are deleted."""
+        table = KeyedTable(self.spark, folder(self.spark, "upserts"), "node_id string, source_api string, citation_date date, seq long", ["node_id"], file_rows=20_000)
+        rows = self.raw_citations.select(F.col("source_id").alias("node_id"), F.when(F.col("seq") % 7 != 0, F.col("source_api")).alias("source_api"), "citation_date", "seq")
+        line = F.floor(F.col("seq") / 10_000_000) % 100  # grows with seq within a node
+        for n, some in enumerate((line <= 2, (line > 2) & (line <= 4), line > 4)):
+            table.upsert(rows.where(some), order=["seq"], number=n)
+        table.delete(rows.select("node_id").where("node_id like '%9'"), number=3)
+        return table
+
 
-_fixtures: dict[tuple[str, str], Fixture] = {}
+_fixtures: dict[tuple, Fixture] = {}
 
 
 def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
-    """The derived tables of a folder, one for each application, so that its queries share them."""
-    key = spark.sparkContext.applicationId, sf_dir
+    """The derived tables of a folder, one for each application and state of its files, so that its queries share them. What has been released is made again."""
+    key = spark.sparkContext.applicationId, sf_dir, signature(spark, sf_dir)
     if key not in _fixtures:
+        for old in [k for k in _fixtures if k[:2] == key[:2]]:
+            del _fixtures[old]
         _fixtures[key] = Fixture(spark, sf_dir)
-    return _fixtures[key]
+    x, known = _fixtures[key], set(written(spark))
+    for name, value in list(vars(x).items()):
+        if isinstance(value, DataFrame) and not _held(value, known):
+            del vars(x)[name]
+    if not known.issuperset(x.stores.values()) or ("upserted" in vars(x) and vars(x)["upserted"].folder not in known):
+        vars(x).pop("upserted", None)
+        x.stores.clear()
+    return x
+
+
+def _held(df: DataFrame, known: set[str]) -> bool:
+    """Whether all that ``df`` reads of what this application has written is still there."""
+    plain = lambda path: re.sub(r"^\w+:/*", "/", path)
+    base = plain(shared_dir(df.sparkSession)) + "/"
+    tops = {base + p[len(base) :].split("/")[0] for p in map(plain, df.inputFiles()) if p.startswith(base)}
+    return tops <= set(map(plain, known))
+
+
+def signature(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files of a folder of tables."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s for pattern in ("*.parquet", "*.parquet/*") for s in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{pattern}")) or []]
+    return tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in found))

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citetrace.functions.identifiers import xml_text
 from citetrace.operators.ordered import running
-from citetrace.plans.storage import shared_dir
+from citetrace.plans.storage import folder
 
 
 def through(df: DataFrame, kind: str) -> DataFrame:
     """``df`` written as ``parquet`` or ``csv`` (header, nulls empty) in the shared folder and read back with its schema."""
-    path = f"{shared_dir(df.sparkSession)}/{kind}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, kind)
     if kind == "csv":
         df.write.option("header", True).csv(path)
         return df.sparkSession.read.schema(df.schema).option("header", True).csv(path)

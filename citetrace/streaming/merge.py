@@ -1,74 +1,49 @@
-"""Incremental citation ingest: files of observations merged into edge snapshots by the least-depth rule.
+"""Incremental citation ingest: files of observations taken into a store of edge runs by the least-depth rule.
 
-The merge keeps the shallowest observation, then the smallest seq, so any split into batches and any retry gives the same edges.
+The merge keeps the shallowest observation, then the smallest seq, so any split into batches and any retry gives the same edges. An inbox may also say which
+parents failed: a row without a source whose ``error`` is set. A parent is failed if the last that is known of it, by seq, is a failure; any observation of its
+citations clears it. Edges and failures of a batch are one commit.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from citetrace.operators.graph import merge_edges
+from citetrace.plans.log_store import LogStore, Table
 
 
-#: Parts of the edges, by a hash of the target: a batch rewrites those that it touches.
-BUCKETS = 16
+def store(spark: SparkSession, folder: str, schema: str, **sizes: int) -> LogStore:
+    """The store below a folder. schema: of the observations; ``error`` is no column of an edge."""
+    columns = [f for f in T.StructType.fromDDL(schema).fields if f.name != "error"]
+    edges = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
+    tables = {"edges": Table(edges, ("target_id", "source_id"), ("depth", "seq")), "failures": Table("node_id string, error string, seq long", ("node_id",), ("-seq", "error"))}
+    return LogStore(spark, f"{folder}/store", tables, **sizes)
 
 
-def ingest(spark: SparkSession, inbox: str, folder: str, schema: str, max_files: int = 2) -> DataFrame:
-    """Take all waiting files of ``inbox`` and return the edges so far. The edges and the checkpoint are below ``folder``.
+def ingest(spark: SparkSession, inbox: str, folder: str, schema: str, max_files: int = 2, **sizes: int) -> DataFrame:
+    """Take all waiting files of ``inbox`` and return the edges so far. The store and the checkpoint are below ``folder``.
 
-    A batch writes new versions of the parts that it touches; older ones go once a later batch needs them no more, so a retry finds what it began with.
+    A batch writes its own observations and, now and then, merges like-sized runs, so what it writes follows what it brings. A batch that is tried again is taken once.
     """
+    own = store(spark, folder, schema, **sizes)
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        rows = batch.withColumn("bucket", F.pmod(F.xxhash64("target_id"), F.lit(BUCKETS)).cast("int"))
-        touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS
-        have = {b: e for b, e in _newest(spark, folder, epoch).items() if b in touched}
-        if have:
-            before = spark.read.parquet(*[_path(folder, e, b) for b, e in have.items()])
-            rows = rows.unionByName(before.withColumn("bucket", F.pmod(F.xxhash64("target_id"), F.lit(BUCKETS)).cast("int")))
-        merge_edges(rows).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/edges/{epoch:012d}")  # a retry writes the same
-        _drop_older(spark, folder, epoch)
+    def take(batch: DataFrame, epoch: int) -> None:
+        rows = batch if "error" in batch.columns else batch.withColumn("error", F.lit(None).cast("string"))
+        events = rows.where("source_id is not null or error is not null")
+        state = events.select(F.col("target_id").alias("node_id"), F.when(F.col("source_id").isNull(), F.col("error")).alias("error"), "seq")
+        own.commit({"edges": rows.where("source_id is not null"), "failures": state.where("node_id is not null")}, number=epoch)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(inbox)
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    out = latest(spark, folder)
-    return spark.createDataFrame([], schema) if out is None else out
+    return own.read("edges")
 
 
-def _path(folder: str, epoch: int, bucket: int) -> str:
-    return f"{folder}/edges/{epoch:012d}/bucket={bucket}"
-
-
-def _versions(spark: SparkSession, folder: str) -> list[tuple[int, int]]:
-    """(bucket, batch) of all written parts."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/edges")
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    parts = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/edges/*/bucket=*")) or []
-    return sorted((int(s.getPath().getName().split("=")[1]), int(s.getPath().getParent().getName())) for s in parts)
-
-
-def _newest(spark: SparkSession, folder: str, below: int | None = None) -> dict[int, int]:
-    """The newest batch of each part, or the newest before batch ``below``."""
-    return {bucket: epoch for bucket, epoch in _versions(spark, folder) if below is None or epoch < below}
-
-
-def _drop_older(spark: SparkSession, folder: str, epoch: int) -> None:
-    needed = _newest(spark, folder, epoch)
-    for bucket, at in _versions(spark, folder):
-        if at < epoch and at != needed[bucket]:
-            p = spark._jvm.org.apache.hadoop.fs.Path(_path(folder, at, bucket))
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def latest(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The edges of the newest version of each part."""
-    newest = _newest(spark, folder)
-    return spark.read.parquet(*[_path(folder, e, b) for b, e in newest.items()]) if newest else None
+def failures(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """(node_id, error) of parents that failed and have not succeeded since."""
+    return store(spark, folder, schema).read("failures").where("error is not null").select("node_id", "error")
 
 
 def clear_failures(metadata: DataFrame, succeeded: DataFrame, prefix: str) -> DataFrame:

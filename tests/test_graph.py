@@ -3,7 +3,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from citetrace.operators import control, graph, metadata, metrics, quality, seeds, stats
+from citetrace.operators import control, graph, metadata, metrics, quality, reach, seeds, stats
 from citetrace.operators.components import connected_components
 from citetrace.operators.ordered import running
 from citetrace.sources import readers, sinks
@@ -42,7 +42,9 @@ def test_toy_metrics(spark):
     dated = metrics.dated_pairs(metrics.seed_pairs(canonical, edges, frontier), canonical, works)
     meta = spark.createDataFrame([("pipeline_mode", "toy")], "key string, value string")
     expected = spark.createDataFrame([("D1A", 1), ("D1B", 3)], "node_id string, expected long")
-    h = metrics.headline(records, records.limit(0), meta, edges, frontier, works, dated, metrics.of_pairs(canonical, dated), edges, expected).first()
+    nodes = reach.number_nodes(frontier, works, canonical)
+    numbered = nodes, reach.number_edges(edges, nodes)
+    h = metrics.headline(records, records.limit(0), meta, edges, frontier, works, numbered, metrics.of_pairs(canonical, dated), edges, expected).first()
     assert (h.total_edges, h.depth1_edges, h.depth2_edges, h.direct_unique_nodes, h.depth2_unique_nodes) == (5, 3, 2, 2, 2)
     assert (h.depth1_distinct_sources, h.depth1_distinct_targets, h.depth2_distinct_sources, h.depth2_distinct_targets) == (3, 2, 2, 2)
     assert (h.seed_papers, h.reach_median, h.reach_max, h.zero_reach_n, h.pipeline_mode, h.oc_access_date) == (2, 2.5, 3, 0, "toy", "unknown")
@@ -299,9 +301,17 @@ def test_streamed_edges_do_not_depend_on_batches(spark, tmp_path):
         df.repartition(parts, "seq").write.parquet(f"{base}/inbox")
         assert {tuple(r) for r in merge.ingest(spark, f"{base}/inbox", base, schema, files).collect()} == want
         assert {tuple(r) for r in merge.ingest(spark, f"{base}/inbox", base, schema, files).collect()} == want
-        kept = list((tmp_path / str(parts) / "edges").glob("*/bucket=*"))
-        assert len(kept) <= 2 * merge.BUCKETS  # what a retry needs, not every batch
-
-
-def test_result_csv_may_be_missing(spark, tmp_path):
-    assert readers.result_csv(spark, f"file://{tmp_path}/none", "a int, b string").count() == 0
+        store = merge.store(spark, base, schema)
+        kept = {str(p.relative_to(tmp_path / str(parts) / "store")) for p in (tmp_path / str(parts) / "store/edges").glob("*/_bucket=*")}
+        assert kept == {r["path"] for n in store.states() for r in store.state(n).runs["edges"]}  # what a retry needs, not every batch
+
+
+def test_streamed_failures(spark, tmp_path):
+    """Whatever the batches, a parent is failed if the last that is known of it is a failure."""
+    schema = "source_id string, target_id string, depth int, source_api string, seq long, error string"
+    rows = [("a", "p", 1, "x", 5, None), (None, "p", None, None, 3, "early"), (None, "q", None, None, 8, "late"), ("b", "q", 1, "x", 2, None), (None, "r", None, None, 1, "only"), (None, "r", None, None, 4, "again")]
+    for parts, files in ((1, 1), (6, 1)):
+        base = f"file://{tmp_path}/f{parts}"
+        spark.createDataFrame(rows, schema).repartition(parts, "seq").write.parquet(f"{base}/inbox")
+        assert {r.target_id for r in merge.ingest(spark, f"{base}/inbox", base, schema, files).collect()} == {"p", "q"}
+        assert {tuple(r) for r in merge.failures(spark, base, schema).collect()} == {("q", "late"), ("r", "again")}
