@@ -46,6 +46,8 @@ def centres(rows: DataFrame) -> np.ndarray:
     order = F.xxhash64("id")
     sample = [r[0] for r in rows.orderBy(order, "id").select("v").limit(SAMPLE).collect()]
     dim = max(map(len, sample), default=0)
+    if not dim:
+        return np.zeros((0, 0))
     x = np.zeros((len(sample), dim))
     for i, v in enumerate(sample):
         x[i, : len(v)] = v
@@ -143,7 +145,7 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a.astype(float) @ b.astype(float).T).astype(np.int64)
     if most < NO_ID:
         return a @ b.T
-    return (a.astype(object) @ b.astype(object).T).astype(np.int64)  # an OverflowError beyond the range of long
+    return a.astype(object) @ b.astype(object).T  # Python's integers; what is kept of them must fit into long
 
 
 def _bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -163,6 +165,7 @@ class Best:
         self.id, self.place = list(self.score), list(self.score)
 
     def add(self, i: int, score: np.ndarray, ids: np.ndarray, place: np.ndarray) -> None:
+        score = score.astype(np.int64)  # an OverflowError beyond the range of long
         keep = score >= self.floor[i]
         if not keep.any():
             return

@@ -41,7 +41,8 @@ def transform(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: in
     h1, h2, h3, h4 = draws(F.col(key), seed)
     made = ("n", "form", "prefix_chars", "middle_chars", "output")
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in made], body.alias("_t"), *[h.alias(f"_h{i}") for i, h in enumerate((h1, h2, h3, h4))]).withColumn("n", units(F.col("_t")))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in made]).alias("_row")  # in one, so that no name of theirs meets one used here
+    rows = docs.select(own, body.alias("_t"), *[h.alias(f"_h{i}") for i, h in enumerate((h1, h2, h3, h4))]).withColumn("n", units(F.col("_t")))
     marked = F.contains("_t", F.lit(PREFIX)) | F.contains("_t", F.lit(SUFFIX)) | F.contains("_t", F.lit(MIDDLE))
     form = F.when((F.col("n") == 0) | marked | (F.col("_h2") % 100 >= 100 - PLAIN), "plain").when(F.col("_h3") % 100 < SUFFIX_FIRST, "spm").otherwise("psm")
     one, two = F.col("_h0") % (F.col("n") + 1), F.col("_h1") % (F.col("n") + 1)
@@ -51,7 +52,7 @@ def transform(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: in
     pattern = F.concat(F.lit(r"(?s)\A(.{"), count("prefix_chars"), F.lit("}+)(.{"), count("middle_chars"), F.lit(r"}+)(.*+)\z"))
     order = F.when(F.col("form") == "psm", f"{PREFIX}$1{SUFFIX}$3{MIDDLE}$2").otherwise(f"{SUFFIX}$3{PREFIX}$1{MIDDLE}$2")
     output = F.when(cut, F.regexp_replace("_t", pattern, order)).otherwise(F.col("_t"))
-    return rows.withColumn("output", output).drop("_t", "_h0", "_h1", "_h2", "_h3")
+    return rows.withColumn("output", output).select("_row.*", *made)
 
 
 def restore(output: Column, form: Column) -> Column:
