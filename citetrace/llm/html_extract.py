@@ -22,13 +22,19 @@ from citetrace.llm.html_tree import GROUPS, Tree, parse
 COPIES = 8
 THRESHOLD = 0.5
 
-# What stands at the head of reader comments and of lists of other pages, and in a note of rights.
+# Whole headings of reader comments and of lists of other pages, and a note of rights. A heading that may as well be a section's own
+# ("Discussion", "Response", "Related work", "Popular culture") is none of them.
 TALK = re.compile(
-    r"\W*(?:\d+\s+)?(?:reader |user |all |view )?(?:comments?|responses?|replies|discussion|leave a (?:reply|comment)|post a comment|join the (?:conversation|discussion)|kommentare?|commentaires?|comentarios?)\b[\W\d]*(?:\w+\W*){0,3}$",
+    r"\W*(?:(?:\d+|no|reader|user|visitor|all|view|show|recent|latest|your)\s+)*comments?\W*\d*\W*$"
+    r"|\W*\d+\s+(?:responses?|replies|reply|thoughts?|reactions?)(?:\s+(?:to|on)\b.{0,50})?\W*$"
+    r"|\W*(?:leave|add|post|write)\s+(?:a|your)\s+(?:reply|comment)\W*$|\W*join\s+the\s+(?:conversation|discussion)\W*$|\W*(?:responses|replies)\W*\d*\W*$"
+    r"|\W*(?:\d+\s+)?(?:kommentare?|commentaires?|comentarios?)\W*\d*\W*$",
     re.I,
 )
 MORE = re.compile(
-    r"\W*(?:related|recommended|you may also like|you might also like|read next|more (?:from|stories|articles|posts|on|like)|popular|trending|most read|share this|follow us|subscribe|newsletter|sponsored|advertisement|latest (?:news|posts|stories))\b\W*(?:\w+\W*){0,5}$",
+    r"\W*(?:related|recommended|popular|trending|latest|recent|top|other)\s+(?:articles|posts|stories|news|videos|links|pages|topics|content|now)\W*$|\W*(?:recommended\s+for\s+you|read\s+next|up\s+next|trending|sponsored|advertisement)\W*$"
+    r"|\W*you\s+(?:may|might)\s+(?:also\s+)?(?:like|enjoy)\b.{0,30}$|\W*more\s+(?:stories|articles|posts|news)\b.{0,40}$|\W*more\s+from\b.{0,40}$|\W*more\s+like\s+this\W*$|\W*most\s+(?:read|popular|viewed|shared)\b.{0,20}$"
+    r"|\W*(?:share\s+this|follow\s+us|subscribe)\b.{0,30}$|\W*(?:our\s+)?newsletter(?:\s+sign\W?up)?\W*$",
     re.I,
 )
 RIGHTS = re.compile(r"\s*(?:copyright\W*(?:©|\(c\)|\d{4}|by\b)|©|\(c\)\s*\d{4})", re.I)

@@ -26,8 +26,10 @@ LAYOUTS = (
     "<body><article>[[<h1>S</h1><p>P</p><h2>S</h2><p>P</p><p>L</p>]]<h2>Comments</h2><ul><li><p>P</p></li><li>L</li><li><p>P</p></li></ul></article><div>Copyright 2021 W. All rights reserved.</div></body>",
     "<body><div>[[<h1>S</h1><p>P</p><p>P</p><p>P</p>]]<h3>4 Responses</h3><div><b>W</b><p>P</p></div><div><b>W</b><p>P</p></div><h3>Related stories</h3><ul><li><a>S</a></li><li>S</li></ul></div><p>&copy; 2019 W W</p></body>",
     "<body><main>[[<h1>S</h1><p>L</p><h2>S</h2><p>P</p><ul><li>L</li><li>L</li></ul>]]<div class='thread'><div><p>P</p></div><div><p>P</p><p>L</p></div></div></main><div role='contentinfo'><p>P</p><p>L</p></div></body>",
+    "<body><div>[[<h1>S</h1><h2>S</h2><p>P</p><p>P</p><h2>Related work</h2><p>P</p><p>P</p><h2>Response</h2><p>P</p><p>P</p><h2>Popular S</h2><p>P</p>]]</div><div><h3>Leave a reply</h3><p>L</p></div></body>",
+    "<body><div><a>W</a><a>W</a></div><div>[[<h1>S</h1><p>P</p><h4>S</h4><p>P</p><p>P</p><h4>S</h4><p>P</p><p>P</p><h4>S</h4><p>P</p><h4>Discussion</h4><p>P</p>]]<h4>9 replies</h4><div><p>P</p></div><div><p>P</p></div></div><footer><p>W</p></footer></body>",
     "<body><div class='entry'>[[<h2>S</h2><p>P</p>]]<h4>You may also like</h4><p>S</p><p>L</p><h4>Reader comments</h4><p>P</p><p>P</p><p>L</p></div><div>&copy; W W. All rights reserved.</div></body>",
-    "<body><section>[[<h1>S</h1><h2>S</h2><p>P</p><h2>S</h2><p>P</p><h3>S</h3><p>L</p><p>P</p>]]<h2>Discussion</h2><p>P</p><ol><li>P</li><li>P</li></ol></section><section><h2>More from W</h2><p>L</p><p>L</p></section></body>",
+    "<body><section>[[<h1>S</h1><h2>S</h2><p>P</p><h2>S</h2><p>P</p><h3>S</h3><p>L</p><p>P</p><h2>Discussion</h2><p>P</p><ol><li>P</li><li>P</li></ol><h2>Responses to S</h2><p>P</p>]]<h2>3 Comments</h2><p>P</p><ol><li>P</li><li>P</li></ol></section><section><h2>More from W</h2><p>L</p><p>L</p></section></body>",
 )
 
 

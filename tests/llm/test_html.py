@@ -65,6 +65,30 @@ def test_articles_of_the_pages_table(spark, model):
     assert same >= 0.98 * len(rows)
 
 
+SECTIONS = ("Methods", "Related work", "Results", "Discussion", "Popular culture", "More on method", "Response", "Responses to treatment", "Comments on the data", "Conclusion")
+# Layouts with sections of such names in the article and reader comments after it; none is a training layout.
+SECTIONED = tuple(
+    f"<nav><a>S</a><a>S</a></nav>{a}[[<h1>S</h1><p>P</p>" + "".join(f"<{h}>{name}</{h}><p>P</p><p>P</p>" for name in SECTIONS) + f"]]<{h}>{talk}</{h}><{box}><p>P</p></{box}><{box}><p>L</p></{box}>{z}<footer><p>S</p></footer>"
+    for a, z in (("<article>", "</article>"), ("<main>", "</main>"), ("<section class=post>", "</section>"), ("<div>", "</div>"))
+    for h, talk, box in (("h2", "Comments", "div"), ("h3", "12 Responses", "div"), ("h2", "Leave a reply", "section"))
+)
+
+
+def test_sections_stay_whatever_their_headings(model):
+    rng = random.Random(12)
+    right = wrong = missed = 0
+    for layout in SECTIONED:
+        page = filled(layout, rng)
+        got = model.extract(page.replace("[[", "").replace("]]", ""))
+        assert all(f" {name} " in got for name in SECTIONS), [n for n in SECTIONS if f" {n} " not in got]
+        want = collections.Counter(re.sub(r"<[^>]*>", " ", re.search(r"\[\[(.*)\]\]", page, re.S)[1]).split())
+        have = collections.Counter(got.split())
+        both = sum((want & have).values())
+        right, wrong, missed = right + both, wrong + sum(have.values()) - both, missed + sum(want.values()) - both
+    print(f"precision {right / (right + wrong):.3f}, recall {right / (right + missed):.3f}")
+    assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.95
+
+
 BODY = "<h1>A heading of some words</h1><p>The first paragraph says a thing, and then another one. It goes on.</p>"
 
 
