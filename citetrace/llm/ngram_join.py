@@ -1,6 +1,6 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
-1. Documents with the same set of shingles become one class, represented by the smallest id.
+1. Documents with the same set of shingles become one class, represented by the row of the smallest id.
 2. Columns: the ``sketch`` smallest shingle hashes of each class. For a linked pair every member of the union's
    smallest hashes is common with a chance of at least the threshold, so with 64 of them fewer than 24 common
    ones have a chance below 4e-10 at exactly 0.75; sets of up to 64 shingles are held whole, without any chance.
@@ -50,7 +50,7 @@ def shingle_sets(texts: pa.Array, k: int = WORDS_A_SHINGLE):
 
 def _sketches(k: int, size: int):
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("sketch", pa.list_(pa.int64()))]
+        [("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("sketch", pa.list_(pa.int64()))]
     )
 
     def of(batches):
@@ -64,6 +64,7 @@ def _sketches(k: int, size: int):
             yield pa.record_batch(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_key"),
                     pa.array([r[0] for r in rows], pa.int64()),
                     pa.array(to([r[1] for r in rows])),
                     pa.array(to([r[2] for r in rows])),
@@ -135,8 +136,8 @@ def _tiles(k: int, percent: int):
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
         for _, group in pdf.groupby(["grp", "tile_a", "tile_b"], sort=False):
-            group = group.sort_values("doc_id")
-            ids = group["doc_id"].to_numpy()
+            group = group.drop_duplicates("node").sort_values("node")  # rows that repeat are one node
+            ids = group["node"].to_numpy()
             sets = list(shingle_sets(pa.array(group["text"], pa.large_string()), k))
             tile = group["tile"].to_numpy()
             a, b = group["tile_a"].iloc[0], group["tile_b"].iloc[0]
@@ -153,44 +154,53 @@ def jaccard_join(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text; other columns are ignored).
 
-    Null, empty and blank texts have no shingles and are their own component. Repeated rows of one id give
-    repeated rows. A null doc_id is returned with a null component and links to nothing.
+    Null, empty and blank texts have no shingles and are their own component. Repeated rows of one id give repeated rows; rows of one id with
+    different texts are documents of their own, each with the links of its own text. A null doc_id is returned with a null component and links to nothing.
+    Texts of any length are read whole; an empty table gives no rows.
     """
+    return _joined(docs, words, percent, sketch, need, tile).drop("text_key")
+
+
+def _joined(docs: DataFrame, words: int, percent: int, sketch: int, need: int, tile: int) -> DataFrame:
+    """``jaccard_join`` with text_key, the 64-bit hash that tells the texts of one id apart."""
     base = materialise(
         _texts(docs).mapInArrow(
-            _sketches(words, sketch), "doc_id long, n_shingles long, key_a long, key_b long, sketch array<long>"
+            _sketches(words, sketch), "doc_id long, text_key long, n_shingles long, key_a long, key_b long, sketch array<long>"
         ),
         "ngram-sketch",
     )
     some = base.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("n_shingles", "key_a", "key_b").agg(F.min("doc_id").alias("rep"))
-    reps = some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    cells = reps.select("doc_id", "n_shingles", F.explode("sketch").alias("col"))
+    key = ["n_shingles", "key_a", "key_b"]
+    least_row = F.min(F.struct("doc_id", "text_key")).alias("rep")
+    # a class is a node by a number of its own, not by its id, which other classes may have as well
+    classes = materialise(some.groupBy(*key).agg(least_row).select(*key, "rep.*").withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
+    reps = some.join(classes, [*key, "doc_id", "text_key"]).select("node", "n_shingles", "sketch").dropDuplicates(["node"])
+    cells = reps.select("node", "n_shingles", F.explode("sketch").alias("col"))
     counts = cells.groupBy("col").agg(F.count("*").alias("df")).where("df > 1")
-    repeated = cells.join(counts.hint("merge"), "col").select("doc_id", "n_shingles", "col", "df")
+    repeated = cells.join(counts.hint("merge"), "col").select("node", "n_shingles", "col", "df")
     # what an overlap needs at least: of whole small sets by their size, of sketches ``need``
     least = F.least(F.lit(need), F.ceil(F.col("n_shingles") * percent / 100)).cast("int")
-    mine = Window.partitionBy("doc_id")
+    mine = Window.partitionBy("node")
     lookup = (
         repeated.withColumn("r", F.count("*").over(mine))
         .where(F.col("r") >= least)
         .withColumn("place", F.row_number().over(mine.orderBy("df", "col")))
         .where(F.col("place") <= F.col("r") - least + 1)
-        .select("col", "doc_id")
+        .select("col", "node")
     )
     lookup = materialise(lookup, "ngram-lookup")
-    hub = lookup.groupBy("col").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    meets = lookup.join(hub, "col").where("doc_id <> hub").select("doc_id", "hub").distinct()
-    groups = materialise(connected_components(meets, "doc_id", "hub"), "ngram-groups")
+    hub = lookup.groupBy("col").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    meets = lookup.join(hub, "col").where("node <> hub").select("node", "hub").distinct()
+    groups = materialise(connected_components(meets, "node", "hub"), "ngram-groups")
 
     size = groups.groupBy("component").agg(F.count("*").alias("size"))
-    placed = groups.join(size, "component").withColumnRenamed("node", "doc_id")
+    placed = groups.join(size, "component").join(classes.select("node", "doc_id", "text_key").hint("merge"), "node")
     # tiles by a hash; a group of up to one tile is whole
     tiles = F.ceil(F.col("size") / tile).cast("int")
-    placed = placed.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
-    with_text = _texts(docs).join(placed.hint("merge"), "doc_id")
+    placed = placed.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    with_text = _texts(docs).join(placed.hint("merge"), ["doc_id", "text_key"])
     spread = with_text.select(
-        "doc_id", "text", "tile", F.col("component").alias("grp"), "size", "tiles", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
+        "node", "text", "tile", F.col("component").alias("grp"), "size", "tiles", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     ).select("*", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"))
     total = groups.count()
     bins = max(1, total // 600)
@@ -199,21 +209,27 @@ def jaccard_join(
     )
     links = spread.groupBy("task").applyInPandas(_tiles(words, percent), "a long, b long")
     found = connected_components(links, "a", "b")
-    member = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        "n_shingles", "key_a", "key_b", F.coalesce("component", "rep").alias("class_component")
-    )
+    linked = classes.join(found, "node")
+    first = linked.groupBy("component").agg(F.min("doc_id").alias("class_component"))
+    member = linked.join(first, "component").select(*key, "class_component")
+    alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("class_component", "rep"))
+    of_class = classes.select(*key, F.col("doc_id").alias("rep")).join(member, key, "left")
     return (
         base.drop("sketch")
-        .join(member, ["n_shingles", "key_a", "key_b"], "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id")).alias("component_id"))
+        .join(of_class, key, "left")
+        .select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"))
     )
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document, the smallest id, of each component; columns as they were."""
-    found = jaccard_join(docs, **options).where("component_id = doc_id or doc_id is null").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_id"]), "left_semi")
+def keep_one(
+    docs: DataFrame, words: int = WORDS_A_SHINGLE, percent: int = PERCENT, sketch: int = SKETCH, need: int = NEED, tile: int = TILE
+) -> DataFrame:
+    """``docs`` with one document, the smallest id, of each component; columns as they were. Rows of a null id stay."""
+    kept = _joined(docs, words, percent, sketch, need, tile).where("component_id = doc_id or doc_id is null")
+    found = kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"].cast("string")) == found["_key"]), "left_semi")
