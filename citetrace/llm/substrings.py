@@ -19,7 +19,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citetrace.llm.words import U, mix, passes
@@ -59,11 +59,11 @@ def _runs(words, window: int, gram: int):
 
 
 def _anchors(window: int, gram: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int32()), ("anchor", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
 
     def of(batches):
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, versions = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "version"))
             for row, words in passes(batch.column("text")):
                 doc, first, count, anchor = _runs(words, window, gram)
                 # hash of a run: its words in order, with its length
@@ -80,6 +80,7 @@ def _anchors(window: int, gram: int):
                 yield pa.record_batch(
                     [
                         pa.array(ids[row + doc], pa.int64()),
+                        pa.array(versions[row + doc], pa.int32()),
                         pa.array(anchor.view(np.int64)),
                         pa.array(key.view(np.int64)),
                         pa.array((first - words.bound[doc]).astype(np.int32)),
@@ -91,7 +92,7 @@ def _anchors(window: int, gram: int):
     return of
 
 
-FOUND = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("first", pa.bool_())])
+FOUND = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("version", pa.int32()), ("first", pa.bool_())])
 
 
 class _Anchor:
@@ -100,7 +101,7 @@ class _Anchor:
     def __init__(self, limit: int):
         self.limit, self.key, self.docs, self.keys, self.held = limit, None, None, 0, []
 
-    def feed(self, doc, anchor, key, start, windows):
+    def feed(self, doc, anchor, key, start, windows, version):
         """Columns of FOUND with whether a row is a run: the runs, once a second document has the anchor, and a mark once the anchor is to be split.
 
         first: whether a run is the first of its words, the one whose words are sent.
@@ -110,7 +111,7 @@ class _Anchor:
         self.docs = (least, most) if self.docs is None else (min(least, self.docs[0]), max(most, self.docs[1]))
         self.key = key[-1]
         before, self.keys = self.keys, self.keys + int(new.sum())
-        self.held.append((doc, anchor, key, start, windows, new, np.ones(len(doc), dtype=bool)))
+        self.held.append((doc, anchor, key, start, windows, version, new, np.ones(len(doc), dtype=bool)))
         if self.docs[0] < self.docs[1]:
             yield from self.held
             self.held = []
@@ -120,10 +121,10 @@ class _Anchor:
 
 def _marks(anchors):
     n = len(anchors)
-    return np.zeros(n, dtype=np.int64), anchors, np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32), np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    return np.zeros(n, dtype=np.int64), anchors, np.zeros(n, dtype=np.int64), *(np.zeros(n, dtype=np.int32) for _ in range(3)), np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
 
 
-def _compare(limit, doc, anchor, key, start, windows):
+def _compare(limit, doc, anchor, key, start, windows, version):
     """From rows of whole anchors, sorted by (anchor, key, doc), what ``_Anchor.feed`` gives of each."""
     a_new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
     k_new = a_new | np.concatenate([[True], key[1:] != key[:-1]])
@@ -131,14 +132,14 @@ def _compare(limit, doc, anchor, key, start, windows):
     keys = np.add.reduceat(k_new.astype(np.int64), begin)
     several = np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin)
     keep = several[np.cumsum(a_new) - 1]
-    yield doc[keep], anchor[keep], key[keep], start[keep], windows[keep], k_new[keep], np.ones(int(keep.sum()), dtype=bool)
+    yield doc[keep], anchor[keep], key[keep], start[keep], windows[keep], version[keep], k_new[keep], np.ones(int(keep.sum()), dtype=bool)
     yield _marks(anchor[begin[keys > limit]])
 
 
 def _shared(limit: int):
     """From runs sorted by (anchor, key, doc): those of anchors that several documents have; no anchor is held as a whole."""
-    names = ("doc_id", "anchor", "key", "start", "windows")
-    nothing = tuple(np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32, bool, bool))
+    names = ("doc_id", "anchor", "key", "start", "windows", "version")
+    nothing = tuple(np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, bool, bool))
 
     def of(batches):
         now = state = None
@@ -240,11 +241,11 @@ class Automaton:
 
 
 def _cut_runs(window: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("part", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int32()), ("anchor", pa.int64()), ("part", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
 
     def of(batches):
         for batch in batches:
-            ids, runs = batch.column("doc_id").to_pylist(), batch.column("runs")
+            ids, versions, runs = batch.column("doc_id").to_pylist(), batch.column("version").to_pylist(), batch.column("runs")
             for row, words in passes(batch.column("text")):
                 out: list[list] = [[] for _ in schema]
                 content = None
@@ -253,10 +254,10 @@ def _cut_runs(window: int):
                     for r in runs[row + i].as_py():
                         at, many = b + r["start"], r["windows"]
                         if not r["split"]:
-                            rows = [(ids[row + i], r["anchor"], 0, r["key"], r["start"], words.hash[at : at + many + window - 1].tobytes())]
+                            rows = [(ids[row + i], versions[row + i], r["anchor"], 0, r["key"], r["start"], words.hash[at : at + many + window - 1].tobytes())]
                         else:  # equal windows have equal parts, wherever they are
                             content = words.windows(window).view(np.int64) if content is None else content
-                            rows = [(ids[row + i], r["anchor"], int(content[at + j]), 0, r["start"] + j, words.hash[at + j : at + j + window].tobytes()) for j in range(many)]
+                            rows = [(ids[row + i], versions[row + i], r["anchor"], int(content[at + j]), 0, r["start"] + j, words.hash[at + j : at + j + window].tobytes()) for j in range(many)]
                         for x in rows:
                             for col, y in zip(out, x, strict=True):
                                 col.append(y)
@@ -267,7 +268,7 @@ def _cut_runs(window: int):
 
 def _streamed(window: int):
     """Spans of covered windows, from runs sorted by (anchor, part, doc_id)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int32()), ("start", pa.int32()), ("windows", pa.int32())])
 
     def of(batches):
         shard_now = doc_now = automaton = None
@@ -275,8 +276,8 @@ def _streamed(window: int):
         known: dict[bytes, list[bool]] = {}  # what runs gave since the automaton last grew
         sent: dict[int, bytes] = {}  # the words of a shard's runs: at most as many as a shard may have
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for doc_id, anchor, part, key, start, words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "anchor", "part", "key", "start", "words")), strict=True):
+            out: list[list] = [[], [], [], []]
+            for doc_id, version, anchor, part, key, start, words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "anchor", "part", "key", "start", "words")), strict=True):
                 if (anchor, part) != shard_now:
                     shard_now, doc_now, automaton, waiting, known, sent = (anchor, part), doc_id, Automaton(), [], {}, {}
                 if doc_id != doc_now:
@@ -300,7 +301,7 @@ def _streamed(window: int):
                     if hit and begin is None:
                         begin = i
                     elif not hit and begin is not None:
-                        for col, x in zip(out, (doc_id, start + begin, i - begin), strict=True):
+                        for col, x in zip(out, (doc_id, version, start + begin, i - begin), strict=True):
                             col.append(x)
                         begin = None
                 if not all(found):
@@ -345,51 +346,80 @@ def _kept(window: int, with_text: bool):
     return of
 
 
-def _own(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _versions(docs: DataFrame) -> DataFrame | None:
+    """(doc_id, text_key, version) of ids that have several texts, told apart by their hashes, or none where all have one."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key")).where("doc_id is not null")
+    several = materialise(keyed.groupBy("doc_id").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a <> b").select("doc_id"), "substring-ids")
+    if several.isEmpty():
+        return None
+    number = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("text_key")) - 1
+    return materialise(keyed.join(several, "doc_id", "left_semi").distinct().withColumn("version", number.cast("int")), "substring-versions")
+
+
+def _own(docs: DataFrame, versions: DataFrame | None) -> DataFrame:
+    """(doc_id, version, text): the texts of one id are numbered from 0, so that a span is of one text."""
+    text = F.col("text").cast("string").alias("text")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
+    if versions is None:
+        return own.select("doc_id", F.lit(0).alias("version"), "text")
+    both = own.withColumn("text_key", F.xxhash64("text")).join(versions, ["doc_id", "text_key"], "left")
+    return both.select("doc_id", F.coalesce("version", F.lit(0)).alias("version"), "text")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, runs_a_shard: int = RUNS_A_SHARD) -> DataFrame:
-    """(doc_id, spans): runs of windows (first word, number) of each document that start in a smaller one; others have no row."""
-    own = _own(docs)
-    runs = own.where("doc_id is not null").mapInArrow(_anchors(window, gram), "doc_id long, anchor long, key long, start int, windows int")
+    """(doc_id, version, spans): runs of windows (first word, number) of each text that start in a smaller id; others have no row."""
+    return _spans(_own(docs, _versions(docs)), window, gram, runs_a_shard)
+
+
+def _spans(own: DataFrame, window: int, gram: int, runs_a_shard: int = RUNS_A_SHARD) -> DataFrame:
+    names = "doc_id long, version int, anchor long, key long, start int, windows int"
+    runs = own.where("doc_id is not null").mapInArrow(_anchors(window, gram), names)
     found = materialise(
-        runs.repartition("anchor").sortWithinPartitions("anchor", "key", "doc_id", "start").mapInArrow(_shared(runs_a_shard), "doc_id long, anchor long, key long, start int, windows int, first boolean"),
+        runs.repartition("anchor").sortWithinPartitions("anchor", "key", "doc_id", "version", "start").mapInArrow(_shared(runs_a_shard), "doc_id long, anchor long, key long, start int, windows int, version int, first boolean"),
         "substring-runs",
     )
     # at most one anchor for each runs_a_shard runs
     split = found.where("doc_id is null").select("anchor", F.lit(True).alias("split"))
     shared = found.where("doc_id is not null").join(F.broadcast(split), "anchor", "left").withColumn("split", F.coalesce("split", F.lit(False)))
-    runs_of = shared.where("first or split").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "key", "start", "windows", "split")).alias("runs"))
+    runs_of = shared.where("first or split").groupBy("doc_id", "version").agg(F.collect_list(F.struct("anchor", "key", "start", "windows", "split")).alias("runs"))
     # words travel once for all equal runs of a shard; the others ask with the hash of theirs
-    asking = shared.where("not first and not split").select("doc_id", "anchor", F.lit(0).cast("long").alias("part"), "key", "start", F.lit(None).cast("binary").alias("words"))
+    asking = shared.where("not first and not split").select("doc_id", "version", "anchor", F.lit(0).cast("long").alias("part"), "key", "start", F.lit(None).cast("binary").alias("words"))
     judged = (
-        own.join(runs_of, "doc_id")
-        .mapInArrow(_cut_runs(window), "doc_id long, anchor long, part long, key long, start int, words binary")
+        own.join(runs_of, ["doc_id", "version"])
+        .mapInArrow(_cut_runs(window), "doc_id long, version int, anchor long, part long, key long, start int, words binary")
         .unionByName(asking)
         .repartition("anchor", "part")
-        .sortWithinPartitions("anchor", "part", "doc_id", "start")
-        .mapInArrow(_streamed(window), "doc_id long, start int, windows int")
+        .sortWithinPartitions("anchor", "part", "doc_id", "version", "start")
+        .mapInArrow(_streamed(window), "doc_id long, version int, start int, windows int")
     )
-    return judged.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    return judged.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept]) for every row of ``docs`` (doc_id, text).
 
     kept (left out where not asked for) is the text itself where nothing goes, else the kept words joined by one space; null stays null. A row of a null id
-    is returned whole and is no one's earlier copy. Rows of one id are one document and never remove from each other.
+    is returned whole and is no one's earlier copy. Rows of one id never remove from each other, and each keeps what its own text says. Texts of any length
+    are read whole; an empty table gives no rows.
     """
-    spans = repeated_spans(docs, window, gram)
-    return _own(docs).join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
+    own = _own(docs, _versions(docs))
+    return own.join(_spans(own, window, gram), ["doc_id", "version"], "left").select("doc_id", "text", "spans").mapInArrow(
         _kept(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     )
 
 
 def cut(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``docs`` with repeated spans cut out of ``text``; rows and other columns as they were."""
-    spans = repeated_spans(docs, window, gram).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    both = docs.join(spans, docs["doc_id"].cast("long") == spans["_id"], "left")
+    versions = _versions(docs)
+    spans = _spans(_own(docs, versions), window, gram)
+    if versions is None:
+        spans = spans.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
+    else:
+        spans = spans.join(versions, ["doc_id", "version"], "left").select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"), F.col("text_key").alias("_key"))
+    same = docs["doc_id"].cast("long") == spans["_id"]
+    if versions is not None:
+        same &= spans["_key"].isNull() | (spans["_key"] == F.xxhash64(docs["text"].cast("string")))
+    both = docs.join(spans, same, "left")
 
     @F.pandas_udf("string")
     def without(text: pd.Series, spans: pd.Series) -> pd.Series:

@@ -104,6 +104,43 @@ def test_ngram_join_odd_rows(spark):
     assert ngram_join.jaccard_join(df.limit(0)).count() == 0
 
 
+def test_ngram_join_of_ids_with_different_texts(spark):
+    """Rows of one id with different texts have the links of their own texts."""
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 60, 3000) for _ in range(3))
+    for rows in ([(5, a), (5, b), (7, b + " more"), (8, a + " more"), (9, c)], [(5, b), (5, a), (8, a + " more"), (7, b + " more"), (9, c)]):
+        df = spark.createDataFrame(rows, SCHEMA)
+        got = sorted((r.doc_id, r.component_id) for r in ngram_join.jaccard_join(df).collect())
+        assert got == [(5, 5), (5, 5), (7, 5), (8, 5), (9, 9)]
+        assert sorted(tuple(r) for r in ngram_join.keep_one(df).collect()) == sorted([(5, a), (5, b), (9, c)])
+    rows = [(5, a), (5, b), (3, b + " more")]  # one of the texts has an earlier copy: only that row goes
+    assert sorted(tuple(r) for r in ngram_join.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()) == sorted([(5, a), (3, b + " more")])
+
+
+@pytest.mark.parametrize("runs_a_shard", [1000, 2])
+def test_substring_dedup_of_ids_with_different_texts(spark, runs_a_shard, monkeypatch):
+    """Spans of one text are not applied to another of its id, with and without split anchors."""
+    monkeypatch.setattr(substrings._spans, "__defaults__", (runs_a_shard,))
+    rng = random.Random(6)
+    shared, other = prose(rng, 40, 3000), prose(rng, 30, 3000)
+    texts = [(1, f"{prose(rng, 20, 3000)} {shared}"), (5, f"{shared} {prose(rng, 70, 3000)}"), (5, f"{prose(rng, 90, 3000)} {other} {shared}"), (5, "short"), (6, f"{other} {shared}"), (6, prose(rng, 15, 3000)), (None, shared), (7, shared), (7, shared), (8, None), (8, other)]
+    texts += [(20 + i, f"{shared[i:]} {other}") for i in range(6)]
+    seen, want = [], []
+    for i, t in sorted(texts, key=lambda x: (x[0] is None, x[0] or 0)):
+        w = words(t)
+        earlier = {k for j, keys in seen if i is not None and j < i for k in keys}
+        keys = [tuple(w[j : j + 13]) for j in range(len(w) - 12)]
+        gone = {q for j, k in enumerate(keys) if k in earlier for q in range(j, j + 13)}
+        if i is not None:
+            seen.append((i, keys))
+        kept = " ".join(x for j, x in enumerate(w) if j not in gone)
+        want.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept if gone else t))
+    df = spark.createDataFrame(texts, SCHEMA)
+    got = [tuple(r) for r in substrings.deduplicate(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sorted((tuple(r) for r in substrings.cut(df).collect()), key=str) == sorted(((w[0], w[4]) for w in want), key=str)
+
+
 def brute_dedup(rows, window=13):
     seen, out = {}, {}
     for i, t in sorted(rows):

@@ -79,7 +79,7 @@ def test_no_automaton_grows_with_the_documents(spark, monkeypatch):
                 pass
             substrings.Automaton = plain
             most = max((len(a.next) for a in made), default=0)
-            yield pa.record_batch([pa.array([most], pa.int64()), pa.array([0], pa.int32()), pa.array([0], pa.int32())], names=["doc_id", "start", "windows"])
+            yield pa.record_batch([pa.array([most], pa.int64()), *[pa.array([0], pa.int32())] * 3], names=["doc_id", "version", "start", "windows"])
 
         return of
 
