@@ -366,12 +366,9 @@ def _own(docs: DataFrame, versions: DataFrame | None) -> DataFrame:
     return both.select("doc_id", F.coalesce("version", F.lit(0)).alias("version"), "text")
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, runs_a_shard: int = RUNS_A_SHARD) -> DataFrame:
-    """(doc_id, version, spans): runs of windows (first word, number) of each text that start in a smaller id; others have no row."""
-    return _spans(_own(docs, _versions(docs)), window, gram, runs_a_shard)
-
-
-def _spans(own: DataFrame, window: int, gram: int, runs_a_shard: int = RUNS_A_SHARD) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, runs_a_shard: int = RUNS_A_SHARD, own: DataFrame | None = None) -> DataFrame:
+    """(doc_id, version, spans): runs of windows (first word, number) of each text that start in a smaller id; others have no row. own: ``_own`` of docs, if it is there."""
+    own = _own(docs, _versions(docs)) if own is None else own
     names = "doc_id long, version int, anchor long, key long, start int, windows int"
     runs = own.where("doc_id is not null").mapInArrow(_anchors(window, gram), names)
     found = materialise(
@@ -403,7 +400,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_te
     are read whole; an empty table gives no rows.
     """
     own = _own(docs, _versions(docs))
-    return own.join(_spans(own, window, gram), ["doc_id", "version"], "left").select("doc_id", "text", "spans").mapInArrow(
+    return own.join(repeated_spans(docs, window, gram, own=own), ["doc_id", "version"], "left").select("doc_id", "text", "spans").mapInArrow(
         _kept(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     )
 
@@ -411,7 +408,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_te
 def cut(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``docs`` with repeated spans cut out of ``text``; rows and other columns as they were."""
     versions = _versions(docs)
-    spans = _spans(_own(docs, versions), window, gram)
+    spans = repeated_spans(docs, window, gram, own=_own(docs, versions))
     if versions is None:
         spans = spans.select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
     else:

@@ -2,6 +2,7 @@
 
 import collections
 import gzip
+import functools
 import hashlib
 import random
 import re
@@ -120,7 +121,7 @@ def test_ngram_join_of_ids_with_different_texts(spark):
 @pytest.mark.parametrize("runs_a_shard", [1000, 2])
 def test_substring_dedup_of_ids_with_different_texts(spark, runs_a_shard, monkeypatch):
     """Spans of one text are not applied to another of its id, with and without split anchors."""
-    monkeypatch.setattr(substrings._spans, "__defaults__", (runs_a_shard,))
+    monkeypatch.setattr(substrings, "repeated_spans", functools.partial(substrings.repeated_spans, runs_a_shard=runs_a_shard))
     rng = random.Random(6)
     shared, other = prose(rng, 40, 3000), prose(rng, 30, 3000)
     texts = [(1, f"{prose(rng, 20, 3000)} {shared}"), (5, f"{shared} {prose(rng, 70, 3000)}"), (5, f"{prose(rng, 90, 3000)} {other} {shared}"), (5, "short"), (6, f"{other} {shared}"), (6, prose(rng, 15, 3000)), (None, shared), (7, shared), (7, shared), (8, None), (8, other)]
