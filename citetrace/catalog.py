@@ -13,7 +13,7 @@ from citetrace.functions import identifiers as ids
 from citetrace.operators import control, crawl, graph, metadata, metrics, quality, reach, seeds, stats
 from citetrace.plans.fixture import Fixture, fixture
 from citetrace.plans.storage import folder
-from citetrace.sources import readers, sinks
+from citetrace.sources import dumps, readers, sinks
 from citetrace.streaming import merge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -755,6 +755,19 @@ def wilcoxon_signed_rank(x):
     return rounded(stats.wilcoxon(paired(x).withColumn("share_diff", F.round("share_diff", 9)), "share_diff").select("v", "n", "z", "p"))
 
 
+@query
+def wilcoxon_by_nation(x):
+    """Balances of suppliers against 4500, nation by nation: small samples, of which the test is exact where no two sizes are equal."""
+    s = x.table("supplier").select("s_nationkey", F.round(F.col("s_acctbal") - 4500, 2).alias("d"))
+    return rounded(stats.wilcoxon_by(s, ["s_nationkey"], "d").select("s_nationkey", "v", "n", "p"))
+
+
+@query
+def price_quantiles(x):
+    """Quantiles over many distinct values, by selection."""
+    return rounded(stats.quantiles(x.table("lineitem"), "l_extendedprice"))
+
+
 @query
 def control_event_overlay(x):
     return rounded(control.event_overlay(paired(x), x.edges, x.works))
@@ -851,6 +864,19 @@ def crawled(x: Fixture) -> crawl.Crawl:
     return x.crawled()
 
 
+@query
+def growing_components(x):
+    """Components of the edges taken in three batches: each with its number of nodes."""
+    return x.labelled.labels().groupBy("component").agg(F.count("*").alias("n"))
+
+
+@query
+def dump_citations(x):
+    """Citations of the parents that a crawl asks for, from zipped CSV archives of all of them."""
+    wanted = x.frontier.where("depth < 2").select(F.col("node_id").alias("cited"))
+    return dumps.read(x.spark, x.dumped(), "citing string, cited string, creation string", wanted, "cited").select("citing", "cited", "creation")
+
+
 @query
 def stored_upserts(x):
     """A stored table of the last observation of each node, after three batches of upserts and one of deletions."""

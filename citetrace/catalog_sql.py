@@ -394,6 +394,23 @@ BODIES = {
         z AS (SELECT v, n, (v - n * (n + 1) / 4 - sign(v - n * (n + 1) / 4) * 0.5) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM s),
         t AS (SELECT *, abs(z) / sqrt(2.0) AS x, 1 / (1 + 0.5 * abs(z) / sqrt(2.0)) AS t FROM z)
         SELECT round(v, 6) AS v, n, round(z, 6) AS z, round({P_OF_Z}, 6) AS p FROM t""",
+    "price_quantiles": """
+        SELECT round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95,
+               round(quantile_cont(l_extendedprice, 0.99), 6) AS p99, round(avg(l_extendedprice), 6) AS mean, round(max(l_extendedprice), 6) AS max,
+               round(avg(CASE WHEN l_extendedprice = 0 THEN 1.0 ELSE 0.0 END), 6) AS zero_share FROM lineitem""",
+    "wilcoxon_by_nation": f"""
+        WITH RECURSIVE f(k, c) AS (
+            SELECT 0, [CAST(1 AS BIGINT)] UNION ALL
+            SELECT k + 1, list_transform(range(0, len(c) + k + 1), lambda i: coalesce(c[i + 1], 0) + CASE WHEN i > k THEN coalesce(c[i - k], 0) ELSE 0 END) FROM f WHERE k < 49),
+        x AS (SELECT s_nationkey, round(s_acctbal - 4500, 2) AS d FROM supplier),
+        y AS (SELECT s_nationkey, count(*) FILTER (d = 0) AS zeros FROM x GROUP BY 1),
+        r AS (SELECT s_nationkey, d, (rank() OVER (PARTITION BY s_nationkey ORDER BY abs(d)) + (count(*) OVER (PARTITION BY s_nationkey, abs(d)) - 1) / 2) AS rank,
+                     count(*) OVER (PARTITION BY s_nationkey, abs(d)) AS c FROM x WHERE d <> 0),
+        s AS (SELECT s_nationkey, coalesce(sum(rank) FILTER (d > 0), 0.0) AS v, count(*) AS n, sum(c * c - 1.0) AS ties FROM r GROUP BY 1),
+        z AS (SELECT s.*, zeros, (v - n * (n + 1) / 4 - sign(v - n * (n + 1) / 4) * 0.5) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM s JOIN y USING (s_nationkey)),
+        t AS (SELECT *, abs(z) / sqrt(2.0) AS x, 1 / (1 + 0.5 * abs(z) / sqrt(2.0)) AS t FROM z)
+        SELECT s_nationkey, round(v, 6) AS v, n, round(CASE WHEN n < 50 AND ties = 0 AND zeros = 0
+               THEN least(1.0, 2 * list_sum(f.c[CAST(greatest(v, n * (n + 1) // 2 - v) AS BIGINT) + 1:]) / power(2.0, n)) ELSE {P_OF_Z} END, 6) AS p FROM t LEFT JOIN f ON f.k = t.n""",
     "control_event_overlay": """
         WITH b AS (
             SELECT w.publication_year - CAST(year(p.notice_date) AS INTEGER) AS offset_year, 'seeds' AS "group" FROM paired p JOIN edges e ON e.target_id = p.node_id AND e.depth = 1 JOIN works w ON w.node_id = e.source_id
@@ -428,6 +445,12 @@ BODIES = {
         WITH early AS (SELECT DISTINCT source_id FROM raw WHERE (seq // 1000000) % 3 < 2 AND target_id IN (SELECT node_id FROM d0) AND source_id NOT IN (SELECT node_id FROM d0))
         SELECT 'before' AS phase, (SELECT count(*) FROM d0) + (SELECT count(*) FROM early) AS parents
         UNION ALL SELECT 'last batch', (SELECT count(*) FROM d1) - (SELECT count(*) FROM early)""",
+    "dump_citations": "SELECT source_id AS citing, target_id AS cited, CAST(citation_date AS VARCHAR) AS creation FROM raw WHERE target_id IN (SELECT node_id FROM frontier WHERE depth < 2)",
+    "growing_components": """
+        WITH RECURSIVE both AS (SELECT source_id AS a, target_id AS b FROM edges UNION SELECT target_id, source_id FROM edges),
+        w(node, c) AS (SELECT DISTINCT a, a FROM both UNION SELECT both.b, w.c FROM w JOIN both ON both.a = w.node AND w.c < both.b),
+        l AS (SELECT node, min(c) AS component FROM w GROUP BY 1)
+        SELECT component, count(*) AS n FROM l GROUP BY 1""",
     "stored_upserts": """
         SELECT node_id, source_api, citation_date, seq FROM (
             SELECT source_id AS node_id, CASE WHEN seq % 7 <> 0 THEN source_api END AS source_api, citation_date, seq, row_number() OVER (PARTITION BY source_id ORDER BY seq DESC) AS r FROM raw)

@@ -1,10 +1,11 @@
-"""Connected components by alternating star contraction (no driver-side graph)."""
+"""Connected components by alternating star contraction (no driver-side graph), at once or as edges come."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citetrace.plans.log_store import LogStore, Table
 from citetrace.plans.storage import materialise
 
 
@@ -46,3 +47,44 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         roots.select("node", F.col("node").alias("component"))
     )
+
+
+LABELS = {"labels": Table("node string, component string", ("node",), ("component",))}
+
+
+class Components:
+    """Components that follow new edges: stored labels, of which a batch changes those of the components that it joins, and no others.
+
+    A label is the least node of its component, so labels only fall and the store keeps the least of each node.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, **sizes: int):
+        self.store = LogStore(spark, folder, LABELS, **sizes)
+
+    def labels(self) -> DataFrame:
+        """(node, component) of every node that an edge has named."""
+        return self.store.read("labels")
+
+    def add(self, edges: DataFrame, a: str = "source_id", b: str = "target_id", number: int | None = None) -> int:
+        """Take in a batch of edges; how many labels are new or changed. Loops name their node, null ends nothing; a ``number`` that was taken changes nothing.
+
+        The batch's edges are contracted to edges between stored components, and only those are searched.
+        """
+        state = self.store.state()
+        if number is not None and number <= state.batch:
+            return 0
+        known = self.store.read("labels", state)
+        e = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null").distinct(), "batch-edges")
+        of = lambda end: known.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c"))
+        joined = e.join(of("u"), "u", "left").join(of("v"), "v", "left")
+        joined = materialise(joined.select("u", "v", "u_c", "v_c"), "batch-labels")
+        between = joined.select(F.coalesce("u_c", "u").alias("p"), F.coalesce("v_c", "v").alias("q")).where("p <> q")
+        found = connected_components(between, "p", "q").select(F.col("node").alias("component"), F.col("component").alias("new"))
+        found = materialise(found.where("component <> new"), "joined-components")
+        moved = known.join(found, "component").select("node", F.col("new").alias("component"))
+        ends = joined.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("u_c").alias("c")), F.struct(F.col("v").alias("node"), F.col("v_c").alias("c")))).alias("x")).select("x.*")
+        fresh = ends.where("c is null").select("node").distinct().join(found.withColumnRenamed("component", "node"), "node", "left").select("node", F.coalesce("new", "node").alias("component"))
+        changed = materialise(moved.unionByName(fresh), "changed-labels")
+        n = changed.count()
+        self.store.commit({"labels": changed}, number, sizes={"labels": n})
+        return n

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citetrace.operators import stats
+from citetrace.operators import selection, stats
 from citetrace.operators.metrics import first_notices
 
 
@@ -82,12 +82,11 @@ def pairs(matched: DataFrame, edges: DataFrame, works: DataFrame) -> DataFrame:
 
 def summary(paired: DataFrame) -> DataFrame:
     """(metric, value) rows: sizes, medians, means, how often the seed's share is the higher, and the p of the signed-rank test."""
+    middle = selection.quantiles(paired, {"seed_share_median": ("seed_share", 0.5), "control_share_median": ("control_share", 0.5), "median_share_diff": ("share_diff", 0.5)})
     one = paired.agg(
         F.count("*").alias("matched_pairs"),
         F.count_distinct("control_id").alias("unique_controls"),
-        F.median("seed_share").alias("seed_share_median"),
-        F.median("control_share").alias("control_share_median"),
-        F.median("share_diff").alias("median_share_diff"),
+        *[F.lit(v).cast("double").alias(k) for k, v in middle.items()],
         F.avg("share_diff").alias("mean_share_diff"),
         (100 * F.avg((F.col("share_diff") > 0).cast("double"))).alias("pct_pairs_seed_higher"),
         F.avg("seed_share").alias("seed_share_mean"),

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citetrace.operators import selection
 from citetrace.operators.ordered import running
 
+#: Differences from which on the signed-rank test is approximated.
+EXACT = 50
+
 
 def counted(rows: DataFrame, c: str) -> DataFrame:
     """(v, c): each distinct value with its count. Ordered passes run over these few rows, not over all."""
@@ -16,11 +22,9 @@ def counted(rows: DataFrame, c: str) -> DataFrame:
 def quantiles(rows: DataFrame, c: str) -> DataFrame:
     """Quantiles by linear interpolation, mean, maximum, share of zeros."""
     x = F.col(c)
-    p = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    out = rows.agg(
-        F.percentile(x, [*p.values()]).alias("p"), F.avg(x).alias("mean"), F.max(x).alias("max"), (F.count_if(x == 0) / F.nullif(F.count(x), F.lit(0))).alias("zero_share")
-    )
-    return out.select(*[F.col("p")[i].alias(k) for i, k in enumerate(p)], "mean", "max", "zero_share")
+    p = selection.quantiles(rows, {"p50": (c, 0.5), "p90": (c, 0.9), "p95": (c, 0.95), "p99": (c, 0.99)})
+    out = rows.agg(F.avg(x).alias("mean"), F.max(x).alias("max"), (F.count_if(x == 0) / F.nullif(F.count(x), F.lit(0))).alias("zero_share"))
+    return out.select(*[F.lit(v).cast("double").alias(k) for k, v in p.items()], "mean", "max", "zero_share")
 
 
 def gini(rows: DataFrame, c: str) -> DataFrame:
@@ -64,20 +68,56 @@ def share_within(rows: DataFrame, group: str, n: str = "n") -> DataFrame:
 
 
 def wilcoxon(rows: DataFrame, difference: str) -> DataFrame:
-    """Signed-rank test of paired differences: v, n, and the two-sided p of the normal approximation with tie and continuity corrections.
+    """Signed-rank test of paired differences: v, n, z and the two-sided p.
 
-    Ranks come from counts of distinct absolute differences, zero ones left out. The approximation is used at every size.
+    Ranks come from counts of distinct absolute differences, zero ones left out. Below ``EXACT`` differences, none of them zero and no two of one size, p is
+    exact; else it is the normal approximation's, z, with tie and continuity corrections.
     """
-    d = rows.select(F.col(difference).alias("d")).where("d <> 0")
-    by = d.groupBy(F.abs("d").alias("v")).agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("pos"))
-    ranked = running(by, [F.col("v")], F.col("c"), "before").withColumn("rank", F.col("before") + (F.col("c") + 1) / 2)
+    x = rows.select(F.col(difference).alias("d"))
+    by = x.where("d <> 0").groupBy(F.abs("d").alias("v")).agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("pos"))
+    ranked = running(by, [F.col("v")], F.col("c"), "before")
+    return _tested(ranked.agg(*_rank_sums()).crossJoin(x.agg(F.count_if(F.col("d") == 0).alias("zeros"))))
+
+
+def wilcoxon_by(rows: DataFrame, groups: list[str], difference: str) -> DataFrame:
+    """``wilcoxon`` of each group: ``groups``, v, n, z, p."""
+    x = rows.select(*groups, F.col(difference).alias("d"))
+    by = x.groupBy(*groups, F.abs("d").alias("v")).agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("pos")).where("v is not null")
+    order = Window.partitionBy(*groups).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    zeros = by.groupBy(*groups).agg(F.coalesce(F.sum(F.when(F.col("v") == 0, F.col("c"))), F.lit(0)).alias("zeros"))
+    ranked = by.where("v <> 0").withColumn("before", F.coalesce(F.sum("c").over(order), F.lit(0)))
+    sums = zeros.join(ranked.groupBy(*groups).agg(*_rank_sums()), groups, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return _tested(sums, groups)
+
+
+def _rank_sums() -> list[Column]:
+    """v (the sum of the ranks of positive differences), n, and what ties take off, from (c, pos, before) of each size."""
     c = F.col("c").cast("double")
-    one = ranked.agg(F.sum(F.col("rank") * F.col("pos")).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.sum(c * c * c - c).alias("ties"))
+    rank = F.col("before") + (F.col("c") + 1) / 2
+    return [F.sum(rank * F.col("pos")).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.sum(c * c * c - c).alias("ties")]
+
+
+def _tested(sums: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     n = F.col("n").cast("double")
     z = F.col("v") - n * (n + 1) / 4
     sigma = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
     z = (z - F.signum(z) * 0.5) / F.nullif(sigma, F.lit(0.0))
-    return one.select("v", "n", z.alias("z"), normal_two_sided(z).alias("p"))
+    exact = (F.col("n") > 0) & (F.col("n") < EXACT) & (F.col("ties") == 0) & (F.col("zeros") == 0)
+    return sums.select(*groups, "v", "n", z.alias("z"), F.when(exact, signed_rank_two_sided(F.col("v"), F.col("n"))).otherwise(normal_two_sided(z)).alias("p"))
+
+
+def signed_rank_two_sided(v: Column, n: Column) -> Column:
+    """The exact two-sided p of a sum of ranks: twice the share of all sign choices whose sum is as far out, at most 1.
+
+    The number of subsets of 1..k with each sum follows from that of 1..k-1; an array holds it, of n(n+1)/2+1 numbers at most.
+    """
+    total = (n * (n + 1) / 2).cast("int")
+    none = F.transform(F.sequence(F.lit(0), total), lambda s: F.when(s == 0, 1.0).otherwise(0.0))
+    with_rank = lambda counts, k: F.transform(counts, lambda c, s: c + F.when(s >= k, F.get(counts, (s - k).cast("int"))).otherwise(0.0))
+    counts = F.aggregate(F.sequence(F.lit(1), n.cast("int")), none, with_rank)
+    far = F.greatest(v, total - v).cast("int")  # the distribution is symmetric
+    tail = F.aggregate(F.slice(counts, far + 1, total + 1), F.lit(0.0), lambda a, c: a + c)
+    return F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), n))
 
 
 def normal_two_sided(z: Column) -> Column:

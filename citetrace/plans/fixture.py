@@ -10,9 +10,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citetrace.operators import control, crawl, graph, reach, seeds
+from citetrace.operators import components, control, crawl, graph, reach, seeds
 from citetrace.plans.keyed_table import KeyedTable
 from citetrace.plans.storage import folder, materialise, shared_dir, written
+from citetrace.sources import dumps
 from citetrace.streaming import merge
 
 
@@ -144,6 +145,25 @@ class Fixture:
             self.stores["crawl"] = base
         return crawl.Crawl(self.spark, self.stores["crawl"])
 
+    @property
+    def labelled(self) -> components.Components:
+        """Components of the edges, taken in three batches."""
+        if "labels" not in self.stores:
+            base = folder(self.spark, "labels")
+            for n in range(3):
+                components.Components(self.spark, base).add(self.edges.where(f"pmod(xxhash64(source_id, target_id), 3) = {n}"), number=n)
+            self.stores["labels"] = base
+        return components.Components(self.spark, self.stores["labels"])
+
+    def dumped(self) -> str:
+        """A folder of archives of all citations, as an index's dump has them."""
+        if "dump" not in self.stores:
+            base = folder(self.spark, "dump")
+            rows = self.raw_citations.select(F.col("seq").cast("string").alias("oci"), F.col("source_id").alias("citing"), F.col("target_id").alias("cited"), F.col("citation_date").cast("string").alias("creation"))
+            dumps.write(rows, base, member_rows=50_000)
+            self.stores["dump"] = base
+        return self.stores["dump"]
+
     @cached_property
     def upserted(self) -> KeyedTable:
         """Each node's last citation by seq, put in three batches that touch the same nodes; nodes whose number ends in 9 are deleted."""
