@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from citetrace import catalog_sql
 from citetrace.functions import identifiers as ids
-from citetrace.operators import control, crawl, graph, metadata, metrics, quality, reach, seeds, stats
+from citetrace.operators import control, crawl, graph, metadata, metrics, quality, reach, seeds, stats, titles
 from citetrace.plans.fixture import Fixture, fixture
 from citetrace.plans.storage import folder
 from citetrace.sources import dumps, readers, sinks
@@ -328,6 +328,17 @@ def resolve_title_author(x):
     return seeds.resolve_title_author(*cascade(x))
 
 
+@query
+def title_search(x):
+    """The five best works for each seed's title; all titles share a common word."""
+    return titles.search(*cascade(x))
+
+
+@query
+def resolve_ranked_titles(x):
+    return titles.resolve(*cascade(x))
+
+
 @query
 def unresolved_seeds(x):
     rows = seeds.from_notices(notice_rows(x)).withColumn("node_id", F.when(F.col("original_doi").isNotNull(), ids.doi_node(F.col("original_doi"))))
@@ -811,6 +822,23 @@ def quality_report(x):
     )
 
 
+@query
+def analysis_summary(x):
+    """The summary that one call of the whole analysis writes over a folder of tables."""
+    return x.spark.read.parquet(x.analysed(run_metadata(x))["summary"])
+
+
+@query
+def analysis_checks(x):
+    """The checks of that call."""
+    return x.spark.read.parquet(x.analysed(run_metadata(x))["checks"])
+
+
+@query
+def analysis_control_summary(x):
+    return rounded(x.spark.read.parquet(x.analysed(run_metadata(x))["control_summary"]))
+
+
 # --- streaming --------------------------------------------------------------------------------------------
 
 

@@ -208,6 +208,24 @@ BODIES = {
         SELECT count(*) FILTER (coalesce(a, b, c) IS NOT NULL) AS resolved, count(*) FILTER (coalesce(a, b, c) IS NULL) AS not_found, CAST(0 AS BIGINT) AS pending_title_fallback,
                count(original_doi) + count(original_pmid) FILTER (a IS NULL) + count(*) FILTER (a IS NULL AND b IS NULL) AS checked FROM candidates""",
     "resolve_title_author": "SELECT record_id, 'W' || k AS node_id FROM loaded WHERE k % 3 <> 0",
+    "title_search": """
+        WITH w AS (SELECT 'W' || o_orderkey AS node_id, string_split('order ' || o_orderkey, ' ') AS t, 'customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS who FROM orders WHERE o_orderkey % 3 <> 0),
+        p AS (SELECT node_id, unnest(t) AS term, len(t) AS n FROM w), z AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS total FROM w),
+        d AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+        i AS (SELECT node_id, term, (CAST(floor(1000 * ln(1 + (docs - df + 0.5) / (df + 0.5))) AS BIGINT) * 2200) // (1000 + 300 + (900 * n * docs) // total) AS impact FROM p JOIN d USING (term), z),
+        q AS (SELECT record_id, author, unnest(string_split(lower(trim(title)), ' ')) AS term FROM loaded),
+        s AS (SELECT record_id, any_value(author) AS author, node_id, CAST(sum(impact) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY record_id, node_id HAVING sum(impact) > 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY record_id ORDER BY score DESC, node_id) AS INTEGER) AS rank FROM s)
+        SELECT record_id, rank, node_id, score FROM r WHERE rank <= 5""",
+    "resolve_ranked_titles": """
+        WITH w AS (SELECT 'W' || o_orderkey AS node_id, string_split('order ' || o_orderkey, ' ') AS t, 'customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS who FROM orders WHERE o_orderkey % 3 <> 0),
+        p AS (SELECT node_id, unnest(t) AS term, len(t) AS n FROM w), z AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS total FROM w),
+        d AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+        i AS (SELECT node_id, term, (CAST(floor(1000 * ln(1 + (docs - df + 0.5) / (df + 0.5))) AS BIGINT) * 2200) // (1000 + 300 + (900 * n * docs) // total) AS impact FROM p JOIN d USING (term), z),
+        q AS (SELECT record_id, author, unnest(string_split(lower(trim(title)), ' ')) AS term FROM loaded),
+        s AS (SELECT record_id, any_value(author) AS author, node_id, CAST(sum(impact) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY record_id, node_id HAVING sum(impact) > 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY record_id ORDER BY score DESC, node_id) AS INTEGER) AS rank FROM s)
+        SELECT record_id, arg_min(node_id, (CASE WHEN contains(who, lower(string_split(author, ';')[1])) THEN 0 ELSE 1 END, rank)) AS node_id FROM r JOIN w USING (node_id) WHERE rank <= 5 GROUP BY 1""",
     "unresolved_seeds": "SELECT record_id FROM loaded WHERE original_doi IS NULL",
     "resolved_seed_ids": "SELECT DISTINCT node_id FROM seed_rows",
     "resolved_seeds_with_doi": "SELECT record_id, node_id, original_doi FROM seed_rows WHERE resolved_status = 'resolved'",
@@ -447,16 +465,25 @@ BODIES = {
         UNION ALL SELECT 'last batch', (SELECT count(*) FROM d1) - (SELECT count(*) FROM early)""",
     "dump_citations": "SELECT source_id AS citing, target_id AS cited, CAST(citation_date AS VARCHAR) AS creation FROM raw WHERE target_id IN (SELECT node_id FROM frontier WHERE depth < 2)",
     "growing_components": """
-        WITH RECURSIVE both AS (SELECT source_id AS a, target_id AS b FROM edges UNION SELECT target_id, source_id FROM edges),
-        w(node, c) AS (SELECT DISTINCT a, a FROM both UNION SELECT both.b, w.c FROM w JOIN both ON both.a = w.node AND w.c < both.b),
-        l AS (SELECT node, min(c) AS component FROM w GROUP BY 1)
-        SELECT component, count(*) AS n FROM l GROUP BY 1""",
+        WITH RECURSIVE e AS (SELECT source_id AS a, target_id AS b FROM edges UNION SELECT target_id, source_id FROM edges),
+        r(a, seed) AS (SELECT node_id, node_id FROM frontier WHERE depth = 0 UNION SELECT e.b, r.seed FROM r JOIN e ON e.a = r.a),
+        k AS (SELECT a AS node, min(seed) AS s FROM r WHERE a IN (SELECT a FROM e) GROUP BY 1)
+        SELECT min(node) AS component, count(*) AS n FROM k GROUP BY s""",
     "stored_upserts": """
         SELECT node_id, source_api, citation_date, seq FROM (
             SELECT source_id AS node_id, CASE WHEN seq % 7 <> 0 THEN source_api END AS source_api, citation_date, seq, row_number() OVER (PARTITION BY source_id ORDER BY seq DESC) AS r FROM raw)
         WHERE r = 1 AND node_id NOT LIKE '%9'""",
 }
 
+#: The whole analysis is given the merged edges alone, so none is out of scope, and all of its tables are there.
+_merged_only = lambda body: re.sub(r"\bscoped\b", "edges", body)
+BODIES["analysis_summary"] = _merged_only(BODIES["summary_metrics"])
+BODIES["analysis_control_summary"] = BODIES["control_summary"]
+BODIES["analysis_checks"] = _merged_only(BODIES["quality_report"]).replace(
+    "('bridge_papers', TRUE), ('topic_distribution', TRUE), ('missing_table', FALSE)",
+    "('bridge_papers', TRUE), ('topic_distribution', TRUE), ('seed_metrics', TRUE), ('depth_counts', TRUE), ('summary', TRUE)",
+)
+
 
 def with_tables(body: str) -> str:
     """``body`` after the tables that it and they use, in their order."""

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citetrace.operators import components, control, crawl, graph, reach, seeds
+from citetrace.plans import analysis
 from citetrace.plans.keyed_table import KeyedTable
 from citetrace.plans.storage import folder, materialise, shared_dir, written
 from citetrace.sources import dumps
@@ -24,6 +25,7 @@ class Fixture:
     spark: SparkSession
     sf_dir: str
     stores: dict[str, str] = field(default_factory=dict)
+    outputs: dict[str, str] = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -155,6 +157,17 @@ class Fixture:
             self.stores["labels"] = base
         return components.Components(self.spark, self.stores["labels"])
 
+    def analysed(self, metadata: DataFrame) -> dict[str, str]:
+        """What one call of the whole analysis has written, over tables that were exported to a folder first."""
+        if "analysis" not in self.stores:
+            base = folder(self.spark, "analysis")
+            tables = {"seeds": self.seed_rows, "works": self.works, "frontier_nodes": self.frontier, "citation_edges": self.edges, "run_metadata": metadata}
+            for name, table in tables.items():
+                table.write.parquet(f"{base}/in/{name}")
+            self.outputs.update(analysis.analyse(self.spark, f"{base}/in", f"{base}/out"))
+            self.stores["analysis"] = base
+        return self.outputs
+
     def dumped(self) -> str:
         """A folder of archives of all citations, as an index's dump has them."""
         if "dump" not in self.stores:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,11 +75,11 @@ def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Gzip text parts whose concatenation, in part order, is the GraphML file, and ``<path>.manifest`` with what the parts hold."""
     lines = graphml(nodes, edges)
-    lines.repartitionByRange("section", "ord").sortWithinPartitions("section", "ord").select("line").write.option("compression", "gzip").text(path)
+    lines.repartitionByRange("section", "ord").sortWithinPartitions("section", "ord").select("line").write.mode("overwrite").option("compression", "gzip").text(path)
     spark = nodes.sparkSession
     kind = F.ltrim("value")
     back = spark.read.text(path).agg(F.count_if(kind.startswith("<node ")).alias("node_count"), F.count_if(kind.startswith("<edge ")).alias("edge_count"))
-    back.write.json(f"{path}.manifest")
+    back.write.mode("overwrite").json(f"{path}.manifest")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
