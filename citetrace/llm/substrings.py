@@ -58,12 +58,18 @@ def _runs(words, window: int, gram: int):
     return doc[first], first, last - first + 1, anchors[first]
 
 
+def _version_of(batch: pa.RecordBatch) -> np.ndarray:
+    """The number of each row's text among those of its id; all 0 where no id has several."""
+    return batch.column("version").to_numpy().astype(np.int64) if "version" in batch.schema.names else np.zeros(batch.num_rows, dtype=np.int64)
+
+
 def _anchors(window: int, gram: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int32()), ("anchor", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
+    """Runs of each text. ``start`` has the text's version in its upper half, where it takes no room in an exchange."""
+    schema = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("windows", pa.int32())])
 
     def of(batches):
         for batch in batches:
-            ids, versions = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "version"))
+            ids, versions = batch.column("doc_id").to_numpy(zero_copy_only=False), _version_of(batch)
             for row, words in passes(batch.column("text")):
                 doc, first, count, anchor = _runs(words, window, gram)
                 # hash of a run: its words in order, with its length
@@ -80,10 +86,9 @@ def _anchors(window: int, gram: int):
                 yield pa.record_batch(
                     [
                         pa.array(ids[row + doc], pa.int64()),
-                        pa.array(versions[row + doc], pa.int32()),
                         pa.array(anchor.view(np.int64)),
                         pa.array(key.view(np.int64)),
-                        pa.array((first - words.bound[doc]).astype(np.int32)),
+                        pa.array((versions[row + doc] << 32) + first - words.bound[doc], pa.int64()),
                         pa.array(count.astype(np.int32)),
                     ],
                     schema=schema,
@@ -101,7 +106,7 @@ class _Anchor:
     def __init__(self, limit: int):
         self.limit, self.key, self.docs, self.keys, self.held = limit, None, None, 0, []
 
-    def feed(self, doc, anchor, key, start, windows, version):
+    def feed(self, doc, anchor, key, start, windows):
         """Columns of FOUND with whether a row is a run: the runs, once a second document has the anchor, and a mark once the anchor is to be split.
 
         first: whether a run is the first of its words, the one whose words are sent.
@@ -111,7 +116,7 @@ class _Anchor:
         self.docs = (least, most) if self.docs is None else (min(least, self.docs[0]), max(most, self.docs[1]))
         self.key = key[-1]
         before, self.keys = self.keys, self.keys + int(new.sum())
-        self.held.append((doc, anchor, key, start, windows, version, new, np.ones(len(doc), dtype=bool)))
+        self.held.append((doc, anchor, key, start, windows, new, np.ones(len(doc), dtype=bool)))
         if self.docs[0] < self.docs[1]:
             yield from self.held
             self.held = []
@@ -121,10 +126,10 @@ class _Anchor:
 
 def _marks(anchors):
     n = len(anchors)
-    return np.zeros(n, dtype=np.int64), anchors, np.zeros(n, dtype=np.int64), *(np.zeros(n, dtype=np.int32) for _ in range(3)), np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    return np.zeros(n, dtype=np.int64), anchors, np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int32), np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
 
 
-def _compare(limit, doc, anchor, key, start, windows, version):
+def _compare(limit, doc, anchor, key, start, windows):
     """From rows of whole anchors, sorted by (anchor, key, doc), what ``_Anchor.feed`` gives of each."""
     a_new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
     k_new = a_new | np.concatenate([[True], key[1:] != key[:-1]])
@@ -132,19 +137,20 @@ def _compare(limit, doc, anchor, key, start, windows, version):
     keys = np.add.reduceat(k_new.astype(np.int64), begin)
     several = np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin)
     keep = several[np.cumsum(a_new) - 1]
-    yield doc[keep], anchor[keep], key[keep], start[keep], windows[keep], version[keep], k_new[keep], np.ones(int(keep.sum()), dtype=bool)
+    yield doc[keep], anchor[keep], key[keep], start[keep], windows[keep], k_new[keep], np.ones(int(keep.sum()), dtype=bool)
     yield _marks(anchor[begin[keys > limit]])
 
 
 def _shared(limit: int):
     """From runs sorted by (anchor, key, doc): those of anchors that several documents have; no anchor is held as a whole."""
-    names = ("doc_id", "anchor", "key", "start", "windows", "version")
-    nothing = tuple(np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, bool, bool))
+    names = ("doc_id", "anchor", "key", "start", "windows")
+    nothing = tuple(np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int64, np.int32, bool, bool))
 
     def of(batches):
         now = state = None
         for batch in batches:
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            cols[3] = cols[3].astype(np.int64)
             anchor = cols[1]
             n = len(anchor)
             if not n:
@@ -161,8 +167,9 @@ def _shared(limit: int):
                     parts += _several(limit, [c[head:tail] for c in cols])
                 now, state = anchor[-1], _Anchor(limit)
                 parts += state.feed(*(c[tail:] for c in cols))
-            *out, known = (np.concatenate(c) for c in zip(*parts, strict=True))
-            yield pa.record_batch([pa.array(out[0], pa.int64(), mask=~known), *(pa.array(c) for c in out[1:])], schema=FOUND)
+            doc, anchors, key, start, windows, first, known = (np.concatenate(c) for c in zip(*parts, strict=True))
+            at, version = (start & 0xFFFFFFFF).astype(np.int32), (start >> 32).astype(np.int32)
+            yield pa.record_batch([pa.array(doc, pa.int64(), mask=~known), *map(pa.array, (anchors, key, at, windows, version, first))], schema=FOUND)
 
     return of
 
@@ -241,11 +248,11 @@ class Automaton:
 
 
 def _cut_runs(window: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int32()), ("anchor", pa.int64()), ("part", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64()), ("part", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("words", pa.binary())])
 
     def of(batches):
         for batch in batches:
-            ids, versions, runs = batch.column("doc_id").to_pylist(), batch.column("version").to_pylist(), batch.column("runs")
+            ids, versions, runs = batch.column("doc_id").to_pylist(), (_version_of(batch) << 32).tolist(), batch.column("runs")
             for row, words in passes(batch.column("text")):
                 out: list[list] = [[] for _ in schema]
                 content = None
@@ -254,10 +261,10 @@ def _cut_runs(window: int):
                     for r in runs[row + i].as_py():
                         at, many = b + r["start"], r["windows"]
                         if not r["split"]:
-                            rows = [(ids[row + i], versions[row + i], r["anchor"], 0, r["key"], r["start"], words.hash[at : at + many + window - 1].tobytes())]
+                            rows = [(ids[row + i], r["anchor"], 0, r["key"], versions[row + i] + r["start"], words.hash[at : at + many + window - 1].tobytes())]
                         else:  # equal windows have equal parts, wherever they are
                             content = words.windows(window).view(np.int64) if content is None else content
-                            rows = [(ids[row + i], versions[row + i], r["anchor"], int(content[at + j]), 0, r["start"] + j, words.hash[at + j : at + j + window].tobytes()) for j in range(many)]
+                            rows = [(ids[row + i], r["anchor"], int(content[at + j]), 0, versions[row + i] + r["start"] + j, words.hash[at + j : at + j + window].tobytes()) for j in range(many)]
                         for x in rows:
                             for col, y in zip(out, x, strict=True):
                                 col.append(y)
@@ -277,7 +284,7 @@ def _streamed(window: int):
         sent: dict[int, bytes] = {}  # the words of a shard's runs: at most as many as a shard may have
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for doc_id, version, anchor, part, key, start, words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "anchor", "part", "key", "start", "words")), strict=True):
+            for doc_id, anchor, part, key, start, words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "anchor", "part", "key", "start", "words")), strict=True):
                 if (anchor, part) != shard_now:
                     shard_now, doc_now, automaton, waiting, known, sent = (anchor, part), doc_id, Automaton(), [], {}, {}
                 if doc_id != doc_now:
@@ -301,7 +308,7 @@ def _streamed(window: int):
                     if hit and begin is None:
                         begin = i
                     elif not hit and begin is not None:
-                        for col, x in zip(out, (doc_id, version, start + begin, i - begin), strict=True):
+                        for col, x in zip(out, (doc_id, start >> 32, (start & 0xFFFFFFFF) + begin, i - begin), strict=True):
                             col.append(x)
                         begin = None
                 if not all(found):
@@ -357,39 +364,40 @@ def _versions(docs: DataFrame) -> DataFrame | None:
 
 
 def _own(docs: DataFrame, versions: DataFrame | None) -> DataFrame:
-    """(doc_id, version, text): the texts of one id are numbered from 0, so that a span is of one text."""
+    """(doc_id, text), with the version of each text where some id has several, so that a span is of one text."""
     text = F.col("text").cast("string").alias("text")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
     if versions is None:
-        return own.select("doc_id", F.lit(0).alias("version"), "text")
+        return own
     both = own.withColumn("text_key", F.xxhash64("text")).join(versions, ["doc_id", "text_key"], "left")
     return both.select("doc_id", F.coalesce("version", F.lit(0)).alias("version"), "text")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, runs_a_shard: int = RUNS_A_SHARD, own: DataFrame | None = None) -> DataFrame:
-    """(doc_id, version, spans): runs of windows (first word, number) of each text that start in a smaller id; others have no row. own: ``_own`` of docs, if it is there."""
+    """(doc_id[, version], spans): runs of windows (first word, number) of each text that start in a smaller id; others have no row. own: ``_own`` of docs, if it is there."""
     own = _own(docs, _versions(docs)) if own is None else own
-    names = "doc_id long, version int, anchor long, key long, start int, windows int"
-    runs = own.where("doc_id is not null").mapInArrow(_anchors(window, gram), names)
+    keys = [c for c in own.columns if c != "text"]
+    runs = own.where("doc_id is not null").mapInArrow(_anchors(window, gram), "doc_id long, anchor long, key long, start long, windows int")
     found = materialise(
-        runs.repartition("anchor").sortWithinPartitions("anchor", "key", "doc_id", "version", "start").mapInArrow(_shared(runs_a_shard), "doc_id long, anchor long, key long, start int, windows int, version int, first boolean"),
+        runs.repartition("anchor").sortWithinPartitions("anchor", "key", "doc_id", "start").mapInArrow(_shared(runs_a_shard), "doc_id long, anchor long, key long, start int, windows int, version int, first boolean"),
         "substring-runs",
     )
     # at most one anchor for each runs_a_shard runs
     split = found.where("doc_id is null").select("anchor", F.lit(True).alias("split"))
     shared = found.where("doc_id is not null").join(F.broadcast(split), "anchor", "left").withColumn("split", F.coalesce("split", F.lit(False)))
-    runs_of = shared.where("first or split").groupBy("doc_id", "version").agg(F.collect_list(F.struct("anchor", "key", "start", "windows", "split")).alias("runs"))
+    runs_of = shared.where("first or split").groupBy(*keys).agg(F.collect_list(F.struct("anchor", "key", "start", "windows", "split")).alias("runs"))
     # words travel once for all equal runs of a shard; the others ask with the hash of theirs
-    asking = shared.where("not first and not split").select("doc_id", "version", "anchor", F.lit(0).cast("long").alias("part"), "key", "start", F.lit(None).cast("binary").alias("words"))
+    place = (F.shiftleft(F.col("version").cast("long"), 32) + F.col("start")).alias("start")
+    asking = shared.where("not first and not split").select("doc_id", "anchor", F.lit(0).cast("long").alias("part"), "key", place, F.lit(None).cast("binary").alias("words"))
     judged = (
-        own.join(runs_of, ["doc_id", "version"])
-        .mapInArrow(_cut_runs(window), "doc_id long, version int, anchor long, part long, key long, start int, words binary")
+        own.join(runs_of, keys)
+        .mapInArrow(_cut_runs(window), "doc_id long, anchor long, part long, key long, start long, words binary")
         .unionByName(asking)
         .repartition("anchor", "part")
-        .sortWithinPartitions("anchor", "part", "doc_id", "version", "start")
+        .sortWithinPartitions("anchor", "part", "doc_id", "start")
         .mapInArrow(_streamed(window), "doc_id long, version int, start int, windows int")
     )
-    return judged.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    return judged.groupBy(*keys).agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = True) -> DataFrame:
@@ -400,7 +408,8 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_te
     are read whole; an empty table gives no rows.
     """
     own = _own(docs, _versions(docs))
-    return own.join(repeated_spans(docs, window, gram, own=own), ["doc_id", "version"], "left").select("doc_id", "text", "spans").mapInArrow(
+    keys = [c for c in own.columns if c != "text"]
+    return own.join(repeated_spans(docs, window, gram, own=own), keys, "left").select("doc_id", "text", "spans").mapInArrow(
         _kept(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     )
 

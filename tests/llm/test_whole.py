@@ -100,12 +100,12 @@ def test_an_anchor_that_comes_in_pieces():
     rng = random.Random(3)
     rows = sorted((rng.choice([1, 2, 2, 2, 3, 4]), rng.randrange(3), rng.randrange(4), j, 1) for j in range(60))
     rows += [(7, 5, 1, 60, 1), (7, 5, 1, 61, 1), (7, 6, 1, 62, 1), (8, 1, 1, 63, 1), (8, 1, 2, 64, 1), (9, 1, 5, 65, 1)]
-    rows = [(d, a, k, s, w, s % 2) for a, k, d, s, w in rows]
-    names = ["doc_id", "anchor", "key", "start", "windows", "version"]
+    rows = [(d, a, k, s, w) for a, k, d, s, w in rows]
+    names = ["doc_id", "anchor", "key", "start", "windows"]
 
     def found(size):
         parts = [rows[i : i + size] for i in range(0, len(rows), size)]
-        batches = [pa.record_batch([pa.array(c, pa.int32() if n in ("start", "windows", "version") else pa.int64()) for n, c in zip(names, zip(*p, strict=True), strict=True)], names=names) for p in parts]
+        batches = [pa.record_batch([pa.array(c, pa.int32() if n in ("start", "windows") else pa.int64()) for n, c in zip(names, zip(*p, strict=True), strict=True)], names=names) for p in parts]
         return sorted((x for b in substrings._shared(2)(batches) for x in map(tuple, (r.values() for r in b.to_pylist()))), key=str)
 
     want = []
@@ -113,9 +113,9 @@ def test_an_anchor_that_comes_in_pieces():
         own = [r for r in rows if r[1] == a]
         if len({r[0] for r in own}) > 1:
             least = {}
-            for d, _, k, s, _, _ in own:
+            for d, _, k, s, _ in own:
                 least[k] = min((d, s), least.get(k, (d, s)))
-            want += [(d, a, k, s, w, v, (d, s) == least[k]) for d, _, k, s, w, v in own]
+            want += [(d, a, k, s, w, 0, (d, s) == least[k]) for d, _, k, s, w in own]
         want += [(None, a, 0, 0, 0, 0, False)] * (len({r[2] for r in own}) > 2)
     for size in (1, 2, 7, 1000):
         assert found(size) == sorted(want, key=str)
