@@ -436,7 +436,9 @@ BODIES = {
             SELECT w.publication_year - CAST(year(p.notice_date) AS INTEGER), 'controls' FROM paired p JOIN edges e ON e.target_id = p.control_id AND e.depth = 2 JOIN works w ON w.node_id = e.source_id),
         c AS (SELECT offset_year, "group", count(*) AS n FROM b WHERE offset_year BETWEEN -15 AND 15 GROUP BY 1, 2)
         SELECT *, round(n / sum(n) OVER (PARTITION BY "group"), 6) AS share FROM c""",
-    "metadata_check": "SELECT unnest(['last_crawl_summary', 'depth3_truncated']) AS key",
+    "metadata_check": """
+        WITH need(i, key) AS (VALUES (0, 'rw_snapshot_date'), (1, 'oc_access_date'), (2, 'pipeline_mode'), (3, 'opencitations_seed_stats'), (4, 'last_crawl_summary'), (5, 'depth3_truncated'))
+        SELECT key FROM need WHERE i NOT IN (SELECT count(*) % 6 FROM events GROUP BY event_type)""",
     "quality_report": """
         WITH s AS (SELECT count(*) AS a, count(*) FILTER (source_id IN (SELECT node_id FROM frontier)) AS b FROM scoped),
         g AS (SELECT (SELECT count(*) FROM nodes) || '/' || (SELECT count(*) FROM inside) AS m),
