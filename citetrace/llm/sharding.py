@@ -12,31 +12,26 @@ from pyspark.sql import functions as F
 from citetrace.plans.storage import materialise
 
 SHARDS = 8
-#: Rows of an ordered stretch, each sorted as a task of its own; a shard has from 1 to MOST_PARTS of them.
+#: Rows of a stretch of a shard, each put in order by a task of its own: there are as many as the rows need.
 ROWS_A_PART = 200_000
-MOST_PARTS = 64
 PROBES = 256
 #: A boundary of a shard may miss its share of the bytes by this part of a shard, and by EDGE of it to stand at the edge of a group of equal texts.
 TOLERANCE = 0.0002
 EDGE = 0.01
-#: A boundary inside a shard may miss its share by this part of a stretch.
-INNER = 0.25
 
 
-def _bounds(rows: DataFrame, shards: int, parts: int, tolerance: float, edge: float) -> list[tuple[int, int]]:
-    """The ``shards * parts - 1`` keys below which lie equal shares of the bytes; each ``parts``-th one is a shard's."""
-    stretches = shards * parts
+def _bounds(rows: DataFrame, shards: int, tolerance: float, edge: float) -> list[tuple[int, int]]:
+    """The ``shards - 1`` keys below which lie equal shares of the bytes."""
     total, h0, h1 = rows.agg(F.sum("size"), F.min("h"), F.max("h")).first()
     if not total:
         return []
-    want = {i: total * i // stretches for i in range(1, stretches)}
+    want = {i: total * i // shards for i in range(1, shards)}
     found: dict[int, tuple[int, int]] = {}
     # an open interval of keys: (on hash, low, high) or (on id, hash, low, high), with the bytes below it
     at = {i: (("h", 0, h0, h1), 0) for i in want}
-    outer = lambda i: i % parts == 0
-    near = {i: tolerance * total / shards if outer(i) else INNER * total / stretches for i in want}
-    at_group = {i: max(near[i], edge * total / shards) if outer(i) else near[i] for i in want}
-    probes = max(PROBES, 8 * stretches)  # one span at first, then a few
+    near = tolerance * total / shards
+    at_group = max(near, edge * total / shards)
+    probes = PROBES
     while at:  # each round cuts an interval of keys by the number of probes, so it ends
         spans = sorted({s for s, _ in at.values()})
         bucket = None
@@ -60,7 +55,7 @@ def _bounds(rows: DataFrame, shards: int, parts: int, tolerance: float, edge: fl
             for b, size, ha, hb, da, db in seen:
                 if b // probes != n:
                     continue
-                slack = at_group[i] if ha == hb and da != db and span[0] == "h" else near[i]  # a bucket of one text's copies
+                slack = at_group if ha == hb and da != db and span[0] == "h" else near  # a bucket of one text's copies
                 if sum_ + size <= want[i] and abs(sum_ + size - want[i]) > slack:
                     sum_ += size
                     continue
@@ -73,7 +68,7 @@ def _bounds(rows: DataFrame, shards: int, parts: int, tolerance: float, edge: fl
                 break
             else:
                 found[i] = (h1 + 1, 0)
-        at, probes = nxt, PROBES
+        at = nxt
     return [found[i] for i in sorted(found)]
 
 
@@ -94,23 +89,23 @@ def shard(docs: DataFrame, shards: int = SHARDS, rows_a_part: int = ROWS_A_PART,
         F.shiftright(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), 2).alias("half"),
     )
     slim = materialise(slim, "shard-keys")
-    parts = max(1, min(MOST_PARTS, -(-slim.count() // (rows_a_part * shards))))
-    bounds = _bounds(slim, shards, parts, tolerance, edge)
+    bounds = _bounds(slim, shards, tolerance, edge)
     limits = F.array(*[F.struct(F.lit(h).cast("long").alias("h"), F.lit(d).cast("long").alias("d")) for h, d in bounds]) if bounds else None
     key = F.struct(F.col("h").alias("h"), F.col("half").alias("d"))
-    part = F.size(F.filter(limits, lambda x: x <= key)) if bounds else F.lit(0)
-    placed = slim.withColumn("part", part.cast("int")).withColumn("shard", F.expr(f"cast(part div {parts} as int)"))
-    # rows before each stretch in its shard: a table of shards * parts rows
-    held = {r[0]: r[1] for r in placed.groupBy("part").count().collect()}
-    before = [sum(held.get(q, 0) for q in range(p - p % parts, p)) for p in range(shards * parts)]
-    first = F.element_at(F.array(*[F.lit(x).cast("long") for x in before]), F.col("part") + 1)
-    order = Window.partitionBy("part").orderBy("h", "half", "doc_id", "size")
-    return placed.select(
+    placed = slim.withColumn("shard", F.size(F.filter(limits, lambda x: x <= key)) if bounds else F.lit(0))
+    # the one exchange of the rows: stretches in the order of shards and keys, written with their number, so that all that follows sees the same ones
+    order = ["shard", "h", "half", "doc_id", "size"]
+    parts = max(1, -(-slim.count() // rows_a_part))
+    dealt = materialise(placed.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "shard-parts")
+    sums = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy("shard", "part").agg(F.count("*").alias("n")).select("shard", "part", F.coalesce(F.sum("n").over(sums), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("shard", "part").orderBy(*order[1:]))
+    return dealt.join(before, ["shard", "part"]).select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        (first + F.row_number().over(order) - 1).cast("long").alias("slot"),
+        (F.col("before") + place - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -56,6 +56,17 @@ def test_boundaries_move_to_the_edges_of_groups(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_as_many_stretches_as_rows_need(spark):
+    """Over 512 stretches: slots stay gapless and in key order, repeated rows apart."""
+    rows = [(i % 3000, f"text {i % 3000}") for i in range(3300)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), rows_a_part=6)
+    assert got.select("shard").distinct().count() == 8
+    slots = collections.defaultdict(list)
+    for r in got.collect():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sum(map(len, slots.values())) == len(rows)
+
+
 def triplets(rng, bins, capacity=1000):
     """Sizes of which three fill each bin exactly, so that a best-fit start misses the bound."""
     size = []
