@@ -31,7 +31,7 @@ def rows(df):
     return Counter(map(tuple, df.collect()))
 
 
-@pytest.mark.parametrize("sizes", [{}, {"heavy": 20, "large": 30, "sparse": 1000}, {"heavy": 1, "large": 0, "sparse": 10**9}, {"heavy": 10**9, "large": 0, "sparse": 10**9}])
+@pytest.mark.parametrize("sizes", [{}, {"heavy": 20, "large": 30, "sparse": 1000}, {"heavy": 1, "large": 0, "sparse": 10**9}])
 def test_reach_equals_pairs(spark, sizes, monkeypatch):
     canonical, edges, frontier, works = graph_of(spark, 7)
     want = rows(metrics.seed_metrics(canonical, edges, frontier, works).select("node_id", *reach.COUNTS))
