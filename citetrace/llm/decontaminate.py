@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval, with subsequence and answer checks.
 
 1. Document frequencies of the benchmark's words over all documents.
-2. A distributed randomised SVD of TF-IDF passages, of all benchmark items and a bounded sample of documents, both of the
-   same total weight: each power step is a sum of small matrices over partitions. It is fitted once for all items.
+2. A distributed randomised SVD of TF-IDF passages, of all benchmark items and all documents, both of the same total weight: power
+   steps over the items, then one over everything, each a sum of small matrices over partitions. It is fitted once for all items.
 3. Every passage of every document (40 words, a new one each 20) is projected; items within the cosine bound are candidates.
 4. A candidate is a leak if the longest common subsequence of the item and the text around the passage is
    long enough, or half as long as the item while the item's answer (its last sentence) stands there word for word.
@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,6 @@ from citetrace.plans.storage import materialise
 SEGMENT = 20
 RANK = 64
 POWERS = 2
-#: Documents whose passages the basis is fitted on, besides all items; every document is indexed.
-FIT_DOCS = 2000
 COSINE = 0.32
 SUBSEQUENCE = 0.6
 WITH_ANSWER = 0.5
@@ -35,12 +34,14 @@ CELLS_A_PASS = 50_000_000
 #: An item of more words has a vector for each of its passages as well, and one check for all passages within a quarter of its length.
 LONG = 8 * SEGMENT
 #: Words of the vocabulary in one piece of a matrix that is summed over partitions.
-PIECE = 4096
+PIECE = 256
 #: Counts that one check of candidates holds.
 HELD_AT_ONCE = 4_000_000
 #: Words of windows that one step of the first bound looks up, and segments that are projected at once.
 WORDS_AT_ONCE = 1 << 18
 SEGMENTS_AT_ONCE = 8192
+#: Words of passages that one part of a power step takes.
+PAIRS_AT_ONCE = 8192
 
 
 class Vocabulary:
@@ -117,18 +118,24 @@ def _segments(words):
     return first, doc, more
 
 
-def _step(vocabulary: Vocabulary, idf: np.ndarray, m: np.ndarray):
-    """Per partition and kind of text: the sum over passages of a'(a m), and their number."""
+def _added(total: np.ndarray, place: np.ndarray, rows: np.ndarray) -> None:
+    """total[place] += rows, places that repeat included."""
+    order = np.argsort(place, kind="stable")
+    own, first = np.unique(place[order], return_index=True)
+    total[own] += np.add.reduceat(rows[order], first, axis=0)
+
+
+def _step(vocabulary: Vocabulary, idf: np.ndarray, m: np.ndarray, kind: int):
+    """Per partition: the sum over passages of a'(a m), and their number; kind: 0 for documents, 1 for items."""
 
     def of(batches):
-        n = len(vocabulary)
-        sums, numbers = {0: np.zeros_like(m), 1: np.zeros_like(m)}, {0: 0, 1: 0}
+        n, narrow = len(vocabulary), m.astype(np.float32)
+        sums, number = np.zeros_like(m), 0
         for batch in batches:
-            kinds = batch.column("kind").to_numpy(zero_copy_only=False)
-            for row, words in passes(batch.column("text"), lower=True):
+            for _, words in passes(batch.column("text"), lower=True):
                 if not len(words.hash):
                     continue
-                first, doc, more = _segments(words)
+                first, _, more = _segments(words)
                 at = vocabulary.places(words.hash)
                 segment = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(at))))
                 known = at < n
@@ -142,14 +149,15 @@ def _step(vocabulary: Vocabulary, idf: np.ndarray, m: np.ndarray):
                 p, t = key // n, key % n
                 w = tf * idf[t]
                 norm = np.sqrt(np.bincount(p, w * w, minlength=len(first)))
-                w = w / norm[p]
-                y = np.zeros((len(first), m.shape[1]))
-                np.add.at(y, p, w[:, None] * m[t])
-                kind = kinds[row + doc][p]
-                for k in (0, 1):
-                    np.add.at(sums[k], t[kind == k], (w[:, None] * y[p])[kind == k])
-                    numbers[k] += int(np.isin(np.arange(len(first)), p[kind == k]).sum())
-        out = [(k, c, numbers[k], sums[k][c : c + PIECE].astype(np.float64).tobytes()) for k in (0, 1) for c in range(0, n, PIECE)]
+                w = (w / norm[p]).astype(np.float32)[:, None]
+                begins = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+                number += len(begins)
+                size = np.diff(np.append(begins, len(p)))
+                for lo, hi in _pieces_of(size, PAIRS_AT_ONCE):  # whole passages
+                    x, y = begins[lo], begins[hi - 1] + size[hi - 1]
+                    seen = np.add.reduceat(w[x:y] * narrow[t[x:y]], begins[lo:hi] - x, axis=0)
+                    _added(sums, t[x:y], w[x:y] * np.repeat(seen, size[lo:hi], axis=0))
+        out = [(kind, c, number, sums[c : c + PIECE].tobytes()) for c in range(0, n, PIECE)]
         yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), PIECES, strict=True)], schema=PIECES)
 
     return of
@@ -171,8 +179,11 @@ def _summed(batches):
         yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), PIECES, strict=True)], schema=PIECES)
 
 
-def fit(docs: DataFrame, items: DataFrame, vocabulary: Vocabulary, rank: int, fit_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """(idf, basis): the weight of each word and its place in the latent space, from all ``items`` (id, text)."""
+def fit(docs: DataFrame, items: DataFrame, vocabulary: Vocabulary, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """(idf, basis): the weight of each word and its place in the latent space, from all ``docs`` and all ``items`` (id, text).
+
+    The space is first turned towards the items by power steps over them; one step over all passages of documents and items then gives the basis.
+    """
     n = len(vocabulary)
     own = _own(docs, "doc_id")
     df = np.zeros(n + 1)
@@ -181,27 +192,33 @@ def fit(docs: DataFrame, items: DataFrame, vocabulary: Vocabulary, rank: int, fi
     counted = own.mapInArrow(frequencies, "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).toArrow()
     df[counted["place"].to_numpy()] = counted["df"].to_numpy()
     idf = np.log((1 + df[n]) / (1 + df[:n])) + 0.1  # of every word, as an item may itself make its words common
-    ids = own.select("id").where("id is not null").orderBy(F.xxhash64("id"), "id").limit(fit_docs)
-    sample = own.join(F.broadcast(ids), "id", "left_semi").withColumn("kind", F.lit(0)).unionByName(items.select("id", "text").withColumn("kind", F.lit(1)))
-    sample = materialise(sample.select("kind", "text").repartition(8, F.xxhash64("text")), "lsa-sample")
-    rank = min(rank, n)
-    rng = np.random.default_rng(5)
-    m = rng.standard_normal((n, min(n, rank + 8)))
     idf_of = own.sparkSession.sparkContext.broadcast(idf)
-    for _ in range(POWERS + 1):
-        q, _ = np.linalg.qr(m)
+    own, items = own.select("text"), items.select("text")
+
+    def stepped(q: np.ndarray, *texts: tuple[int, DataFrame]) -> np.ndarray:
+        """The mean over the passages of each kind of text of a'(a q), added up."""
         step = own.sparkSession.sparkContext.broadcast(q)
-        run = lambda batches, step=step: _step(sent.value, idf_of.value, step.value)(batches)
-        sums, numbers = {0: np.zeros_like(q), 1: np.zeros_like(q)}, {0: 0, 1: 0}
-        kinds = "kind int, piece long, n long, sum binary"
-        for kind, piece, count, raw in sample.mapInArrow(run, kinds).repartition(8, "kind", "piece").mapInArrow(_summed, kinds).collect():
+        kinds, out = "kind int, piece long, n long, sum binary", np.zeros_like(q)
+        runs = [t.mapInArrow(lambda batches, kind=kind: _step(sent.value, idf_of.value, step.value, kind)(batches), kinds) for kind, t in texts]
+        for _, piece, count, raw in reduce(DataFrame.unionByName, runs).repartition("kind", "piece").mapInArrow(_summed, kinds).collect():
             part = np.frombuffer(raw).reshape(-1, q.shape[1])
-            sums[kind][piece : piece + len(part)] = part
-            numbers[kind] = count
-        m = sums[0] / max(1, numbers[0]) + sums[1] / max(1, numbers[1])
-    values, rotate = np.linalg.eigh(q.T @ m)
-    order = np.argsort(-values)[:rank]
-    return idf, q @ rotate[:, order]
+            out[piece : piece + len(part)] += part / max(1, count)
+        return out
+
+    rank = min(rank, n)
+    m = np.random.default_rng(5).standard_normal((n, min(n, rank + 8)))
+    for _ in range(POWERS):
+        q, _ = np.linalg.qr(m)
+        m = stepped(q, (1, items))
+    q, _ = np.linalg.qr(m)
+    return idf, basis_of(q, stepped(q, (0, own), (1, items)), rank)
+
+
+def basis_of(q: np.ndarray, m: np.ndarray, rank: int) -> np.ndarray:
+    """The first ``rank`` axes of a symmetric matrix s of which only m = s q is known (q: orthonormal), as s is about m (q'm)^-1 m'."""
+    values, turn = np.linalg.eigh((q.T @ m + m.T @ q) / 2)
+    held = values > 1e-9 * max(values.max(initial=0), 1e-300)
+    return np.linalg.svd(m @ (turn[:, held] / np.sqrt(values[held])), full_matrices=False)[0][:, :rank]
 
 
 def subsequence(masks: list[int], size: int, other: list[int]) -> int:
@@ -401,7 +418,6 @@ def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
     rank: int = RANK,
-    fit_docs: int = FIT_DOCS,
     cosine: float = COSINE,
     subsequence_share: float = SUBSEQUENCE,
     with_answer: float = WITH_ANSWER,
@@ -412,7 +428,7 @@ def leaks(
 
     Null and empty texts, of documents or items, hold nothing and are held by nothing; an empty benchmark gives no
     rows. An item id of several texts is held where any of them is. Repeated rows of documents give repeated rows; a row of a null doc_id has its hits
-    with a null id. Other columns are not read. Vocabulary, weights and basis are fitted once on all items; items are then compared in blocks, each a
+    with a null id. Other columns are not read. Vocabulary, weights and basis are fitted once on all documents and items; items are then compared in blocks, each a
     pass over all documents, and no row depends on how they are cut. The check of a long item takes its length times that of the text around a passage.
     """
     spark = docs.sparkSession
@@ -424,7 +440,7 @@ def leaks(
         return spark.createDataFrame([], schema)
     hashes = items.select("text").mapInArrow(_item_words, "hash long").distinct().toArrow()["hash"].to_numpy()
     vocabulary = Vocabulary(hashes.view(U))
-    idf, basis = fit(docs, items, vocabulary, rank, fit_docs)
+    idf, basis = fit(docs, items, vocabulary, rank)
     out = None
     for first, last in _blocks(sizes["n"].to_numpy(), items_a_pass, cells_a_pass):
         lo, hi = ((sizes["id"][i].as_py(), sizes["h"][i].as_py()) for i in (first, last))

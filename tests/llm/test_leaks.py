@@ -144,3 +144,30 @@ def test_odd_rows(spark):
     assert got == [(1, 1), (1, 1), (2, 2), (6, 5), (None, 1)]
     kept = decontaminate.keep_clean(df, bench)
     assert kept.columns == df.columns and sorted((r.doc_id for r in kept.collect()), key=str) == [3, 4, 7, None]
+
+
+def test_the_basis_is_of_all_documents(spark):
+    """2,300 documents: counts, weights and axes are those of a dense product over all of them and all items."""
+    rng = random.Random(7)
+    texts = [prose(rng, rng.randrange(1, 60), 20) for _ in range(2300)]
+    asked = [prose(rng, 50, 20) for _ in range(5)]
+    v = decontaminate.Vocabulary(np.concatenate([w.hash for _, w in passes(pa.array(asked), lower=True)]))
+    docs, items = spark.createDataFrame(list(enumerate(texts)), SCHEMA), spark.createDataFrame(list(enumerate(asked)), "id long, text string")
+    idf, basis = decontaminate.fit(docs, items, v, 12)
+
+    def places(text):
+        return [w for _, x in passes(pa.array([text]), lower=True) for w in v.places(x.hash).tolist()]
+
+    df = np.bincount([p for t in texts for p in set(places(t))], minlength=len(v) + 1)[: len(v)]
+    assert np.allclose(idf, np.log(2301 / (1 + df)) + 0.1)
+    whole = np.zeros((len(v), len(v)))
+    for kind in (texts, asked):
+        rows = []
+        for text in kind:
+            at = places(text)
+            for i in range(0, len(at), decontaminate.SEGMENT):
+                row = np.bincount(at[i : i + 2 * decontaminate.SEGMENT], minlength=len(v) + 1)[: len(v)] * idf
+                rows.append(row / np.linalg.norm(row))
+        whole += np.array(rows).T @ np.array(rows) / len(rows)
+    wanted = np.linalg.eigh(whole)[1][:, ::-1][:, :12]  # the fit takes 20 columns, so all of the space
+    assert len(v) == 20 and np.allclose(np.abs(np.sum(basis * wanted, axis=0)), 1, atol=1e-3)
