@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citetrace.functions import identifiers as ids
 from citetrace.operators.ordered import running
+from citetrace.operators.sieve import among, sieved
 from citetrace.plans.storage import materialise
 
 
@@ -24,17 +25,18 @@ def merge_edges(observed: DataFrame, order: tuple[str, ...] = ("depth", "seq"))
 def bfs(citations: DataFrame, roots: DataFrame, max_depth: int, expandable: str | None = None, cut_lineage: bool | None = None) -> DataFrame:
     """(node_id, depth): distance of each citing node to the nearest root, up to ``max_depth``.
 
-    expandable: a condition on node_id below which a node grows no further. Lineage is cut at each level from the third on
-    (or as told), so plans stay small.
+    expandable: a condition on node_id below which a node grows no further. Lineage is cut at each level that grows further (or as told),
+    so no level is made twice. Citations are sieved by the level before they meet it, so only few are shuffled.
     """
-    pairs = citations.select("source_id", "target_id").where("source_id <> target_id").distinct()
+    pairs = citations.select("source_id", "target_id").where("source_id <> target_id")
     known = roots.where("node_id is not null").select("node_id").distinct().withColumn("depth", F.lit(0))
     level = known
     for depth in range(1, max_depth + 1):
         grow = level.where(expandable) if expandable else level
-        found = pairs.join(grow.select(F.col("node_id").alias("target_id")), "target_id", "left_semi").select(F.col("source_id").alias("node_id")).distinct()
+        asked = grow.select(F.col("node_id").alias("target_id"))
+        found = among(pairs, "target_id", asked).select(F.col("source_id").alias("node_id")).distinct()
         level = found.join(known.select("node_id"), "node_id", "left_anti").withColumn("depth", F.lit(depth))
-        if cut_lineage or (cut_lineage is None and depth > 2):
+        if cut_lineage or (cut_lineage is None and (depth < max_depth or depth > 2)):
             level = materialise(level, "bfs")
         known = known.unionByName(level)
     return known
@@ -43,7 +45,8 @@ def bfs(citations: DataFrame, roots: DataFrame, max_depth: int, expandable: str
 def level_edges(citations: DataFrame, frontier: DataFrame, max_depth: int) -> DataFrame:
     """Merged edges into frontier nodes above ``max_depth``: depth is that of the target plus one."""
     parents = frontier.where(F.col("depth") < max_depth).select(F.col("node_id").alias("target_id"), (F.col("depth") + 1).alias("depth"))
-    return merge_edges(citations.where("source_id <> target_id").join(parents, "target_id"))
+    hit = sieved(citations.where("source_id <> target_id"), "target_id", parents.select("target_id"))
+    return merge_edges(hit.join(parents, "target_id"))
 
 
 def level_stats(citations: DataFrame, frontier: DataFrame, depth: int, parent_limit: int | None = None, failed: DataFrame | None = None, expandable: str | None = None) -> DataFrame:
@@ -131,7 +134,7 @@ def hybrid_crawl(citations: DataFrame, works: DataFrame, roots: DataFrame, max_d
     both = first.unionByName(second)
     for depth in range(1, max_depth + 1):
         parents = frontier.where(F.col("depth") == depth - 1).select(F.col("node_id").alias("target_id"))
-        level = materialise(both.join(parents, "target_id", "left_semi").withColumn("depth", F.lit(depth)), "hybrid-level")
+        level = materialise(among(both, "target_id", parents).withColumn("depth", F.lit(depth)), "hybrid-level")
         edges = level if edges is None else edges.unionByName(level)
         found = level.select(F.col("source_id").alias("node_id"), "depth").distinct()
         frontier = materialise(least_depth(frontier.unionByName(found)), "hybrid-frontier")
