@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from citetrace.operators.graph import level_edges
 from citetrace.operators.ordered import running
+from citetrace.operators.sieve import among
 from citetrace.plans.log_store import LogStore, Table
 from citetrace.plans.storage import materialise
 
@@ -48,7 +49,9 @@ class Crawl:
     def edges(self) -> DataFrame:
         """Merged edges into the nodes above ``max_depth``, each with the depth of its target plus one."""
         state = self.store.state()
-        return level_edges(self.store.read("citations", state), self.store.read("nodes", state), self.max_depth)
+        nodes = self.store.read("nodes", state)
+        asked = nodes.where(F.col("depth") < self.max_depth).select(F.col("node_id").alias("target_id"))
+        return level_edges(self.store.read("citations", state, asked), nodes, self.max_depth)
 
     def failures(self) -> DataFrame:
         """(node_id, error) of parents that failed and have not succeeded since."""
@@ -77,7 +80,7 @@ class Crawl:
         rows = materialise(batch.where("source_id <> target_id").select("source_id", "target_id", "source_api", "citation_date", "seq"), "crawl-batch")
         asked = self.store.read("expanded", state).where(self.expandable).select(F.col("node_id").alias("target_id"))
         depth = self.store.read("nodes", state).where(F.col("depth") < self.max_depth).select(F.col("node_id").alias("target_id"), (F.col("depth") + 1).alias("depth"))
-        hit = rows.select("source_id", "target_id").join(asked, "target_id", "left_semi").join(depth, "target_id")
+        hit = among(rows.select("source_id", "target_id"), "target_id", asked).join(depth, "target_id")
         nodes = self._nearer(hit.groupBy(F.col("source_id").alias("node_id")).agg(F.min("depth").alias("depth")))
         n = rows.count()
         self._commit("citations", {"citations": rows, "nodes": nodes}, {"citations": n}, number=number, citations=n, changed=nodes.count())
@@ -102,13 +105,13 @@ class Crawl:
             parents = parents.orderBy("node_id").limit(parent_limit)
         parents, truncated = materialise(parents, "crawl-parents"), False
         state = self.store.state()
-        cites = self.store.read("citations", state).select("source_id", "target_id")
+        cites = lambda asked: self.store.read("citations", state, asked).select("source_id", "target_id")  # noqa: E731  of those parents alone
         asks = lambda p: p.where(self.expandable).select(F.col("node_id").alias("target_id"))
         if cap is not None:
             every = parents.count()
-            parents = materialise(self._within(parents, cites.join(asks(parents), "target_id", "left_semi"), depth + 1, cap), "crawl-parents")
+            parents = materialise(self._within(parents, cites(asks(parents)), depth + 1, cap), "crawl-parents")
             truncated = parents.count() < every
-        hit = cites.join(asks(parents), "target_id", "left_semi")
+        hit = cites(asks(parents))
         found = materialise(hit.groupBy(F.col("source_id").alias("node_id")).agg(F.count("*").alias("n")), "crawl-found")
         nodes = self._nearer(found.select("node_id", F.lit(depth + 1).alias("depth")))
         asked = F.count_if(F.expr(f"not coalesce({self.expandable}, false)"))

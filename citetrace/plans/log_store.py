@@ -21,10 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citetrace.operators.sieve import among
 from citetrace.plans.manifests import Manifests
 
 #: Runs of one tier in a bucket that are merged, rows of the first tier, and rows of a bucket from which on the table takes one more bit.
-FAN, TIER_ROWS, BUCKET_ROWS = 4, 1_000, 4_000_000
+FAN, TIER_ROWS, BUCKET_ROWS = 4, 1_000, 1_000_000
 #: Manifests that stay for readers that began with them.
 KEEP = 2
 
@@ -37,11 +38,13 @@ class Table:
     key: tuple[str, ...]
     order: tuple[str, ...]
 
-    def least(self, rows: DataFrame) -> DataFrame:
+    def least(self, rows: DataFrame, *within: str) -> DataFrame:
+        """The row of each key that counts; within: columns that follow from the key, by which the rows may be dealt already."""
         names = rows.columns
         by = [-F.col(c[1:]) if c.startswith("-") else F.col(c) for c in self.order]
-        rest = [c for c in names if c not in self.key]
-        return rows.groupBy(*self.key).agg(F.min_by(F.struct(*rest), F.struct(*by)).alias("_b")).select(*self.key, "_b.*").select(*names)
+        keys = [*within, *self.key]
+        rest = [c for c in names if c not in keys]
+        return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*by)).alias("_b")).select(*keys, "_b.*").select(*names)
 
 
 @dataclass
@@ -86,8 +89,11 @@ class LogStore:
 
     # --- reading ---
 
-    def read(self, name: str, state: State | None = None) -> DataFrame:
-        """The rows that count. Buckets of one run are read as they are; only others are merged."""
+    def read(self, name: str, state: State | None = None, having: DataFrame | None = None) -> DataFrame:
+        """The rows that count. Buckets of one run are read as they are; only others are merged.
+
+        having: values of one column of the key, under its name; only rows with one of them are merged.
+        """
         state, table = state or self.state(), self.tables[name]
         runs = state.runs.get(name, [])
         if not runs:
@@ -100,9 +106,10 @@ class LogStore:
                 count[b] += 1
         alone = [r for r in runs if all(count[b] == 1 for b in covers(r))]
         rest = [r for r in runs if r not in alone]
-        parts = [self._open(name, alone)] if alone else []
+        only = lambda rows: rows if having is None else among(rows, having.columns[0], having)
+        parts = [only(self._open(name, alone))] if alone else []
         if rest:
-            parts.append(table.least(self._open(name, rest)))
+            parts.append(table.least(only(self._open(name, rest))))
         return reduce(DataFrame.unionByName, parts)
 
     def _open(self, name: str, runs: list[dict]) -> DataFrame:
@@ -134,7 +141,7 @@ class LogStore:
                 continue
             runs = after.runs.setdefault(name, [])
             after.bits[name] = self._bits(before.bits.get(name, 0), n + sum(r["rows"] for r in runs))
-            made += (new := self._write(name, self.tables[name].least(own), after.bits[name]))
+            made += (new := self._write(name, own, after.bits[name]))
             after.written += sum(r["bytes"] for r in new)
             runs.extend(new)
             made += self._compact(name, after)
@@ -153,10 +160,10 @@ class LogStore:
         return F.shiftrightunsigned(F.xxhash64(*self.tables[name].key), 64 - bits) if bits else F.lit(0).cast("long")
 
     def _write(self, name: str, rows: DataFrame, bits: int) -> list[dict]:
-        """Write rows as one sorted run for each bucket."""
+        """Write the rows that count as one sorted run for each bucket. Rows are shuffled once, by bucket: those of equal keys meet there."""
         base = f"{name}/{uuid.uuid4().hex}"
-        bucketed = rows.withColumn("_bucket", self._bucket(name, bits))
-        bucketed.repartition("_bucket").sortWithinPartitions("_bucket", *self.tables[name].key).write.partitionBy("_bucket").parquet(f"{self.folder}/{base}")
+        bucketed = rows.withColumn("_bucket", self._bucket(name, bits)).repartition("_bucket")
+        self.tables[name].least(bucketed, "_bucket").sortWithinPartitions("_bucket", *self.tables[name].key).write.partitionBy("_bucket").parquet(f"{self.folder}/{base}")
         if not self._manifests.found(f"{base}/_bucket=*"):
             return []  # no rows
         counted = self.spark.read.parquet(f"{self.folder}/{base}").groupBy("_bucket").agg(F.count("*")).collect()  # one row a bucket
@@ -177,7 +184,7 @@ class LogStore:
                 due += [r for found in tiers.values() if len(found) >= self.fan for r in found if r not in due]
             if not due:
                 return made
-            new = self._write(name, self.tables[name].least(self._open(name, due)), state.bits[name])
+            new = self._write(name, self._open(name, due), state.bits[name])
             state.rewritten += sum(r["bytes"] for r in new)
             state.runs[name] = [r for r in state.runs[name] if r not in due] + new
             made, due = made + new, []
