@@ -125,8 +125,9 @@ class Fixture:
             base = folder(self.spark, "stream")
             rows = observations(self).select("source_id", "target_id", "depth", "source_api", "citation_date", "seq", F.lit(None).cast("string").alias("error"))
             both = rows.unionByName(failed(self))
-            both.repartition(4, "seq", "target_id").write.parquet(f"{base}/inbox")
-            merge.ingest(self.spark, f"{base}/inbox", base, ", ".join(f"{n} {t}" for n, t in both.dtypes))
+            both.write.parquet(f"{base}/inbox")  # as many files as the rows need, taken in two batches
+            files = len(self.spark.read.parquet(f"{base}/inbox").inputFiles())
+            merge.ingest(self.spark, f"{base}/inbox", base, ", ".join(f"{n} {t}" for n, t in both.dtypes), max_files=-(-files // 2))
             self.stores["streamed"] = base
         return self.stores["streamed"]
 

@@ -33,7 +33,10 @@ def ingest(spark: SparkSession, inbox: str, folder: str, schema: str, max_files:
         rows = batch if "error" in batch.columns else batch.withColumn("error", F.lit(None).cast("string"))
         events = rows.where("source_id is not null or error is not null")
         state = events.select(F.col("target_id").alias("node_id"), F.when(F.col("source_id").isNull(), F.col("error")).alias("error"), "seq")
-        own.commit({"edges": rows.where("source_id is not null"), "failures": state.where("node_id is not null")}, number=epoch)
+        state = state.where("node_id is not null")
+        # the batch is files, so counting it is cheap and it need not be written to be counted
+        n = rows.agg(F.count("source_id"), F.count_if(F.col("target_id").isNotNull() & (F.col("source_id").isNotNull() | F.col("error").isNotNull()))).first()
+        own.commit({"edges": rows.where("source_id is not null"), "failures": state}, number=epoch, sizes=dict(zip(("edges", "failures"), n, strict=True)))
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(inbox)
     query = stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
