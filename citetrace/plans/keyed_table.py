@@ -15,12 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citetrace.operators.ordered import running
 from citetrace.plans.manifests import Manifests
 from citetrace.plans.storage import materialise
 
 #: Rows of a file; bits of a filter for each row of its file, and bits that a key sets.
 FILE_ROWS, KEY_BITS, PROBES = 1_000_000, 12, 5
 _BITMAP = 32768
+#: Files up to which each key is compared with the range of each; of more, the file is found by a place in order.
+FEW_FILES = 64
 
 
 class KeyedTable:
@@ -122,7 +125,7 @@ class KeyedTable:
         indexes = sorted({f["index"] for f in files})
         part = lambda kind: self.spark.read.parquet(*[f"{self.folder}/index/{i}/{kind}" for i in indexes]).join(F.broadcast(live), "_file", "left_semi")
         asked = keys.select(F.struct(*self.key).alias("_key"))
-        near = asked.join(F.broadcast(part("ranges")), F.col("_key").between(F.col("_low"), F.col("_high")))  # one row a file, no row of the table
+        near = self._near(part("ranges").withColumn("_index", F.split_part("_file", F.lit("/"), F.lit(2))), indexes, asked, len(files))
         probes = near.select("_file", "_key", F.explode(self._positions()).alias("_at")).withColumn("_bucket", F.bitmap_bucket_number("_at"))
         bit = F.bitmap_bit_position("_at")
         byte = F.conv(F.hex(F.substring(F.col("_bitmap"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -134,6 +137,20 @@ class KeyedTable:
         there = self._keyed(candidates).join(maybe, ["_file", "_key"], "left_semi")
         return {r._file for r in there.select("_file").distinct().collect()}
 
+    def _near(self, ranges: DataFrame, indexes: list[str], asked: DataFrame, files: int) -> DataFrame:
+        """(_file, _key, _size): the keys with the files in whose range they are. Files of one write have ranges apart, so of each write it can only be the last that begins at or before the key."""
+        if files <= FEW_FILES:
+            return asked.join(F.broadcast(ranges), F.col("_key").between(F.col("_low"), F.col("_high"))).select("_file", "_key", "_size")  # one row a file, no row of the table
+        number = F.row_number().over(Window.partitionBy("_index").orderBy("_low")).alias("_place")  # one row a file
+        ranges, asked, out = materialise(ranges.select("_index", "_file", "_low", "_high", "_size", number), "near-ranges"), materialise(asked, "asked-keys"), None
+        for index in indexes:
+            own = ranges.where(F.col("_index") == index)
+            both = asked.withColumn("_asks", F.lit(1)).unionByName(own.select(F.col("_low").alias("_key"), F.lit(0).alias("_asks")))
+            placed = running(both, [F.col("_key"), F.col("_asks")], 1 - F.col("_asks"), "_place").where("_asks = 1")
+            near = placed.join(F.broadcast(own), "_place").where(F.col("_key") <= F.col("_high")).select("_file", "_key", "_size")
+            out = near if out is None else out.unionByName(near)
+        return out
+
     def drop_versions(self, keep: int = 1) -> None:
         """Delete all versions but the last ``keep``, and the files that only they have."""
         gone, stay = self.versions()[:-keep], self.versions()[-keep:]

@@ -87,3 +87,23 @@ def test_equal_keys_and_null_keys(spark, tmp_path):
     assert rows(t.read()) == Counter([("k", 1, None, None), ("l", 1, "x", None)])
     with pytest.raises(ValueError):
         t.upsert(frame(spark, [(None, 1, "x", None)]))
+
+
+def test_many_files_are_found_without_comparing_each_key_with_each(spark, tmp_path, monkeypatch):
+    from citetrace.plans import keyed_table
+
+    monkeypatch.setattr(keyed_table, "FEW_FILES", 3)
+    t = table(spark, tmp_path, file_rows=100)
+    even = spark.range(1_000).selectExpr("concat('k', lpad(id * 2, 8, '0')) k", "1L n", "'old' a", "date'2020-01-01' day")
+    t.upsert(even)
+    t.upsert(spark.range(300).selectExpr("concat('k', lpad(id * 2 + 1, 8, '0')) k", "1L n", "'new' a", "date'2020-01-01' day"))
+    asked = spark.range(-5, 2_500, 3).selectExpr("struct(concat('k', lpad(id, 8, '0')) k, 1L n) _key")
+    ranges = spark.read.parquet(*{f"{t.folder}/index/{f['index']}/ranges" for f in t.said()["files"]}).withColumn("_index", F.split_part("_file", F.lit("/"), F.lit(2)))
+    live = [f["path"] for f in t.said()["files"]]
+    ranges, indexes = ranges.where(F.col("_file").isin(live)), sorted({f["index"] for f in t.said()["files"]})
+    near = t._near(ranges, indexes, asked, len(live))
+    assert "NestedLoop" not in near._jdf.queryExecution().executedPlan().toString()
+    plain = asked.join(ranges, F.col("_key").between(F.col("_low"), F.col("_high"))).select("_file", "_key", "_size")
+    assert rows(near) == rows(plain) and len(live) > 3
+    t.upsert(frame(spark, [("k00000010", 1, "newer", None), ("k00000011", 1, "newer", None), ("k99999999", 1, "newer", None)]))
+    assert t.read().count() == 1_301 and t.read().where("a = 'newer'").count() == 3
