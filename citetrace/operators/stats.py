@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citetrace.operators import selection
-from citetrace.operators.ordered import running
+from citetrace.operators.ordered import running, running_sums
 
 #: Differences from which on the signed-rank test is approximated.
 EXACT = 50
@@ -46,7 +46,7 @@ def ccdf(rows: DataFrame, c: str) -> DataFrame:
 
 def lorenz(rows: DataFrame, c: str, points: int = 2000) -> DataFrame:
     """(p, l): share of rows against share of the sum, at the end of each distinct value; thinned to about ``points``."""
-    before = running(running(running(counted(rows, c), [F.col("v")], F.col("c"), "n"), [F.col("v")], F.col("v") * F.col("c"), "s"), [F.col("v")], F.lit(1), "i")
+    before = running_sums(counted(rows, c), [F.col("v")], {"n": F.col("c"), "s": F.col("v") * F.col("c"), "i": F.lit(1)})
     v = before.select("v", (F.col("n") + F.col("c")).alias("n"), (F.col("s") + F.col("v") * F.col("c")).alias("s"), (F.col("i") + 1).alias("i"))
     total = v.agg(F.max("n").alias("nn"), F.max("s").alias("ss"), F.max("i").alias("k"))
     step = F.greatest(F.ceil(F.col("k") / points), F.lit(1))

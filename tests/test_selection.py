@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citetrace.operators import selection, stats
+from citetrace.plans import storage
 
 
 def type7(values, p):
@@ -76,3 +77,16 @@ def test_signed_rank_is_approximate_where_it_must_be(spark):
     got = {r.g: r for r in stats.wilcoxon_by(df, ["g"], "d").withColumn("q", stats.normal_two_sided(F.col("z"))).collect()}
     assert all(got[g].p == got[g].q for g in (0, 1, 2)) and got[3].p != got[3].q and abs(got[3].p - got[3].q) < 0.01
     assert (got[4].n, got[4].p) == (0, 1.0)  # nothing speaks against equality
+
+
+def test_a_lorenz_curve_is_one_ordered_pass(spark):
+    """Its three running sums are dealt and written once; they were once each."""
+    rows = spark.range(500).selectExpr("id % 7 AS x")
+    before = set(storage.written(spark))
+    curve = stats.lorenz(rows, "x")
+    assert len([p for p in storage.written(spark) if p not in before and "/ranges-" in p]) == 1
+    n, total, want = 0, sum(i % 7 for i in range(500)), []
+    for v in range(7):
+        n += sum(i % 7 == v for i in range(500))
+        want.append((n / 500, sum(i % 7 for i in range(500) if i % 7 <= v) / total))
+    assert [tuple(r) for r in curve.orderBy("p").collect()] == want
