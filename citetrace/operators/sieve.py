@@ -14,11 +14,14 @@ def sieved(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     n = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - BITS) + 1  # noqa: E731  from 1 on
     (key,) = keys.columns
     bits = keys.select(n(key).alias("_n")).groupBy(F.bitmap_bucket_number("_n").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_n")).alias("_bitmap"))
+    # read as 512 numbers of eight bytes, once a bucket, so that a row costs an array access and a shift
+    word = lambda i: F.conv(F.hex(F.substring("_bitmap", i * 8 + 1, F.lit(8))), 16, -10).cast("long")
+    words = bits.select("_bucket", F.transform(F.sequence(F.lit(0), F.lit(511)), word).alias("_bitmap"))
     at = rows.withColumn("_n", n(column))
     place = F.bitmap_bit_position("_n")
-    byte = F.conv(F.hex(F.substring("_bitmap", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    there = F.getbit(byte, (place % 8).cast("int")) == 1
-    return at.join(F.broadcast(bits), F.bitmap_bucket_number("_n") == F.col("_bucket")).where(there).select(*rows.columns)
+    bit = (place % 64).cast("int").bitwiseXOR(F.lit(56))  # the first byte of a word is its highest
+    there = F.getbit(F.get("_bitmap", F.shiftrightunsigned(place, 6).cast("int")), bit) == 1
+    return at.join(F.broadcast(words), F.bitmap_bucket_number("_n") == F.col("_bucket")).where(there).select(*rows.columns)
 
 
 def among(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:

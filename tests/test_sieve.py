@@ -17,6 +17,20 @@ def test_rows_whose_key_is_there_stay(spark):
     assert among(rows, "k", keys.where("false")).count() == 0
 
 
+def test_a_row_costs_an_array_access(spark, monkeypatch):
+    """The bitmap is turned into numbers once a bucket, below the broadcast, not byte by byte for each row; every bit of a word is found."""
+    from citetrace.operators import sieve
+
+    plan = sieved(spark.range(10).selectExpr("concat('k', id) k"), "k", spark.range(3).selectExpr("concat('k', id) key"))._jdf.queryExecution().optimizedPlan().toString()
+    join = next(i for i, line in enumerate(plan.splitlines()) if "Join" in line)
+    assert "conv(" not in "".join(plan.splitlines()[: join + 1]) and "conv(" in "".join(plan.splitlines()[join + 1 :])
+    monkeypatch.setattr(sieve, "BITS", 12)  # each bit of some words is asked for
+    rows, keys = spark.range(9_000).selectExpr("concat('k', id) k", "id"), spark.range(0, 9_000, 5).selectExpr("concat('k', id) key")
+    place = lambda df, c: {r.p for r in df.select(F.shiftrightunsigned(F.xxhash64(c), 52).alias("p")).collect()}
+    left = sieved(rows, "k", keys)
+    assert place(left, "k") == place(keys, "key") & place(rows, "k") and left.count() < 4_500
+
+
 def test_a_level_does_not_shuffle_all_citations(spark):
     """Without broadcast of the level, what is shuffled is near what meets it."""
     cites = spark.range(50_000).selectExpr("concat('s', id) source_id", "concat('t', id % 5000) target_id", "id seq")
