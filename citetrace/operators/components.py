@@ -1,52 +1,66 @@
-"""Connected components by alternating star contraction (no driver-side graph), at once or as edges come."""
+"""Connected components by randomised contraction (no driver-side graph), at once or as edges come."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citetrace.plans.log_store import LogStore, Table
 from citetrace.plans.storage import materialise
 
 
-def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 200) -> DataFrame:
     """(node, component): the smallest node reachable over the undirected edges ``a``-``b``.
 
-    Only nodes with an edge are returned; null ends and loops are ignored. Each round hooks every node
-    to the least neighbour (first among larger neighbours, then among smaller ones) and is written to the
-    shared folder; the work ends when a round changes nothing. A hub is aggregated map-side, so a node
-    with very many neighbours never lands in one task as a list.
+    Only nodes with an edge are returned; null ends and loops are ignored. Nodes go by 64-bit numbers. In each round every node
+    moves to the first of itself and its neighbours in an order that is drawn anew, and from there once more; edges follow, and
+    those that have become loops or copies go. So the graph shrinks by a share of its nodes each round, however long its paths, and
+    all rounds together cost a multiple of the first. The moves of all rounds, joined, lead from a node to its component, whose least
+    node is found at the end. A hub is aggregated map-side, so a node with very many neighbours never lands in one task as a list.
     """
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e, last = materialise(e, "cc"), None
-    for _ in range(max_rounds):
-        # larger star: every neighbour above me, and I myself, point to my least neighbour
-        both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        up = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = up.where("u <> v").distinct()
-        # smaller star: my neighbours below me, and I myself, point to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(low, "u")
-        small = (
-            down.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionAll(low.select("u", F.col("m").alias("v")))
-            .where("u <> v")
-            .distinct()
-        )
-        nxt = materialise(small, "cc")
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        e = nxt
-        if now == last:
+    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
+    e = materialise(e, "cc")
+    names, salt = _named(e)
+    e = e.select(_number("a", salt).alias("u"), _number("b", salt).alias("v"))
+    e, moves = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), []
+    for number in range(max_rounds):
+        e = materialise(e, "cc")
+        if e.isEmpty():
             break
-        last = now
+        both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        place = lambda c, n=number: F.xxhash64(F.lit(n), c)
+        first = both.groupBy("u").agg(F.min_by("v", place("v")).alias("v"), F.min(place("v")).alias("p"))
+        once = first.select("u", F.when(F.col("p") < place("u"), F.col("v")).otherwise(F.col("u")).alias("m"))
+        onward = once.select(F.col("u").alias("m"), F.col("m").alias("m2"))
+        moves.append(materialise(once.join(onward, "m").select("u", F.col("m2").alias("m")), "cc-moves"))
+        of = lambda end: moves[-1].select(F.col("u").alias(end), F.col("m").alias(f"{end}_m"))
+        moved = e.join(of("u"), "u").join(of("v"), "v").where("u_m <> v_m")
+        e = moved.select(F.greatest("u_m", "v_m").alias("u"), F.least("u_m", "v_m").alias("v")).distinct()
     else:
         raise RuntimeError("connected_components did not settle")
-    roots = e.select(F.col("v").alias("node")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
-        roots.select("node", F.col("node").alias("component"))
-    )
+    if not moves:
+        return names.select("node", F.col("node").alias("component"))  # no rows
+    *earlier, found = moves
+    for move in reversed(earlier):
+        later = found.select(F.col("u").alias("m"), F.col("m").alias("_c"))
+        found = move.join(later, "m", "left").select("u", F.coalesce("_c", "m").alias("m"))
+    found = materialise(names.join(found, "u").select("node", "m"), "cc-found")
+    least = found.groupBy("m").agg(F.min("node").alias("component"))
+    return found.join(least, "m").select("node", "component")
+
+
+def _number(c: str, salt: int) -> Column:
+    return F.xxhash64(F.lit(salt), c)
+
+
+def _named(e: DataFrame) -> tuple[DataFrame, int]:
+    """(u, node), written: a number for each end of the edges ``a``-``b``, and the salt of the numbers, one under which no two nodes have the same."""
+    ends = e.select(F.col("a").alias("node")).unionAll(e.select(F.col("b").alias("node")))
+    for salt in range(100):
+        names = materialise(ends.groupBy(_number("node", salt).alias("u")).agg(F.min("node").alias("node"), F.max("node").alias("_last")), "cc-names")
+        if names.where("node <> _last").isEmpty():
+            return names.select("u", "node"), salt
+    raise RuntimeError("no salt tells all nodes apart")
 
 
 LABELS = {"labels": Table("node string, component string", ("node",), ("component",))}

@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from citetrace.operators import components
 from citetrace.operators.components import Components, connected_components
 
 
@@ -30,3 +33,31 @@ def test_a_batch_changes_only_what_it_joins(spark, tmp_path):
     labels = dict(stored.labels().collect())
     assert labels["c09-9"] == "c05-0" and labels["new"] == "c02-0" and len(set(labels.values())) == 19
     assert stored.add(spark.createDataFrame(one, "source_id string, target_id string")) == 0
+
+
+def test_long_paths_shrink_by_a_share_each_round(spark, monkeypatch):
+    """What all rounds write together is a multiple of the edges, also on a path and a star."""
+    rows = []
+
+    def watched(df, name):
+        out = write(df, name)
+        if name == "cc":
+            rows.append(out.count())
+        return out
+
+    write = components.materialise
+    monkeypatch.setattr(components, "materialise", watched)
+    path = spark.range(400).select(F.format_string("p%05d", "id").alias("a"), F.format_string("p%05d", F.col("id") + 1).alias("b"))
+    star = spark.range(200).select(F.lit("hub").alias("a"), F.format_string("s%04d", "id").alias("b"))
+    found = connected_components(path.unionAll(star).unionAll(path), "a", "b")
+    assert {tuple(r) for r in found.groupBy("component").count().collect()} == {("p00000", 401), ("hub", 201)}
+    assert sum(rows[1:]) < 5 * 600 and rows[-1] == 0
+
+
+def test_nodes_whose_numbers_meet_are_told_apart(spark, monkeypatch):
+    """A salt under which two nodes have one number is not used."""
+    real = components._number
+    monkeypatch.setattr(components, "_number", lambda c, salt: F.length(c).cast("long") if salt == 0 else real(c, salt))
+    edges = spark.createDataFrame([("a", "bb"), ("c", "dd"), ("x", "x"), (None, "y")], "a string, b string")
+    assert dict(connected_components(edges, "a", "b").collect()) == {"a": "a", "bb": "a", "c": "c", "dd": "c"}
+    assert connected_components(edges.where("a = 'x'"), "a", "b").count() == 0
