@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citetrace.operators import control, graph, metrics, quality, reach, seeds, stats
+from citetrace.operators.sieve import among
 from citetrace.plans.storage import materialise
 from citetrace.sources import sinks
 
@@ -69,11 +70,17 @@ def _shaped(name: str, df: DataFrame) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
 
+def known_works(t: Tables, canonical: DataFrame) -> DataFrame:
+    """The works of the frontier and of seeds: all that results join, so that works which no crawl has reached are shuffled by none of those joins."""
+    return among(t.works, "node_id", t.frontier.select("node_id").unionByName(canonical.select("node_id")))
+
+
 def results(t: Tables, k: int = 2) -> Iterator[tuple[str, DataFrame]]:
     """(name, table) of all results. What several of them need is written once."""
     canonical = materialise(seeds.canonical(t.seeds), "canonical")
-    inside, nodes = graph.induced_edges(t.edges, t.frontier, k), graph.induced_nodes(t.frontier, t.works, k)
-    inside = materialise(inside, "inside-edges")
+    t = replace(t, works=materialise(known_works(t, canonical), "known-works"))
+    inside = materialise(graph.induced_edges(t.edges, t.frontier, k), "inside-edges")
+    nodes = materialise(graph.induced_nodes(t.frontier, t.works, k), "inside-nodes")
     numbers = reach.number_nodes(t.frontier, t.works, canonical, k)
     numbered = numbers, reach.number_edges(inside, numbers)
     measured = materialise(reach.seed_metrics(canonical, *numbered), "seed-metrics")

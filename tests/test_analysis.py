@@ -45,3 +45,19 @@ def test_tables_are_shaped(spark, tmp_path):
     spark.createDataFrame([], "source_id string, target_id string, depth int").write.mode("overwrite").parquet(f"{base}/citation_edges")
     t = analysis.Tables.load(spark, base)
     assert t.works.first().publication_year == 2019 and t.seeds.first().resolved_status == "resolved" and t.frontier.first().processed is False and t.metadata.count() == 0
+
+
+def test_works_that_no_result_joins_are_left_out(spark):
+    """Once, before all joins; works of the frontier and of seeds outside it stay, with all their columns."""
+    frames = {
+        "seeds": spark.createDataFrame([("R1", "S1"), ("R2", None)], "record_id string, node_id string"),
+        "works": spark.createDataFrame([("S1", "a"), ("D1", "b"), ("X1", "c"), (None, "d")], "node_id string, title string"),
+        "frontier_nodes": spark.createDataFrame([("D1", 1), ("D2", 1)], "node_id string, depth int"),
+        "citation_edges": spark.createDataFrame([("D1", "S1", 1)], "source_id string, target_id string, depth int"),
+        "run_metadata": spark.createDataFrame([], "key string, value string"),
+    }
+    t = analysis.Tables.of(frames)
+    known = analysis.known_works(t, t.seeds.where("node_id is not null"))
+    assert known.columns == t.works.columns and {(r.node_id, r.title) for r in known.collect()} == {("S1", "a"), ("D1", "b")}
+    made = dict(analysis.results(t))
+    assert {r.node_id: r.title for r in made["nodes"].collect()} == {"D1": "b", "D2": None}
