@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from citetrace.operators import components, control, crawl, graph, reach, seeds
 from citetrace.plans import analysis
 from citetrace.plans.keyed_table import KeyedTable
-from citetrace.plans.storage import folder, materialise, shared_dir, written
+from citetrace.plans.storage import delete, folder, materialise, put, shared_dir, written
 from citetrace.sources import dumps
 from citetrace.streaming import merge
 
@@ -65,7 +65,9 @@ class Fixture:
             "citation_date",
             ((F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 10 + F.col("k")) * 1_000_000 + F.col("l_partkey")).alias("seq"),
         )
-        return materialise(rows, "citations")
+        path = folder(self.spark, "citations")
+        put(rows, path)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
     @cached_property
     def seed_records(self) -> DataFrame:
@@ -120,14 +122,19 @@ class Fixture:
         return materialise(control.pairs(found, self.edges, self.works), "matched-pairs")
 
     def streamed(self, observations: Callable[[Fixture], DataFrame], failed: Callable[[Fixture], DataFrame]) -> str:
-        """The folder of a store that a stream of both has filled."""
+        """The folder of a store that a stream of both has filled. They come in two deliveries; what the stream has taken of one goes before the next is written."""
         if "streamed" not in self.stores:
             base = folder(self.spark, "stream")
             rows = observations(self).select("source_id", "target_id", "depth", "source_api", "citation_date", "seq", F.lit(None).cast("string").alias("error"))
             both = rows.unionByName(failed(self))
-            both.write.parquet(f"{base}/inbox")  # as many files as the rows need, taken in two batches
-            files = len(self.spark.read.parquet(f"{base}/inbox").inputFiles())
-            merge.ingest(self.spark, f"{base}/inbox", base, ", ".join(f"{n} {t}" for n, t in both.dtypes), max_files=-(-files // 2))
+            delivery = F.pmod(F.xxhash64(F.coalesce("source_id", "target_id"), "source_api"), F.lit(2))  # of about half of all edges both observations are in one
+            taken = []
+            for n in range(2):
+                for file in taken:
+                    delete(self.spark, file)
+                put(both.where(delivery == n), f"{base}/inbox")  # as many files as the rows need
+                taken = self.spark.read.parquet(f"{base}/inbox").inputFiles()
+                merge.ingest(self.spark, f"{base}/inbox", base, ", ".join(f"{n} {t}" for n, t in both.dtypes), max_files=len(taken))
             self.stores["streamed"] = base
         return self.stores["streamed"]
 

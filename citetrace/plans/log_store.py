@@ -3,7 +3,8 @@
 A store holds some tables below one folder. A row of a table has a key and an order; of equal keys the row that is least by the order counts. A batch writes
 its own rows only, as one run for each bucket of the key's hash that it touches. Runs of a bucket are merged when ``FAN`` of a size tier have gathered, so a
 row is written again once a tier; a table whose buckets grow beyond ``BUCKET_ROWS`` takes one more bit of the hash, and its runs are then split, once for each
-doubling. What is current is said by numbered manifests alone: a batch of all tables is one manifest, put in place by a rename, so readers see
+doubling. A store that is mostly read whole may have large batches take in what is there (``absorb``). Writes go by slices of the buckets, so that what is shuffled at
+a time has a bound. What is current is said by numbered manifests alone: a batch of all tables is one manifest, put in place by a rename, so readers see
 all of it or nothing, and what an attempt has left without one is never read.
 """
 
@@ -17,15 +18,18 @@ from dataclasses import dataclass, field
 from functools import reduce
 from types import MappingProxyType
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citetrace.operators.sieve import among
 from citetrace.plans.manifests import Manifests
+from citetrace.plans.storage import put
 
 #: Runs of one tier in a bucket that are merged, rows of the first tier, and rows of a bucket from which on the table takes one more bit.
 FAN, TIER_ROWS, BUCKET_ROWS = 4, 1_000, 1_000_000
+#: Rows that are shuffled at a time. A slice reads all rows that are to be written, so it is large.
+SLICE_ROWS = 100_000_000
 #: Manifests that stay for readers that began with them.
 KEEP = 2
 
@@ -40,11 +44,10 @@ class Table:
 
     def least(self, rows: DataFrame, *within: str) -> DataFrame:
         """The row of each key that counts; within: columns that follow from the key, by which the rows may be dealt already."""
-        names = rows.columns
-        by = [-F.col(c[1:]) if c.startswith("-") else F.col(c) for c in self.order]
-        keys = [*within, *self.key]
-        rest = [c for c in names if c not in keys]
-        return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*by)).alias("_b")).select(*keys, "_b.*").select(*names)
+        by = [F.col(c[1:]).desc_nulls_first() if c.startswith("-") else F.col(c) for c in self.order]
+        rest = [c for c in rows.columns if c not in {*within, *self.key, *(o.removeprefix("-") for o in self.order)}]  # rows of equal order: the first by the other columns
+        first = F.row_number().over(Window.partitionBy(*within, *self.key).orderBy(*by, *rest))
+        return rows.withColumn("_first", first).where("_first = 1").select(*rows.columns)
 
 
 @dataclass
@@ -61,9 +64,10 @@ class State:
 
 
 class LogStore:
-    def __init__(self, spark: SparkSession, folder: str, tables: Mapping[str, Table], bucket_rows: int = BUCKET_ROWS, tier_rows: int = TIER_ROWS, fan: int = FAN):
+    def __init__(self, spark: SparkSession, folder: str, tables: Mapping[str, Table], bucket_rows: int = BUCKET_ROWS, tier_rows: int = TIER_ROWS, fan: int = FAN, slice_rows: int = SLICE_ROWS, absorb: int = 0):
+        """absorb: a batch is merged with all of a table as it is written, if that holds at most so many times its rows. So each row brought has at most so many written again."""
         self.spark, self.folder, self.tables = spark, folder.rstrip("/"), dict(tables)
-        self.bucket_rows, self.tier_rows, self.fan = bucket_rows, tier_rows, fan
+        self.bucket_rows, self.tier_rows, self.fan, self.slice_rows, self.absorb = bucket_rows, tier_rows, fan, slice_rows, absorb
         self._manifests = Manifests(spark, folder)
 
     def states(self) -> list[int]:
@@ -109,7 +113,7 @@ class LogStore:
         only = lambda rows: rows if having is None else among(rows, having.columns[0], having)
         parts = [only(self._open(name, alone))] if alone else []
         if rest:
-            parts.append(table.least(only(self._open(name, rest))))
+            parts.append(table.least(only(self._open(name, rest)).repartition(*table.key)))  # dealt before they are sorted
         return reduce(DataFrame.unionByName, parts)
 
     def _open(self, name: str, runs: list[dict]) -> DataFrame:
@@ -139,11 +143,14 @@ class LogStore:
                 n = own.count()
             if not n:
                 continue
-            runs = after.runs.setdefault(name, [])
-            after.bits[name] = self._bits(before.bits.get(name, 0), n + sum(r["rows"] for r in runs))
-            made += (new := self._write(name, own, after.bits[name]))
+            runs = after.runs.get(name, [])
+            held = sum(r["rows"] for r in runs)
+            after.bits[name] = self._bits(before.bits.get(name, 0), n + held)
+            if 0 < held <= self.absorb * n:
+                own, n, runs = own.unionByName(self._open(name, runs)), n + held, []
+            made += (new := self._write(name, own, after.bits[name], n))
             after.written += sum(r["bytes"] for r in new)
-            runs.extend(new)
+            after.runs[name] = [*runs, *new]
             made += self._compact(name, after)
         self._publish(after)
         named = {r["path"] for runs in after.runs.values() for r in runs}
@@ -159,11 +166,14 @@ class LogStore:
         """The first ``bits`` of the key's hash. All of the key is hashed, so rows that share a part of it spread as well."""
         return F.shiftrightunsigned(F.xxhash64(*self.tables[name].key), 64 - bits) if bits else F.lit(0).cast("long")
 
-    def _write(self, name: str, rows: DataFrame, bits: int) -> list[dict]:
-        """Write the rows that count as one sorted run for each bucket. Rows are shuffled once, by bucket: those of equal keys meet there."""
-        base = f"{name}/{uuid.uuid4().hex}"
-        bucketed = rows.withColumn("_bucket", self._bucket(name, bits)).repartition("_bucket")
-        self.tables[name].least(bucketed, "_bucket").sortWithinPartitions("_bucket", *self.tables[name].key).write.partitionBy("_bucket").parquet(f"{self.folder}/{base}")
+    def _write(self, name: str, rows: DataFrame, bits: int, n: int) -> list[dict]:
+        """Write the rows that count, of about ``n``, as one sorted run for each bucket. Rows are shuffled once, by bucket: those of equal keys meet there."""
+        base, table, bucket = f"{name}/{uuid.uuid4().hex}", self.tables[name], self._bucket(name, bits)
+        slices = min(1 << bits, max(1, -(-n // self.slice_rows)))
+        for k in range(slices):
+            some = rows.where(bucket % slices == k) if slices > 1 else rows
+            bucketed = some.withColumn("_bucket", bucket).repartition("_bucket")
+            put(table.least(bucketed, "_bucket").sortWithinPartitions("_bucket", *table.key), f"{self.folder}/{base}", "_bucket")
         if not self._manifests.found(f"{base}/_bucket=*"):
             return []  # no rows
         counted = self.spark.read.parquet(f"{self.folder}/{base}").groupBy("_bucket").agg(F.count("*")).collect()  # one row a bucket
@@ -184,7 +194,7 @@ class LogStore:
                 due += [r for found in tiers.values() if len(found) >= self.fan for r in found if r not in due]
             if not due:
                 return made
-            new = self._write(name, self._open(name, due), state.bits[name])
+            new = self._write(name, self._open(name, due), state.bits[name], sum(r["rows"] for r in due))
             state.rewritten += sum(r["bytes"] for r in new)
             state.runs[name] = [r for r in state.runs[name] if r not in due] + new
             made, due = made + new, []

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,11 +45,34 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """What runs inside leaves no shuffle files. Otherwise they stay until the driver collects its garbage, which a large heap puts off for long."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def put(df: DataFrame, path: str, *parts: str) -> None:
+    """Add ``df`` to the Parquet files below ``path``, by the columns ``parts``, with as little disk as that takes: no shuffle files stay, and files are packed well."""
+    with shuffles_deleted(df.sparkSession):
+        df.write.mode("append").option("compression", "zstd").partitionBy(*parts).parquet(path)
+
+
 def written(spark: SparkSession) -> list[str]:
     """The folders that this application has written and not released, oldest first."""
     return list(_made.get(spark.sparkContext.applicationId, []))
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def release(spark: SparkSession, keep: list[str] = ()) -> None:
     """Delete the folders that this application has written, but for those to keep. What reads them must have been written out before."""
     stay = []
@@ -55,6 +80,5 @@ def release(spark: SparkSession, keep: list[str] = ()) -> None:
         if path in keep:
             stay.append(path)
         else:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            delete(spark, path)
     _made[spark.sparkContext.applicationId] = stay

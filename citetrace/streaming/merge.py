@@ -15,17 +15,21 @@ from citetrace.plans.log_store import LogStore, Table
 
 
 def store(spark: SparkSession, folder: str, schema: str, **sizes: int) -> LogStore:
-    """The store below a folder. schema: of the observations; ``error`` is no column of an edge."""
+    """The store below a folder. schema: of the observations; ``error`` is no column of an edge.
+
+    Edges are read whole, so a batch that is at least half as large as the store is merged with it at once, and reading has nothing to shuffle.
+    """
     columns = [f for f in T.StructType.fromDDL(schema).fields if f.name != "error"]
     edges = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
     tables = {"edges": Table(edges, ("target_id", "source_id"), ("depth", "seq")), "failures": Table("node_id string, error string, seq long", ("node_id",), ("-seq", "error"))}
-    return LogStore(spark, f"{folder}/store", tables, **sizes)
+    return LogStore(spark, f"{folder}/store", tables, **{"absorb": 2} | sizes)
 
 
 def ingest(spark: SparkSession, inbox: str, folder: str, schema: str, max_files: int = 2, **sizes: int) -> DataFrame:
     """Take all waiting files of ``inbox`` and return the edges so far. The store and the checkpoint are below ``folder``.
 
-    A batch writes its own observations and, now and then, merges like-sized runs, so what it writes follows what it brings. A batch that is tried again is taken once.
+    A batch writes its own observations, with the edges so far if they are not many more, and, now and then, merges like-sized runs, so what it writes follows what it
+    brings. A batch that is tried again is taken once. Files that were there when this returned are not read again and may go.
     """
     own = store(spark, folder, schema, **sizes)
 
