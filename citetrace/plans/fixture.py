@@ -128,13 +128,11 @@ class Fixture:
             rows = observations(self).select("source_id", "target_id", "depth", "source_api", "citation_date", "seq", F.lit(None).cast("string").alias("error"))
             both = rows.unionByName(failed(self))
             delivery = F.pmod(F.xxhash64(F.coalesce("source_id", "target_id"), "source_api"), F.lit(2))  # of about half of all edges both observations are in one
-            taken = []
             for n in range(2):
-                for file in taken:
-                    delete(self.spark, file)
+                delete(self.spark, f"{base}/inbox")
                 put(both.where(delivery == n), f"{base}/inbox")  # as many files as the rows need
-                taken = self.spark.read.parquet(f"{base}/inbox").inputFiles()
-                merge.ingest(self.spark, f"{base}/inbox", base, ", ".join(f"{n} {t}" for n, t in both.dtypes), max_files=len(taken))
+                files = len(self.spark.read.parquet(f"{base}/inbox").inputFiles())
+                merge.ingest(self.spark, f"{base}/inbox", base, ", ".join(f"{c} {t}" for c, t in both.dtypes), max_files=files)
             self.stores["streamed"] = base
         return self.stores["streamed"]
 

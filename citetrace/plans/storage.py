@@ -69,6 +69,7 @@ def written(spark: SparkSession) -> list[str]:
 
 
 def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file, if it is there."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
